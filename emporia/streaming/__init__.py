@@ -1,0 +1,10 @@
+"""Streaming: intentionally empty.
+
+The analyses this library rebuilds are all batch questions over a
+marketplace's order history (customer value, repeat buying, sales trends,
+freight, delivery punctuality, regional penetration, payments and reviews).
+None of them needs watermarks, event-time windows or streaming state; "late"
+in the delivery analyses means late *delivery*, a column comparison.  The
+package exists so the layout is uniform; incremental refresh of the marts is
+done by re-running :func:`emporia.sources.io.write_marts` on new data.
+"""

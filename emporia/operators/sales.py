@@ -1 +1,207 @@
-"""placeholder"""
+"""Sales and products: trend, seasonality, category ranking, hot and slow products.
+
+Scale notes: sales are reduced to order grain before meeting the order role,
+so the only large join is order-grain x order-grain on ``order_id``.  Period
+series and category rankings are windows over tiny aggregates (one row per
+period or category).  Thresholds (percentile cut-offs, the latest complete
+period) travel as one-row frames joined with an explicit broadcast: one row
+is a proven size bound, and nothing is collected to the driver.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from emporia.functions import stats
+from emporia.functions.dates import GRAINS, add_periods, period_spine, period_start
+from emporia.plans.bases import item_category, order_item, order_review
+from emporia.sources.roles import Roles
+
+HOT, MID, SLOW = "hot", "mid", "slow"
+
+
+def _period_sales(t: Roles, grain: str) -> DataFrame:
+    """period, sales (exact decimal, 0 for empty periods), complete (bool).
+
+    A period is complete when the order history covers it from its first to
+    its last day; only the first and last period can be partial.
+    """
+    orders = t.order.select("order_id", F.to_date("purchase_ts").alias("day"))
+    per_order = orders.join(order_item(t).select("order_id", "sales"), "order_id", "left")
+    per_period = per_order.groupBy(period_start(F.col("day"), grain).alias("period")).agg(
+        F.sum("sales").alias("sales"))
+    bounds = orders.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).select(
+        "lo", "hi", period_start(F.col("lo"), grain).alias("plo"),
+        period_start(F.col("hi"), grain).alias("phi"))
+    spine = period_spine(bounds, "plo", "phi", grain).crossJoin(
+        F.broadcast(bounds.select("lo", "hi")))
+    end = F.date_sub(add_periods(F.col("period"), 1, grain), 1)
+    return spine.join(per_period, "period", "left").select(
+        "period",
+        F.coalesce(F.col("sales"), F.lit(0).cast("decimal(38,2)")).alias("sales"),
+        ((F.col("period") >= F.col("lo")) & (end <= F.col("hi"))).alias("complete"),
+    )
+
+
+def sales_growth(t: Roles, grain: str = "month") -> DataFrame:
+    """Period-on-period sales growth (previous calendar period, gaps as 0).
+
+    growth = sales / prev_sales - 1; null for the first period or a zero base.
+    The period column is named after the grain.  Columns: <grain>, sales,
+    prev_sales, growth, complete.
+    """
+    ps = _period_sales(t, grain)
+    # One row per calendar period: a tiny single-partition window.
+    prev = F.lag("sales").over(Window.orderBy("period"))
+    s = ps.select("period", "sales", prev.alias("prev"), "complete")
+    growth = stats.ratio(F.col("sales"), F.when(F.col("prev") != 0, F.col("prev"))) - F.lit(1.0)
+    return s.select(
+        F.col("period").alias(grain),
+        F.col("sales").cast("double").alias("sales"),
+        F.col("prev").cast("double").alias("prev_sales"),
+        F.round(growth, 6).alias("growth"),
+        "complete",
+    )
+
+
+def sales_seasonality(t: Roles) -> DataFrame:
+    """Month-of-year sales index over complete months.
+
+    index = mean sales of that calendar month / mean sales of all complete
+    months.  Columns: month_of_year, avg_sales, index.
+    """
+    ps = _period_sales(t, "month").filter(F.col("complete"))
+    by_moy = ps.groupBy(F.month("period").alias("moy")).agg(
+        F.sum("sales").alias("s"), F.count(F.lit(1)).alias("n"))
+    overall = ps.agg(stats.ratio(F.sum("sales"), F.count(F.lit(1))).alias("overall"))
+    avg_sales = stats.ratio(F.col("s"), F.col("n"))
+    return by_moy.crossJoin(F.broadcast(overall)).select(
+        F.col("moy").cast("bigint").alias("month_of_year"),
+        F.round(avg_sales, 6).alias("avg_sales"),
+        F.round(F.try_divide(avg_sales, F.when(F.col("overall") != 0, F.col("overall"))), 6)
+        .alias("index"),
+    )
+
+
+def top_categories_share(t: Roles, n: int = 10) -> DataFrame:
+    """S3: top n categories by sales with their share of *all* sales.
+
+    The share denominator is computed before the limit.  Columns: category,
+    sales, share, rank.
+    """
+    agg = item_category(t).groupBy("category").agg(F.sum("price").alias("sales"))
+    share = stats.ratio(F.col("sales"), F.sum("sales").over(Window.partitionBy()))
+    ranked = agg.select("category", "sales", share.alias("share"))
+    top = ranked.orderBy(F.col("sales").desc(), F.col("category")).limit(n)
+    w = Window.orderBy(F.col("sales").desc(), F.col("category"))
+    return top.select(
+        "category", F.col("sales").cast("double").alias("sales"),
+        F.round("share", 6).alias("share"), F.row_number().over(w).cast("bigint").alias("rank"))
+
+
+def fastest_growing_categories(t: Roles, n: int = 10, grain: str = "quarter",
+                               min_base: int = 1) -> DataFrame:
+    """Top n categories by unit growth, latest complete period vs the one before.
+
+    A period is complete when its last day is not after the latest purchase
+    date.  Categories with fewer than ``min_base`` units in the earlier period
+    (including new ones) have no meaningful rate and are left out.
+    Columns: category, period, prev_units, cur_units, growth, rank.
+    """
+    if grain not in GRAINS:
+        raise ValueError(f"grain must be one of {sorted(GRAINS)}")
+    bounds = t.order.agg(F.max(F.to_date("purchase_ts")).alias("hi")).select(
+        add_periods(period_start(F.date_add(F.col("hi"), 1), grain), -1, grain).alias("cur"))
+    bounds = bounds.select(
+        "cur", add_periods(F.col("cur"), -1, grain).alias("prev"),
+        add_periods(F.col("cur"), 1, grain).alias("nxt"))
+    day = F.to_date("purchase_ts")
+    window_orders = (
+        t.order.select("order_id", "purchase_ts")
+        .crossJoin(F.broadcast(bounds))
+        .filter((day >= F.col("prev")) & (day < F.col("nxt")))
+        .select("order_id", "cur", (day >= F.col("cur")).alias("is_cur"))
+    )
+    items = item_category(t).join(window_orders, "order_id")
+    agg = items.groupBy("category").agg(
+        F.first("cur").alias("period"),
+        F.sum(F.when(~F.col("is_cur"), F.col("units")).otherwise(0)).alias("prev_units"),
+        F.sum(F.when(F.col("is_cur"), F.col("units")).otherwise(0)).alias("cur_units"),
+    ).filter(F.col("prev_units") >= F.lit(max(min_base, 1)))
+    growth = stats.ratio(F.col("cur_units"), F.col("prev_units")) - F.lit(1.0)
+    g = agg.select("category", "period", "prev_units", "cur_units", growth.alias("growth"))
+    top = g.orderBy(F.col("growth").desc(), F.col("category")).limit(n)
+    w = Window.orderBy(F.col("growth").desc(), F.col("category"))
+    return top.select(
+        "category", "period",
+        F.col("prev_units").cast("bigint").alias("prev_units"),
+        F.col("cur_units").cast("bigint").alias("cur_units"),
+        F.round("growth", 6).alias("growth"),
+        F.row_number().over(w).cast("bigint").alias("rank"),
+    )
+
+
+def _product_units(t: Roles) -> DataFrame:
+    return t.item.groupBy("product_id").agg(F.sum("units").alias("units"))
+
+
+def _cutoffs(units: DataFrame, q: float) -> DataFrame:
+    """One row (lo, hi): the q and 1-q percentiles of units over products.
+
+    Exact (linear interpolation) over a histogram of unit counts, so the
+    aggregation state is one entry per distinct unit count.
+    """
+    hist = units.groupBy("units").agg(F.count(F.lit(1)).alias("products"))
+    return hist.agg(
+        F.percentile(F.col("units"), F.lit(q), F.col("products")).alias("lo"),
+        F.percentile(F.col("units"), F.lit(1.0 - q), F.col("products")).alias("hi"),
+    )
+
+
+def hot_slow_products(t: Roles, q: float = 0.25) -> DataFrame:
+    """Classify sold products as slow (units <= p_q), hot (>= p_1-q) or mid.
+
+    Slow is tested first, so when both cut-offs coincide a product is hot only
+    above them.  Products never sold are left out (they cannot be reviewed).
+    Columns: product_id, units, class.
+    """
+    if not 0.0 < q < 0.5:
+        raise ValueError("q must be in (0, 0.5)")
+    units = _product_units(t)
+    cls = (F.when(F.col("units") <= F.col("lo"), F.lit(SLOW))
+           .when(F.col("units") >= F.col("hi"), F.lit(HOT)).otherwise(F.lit(MID)))
+    return units.crossJoin(F.broadcast(_cutoffs(units, q))).select(
+        "product_id", F.col("units").cast("bigint").alias("units"), cls.alias("class"))
+
+
+def hot_slow_bad_review_rate(t: Roles, q: float = 0.25, bad_max: int = 2) -> DataFrame:
+    """Is the bad-review rate of slow products higher than that of hot ones?
+
+    Unit: a distinct (order, product) pair whose order has a review (score <=
+    ``bad_max`` is bad).  A review belongs to the order and is repeated over
+    its products, so pairs are not independent and the p-value is optimistic.
+    Two-proportion z for rate_slow - rate_hot, one-sided (slow higher).
+    Columns: n_slow, bad_slow, rate_slow, n_hot, bad_hot, rate_hot, z, p_one_sided.
+    """
+    # Joining on order_id first leaves the rows hash-partitioned by order_id,
+    # which already satisfies the (order_id, product_id) de-duplication.
+    pairs = (
+        t.item.select("order_id", "product_id")
+        .join(order_review(t), "order_id")
+        .groupBy("order_id", "product_id")
+        .agg(F.max((F.col("score") <= bad_max).cast("int")).alias("bad"))
+    )
+    classes = hot_slow_products(t, q).filter(F.col("class") != MID).select("product_id", "class")
+    scored = pairs.join(classes, "product_id")
+    slow, hot, bad = F.col("class") == SLOW, F.col("class") == HOT, F.col("bad") == 1
+    m = scored.agg(
+        F.count_if(slow).alias("n1"), F.count_if(slow & bad).alias("x1"),
+        F.count_if(hot).alias("n2"), F.count_if(hot & bad).alias("x2"))
+    z = stats.two_proportion(F.col("x1"), F.col("n1"), F.col("x2"), F.col("n2"), "greater")
+    return m.select(
+        F.col("n1").cast("bigint").alias("n_slow"), F.col("x1").cast("bigint").alias("bad_slow"),
+        F.round(stats.ratio(F.col("x1"), F.col("n1")), 6).alias("rate_slow"),
+        F.col("n2").cast("bigint").alias("n_hot"), F.col("x2").cast("bigint").alias("bad_hot"),
+        F.round(stats.ratio(F.col("x2"), F.col("n2")), 6).alias("rate_hot"),
+        z["z"].alias("z"), z["p_one_sided"].alias("p_one_sided"))

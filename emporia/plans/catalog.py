@@ -47,4 +47,16 @@ ANALYSES: dict[str, Analysis] = {
     "first_vs_repeat_categories": Analysis(customers.first_vs_repeat_categories,
                                            year=REPEAT_WINDOW_YEAR),
     "repeat_vs_single_score": Analysis(customers.repeat_vs_single_score, year=REPEAT_WINDOW_YEAR),
+    # sales and products
+    "sales_growth": Analysis(sales.sales_growth),
+    "sales_seasonality": Analysis(sales.sales_seasonality),
+    "top_categories_share": Analysis(sales.top_categories_share),
+    "fastest_growing_categories": Analysis(sales.fastest_growing_categories),
+    "hot_slow_products": Analysis(sales.hot_slow_products),
+    "hot_slow_bad_review_rate": Analysis(sales.hot_slow_bad_review_rate),
+    # logistics
+    "top_freight_orders": Analysis(logistics.top_freight_orders),
+    "freight_order_profile": Analysis(logistics.freight_order_profile),
+    "late_vs_ontime_score": Analysis(logistics.late_vs_ontime_score),
+    "late_orders_by_city": Analysis(logistics.late_orders_by_city),
 }

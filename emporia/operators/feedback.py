@@ -1 +1,181 @@
-"""placeholder"""
+"""Payments and review feedback.
+
+Scale notes: an order's payment methods are collected per order with
+``collect_set`` (bounded by the number of payment methods, not by rows), so
+payments meet orders at order grain and each method is then counted with a
+partial+final aggregation.  Reviews meet items on ``order_id``; the
+(order, seller) de-duplication reuses that hash partitioning.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from emporia.functions import stats
+from emporia.plans.bases import order_review
+from emporia.sources.roles import Roles
+
+COMPLETED = "delivered"
+
+
+def _order_methods(t: Roles) -> DataFrame:
+    """order_id, methods (distinct payment types), order_amount (exact)."""
+    return t.payment.groupBy("order_id").agg(
+        F.collect_set("payment_type").alias("methods"), F.sum("value").alias("order_amount"))
+
+
+def _method_orders(t: Roles) -> DataFrame:
+    """payment_type, order_id, status, order_amount: one row per (order, method)."""
+    return (
+        _order_methods(t).join(t.order.select("order_id", "status"), "order_id")
+        .select(F.explode("methods").alias("payment_type"), "order_id", "status", "order_amount")
+    )
+
+
+def _completion(t: Roles) -> DataFrame:
+    return _method_orders(t).groupBy("payment_type").agg(
+        F.count(F.lit(1)).alias("orders"),
+        F.count_if(F.col("status") == COMPLETED).alias("completed"))
+
+
+def completion_rate_by_payment(t: Roles) -> DataFrame:
+    """Order completion rate (status delivered) by payment method.
+
+    Distinct orders per method; an order paid two ways counts under both.
+    Columns: payment_type, orders, completed, completion_rate.
+    """
+    return _completion(t).select(
+        "payment_type", F.col("orders").cast("bigint").alias("orders"),
+        F.col("completed").cast("bigint").alias("completed"),
+        F.round(stats.ratio(F.col("completed"), F.col("orders")), 6).alias("completion_rate"))
+
+
+def completion_payment_chi2(t: Roles) -> DataFrame:
+    """P1 companion: chi-square test of independence, payment method x completed.
+
+    Computed from the per-method counts (one row per method) with margins as
+    one-row aggregates.  Association only: payment method is not randomised.
+    One row: statistic, dof.
+    """
+    cells = _completion(t).select(
+        "payment_type", F.col("completed").cast("double").alias("c"),
+        (F.col("orders") - F.col("completed")).cast("double").alias("nc"),
+        F.col("orders").cast("double").alias("o"))
+    margins = cells.agg(F.sum("o").alias("n_all"), F.sum("c").alias("c_all"),
+                        F.count(F.lit(1)).alias("rows"))
+    e_c = F.col("o") * F.col("c_all") / F.col("n_all")
+    e_n = F.col("o") * (F.col("n_all") - F.col("c_all")) / F.col("n_all")
+    part = (F.when(e_c > 0, F.pow(F.col("c") - e_c, 2) / e_c).otherwise(0.0)
+            + F.when(e_n > 0, F.pow(F.col("nc") - e_n, 2) / e_n).otherwise(0.0))
+    stat = cells.crossJoin(F.broadcast(margins)).agg(
+        F.sum(part).alias("statistic"), F.first("rows").alias("rows"))
+    return stat.select(F.round("statistic", 6).alias("statistic"),
+                       ((F.col("rows") - 1) * 1).cast("bigint").alias("dof"))
+
+
+def avg_order_amount_by_payment(t: Roles) -> DataFrame:
+    """Average order amount of orders using each payment method.
+
+    The amount is the whole order's (all its payments), not the slice paid by
+    the method; contrast with C5.  Columns: payment_type, orders, avg_order_amount.
+    """
+    agg = _method_orders(t).groupBy("payment_type").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("order_amount").alias("amount"))
+    return agg.select(
+        "payment_type", F.col("orders").cast("bigint").alias("orders"),
+        F.round(stats.ratio(F.col("amount"), F.col("orders")), 6).alias("avg_order_amount"))
+
+
+def installment_avg_payment(t: Roles, min_installments: int = 2) -> DataFrame:
+    """Average payment on instalment plans, per plan length plus a total row.
+
+    Only payments with installments >= ``min_installments``.  avg_value is the
+    mean payment; avg_installment the mean of value / installments.  The
+    rollup adds the all-plans row with installments null.
+    Columns: installments, payments, avg_value, avg_installment.
+    """
+    pays = t.payment.filter(F.col("installments") >= min_installments)
+    agg = pays.rollup("installments").agg(
+        F.count(F.lit(1)).alias("payments"), F.sum("value").alias("value"),
+        F.sum(F.col("value").cast("double") / F.col("installments")).alias("per_inst"))
+    return agg.select(
+        F.col("installments").cast("bigint").alias("installments"),
+        F.col("payments").cast("bigint").alias("payments"),
+        F.round(stats.ratio(F.col("value"), F.col("payments")), 6).alias("avg_value"),
+        F.round(stats.ratio(F.col("per_inst"), F.col("payments")), 6).alias("avg_installment"))
+
+
+def _seller_reviews(t: Roles, bad_max: int) -> DataFrame:
+    """seller_id, reviews, bad: one review per (order, seller)."""
+    pairs = (
+        t.item.select("order_id", "seller_id")
+        .join(order_review(t), "order_id")
+        .groupBy("order_id", "seller_id").agg(F.max("score").alias("score"))
+    )
+    return pairs.groupBy("seller_id").agg(
+        F.count(F.lit(1)).alias("reviews"),
+        F.count_if(F.col("score") <= bad_max).alias("bad"))
+
+
+def seller_bad_review_concentration(t: Roles, bad_max: int = 2) -> DataFrame:
+    """Do bad reviews concentrate on a few sellers?
+
+    Per seller: reviews, bad (score <= ``bad_max``), bad_rate, bad_share (of
+    all bad reviews), cum_share (running share by rank), rank (bad desc,
+    seller_id) and z (seller's bad rate against the pooled rate).
+    The running share is a window over one row per seller; see the README
+    for the scale note.  Columns: seller_id, reviews, bad, bad_rate,
+    bad_share, cum_share, rank, z.
+    """
+    per = _seller_reviews(t, bad_max)
+    totals = per.agg(F.sum("bad").alias("tb"), F.sum("reviews").alias("tr"))
+    order = Window.orderBy(F.col("bad").desc(), F.col("seller_id"))
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = per.crossJoin(F.broadcast(totals))
+    p0 = stats.ratio(F.col("tb"), F.col("tr"))
+    return j.select(
+        "seller_id",
+        F.col("reviews").cast("bigint").alias("reviews"),
+        F.col("bad").cast("bigint").alias("bad"),
+        F.round(stats.ratio(F.col("bad"), F.col("reviews")), 6).alias("bad_rate"),
+        F.round(stats.ratio(F.col("bad"), F.col("tb")), 6).alias("bad_share"),
+        F.round(stats.ratio(F.sum("bad").over(running), F.col("tb")), 6).alias("cum_share"),
+        F.row_number().over(order).cast("bigint").alias("rank"),
+        stats.one_sample_proportion_z(F.col("bad"), F.col("reviews"), p0).alias("z"),
+    )
+
+
+def seller_bad_review_summary(t: Roles, bad_max: int = 2, top_fraction: float = 0.1) -> DataFrame:
+    """P4 companion: sellers, bad reviews, top-decile share and HHI.
+
+    top_share is the share of bad reviews held by the ceil(10%) sellers with
+    most bad reviews; ties at the cut do not matter because tied sellers
+    hold equal counts.  It is computed from a histogram of bad counts (at
+    most sqrt(2 x bad reviews) distinct values), so no per-seller ranking is
+    needed.  HHI = sum of squared bad shares.  One row: sellers, bad,
+    top_sellers, top_share, hhi.
+    """
+    per = _seller_reviews(t, bad_max)
+    hist = per.groupBy("bad").agg(F.count(F.lit(1)).alias("k"))
+    totals = hist.agg(
+        F.sum("k").alias("sellers"), F.sum(F.col("bad") * F.col("k")).alias("tb"),
+        F.sum(F.col("bad").cast("decimal(38,0)") * F.col("bad") * F.col("k")).alias("sq"))
+    # Exact decimal product: in doubles 30 * 0.1 = 3.0000000000000004 would round up.
+    frac = F.lit(f"{top_fraction:.6f}").cast("decimal(10,6)")
+    totals = totals.select("*", F.ceil(F.col("sellers").cast("decimal(20,0)") * frac).alias("top_n"))
+    # Histogram rows (distinct bad counts) are few: a tiny ordered window.
+    before = F.coalesce(F.sum("k").over(
+        Window.orderBy(F.col("bad").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    take = F.least(F.col("k"), F.greatest(F.col("top_n") - before, F.lit(0)))
+    top = (hist.crossJoin(F.broadcast(totals.select("top_n")))
+           .select((take * F.col("bad")).alias("top_bad"))
+           .agg(F.sum("top_bad").alias("top_bad")))
+    out = totals.crossJoin(top)
+    return out.select(
+        F.col("sellers").cast("bigint").alias("sellers"),
+        F.col("tb").cast("bigint").alias("bad"),
+        F.col("top_n").cast("bigint").alias("top_sellers"),
+        F.round(stats.ratio(F.col("top_bad"), F.col("tb")), 6).alias("top_share"),
+        F.round(F.try_divide(F.col("sq").cast("double"),
+                             F.pow(F.col("tb").cast("double"), 2)), 6).alias("hhi"))

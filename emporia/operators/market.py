@@ -1 +1,148 @@
-"""placeholder"""
+"""Market and geography: regional penetration and cross-state trade (M1-M4).
+
+Scale notes: order-grain facts are counted per customer first and mapped to
+places afterwards, so the customer join runs at customer grain; distinct
+buyers per city are counted from a (state, city, person) pre-aggregate, not
+with a distinct aggregate over orders.  Cross-state flags need the seller's
+and the buyer's state on every item: the item side meets sellers (a
+dimension) and then orders on ``order_id``; the per-order "any item crosses"
+flag is an aggregation that reuses that partitioning.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from emporia.functions import stats
+from emporia.plans.bases import order_item, order_pay
+from emporia.sources.roles import Roles
+
+MONEY_SUM = "decimal(38,2)"
+
+
+def _city_facts(t: Roles) -> DataFrame:
+    """state, city, orders, sales, order_amount (exact), customers (distinct persons)."""
+    per_order = (
+        t.order.select("order_id", "customer_id")
+        .join(order_item(t).select("order_id", "sales"), "order_id", "left")
+        .join(order_pay(t).select("order_id", "order_amount"), "order_id", "left")
+    )
+    per_customer = per_order.groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("orders"),
+        F.sum("sales").alias("sales"),
+        F.sum("order_amount").alias("order_amount"))
+    per_person = (
+        per_customer.join(t.customer.select("customer_id", "person_id", "state", "city"), "customer_id")
+        .groupBy("state", "city", "person_id")
+        .agg(F.sum("orders").alias("orders"), F.sum("sales").alias("sales"),
+             F.sum("order_amount").alias("order_amount"))
+    )
+    zero = F.lit(0).cast(MONEY_SUM)
+    return per_person.groupBy("state", "city").agg(
+        F.sum("orders").alias("orders"),
+        F.coalesce(F.sum("sales"), zero).alias("sales"),
+        F.coalesce(F.sum("order_amount"), zero).alias("order_amount"),
+        F.count(F.lit(1)).alias("customers"))
+
+
+def city_penetration(t: Roles) -> DataFrame:
+    """M1: orders, sales and distinct buyers per (state, city).
+
+    Every order counts; cities whose orders have no items keep sales 0.
+    Columns: state, city, orders, sales, customers.
+    """
+    return _city_facts(t).select(
+        "state", "city", F.col("orders").cast("bigint").alias("orders"),
+        F.col("sales").cast("double").alias("sales"),
+        F.col("customers").cast("bigint").alias("customers"))
+
+
+def low_penetration_high_potential(t: Roles, order_q: float = 0.5, aov_q: float = 0.75,
+                                   min_orders: int = 1) -> DataFrame:
+    """M2: cities with few orders but a high spend per order.
+
+    Kept: orders <= the ``order_q`` percentile of orders over cities, aov >=
+    the ``aov_q`` percentile of aov, and orders >= ``min_orders``, where
+    aov = order amount / orders.  Cut-offs are exact percentiles over the
+    per-city table (one row per city) and travel as a one-row broadcast.
+    Columns: state, city, orders, sales, customers, aov.
+    """
+    cities = _city_facts(t).select(
+        "state", "city", "orders", "sales", "customers",
+        stats.ratio(F.col("order_amount"), F.col("orders")).alias("aov"))
+    cut = cities.agg(
+        F.percentile(F.col("orders"), F.lit(order_q)).alias("max_orders"),
+        F.percentile(F.col("aov"), F.lit(aov_q)).alias("min_aov"))
+    kept = cities.crossJoin(F.broadcast(cut)).filter(
+        (F.col("orders") <= F.col("max_orders")) & (F.col("aov") >= F.col("min_aov"))
+        & (F.col("orders") >= min_orders))
+    return kept.select(
+        "state", "city", F.col("orders").cast("bigint").alias("orders"),
+        F.col("sales").cast("double").alias("sales"),
+        F.col("customers").cast("bigint").alias("customers"),
+        F.round("aov", 6).alias("aov"))
+
+
+def _item_states(t: Roles) -> DataFrame:
+    """Items with cross (seller state differs from buyer state; unknown -> false)."""
+    sellers = t.seller.select("seller_id", F.col("state").alias("s_state"))
+    buyers = (
+        t.order.select("order_id", "customer_id")
+        .join(t.customer.select("customer_id", F.col("state").alias("c_state")), "customer_id")
+        .select("order_id", "c_state")
+    )
+    return (
+        t.item.join(sellers, "seller_id", "left")
+        .join(buyers, "order_id", "left")
+        .withColumn("cross", F.coalesce(F.col("s_state") != F.col("c_state"), F.lit(False)))
+    )
+
+
+def cross_state_order_share(t: Roles) -> DataFrame:
+    """M3: share of orders with at least one item sold across state lines.
+
+    Orders without items are excluded.  One row: orders, cross_orders, share.
+    """
+    per_order = _item_states(t).groupBy("order_id").agg(
+        F.max(F.col("cross").cast("int")).alias("cross"))
+    agg = per_order.agg(F.count(F.lit(1)).alias("orders"),
+                        F.count_if(F.col("cross") == 1).alias("cross_orders"))
+    return agg.select(
+        F.col("orders").cast("bigint").alias("orders"),
+        F.col("cross_orders").cast("bigint").alias("cross_orders"),
+        F.round(stats.ratio(F.col("cross_orders"), F.col("orders")), 6).alias("share"))
+
+
+def cross_state_freight(t: Roles) -> DataFrame:
+    """M4: is freight per item higher when seller and buyer are in different states?
+
+    Unit: the item (items of one order are not independent, so p is
+    optimistic).  Welch t for cross minus same, one-sided (cross higher).
+    per_kg_* (freight / kg over items of known weight) is a control for heavy
+    goods, which confound distance.  Columns: n_cross, mean_cross, n_same,
+    mean_same, per_kg_cross, per_kg_same, t, df, p_one_sided.
+    """
+    items = _item_states(t).join(t.product.select("product_id", "weight_g"), "product_id", "left")
+    c, s = F.col("cross"), ~F.col("cross")
+    x = F.col("freight").cast("double")
+    known = F.col("weight_g").isNotNull()
+    m = items.agg(
+        F.count_if(c).alias("n1"), F.sum(F.when(c, F.col("freight"))).alias("s1"),
+        F.var_samp(F.when(c, x)).alias("v1"),
+        F.count_if(s).alias("n2"), F.sum(F.when(s, F.col("freight"))).alias("s2"),
+        F.var_samp(F.when(s, x)).alias("v2"),
+        F.sum(F.when(c & known, F.col("freight"))).alias("f1"),
+        F.sum(F.when(c, F.col("weight_g"))).alias("w1"),
+        F.sum(F.when(s & known, F.col("freight"))).alias("f2"),
+        F.sum(F.when(s, F.col("weight_g"))).alias("w2"))
+    m = m.select("*", stats.ratio(F.col("s1"), F.col("n1")).alias("m1"),
+                 stats.ratio(F.col("s2"), F.col("n2")).alias("m2"))
+    w = stats.welch(F.col("n1"), F.col("m1"), F.col("v1"), F.col("n2"), F.col("m2"), F.col("v2"),
+                    "greater")
+    return m.select(
+        F.col("n1").cast("bigint").alias("n_cross"), F.round("m1", 6).alias("mean_cross"),
+        F.col("n2").cast("bigint").alias("n_same"), F.round("m2", 6).alias("mean_same"),
+        F.round(stats.ratio(F.col("f1"), F.col("w1") / F.lit(1000.0)), 6).alias("per_kg_cross"),
+        F.round(stats.ratio(F.col("f2"), F.col("w2") / F.lit(1000.0)), 6).alias("per_kg_same"),
+        w["t"].alias("t"), w["df"].alias("df"), w["p_one_sided"].alias("p_one_sided"))

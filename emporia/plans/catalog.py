@@ -59,4 +59,16 @@ ANALYSES: dict[str, Analysis] = {
     "freight_order_profile": Analysis(logistics.freight_order_profile),
     "late_vs_ontime_score": Analysis(logistics.late_vs_ontime_score),
     "late_orders_by_city": Analysis(logistics.late_orders_by_city),
+    # market and geography
+    "city_penetration": Analysis(market.city_penetration),
+    "low_penetration_high_potential": Analysis(market.low_penetration_high_potential),
+    "cross_state_order_share": Analysis(market.cross_state_order_share),
+    "cross_state_freight": Analysis(market.cross_state_freight),
+    # payments and reviews
+    "completion_rate_by_payment": Analysis(feedback.completion_rate_by_payment),
+    "completion_payment_chi2": Analysis(feedback.completion_payment_chi2),
+    "avg_order_amount_by_payment": Analysis(feedback.avg_order_amount_by_payment),
+    "installment_avg_payment": Analysis(feedback.installment_avg_payment),
+    "seller_bad_review_concentration": Analysis(feedback.seller_bad_review_concentration),
+    "seller_bad_review_summary": Analysis(feedback.seller_bad_review_summary),
 }

@@ -101,7 +101,7 @@ def top_customer_categories(t: Roles, k: int = 100) -> DataFrame:
 
     Columns: category, customers, units, sales, rank.
     """
-    items = item_category(t).join(_top_orders(t, k), "order_id")
+    items = item_category(t, items=t.item.join(_top_orders(t, k), "order_id"))
     agg = items.groupBy("category").agg(
         F.countDistinct("person_id").alias("customers"),
         F.sum("units").alias("units"),
@@ -133,7 +133,7 @@ def top_customer_category_profile(t: Roles, k: int = 100, n: int = 20,
     if weight not in ("unit", "product"):
         raise ValueError("weight must be 'unit' or 'product'")
     feats = [f for f, _ in PROFILE_FEATURES]
-    items = item_category(t, *feats).join(_top_orders(t, k), "order_id")
+    items = item_category(t, *feats, items=t.item.join(_top_orders(t, k), "order_id"))
     if weight == "unit":
         aggs = [
             stats.ratio(F.sum(F.col("units") * F.col(f)),
@@ -317,7 +317,7 @@ def first_vs_repeat_categories(t: Roles, n: int = 20) -> DataFrame:
     Columns: category, first_units, repeat_units, first_share, repeat_share,
     lift, repeat_rank.
     """
-    items = item_category(t).join(_repeat_order_flags(t), "order_id")
+    items = item_category(t, items=t.item.join(_repeat_order_flags(t), "order_id"))
     agg = items.groupBy("category").agg(
         F.sum(F.when(F.col("is_first"), F.col("units")).otherwise(0)).alias("first_units"),
         F.sum(F.when(~F.col("is_first"), F.col("units")).otherwise(0)).alias("repeat_units"))

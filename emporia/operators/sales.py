@@ -123,7 +123,7 @@ def fastest_growing_categories(t: Roles, n: int = 10, grain: str = "quarter",
         .filter((day >= F.col("prev")) & (day < F.col("nxt")))
         .select("order_id", "cur", (day >= F.col("cur")).alias("is_cur"))
     )
-    items = item_category(t).join(window_orders, "order_id")
+    items = item_category(t, items=t.item.join(window_orders, "order_id"))
     agg = items.groupBy("category").agg(
         F.first("cur").alias("period"),
         F.sum(F.when(~F.col("is_cur"), F.col("units")).otherwise(0)).alias("prev_units"),

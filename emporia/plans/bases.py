@@ -61,11 +61,15 @@ def order_person(t: Roles, *cols: str) -> DataFrame:
     return t.order.select(*ocols).join(t.customer.select(*ccols), "customer_id")
 
 
-def item_category(t: Roles, *cols: str) -> DataFrame:
-    """Items with their product category (``unknown`` when missing) and extra product columns."""
+def item_category(t: Roles, *cols: str, items: DataFrame | None = None) -> DataFrame:
+    """Items with their product category (``unknown`` when missing) and extra product columns.
+
+    Pass ``items`` already narrowed (e.g. joined to a subset of orders) so the
+    product lookup runs after the narrowing join, not over every item.
+    """
     prod = t.product.select("product_id", "category", *cols)
     return (
-        t.item.join(prod, "product_id", "left")
+        (t.item if items is None else items).join(prod, "product_id", "left")
         .withColumn("category", F.coalesce(F.col("category"), F.lit(UNKNOWN)))
     )
 

@@ -15,7 +15,9 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
     dlat = p2 - p1
     dlng = F.radians(lng2) - F.radians(lng1)
     h = F.pow(F.sin(dlat / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(dlng / 2), 2)
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    # Clamp rounding overshoot above 1; a null h must stay null (least() would skip it).
+    clamped = F.when(h > 1.0, F.lit(1.0)).otherwise(h)
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(clamped))
 
 
 def distance_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

@@ -4,10 +4,7 @@ from oracle.roles import with_roles
 from oracle.stats_sql import welch_select
 
 _DIST = """
-CAST(round(12742.0::DOUBLE * asin(sqrt(least(
-    pow(sin((radians(sg.lat) - radians(cg.lat)) / 2), 2)
-    + cos(radians(cg.lat)) * cos(radians(sg.lat)) * pow(sin((radians(sg.lng) - radians(cg.lng)) / 2), 2),
-    1.0::DOUBLE))) * 1000.0::DOUBLE) AS BIGINT)
+CAST(round(12742.0::DOUBLE * asin(sqrt(CASE WHEN h > 1.0 THEN 1.0::DOUBLE ELSE h END)) * 1000.0::DOUBLE) AS BIGINT)
 """
 
 _FEATURES = f"""
@@ -21,13 +18,18 @@ feat AS (
   SELECT i.order_id, count(*) AS items, sum(i.freight) AS freight, sum(p.weight_g) AS weight_g,
          sum(p.length_cm * p.height_cm * p.width_cm) AS volume_cm3,
          max({_DIST}) AS dm
-  FROM r_item i
+  FROM (
+    SELECT i.*, pow(sin((radians(sg.lat) - radians(cg.lat)) / 2), 2)
+                + cos(radians(cg.lat)) * cos(radians(sg.lat))
+                  * pow(sin((radians(sg.lng) - radians(cg.lng)) / 2), 2) AS h
+    FROM r_item i
+    LEFT JOIN r_seller s ON s.seller_id = i.seller_id
+    LEFT JOIN r_geo sg ON sg.geo_key = s.geo_key
+    LEFT JOIN r_order o ON o.order_id = i.order_id
+    LEFT JOIN r_customer c ON c.customer_id = o.customer_id
+    LEFT JOIN r_geo cg ON cg.geo_key = c.geo_key
+  ) i
   LEFT JOIN r_product p ON p.product_id = i.product_id
-  LEFT JOIN r_seller s ON s.seller_id = i.seller_id
-  LEFT JOIN r_geo sg ON sg.geo_key = s.geo_key
-  LEFT JOIN r_order o ON o.order_id = i.order_id
-  LEFT JOIN r_customer c ON c.customer_id = o.customer_id
-  LEFT JOIN r_geo cg ON cg.geo_key = c.geo_key
   GROUP BY i.order_id
 )
 """

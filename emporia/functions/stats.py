@@ -85,6 +85,18 @@ def one_sample_proportion_z(x: Column, n: Column, p0: Column) -> Column:
     return F.round(F.when((n >= 1) & (se > 0), (x.cast("double") / nd - p0) / se), DIGITS)
 
 
+def with_total(df, col: str, name: str):
+    """``df`` plus a column ``name`` = sum of ``col`` over all rows.
+
+    The total is a one-row aggregate (partial sums per task, then one row)
+    joined back with a broadcast, instead of a whole-table window that would
+    move every row into a single task.
+    """
+    from pyspark.sql import functions as F
+
+    return df.crossJoin(F.broadcast(df.agg(F.sum(col).alias(name))))
+
+
 def ratio(num: Column, den: Column) -> Column:
     """num / den in doubles; null when den is 0 or null (never raises in ANSI mode)."""
     return F.try_divide(num.cast("double"), den.cast("double"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from emporia.functions import stats
 from emporia.functions.dates import period_spine
+from emporia.functions.ranking import global_rank
 from emporia.plans.bases import item_category, order_pay, order_review, person_orders
 from emporia.sources.roles import Roles
 
@@ -102,18 +103,21 @@ def top_customer_categories(t: Roles, k: int = 100) -> DataFrame:
     Columns: category, customers, units, sales, rank.
     """
     items = item_category(t, items=t.item.join(_top_orders(t, k), "order_id"))
-    agg = items.groupBy("category").agg(
-        F.countDistinct("person_id").alias("customers"),
+    # Distinct buyers per category from a (category, person) pre-aggregate.
+    per_person = items.groupBy("category", "person_id").agg(
+        F.sum("units").alias("units"), F.sum("price").alias("sales"))
+    agg = per_person.groupBy("category").agg(
+        F.count(F.lit(1)).alias("customers"),
         F.sum("units").alias("units"),
-        F.sum("price").alias("sales"),
+        F.sum("sales").alias("sales"),
     )
-    w = Window.orderBy(F.col("units").desc(), F.col("category"))
-    return agg.select(
+    ranked = global_rank(agg, [F.col("units").desc(), F.col("category").asc()])
+    return ranked.select(
         "category",
         F.col("customers").cast("bigint").alias("customers"),
         F.col("units").cast("bigint").alias("units"),
         F.col("sales").cast("double").alias("sales"),
-        F.row_number().over(w).cast("bigint").alias("rank"),
+        "rank",
     )
 
 
@@ -321,11 +325,11 @@ def first_vs_repeat_categories(t: Roles, n: int = 20) -> DataFrame:
     agg = items.groupBy("category").agg(
         F.sum(F.when(F.col("is_first"), F.col("units")).otherwise(0)).alias("first_units"),
         F.sum(F.when(~F.col("is_first"), F.col("units")).otherwise(0)).alias("repeat_units"))
-    everything = Window.partitionBy()
-    first_share = stats.ratio(F.col("first_units"), F.sum("first_units").over(everything))
-    repeat_share = stats.ratio(F.col("repeat_units"), F.sum("repeat_units").over(everything))
-    shares = agg.select("category", "first_units", "repeat_units",
-                        first_share.alias("fs"), repeat_share.alias("rs"))
+    totals = agg.agg(F.sum("first_units").alias("tf"), F.sum("repeat_units").alias("tr"))
+    first_share = stats.ratio(F.col("first_units"), F.col("tf"))
+    repeat_share = stats.ratio(F.col("repeat_units"), F.col("tr"))
+    shares = agg.crossJoin(F.broadcast(totals)).select(
+        "category", "first_units", "repeat_units", first_share.alias("fs"), repeat_share.alias("rs"))
     top = shares.orderBy(F.col("repeat_units").desc(), F.col("category")).limit(n)
     w = Window.orderBy(F.col("repeat_units").desc(), F.col("category"))
     return top.select(

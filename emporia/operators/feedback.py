@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emporia.functions import stats
+from emporia.functions.ranking import global_rank
 from emporia.plans.bases import order_review
 from emporia.sources.roles import Roles
 
@@ -124,15 +125,16 @@ def seller_bad_review_concentration(t: Roles, bad_max: int = 2) -> DataFrame:
     Per seller: reviews, bad (score <= ``bad_max``), bad_rate, bad_share (of
     all bad reviews), cum_share (running share by rank), rank (bad desc,
     seller_id) and z (seller's bad rate against the pooled rate).
-    The running share is a window over one row per seller; see the README
-    for the scale note.  Columns: seller_id, reviews, bad, bad_rate,
-    bad_share, cum_share, rank, z.
+    Totals travel as a one-row broadcast; rank and running share come from
+    :func:`emporia.functions.ranking.global_rank`, so no task holds every
+    seller.  Columns: seller_id, reviews, bad, bad_rate, bad_share,
+    cum_share, rank, z.
     """
     per = _seller_reviews(t, bad_max)
     totals = per.agg(F.sum("bad").alias("tb"), F.sum("reviews").alias("tr"))
-    order = Window.orderBy(F.col("bad").desc(), F.col("seller_id"))
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    j = per.crossJoin(F.broadcast(totals))
+    ranked = global_rank(per, [F.col("bad").desc(), F.col("seller_id").asc()],
+                         rank="rank", running="bad", running_out="cum_bad")
+    j = ranked.crossJoin(F.broadcast(totals))
     p0 = stats.ratio(F.col("tb"), F.col("tr"))
     return j.select(
         "seller_id",
@@ -140,8 +142,8 @@ def seller_bad_review_concentration(t: Roles, bad_max: int = 2) -> DataFrame:
         F.col("bad").cast("bigint").alias("bad"),
         F.round(stats.ratio(F.col("bad"), F.col("reviews")), 6).alias("bad_rate"),
         F.round(stats.ratio(F.col("bad"), F.col("tb")), 6).alias("bad_share"),
-        F.round(stats.ratio(F.sum("bad").over(running), F.col("tb")), 6).alias("cum_share"),
-        F.row_number().over(order).cast("bigint").alias("rank"),
+        F.round(stats.ratio(F.col("cum_bad"), F.col("tb")), 6).alias("cum_share"),
+        "rank",
         stats.one_sample_proportion_z(F.col("bad"), F.col("reviews"), p0).alias("z"),
     )
 

@@ -161,8 +161,8 @@ def late_orders_by_city(t: Roles) -> DataFrame:
         per_customer.join(t.customer.select("customer_id", "state", "city"), "customer_id")
         .groupBy("state", "city").agg(F.sum("late").alias("late"), F.sum("known").alias("known"))
     )
-    total = F.sum("late").over(Window.partitionBy())
-    return per_city.select(
+    total = F.col("total_late")
+    return stats.with_total(per_city, "late", "total_late").select(
         "state", "city",
         F.col("late").cast("bigint").alias("late_orders"),
         F.col("known").cast("bigint").alias("delivered_orders"),

@@ -91,8 +91,8 @@ def top_categories_share(t: Roles, n: int = 10) -> DataFrame:
     sales, share, rank.
     """
     agg = item_category(t).groupBy("category").agg(F.sum("price").alias("sales"))
-    share = stats.ratio(F.col("sales"), F.sum("sales").over(Window.partitionBy()))
-    ranked = agg.select("category", "sales", share.alias("share"))
+    share = stats.ratio(F.col("sales"), F.col("total"))
+    ranked = stats.with_total(agg, "sales", "total").select("category", "sales", share.alias("share"))
     top = ranked.orderBy(F.col("sales").desc(), F.col("category")).limit(n)
     w = Window.orderBy(F.col("sales").desc(), F.col("category"))
     return top.select(

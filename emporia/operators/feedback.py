@@ -131,9 +131,10 @@ def seller_bad_review_concentration(t: Roles, bad_max: int = 2) -> DataFrame:
     cum_share, rank, z.
     """
     per = _seller_reviews(t, bad_max)
-    totals = per.agg(F.sum("bad").alias("tb"), F.sum("reviews").alias("tr"))
     ranked = global_rank(per, [F.col("bad").desc(), F.col("seller_id").asc()],
                          rank="rank", running="bad", running_out="cum_bad")
+    # Totals from the ranked (checkpointed) table: no second pass over items and reviews.
+    totals = ranked.agg(F.sum("bad").alias("tb"), F.sum("reviews").alias("tr"))
     j = ranked.crossJoin(F.broadcast(totals))
     p0 = stats.ratio(F.col("tb"), F.col("tr"))
     return j.select(

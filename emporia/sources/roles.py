@@ -81,6 +81,24 @@ def in_year(year: int) -> Column:
         F.col("purchase_ts") < F.lit(f"{year + 1}-01-01").cast("timestamp_ntz"))
 
 
+# Schemas of the driver's test tables (TESTDATA.md), so binding
+# reads no parquet footers to infer them.
+TESTDATA_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": ("p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+             "p_retailprice double"),
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                 "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                 "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def bind_testdata(spark: SparkSession, sf_dir: str) -> Roles:
     """Bind the driver's TPC-H-like tables to roles (stand-ins, FIXTURES.md §2).
 
@@ -90,7 +108,7 @@ def bind_testdata(spark: SparkSession, sf_dir: str) -> Roles:
     """
 
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spark.read.schema(TESTDATA_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
     nation = read("nation")
     region = read("region")

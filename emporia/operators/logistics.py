@@ -37,18 +37,21 @@ def _order_features(t: Roles, items: DataFrame, orders: DataFrame) -> DataFrame:
     prod = t.product.select(
         "product_id", "weight_g",
         (F.col("length_cm") * F.col("height_cm") * F.col("width_cm")).alias("volume_cm3"))
-    sellers = t.seller.select("seller_id", F.col("geo_key").alias("s_geo"))
+    # Locations are attached to sellers and customers at dimension grain, so
+    # the (large) item and order tables each meet one location table, not two.
+    sellers = (t.seller.select("seller_id", F.col("geo_key").alias("s_geo"))
+               .join(sgeo, "s_geo", "left").drop("s_geo"))
+    buyers = (t.customer.select("customer_id", F.col("geo_key").alias("c_geo"))
+              .join(cgeo, "c_geo", "left").drop("c_geo"))
     where = (
         orders.select("order_id", "customer_id")
-        .join(t.customer.select("customer_id", F.col("geo_key").alias("c_geo")), "customer_id", "left")
-        .join(cgeo, "c_geo", "left")
+        .join(buyers, "customer_id", "left")
         .select("order_id", "c_lat", "c_lng")
     )
     lines = (
         items.select("order_id", "product_id", "seller_id", "freight")
         .join(prod, "product_id", "left")
         .join(sellers, "seller_id", "left")
-        .join(sgeo, "s_geo", "left")
         .join(where, "order_id", "left")
     )
     dist = distance_m(F.col("c_lat"), F.col("c_lng"), F.col("s_lat"), F.col("s_lng"))

@@ -38,15 +38,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a local one only if unset.
+    """Return the checkpoint folder, choosing a local one only if none is configured.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, S3, ...)
-    and is used as is.  A machine-local temporary folder is only chosen when
-    the setting is absent, which happens in tests and local runs.
+    and is used as is; if the context already has a checkpoint folder it is
+    reused.  A machine-local temporary folder is only chosen when the setting
+    is absent, which happens in tests and local runs.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="emporia-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    spark.sparkContext.setCheckpointDir(conf_dir)
-    return conf_dir
+        try:
+            spark.conf.set("spark.checkpoint.dir", conf_dir)
+        except Exception:  # some deployments reject core confs at runtime
+            pass
+    sc.setCheckpointDir(conf_dir)
+    return sc.getCheckpointDir() or conf_dir

@@ -173,18 +173,35 @@ def materialize_roles(t: Roles) -> Roles:
 
 
 def write_marts(t: Roles, out: str, names: list[str] | None = None,
-                materialize: bool = True) -> dict[str, str]:
-    """Write each analysis as parquet under ``out/<name>`` for a BI tool.
+                materialize: bool = True, concurrency: int = 1,
+                fmt: str = "parquet") -> dict[str, str]:
+    """Write each analysis under ``out/<name>`` for a BI tool.
 
     Returns {name: path}.  Marts are small aggregates (one row per month,
     category, city, seller...), so they are written without partitioning.
+    ``concurrency`` > 1 submits independent analyses from a thread pool so
+    their jobs share the cluster; each analysis is still one Spark job graph.
+    ``fmt="noop"`` runs everything without writing (benchmarks).
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     from emporia.plans.catalog import ANALYSES
 
     base = materialize_roles(t) if materialize else t
-    paths = {}
-    for name in names or list(ANALYSES):
-        path = f"{out.rstrip('/')}/{name}"
-        ANALYSES[name].run(base).write.mode("overwrite").parquet(path)
-        paths[name] = path
+    todo = list(names or ANALYSES)
+    paths = {name: f"{out.rstrip('/')}/{name}" for name in todo}
+
+    def run(name: str) -> None:
+        w = ANALYSES[name].run(base).write.mode("overwrite")
+        if fmt == "noop":
+            w.format("noop").save()
+        else:
+            w.format(fmt).save(paths[name])
+
+    if concurrency <= 1:
+        for name in todo:
+            run(name)
+    else:
+        with ThreadPoolExecutor(max_workers=concurrency) as pool:
+            list(pool.map(run, todo))
     return paths

@@ -111,7 +111,7 @@ def test_parquet_roles_round_trip(spark, tmp_path):
 def test_write_marts(spark, tmp_path):
     t = bind_testdata(spark, SF0001)
     names = ["top_customers", "sales_growth", "installment_avg_payment"]
-    paths = write_marts(t, str(tmp_path / "marts"), names=names)
+    paths = write_marts(t, str(tmp_path / "marts"), names=names, concurrency=2)
     for name in names:
         assert spark.read.parquet(paths[name]).count() == ANALYSES[name].run(t).count()
 

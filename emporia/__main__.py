@@ -49,6 +49,8 @@ def main(argv: list[str] | None = None) -> int:
         if name == "marts":
             p.add_argument("--out", required=True)
             p.add_argument("--only", nargs="*", help="analysis names (default: all)")
+            p.add_argument("--concurrency", type=int, default=4,
+                           help="analyses submitted at once (default 4)")
     args = ap.parse_args(argv)
 
     if args.cmd == "list":
@@ -64,7 +66,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from emporia.sources.io import write_marts
 
-    for name, path in write_marts(t, args.out, names=args.only).items():
+    for name, path in write_marts(t, args.out, names=args.only, concurrency=args.concurrency).items():
         print(f"{name}\t{path}")
     return 0
 

@@ -159,6 +159,14 @@ def _cutoffs(units: DataFrame, q: float) -> DataFrame:
     )
 
 
+def _classify(units: DataFrame, q: float) -> DataFrame:
+    """product_id, units, class from per-product units and their percentile cut-offs."""
+    cls = (F.when(F.col("units") <= F.col("lo"), F.lit(SLOW))
+           .when(F.col("units") >= F.col("hi"), F.lit(HOT)).otherwise(F.lit(MID)))
+    return units.crossJoin(F.broadcast(_cutoffs(units, q))).select(
+        "product_id", F.col("units").cast("bigint").alias("units"), cls.alias("class"))
+
+
 def hot_slow_products(t: Roles, q: float = 0.25) -> DataFrame:
     """Classify sold products as slow (units <= p_q), hot (>= p_1-q) or mid.
 
@@ -168,11 +176,7 @@ def hot_slow_products(t: Roles, q: float = 0.25) -> DataFrame:
     """
     if not 0.0 < q < 0.5:
         raise ValueError("q must be in (0, 0.5)")
-    units = _product_units(t)
-    cls = (F.when(F.col("units") <= F.col("lo"), F.lit(SLOW))
-           .when(F.col("units") >= F.col("hi"), F.lit(HOT)).otherwise(F.lit(MID)))
-    return units.crossJoin(F.broadcast(_cutoffs(units, q))).select(
-        "product_id", F.col("units").cast("bigint").alias("units"), cls.alias("class"))
+    return _classify(_product_units(t), q)
 
 
 def hot_slow_bad_review_rate(t: Roles, q: float = 0.25, bad_max: int = 2) -> DataFrame:
@@ -183,17 +187,24 @@ def hot_slow_bad_review_rate(t: Roles, q: float = 0.25, bad_max: int = 2) -> Dat
     its products, so pairs are not independent and the p-value is optimistic.
     Two-proportion z for rate_slow - rate_hot, one-sided (slow higher).
     Columns: n_slow, bad_slow, rate_slow, n_hot, bad_hot, rate_hot, z, p_one_sided.
+
+    One pass over items: items meet reviews with a left join on ``order_id``
+    and are reduced to (order, product) pairs, which carry both the units
+    (for every pair, reviewed or not: the cut-offs need all sales) and the
+    review; the pair aggregation reuses the ``order_id`` partitioning.
     """
-    # Joining on order_id first leaves the rows hash-partitioned by order_id,
-    # which already satisfies the (order_id, product_id) de-duplication.
+    if not 0.0 < q < 0.5:
+        raise ValueError("q must be in (0, 0.5)")
     pairs = (
-        t.item.select("order_id", "product_id")
-        .join(order_review(t), "order_id")
+        t.item.select("order_id", "product_id", "units")
+        .join(order_review(t), "order_id", "left")
         .groupBy("order_id", "product_id")
-        .agg(F.max((F.col("score") <= bad_max).cast("int")).alias("bad"))
+        .agg(F.sum("units").alias("units"),
+             F.max((F.col("score") <= bad_max).cast("int")).alias("bad"))
     )
-    classes = hot_slow_products(t, q).filter(F.col("class") != MID).select("product_id", "class")
-    scored = pairs.join(classes, "product_id")
+    units = pairs.groupBy("product_id").agg(F.sum("units").alias("units"))
+    classes = _classify(units, q).filter(F.col("class") != MID).select("product_id", "class")
+    scored = pairs.filter(F.col("bad").isNotNull()).select("product_id", "bad").join(classes, "product_id")
     slow, hot, bad = F.col("class") == SLOW, F.col("class") == HOT, F.col("bad") == 1
     m = scored.agg(
         F.count_if(slow).alias("n1"), F.count_if(slow & bad).alias("x1"),

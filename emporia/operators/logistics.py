@@ -101,7 +101,12 @@ def freight_order_profile(t: Roles, k: int = 100) -> DataFrame:
     orders with known distance), avg_weight, avg_volume.
     """
     feats = _order_features(t, t.item, t.order)
-    top = F.broadcast(_top_freight(t, k).select("order_id", F.lit(True).alias("top")))
+    # The k winners come from the per-order features themselves (same freight
+    # sums as L1's ranking), so items are aggregated once.
+    top = F.broadcast(
+        feats.select("order_id", "freight")
+        .orderBy(F.col("freight").desc_nulls_last(), F.col("order_id")).limit(k)
+        .select("order_id", F.lit(True).alias("top")))
     flagged = feats.join(top, "order_id", "left").select(
         F.coalesce(F.col("top"), F.lit(False)).alias("is_top"), "freight", "distance_m",
         "weight_g", "volume_cm3")

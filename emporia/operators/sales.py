@@ -30,10 +30,12 @@ def _period_sales(t: Roles, grain: str) -> DataFrame:
     orders = t.order.select("order_id", F.to_date("purchase_ts").alias("day"))
     per_order = orders.join(order_item(t).select("order_id", "sales"), "order_id", "left")
     per_period = per_order.groupBy(period_start(F.col("day"), grain).alias("period")).agg(
-        F.sum("sales").alias("sales"))
-    bounds = orders.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).select(
+        F.sum("sales").alias("sales"), F.min("day").alias("lo"), F.max("day").alias("hi"))
+    # Calendar bounds from the per-period rows (tens to hundreds), not a second scan.
+    bounds = per_period.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(
         "lo", "hi", period_start(F.col("lo"), grain).alias("plo"),
         period_start(F.col("hi"), grain).alias("phi"))
+    per_period = per_period.select("period", "sales")
     spine = period_spine(bounds, "plo", "phi", grain).crossJoin(
         F.broadcast(bounds.select("lo", "hi")))
     end = F.date_sub(add_periods(F.col("period"), 1, grain), 1)

@@ -89,12 +89,12 @@ def with_total(df, col: str, name: str):
     """``df`` plus a column ``name`` = sum of ``col`` over all rows.
 
     The total is a one-row aggregate (partial sums per task, then one row)
-    joined back with a broadcast, instead of a whole-table window that would
-    move every row into a single task.
+    applied as an uncorrelated scalar subquery: no join, and no whole-table
+    window that would move every row into a single task.
     """
     from pyspark.sql import functions as F
 
-    return df.crossJoin(F.broadcast(df.agg(F.sum(col).alias(name))))
+    return df.withColumn(name, df.agg(F.sum(col)).scalar())
 
 
 def ratio(num: Column, den: Column) -> Column:

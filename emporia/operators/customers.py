@@ -88,7 +88,7 @@ def top_customer_geo(t: Roles, k: int = 100) -> DataFrame:
         .groupBy(F.col("addr.state").alias("state"), F.col("addr.city").alias("city"))
         .agg(F.count(F.lit(1)).alias("customers"), F.sum("order_amount").alias("order_amount"))
     )
-    total = F.sum("customers").over(Window.partitionBy())
+    total = by_place.agg(F.sum("customers")).scalar()
     return by_place.select(
         "state", "city",
         F.col("customers").cast("bigint").alias("customers"),
@@ -269,7 +269,7 @@ def repurchase_gaps(t: Roles) -> DataFrame:
                                     "bucket string, bucket_lo bigint")
     filled = F.broadcast(buckets).join(per_bucket, "bucket", "left").select(
         "bucket", "bucket_lo", F.coalesce(F.col("gaps"), F.lit(0)).cast("bigint").alias("gaps"))
-    total = F.sum("gaps").over(Window.partitionBy())
+    total = filled.agg(F.sum("gaps")).scalar()
     return filled.select("bucket", "bucket_lo", "gaps",
                          F.round(stats.ratio(F.col("gaps"), total), 6).alias("share"))
 
@@ -325,10 +325,11 @@ def first_vs_repeat_categories(t: Roles, n: int = 20) -> DataFrame:
     agg = items.groupBy("category").agg(
         F.sum(F.when(F.col("is_first"), F.col("units")).otherwise(0)).alias("first_units"),
         F.sum(F.when(~F.col("is_first"), F.col("units")).otherwise(0)).alias("repeat_units"))
-    totals = agg.agg(F.sum("first_units").alias("tf"), F.sum("repeat_units").alias("tr"))
-    first_share = stats.ratio(F.col("first_units"), F.col("tf"))
-    repeat_share = stats.ratio(F.col("repeat_units"), F.col("tr"))
-    shares = agg.crossJoin(F.broadcast(totals)).select(
+    totals = agg.agg(F.struct(F.sum("first_units").alias("tf"),
+                              F.sum("repeat_units").alias("tr"))).scalar()
+    first_share = stats.ratio(F.col("first_units"), totals.getField("tf"))
+    repeat_share = stats.ratio(F.col("repeat_units"), totals.getField("tr"))
+    shares = agg.select(
         "category", "first_units", "repeat_units", first_share.alias("fs"), repeat_share.alias("rs"))
     top = shares.orderBy(F.col("repeat_units").desc(), F.col("category")).limit(n)
     w = Window.orderBy(F.col("repeat_units").desc(), F.col("category"))

@@ -56,21 +56,22 @@ def completion_payment_chi2(t: Roles) -> DataFrame:
     """P1 companion: chi-square test of independence, payment method x completed.
 
     Computed from the per-method counts (one row per method) with margins as
-    one-row aggregates.  Association only: payment method is not randomised.
+    a scalar subquery.  Association only: payment method is not randomised.
     One row: statistic, dof.
     """
     cells = _completion(t).select(
         "payment_type", F.col("completed").cast("double").alias("c"),
         (F.col("orders") - F.col("completed")).cast("double").alias("nc"),
         F.col("orders").cast("double").alias("o"))
-    margins = cells.agg(F.sum("o").alias("n_all"), F.sum("c").alias("c_all"),
-                        F.count(F.lit(1)).alias("rows"))
-    e_c = F.col("o") * F.col("c_all") / F.col("n_all")
-    e_n = F.col("o") * (F.col("n_all") - F.col("c_all")) / F.col("n_all")
+    margins = cells.agg(F.struct(F.sum("o").alias("n_all"), F.sum("c").alias("c_all"),
+                                 F.count(F.lit(1)).alias("rows"))).scalar()
+    n_all, c_all = margins.getField("n_all"), margins.getField("c_all")
+    e_c = F.col("o") * c_all / n_all
+    e_n = F.col("o") * (n_all - c_all) / n_all
     part = (F.when(e_c > 0, F.pow(F.col("c") - e_c, 2) / e_c).otherwise(0.0)
             + F.when(e_n > 0, F.pow(F.col("nc") - e_n, 2) / e_n).otherwise(0.0))
-    stat = cells.crossJoin(F.broadcast(margins)).agg(
-        F.sum(part).alias("statistic"), F.first("rows").alias("rows"))
+    stat = cells.select(part.alias("part"), margins.getField("rows").alias("rows")).agg(
+        F.sum("part").alias("statistic"), F.first("rows").alias("rows"))
     return stat.select(F.round("statistic", 6).alias("statistic"),
                        ((F.col("rows") - 1) * 1).cast("bigint").alias("dof"))
 
@@ -125,7 +126,7 @@ def seller_bad_review_concentration(t: Roles, bad_max: int = 2) -> DataFrame:
     Per seller: reviews, bad (score <= ``bad_max``), bad_rate, bad_share (of
     all bad reviews), cum_share (running share by rank), rank (bad desc,
     seller_id) and z (seller's bad rate against the pooled rate).
-    Totals travel as a one-row broadcast; rank and running share come from
+    Totals are a scalar subquery; rank and running share come from
     :func:`emporia.functions.ranking.global_rank`, so no task holds every
     seller.  Columns: seller_id, reviews, bad, bad_rate, bad_share,
     cum_share, rank, z.
@@ -134,8 +135,8 @@ def seller_bad_review_concentration(t: Roles, bad_max: int = 2) -> DataFrame:
     ranked = global_rank(per, [F.col("bad").desc(), F.col("seller_id").asc()],
                          rank="rank", running="bad", running_out="cum_bad")
     # Totals from the ranked (checkpointed) table: no second pass over items and reviews.
-    totals = ranked.agg(F.sum("bad").alias("tb"), F.sum("reviews").alias("tr"))
-    j = ranked.crossJoin(F.broadcast(totals))
+    totals = ranked.agg(F.struct(F.sum("bad").alias("tb"), F.sum("reviews").alias("tr"))).scalar()
+    j = ranked.withColumn("tb", totals.getField("tb")).withColumn("tr", totals.getField("tr"))
     p0 = stats.ratio(F.col("tb"), F.col("tr"))
     return j.select(
         "seller_id",
@@ -170,11 +171,10 @@ def seller_bad_review_summary(t: Roles, bad_max: int = 2, top_fraction: float =
     # Histogram rows (distinct bad counts) are few: a tiny ordered window.
     before = F.coalesce(F.sum("k").over(
         Window.orderBy(F.col("bad").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    take = F.least(F.col("k"), F.greatest(F.col("top_n") - before, F.lit(0)))
-    top = (hist.crossJoin(F.broadcast(totals.select("top_n")))
-           .select((take * F.col("bad")).alias("top_bad"))
-           .agg(F.sum("top_bad").alias("top_bad")))
-    out = totals.crossJoin(top)
+    top_n = totals.select("top_n").scalar()
+    take = F.least(F.col("k"), F.greatest(top_n - before, F.lit(0)))
+    top_bad = hist.select((take * F.col("bad")).alias("top_bad")).agg(F.sum("top_bad")).scalar()
+    out = totals.withColumn("top_bad", top_bad)
     return out.select(
         F.col("sellers").cast("bigint").alias("sellers"),
         F.col("tb").cast("bigint").alias("bad"),

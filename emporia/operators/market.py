@@ -65,17 +65,17 @@ def low_penetration_high_potential(t: Roles, order_q: float = 0.5, aov_q: float
     Kept: orders <= the ``order_q`` percentile of orders over cities, aov >=
     the ``aov_q`` percentile of aov, and orders >= ``min_orders``, where
     aov = order amount / orders.  Cut-offs are exact percentiles over the
-    per-city table (one row per city) and travel as a one-row broadcast.
+    per-city table (one row per city), applied as a scalar subquery.
     Columns: state, city, orders, sales, customers, aov.
     """
     cities = _city_facts(t).select(
         "state", "city", "orders", "sales", "customers",
         stats.ratio(F.col("order_amount"), F.col("orders")).alias("aov"))
-    cut = cities.agg(
+    cut = cities.agg(F.struct(
         F.percentile(F.col("orders"), F.lit(order_q)).alias("max_orders"),
-        F.percentile(F.col("aov"), F.lit(aov_q)).alias("min_aov"))
-    kept = cities.crossJoin(F.broadcast(cut)).filter(
-        (F.col("orders") <= F.col("max_orders")) & (F.col("aov") >= F.col("min_aov"))
+        F.percentile(F.col("aov"), F.lit(aov_q)).alias("min_aov"))).scalar()
+    kept = cities.filter(
+        (F.col("orders") <= cut.getField("max_orders")) & (F.col("aov") >= cut.getField("min_aov"))
         & (F.col("orders") >= min_orders))
     return kept.select(
         "state", "city", F.col("orders").cast("bigint").alias("orders"),

@@ -4,8 +4,9 @@ Scale notes: sales are reduced to order grain before meeting the order role,
 so the only large join is order-grain x order-grain on ``order_id``.  Period
 series and category rankings are windows over tiny aggregates (one row per
 period or category).  Thresholds (percentile cut-offs, the latest complete
-period) travel as one-row frames joined with an explicit broadcast: one row
-is a proven size bound, and nothing is collected to the driver.
+period, totals) are one-row aggregates applied as uncorrelated scalar
+subqueries (``DataFrame.scalar()``): computed once, no join, nothing
+collected to the driver.
 """
 
 from __future__ import annotations
@@ -36,13 +37,13 @@ def _period_sales(t: Roles, grain: str) -> DataFrame:
         "lo", "hi", period_start(F.col("lo"), grain).alias("plo"),
         period_start(F.col("hi"), grain).alias("phi"))
     per_period = per_period.select("period", "sales")
-    spine = period_spine(bounds, "plo", "phi", grain).crossJoin(
-        F.broadcast(bounds.select("lo", "hi")))
+    spine = period_spine(bounds, "plo", "phi", grain)
+    span = bounds.select(F.struct("lo", "hi")).scalar()
     end = F.date_sub(add_periods(F.col("period"), 1, grain), 1)
     return spine.join(per_period, "period", "left").select(
         "period",
         F.coalesce(F.col("sales"), F.lit(0).cast("decimal(38,2)")).alias("sales"),
-        ((F.col("period") >= F.col("lo")) & (end <= F.col("hi"))).alias("complete"),
+        ((F.col("period") >= span.getField("lo")) & (end <= span.getField("hi"))).alias("complete"),
     )
 
 
@@ -76,13 +77,12 @@ def sales_seasonality(t: Roles) -> DataFrame:
     ps = _period_sales(t, "month").filter(F.col("complete"))
     by_moy = ps.groupBy(F.month("period").alias("moy")).agg(
         F.sum("sales").alias("s"), F.count(F.lit(1)).alias("n"))
-    overall = ps.agg(stats.ratio(F.sum("sales"), F.count(F.lit(1))).alias("overall"))
+    overall = ps.agg(stats.ratio(F.sum("sales"), F.count(F.lit(1)))).scalar()
     avg_sales = stats.ratio(F.col("s"), F.col("n"))
-    return by_moy.crossJoin(F.broadcast(overall)).select(
+    return by_moy.select(
         F.col("moy").cast("bigint").alias("month_of_year"),
         F.round(avg_sales, 6).alias("avg_sales"),
-        F.round(F.try_divide(avg_sales, F.when(F.col("overall") != 0, F.col("overall"))), 6)
-        .alias("index"),
+        F.round(F.try_divide(avg_sales, F.when(overall != 0, overall)), 6).alias("index"),
     )
 
 
@@ -115,15 +115,15 @@ def fastest_growing_categories(t: Roles, n: int = 10, grain: str = "quarter",
         raise ValueError(f"grain must be one of {sorted(GRAINS)}")
     bounds = t.order.agg(F.max(F.to_date("purchase_ts")).alias("hi")).select(
         add_periods(period_start(F.date_add(F.col("hi"), 1), grain), -1, grain).alias("cur"))
-    bounds = bounds.select(
+    b = bounds.select(F.struct(
         "cur", add_periods(F.col("cur"), -1, grain).alias("prev"),
-        add_periods(F.col("cur"), 1, grain).alias("nxt"))
+        add_periods(F.col("cur"), 1, grain).alias("nxt"))).scalar()
+    cur, prev, nxt = b.getField("cur"), b.getField("prev"), b.getField("nxt")
     day = F.to_date("purchase_ts")
     window_orders = (
         t.order.select("order_id", "purchase_ts")
-        .crossJoin(F.broadcast(bounds))
-        .filter((day >= F.col("prev")) & (day < F.col("nxt")))
-        .select("order_id", "cur", (day >= F.col("cur")).alias("is_cur"))
+        .filter((day >= prev) & (day < nxt))
+        .select("order_id", cur.alias("cur"), (day >= cur).alias("is_cur"))
     )
     items = item_category(t, items=t.item.join(window_orders, "order_id"))
     agg = items.groupBy("category").agg(
@@ -148,24 +148,25 @@ def _product_units(t: Roles) -> DataFrame:
     return t.item.groupBy("product_id").agg(F.sum("units").alias("units"))
 
 
-def _cutoffs(units: DataFrame, q: float) -> DataFrame:
-    """One row (lo, hi): the q and 1-q percentiles of units over products.
+def _cutoffs(units: DataFrame, q: float):
+    """Scalar struct (lo, hi): the q and 1-q percentiles of units over products.
 
     Exact (linear interpolation) over a histogram of unit counts, so the
     aggregation state is one entry per distinct unit count.
     """
     hist = units.groupBy("units").agg(F.count(F.lit(1)).alias("products"))
-    return hist.agg(
+    return hist.agg(F.struct(
         F.percentile(F.col("units"), F.lit(q), F.col("products")).alias("lo"),
         F.percentile(F.col("units"), F.lit(1.0 - q), F.col("products")).alias("hi"),
-    )
+    )).scalar()
 
 
 def _classify(units: DataFrame, q: float) -> DataFrame:
     """product_id, units, class from per-product units and their percentile cut-offs."""
-    cls = (F.when(F.col("units") <= F.col("lo"), F.lit(SLOW))
-           .when(F.col("units") >= F.col("hi"), F.lit(HOT)).otherwise(F.lit(MID)))
-    return units.crossJoin(F.broadcast(_cutoffs(units, q))).select(
+    cut = _cutoffs(units, q)
+    cls = (F.when(F.col("units") <= cut.getField("lo"), F.lit(SLOW))
+           .when(F.col("units") >= cut.getField("hi"), F.lit(HOT)).otherwise(F.lit(MID)))
+    return units.select(
         "product_id", F.col("units").cast("bigint").alias("units"), cls.alias("class"))
 
 

@@ -76,7 +76,8 @@ SPARK_SQL = {
           FROM r_item i LEFT JOIN r_product p ON p.product_id = i.product_id GROUP BY 1
         ),
         shares AS (
-          SELECT category, sales, CAST(sales AS DOUBLE) / CAST(sum(sales) OVER () AS DOUBLE) AS share
+          SELECT category, sales,
+                 CAST(sales AS DOUBLE) / CAST((SELECT sum(sales) FROM per_cat) AS DOUBLE) AS share
           FROM per_cat
         ),
         top AS (SELECT * FROM shares ORDER BY sales DESC, category LIMIT 10)

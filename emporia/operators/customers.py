@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from emporia.functions import stats
 from emporia.functions.dates import period_spine
+from emporia.functions.money import exact_sum, scale_of
 from emporia.functions.ranking import global_rank
 from emporia.plans.bases import item_category, order_pay, order_review, person_orders
 from emporia.sources.roles import Roles
@@ -105,7 +106,7 @@ def top_customer_categories(t: Roles, k: int = 100) -> DataFrame:
     items = item_category(t, items=t.item.join(_top_orders(t, k), "order_id"))
     # Distinct buyers per category from a (category, person) pre-aggregate.
     per_person = items.groupBy("category", "person_id").agg(
-        F.sum("units").alias("units"), F.sum("price").alias("sales"))
+        F.sum("units").alias("units"), exact_sum(F.col("price"), scale_of(t.item, "price")).alias("sales"))
     agg = per_person.groupBy("category").agg(
         F.count(F.lit(1)).alias("customers"),
         F.sum("units").alias("units"),
@@ -167,7 +168,8 @@ def top_customer_payment_aov(t: Roles, k: int = 100) -> DataFrame:
     pays = (
         t.payment.select("order_id", "payment_type", "value")
         .join(_top_orders(t, k).select("order_id"), "order_id", "left_semi")
-        .groupBy("order_id", "payment_type").agg(F.sum("value").alias("value"))
+        .groupBy("order_id", "payment_type")
+        .agg(exact_sum(F.col("value"), scale_of(t.payment, "value")).alias("value"))
     )
     agg = pays.groupBy("payment_type").agg(
         F.count(F.lit(1)).alias("orders"), F.sum("value").alias("payment_value"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emporia.functions import stats
+from emporia.functions.money import exact_sum, scale_of
 from emporia.functions.ranking import global_rank
 from emporia.plans.bases import order_review
 from emporia.sources.roles import Roles
@@ -23,7 +24,8 @@ COMPLETED = "delivered"
 def _order_methods(t: Roles) -> DataFrame:
     """order_id, methods (distinct payment types), order_amount (exact)."""
     return t.payment.groupBy("order_id").agg(
-        F.collect_set("payment_type").alias("methods"), F.sum("value").alias("order_amount"))
+        F.collect_set("payment_type").alias("methods"),
+        exact_sum(F.col("value"), scale_of(t.payment, "value")).alias("order_amount"))
 
 
 def _method_orders(t: Roles) -> DataFrame:
@@ -99,7 +101,8 @@ def installment_avg_payment(t: Roles, min_installments: int = 2) -> DataFrame:
     """
     pays = t.payment.filter(F.col("installments") >= min_installments)
     agg = pays.rollup("installments").agg(
-        F.count(F.lit(1)).alias("payments"), F.sum("value").alias("value"),
+        F.count(F.lit(1)).alias("payments"),
+        exact_sum(F.col("value"), scale_of(t.payment, "value")).alias("value"),
         F.sum(F.col("value").cast("double") / F.col("installments")).alias("per_inst"))
     return agg.select(
         F.col("installments").cast("bigint").alias("installments"),

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from emporia.functions import stats
 from emporia.functions.geo import distance_m
+from emporia.functions.money import exact_sum, scale_of
 from emporia.plans.bases import order_item, order_review
 from emporia.sources.roles import Roles
 
@@ -57,7 +58,7 @@ def _order_features(t: Roles, items: DataFrame, orders: DataFrame) -> DataFrame:
     dist = distance_m(F.col("c_lat"), F.col("c_lng"), F.col("s_lat"), F.col("s_lng"))
     return lines.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("items"),
-        F.sum("freight").alias("freight"),
+        exact_sum(F.col("freight"), scale_of(t.item, "freight")).alias("freight"),
         F.sum("weight_g").alias("weight_g"),
         F.sum("volume_cm3").alias("volume_cm3"),
         F.max(dist).alias("distance_m"),

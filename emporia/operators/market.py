@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emporia.functions import stats
+from emporia.functions.money import exact_sum, scale_of
 from emporia.plans.bases import order_item, order_pay
 from emporia.sources.roles import Roles
 
@@ -127,14 +128,15 @@ def cross_state_freight(t: Roles) -> DataFrame:
     c, s = F.col("cross"), ~F.col("cross")
     x = F.col("freight").cast("double")
     known = F.col("weight_g").isNotNull()
+    fs = scale_of(t.item, "freight")
     m = items.agg(
-        F.count_if(c).alias("n1"), F.sum(F.when(c, F.col("freight"))).alias("s1"),
+        F.count_if(c).alias("n1"), exact_sum(F.when(c, F.col("freight")), fs).alias("s1"),
         F.var_samp(F.when(c, x)).alias("v1"),
-        F.count_if(s).alias("n2"), F.sum(F.when(s, F.col("freight"))).alias("s2"),
+        F.count_if(s).alias("n2"), exact_sum(F.when(s, F.col("freight")), fs).alias("s2"),
         F.var_samp(F.when(s, x)).alias("v2"),
-        F.sum(F.when(c & known, F.col("freight"))).alias("f1"),
+        exact_sum(F.when(c & known, F.col("freight")), fs).alias("f1"),
         F.sum(F.when(c, F.col("weight_g"))).alias("w1"),
-        F.sum(F.when(s & known, F.col("freight"))).alias("f2"),
+        exact_sum(F.when(s & known, F.col("freight")), fs).alias("f2"),
         F.sum(F.when(s, F.col("weight_g"))).alias("w2"))
     m = m.select("*", stats.ratio(F.col("s1"), F.col("n1")).alias("m1"),
                  stats.ratio(F.col("s2"), F.col("n2")).alias("m2"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from emporia.functions import stats
 from emporia.functions.dates import GRAINS, add_periods, period_spine, period_start
+from emporia.functions.money import exact_sum, scale_of
 from emporia.plans.bases import item_category, order_item, order_review
 from emporia.sources.roles import Roles
 
@@ -92,7 +93,8 @@ def top_categories_share(t: Roles, n: int = 10) -> DataFrame:
     The share denominator is computed before the limit.  Columns: category,
     sales, share, rank.
     """
-    agg = item_category(t).groupBy("category").agg(F.sum("price").alias("sales"))
+    agg = item_category(t).groupBy("category").agg(
+        exact_sum(F.col("price"), scale_of(t.item, "price")).alias("sales"))
     share = stats.ratio(F.col("sales"), F.col("total"))
     ranked = stats.with_total(agg, "sales", "total").select("category", "sales", share.alias("share"))
     top = ranked.orderBy(F.col("sales").desc(), F.col("category")).limit(n)

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emporia.functions.money import exact_sum, scale_of
 from emporia.sources.roles import Roles
 
 UNKNOWN = "unknown"
@@ -26,17 +27,19 @@ UNKNOWN = "unknown"
 
 def order_pay(t: Roles) -> DataFrame:
     """order_id, order_amount (exact decimal sum of payments), payments."""
+    vs = scale_of(t.payment, "value")
     return t.payment.groupBy("order_id").agg(
-        F.sum("value").alias("order_amount"), F.count(F.lit(1)).alias("payments"))
+        exact_sum(F.col("value"), vs).alias("order_amount"), F.count(F.lit(1)).alias("payments"))
 
 
 def order_item(t: Roles) -> DataFrame:
     """order_id, items, units, sales (exact), freight (exact)."""
+    ps, fs = scale_of(t.item, "price"), scale_of(t.item, "freight")
     return t.item.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("items"),
         F.sum("units").alias("units"),
-        F.sum("price").alias("sales"),
-        F.sum("freight").alias("freight"),
+        exact_sum(F.col("price"), ps).alias("sales"),
+        exact_sum(F.col("freight"), fs).alias("freight"),
     )
 
 

@@ -4,8 +4,9 @@
 For inputs that grow with the data (one row per seller, per category) this
 helper computes the same ``row_number`` and running sum distributedly:
 
-1. range-partition the rows by the sort key into ``parts`` partitions, so
-   partition i holds a contiguous slice of the global order;
+1. range-partition the rows by the sort key (``parts`` slices, or as many as
+   AQE sizes from the data), so partition i holds a contiguous slice of the
+   global order;
 2. checkpoint that layout to the session's checkpoint folder (a shared folder
    on a cluster).  This fixes which row sits in which partition even if an
    executor is lost and a stage is recomputed, so partition ids are stable;
@@ -13,7 +14,7 @@ helper computes the same ``row_number`` and running sum distributedly:
    partition id: each task holds one slice);
 4. add each partition's offset, the counts and sums of all earlier
    partitions, from a table with one row per partition (broadcast: its size
-   is ``parts``, a proven bound).
+   is the number of slices, a proven bound).
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ def global_rank(df: DataFrame, order: list[Column], rank: str = "rank",
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sliced = df.repartitionByRange(parts, *order).checkpoint(eager=True)
+    # Without an explicit count AQE sizes the slices from the data; coalescing
+    # merges neighbouring ranges only, so slice order still follows the sort.
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    sliced = ranged.checkpoint(eager=True)
     sliced = sliced.withColumn(PID, F.spark_partition_id())
 
     w = Window.partitionBy(PID).orderBy(*order)

@@ -167,19 +167,22 @@ def seller_bad_review_summary(t: Roles, bad_max: int = 2, top_fraction: float =
     hist = per.groupBy("bad").agg(F.count(F.lit(1)).alias("k"))
     # Exact decimal product: in doubles 30 * 0.1 = 3.0000000000000004 would round up.
     frac = F.lit(f"{top_fraction:.6f}").cast("decimal(10,6)")
-    top_n = hist.agg(F.ceil(F.sum("k").cast("decimal(20,0)") * frac)).scalar()
-    # Histogram rows (distinct bad counts) are few: a tiny ordered window.
+    # Histogram rows (distinct bad counts) are few, so these windows are tiny.
+    top_n = F.ceil(F.sum("k").over(Window.partitionBy()).cast("decimal(20,0)") * frac)
     before = F.coalesce(F.sum("k").over(
         Window.orderBy(F.col("bad").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    take = F.least(F.col("k"), F.greatest(top_n - before, F.lit(0)))
-    out = hist.select("bad", "k", (take * F.col("bad")).alias("top_part")).agg(
-        F.sum("k").alias("sellers"), F.sum(F.col("bad") * F.col("k")).alias("tb"),
-        F.sum(F.col("bad").cast("decimal(38,0)") * F.col("bad") * F.col("k")).alias("sq"),
-        F.sum("top_part").alias("top_bad"))
+    take = F.least(F.col("k"), F.greatest(F.col("top_n") - before, F.lit(0)))
+    out = (
+        hist.select("bad", "k", top_n.alias("top_n"))
+        .select("bad", "k", "top_n", (take * F.col("bad")).alias("top_part"))
+        .agg(F.sum("k").alias("sellers"), F.sum(F.col("bad") * F.col("k")).alias("tb"),
+             F.sum(F.col("bad").cast("decimal(38,0)") * F.col("bad") * F.col("k")).alias("sq"),
+             F.sum("top_part").alias("top_bad"), F.max("top_n").alias("top_n"))
+    )
     return out.select(
         F.col("sellers").cast("bigint").alias("sellers"),
         F.col("tb").cast("bigint").alias("bad"),
-        top_n.cast("bigint").alias("top_sellers"),
+        F.col("top_n").cast("bigint").alias("top_sellers"),
         F.round(stats.ratio(F.col("top_bad"), F.col("tb")), 6).alias("top_share"),
         F.round(F.try_divide(F.col("sq").cast("double"),
                              F.pow(F.col("tb").cast("double"), 2)), 6).alias("hhi"))

@@ -21,11 +21,12 @@ def add_periods(d: Column, k: int, grain: str = "month") -> Column:
 
 
 def period_spine(bounds: DataFrame, lo: str, hi: str, grain: str = "month",
-                 name: str = "period") -> DataFrame:
+                 name: str = "period", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per period from ``lo`` to ``hi`` (columns of a one-row frame).
 
     The input is a one-row aggregate, so the spine has as many rows as
     periods in the calendar span (tens to hundreds), independent of data size.
+    Columns named in ``keep`` are carried from the one-row frame to every row.
     """
     step = F.expr(f"make_ym_interval(0, {GRAINS[grain]})")
-    return bounds.select(F.explode(F.sequence(F.col(lo), F.col(hi), step)).alias(name))
+    return bounds.select(F.explode(F.sequence(F.col(lo), F.col(hi), step)).alias(name), *keep)

@@ -58,22 +58,25 @@ def completion_payment_chi2(t: Roles) -> DataFrame:
     """P1 companion: chi-square test of independence, payment method x completed.
 
     Computed from the per-method counts (one row per method) with margins as
-    a scalar subquery.  Association only: payment method is not randomised.
+    windows over those few rows.  Association only: payment method is not randomised.
     One row: statistic, dof.
     """
     cells = _completion(t).select(
         "payment_type", F.col("completed").cast("double").alias("c"),
         (F.col("orders") - F.col("completed")).cast("double").alias("nc"),
         F.col("orders").cast("double").alias("o"))
-    margins = cells.agg(F.struct(F.sum("o").alias("n_all"), F.sum("c").alias("c_all"),
-                                 F.count(F.lit(1)).alias("rows"))).scalar()
-    n_all, c_all = margins.getField("n_all"), margins.getField("c_all")
+    # One row per payment method (a small fixed domain): margins are tiny windows.
+    everything = Window.partitionBy()
+    with_margins = cells.select(
+        "c", "nc", "o", F.sum("o").over(everything).alias("n_all"),
+        F.sum("c").over(everything).alias("c_all"), F.count(F.lit(1)).over(everything).alias("rows"))
+    n_all, c_all = F.col("n_all"), F.col("c_all")
     e_c = F.col("o") * c_all / n_all
     e_n = F.col("o") * (n_all - c_all) / n_all
     part = (F.when(e_c > 0, F.pow(F.col("c") - e_c, 2) / e_c).otherwise(0.0)
             + F.when(e_n > 0, F.pow(F.col("nc") - e_n, 2) / e_n).otherwise(0.0))
-    stat = cells.select(part.alias("part"), margins.getField("rows").alias("rows")).agg(
-        F.sum("part").alias("statistic"), F.first("rows").alias("rows"))
+    stat = with_margins.select(part.alias("part"), "rows").agg(
+        F.sum("part").alias("statistic"), F.max("rows").alias("rows"))
     return stat.select(F.round("statistic", 6).alias("statistic"),
                        ((F.col("rows") - 1) * 1).cast("bigint").alias("dof"))
 

@@ -43,3 +43,9 @@ def test_repeat_analyses_do_not_window_over_orders(roles):
     for name in ("first_vs_repeat_categories", "repeat_vs_single_score", "repeat_rate", "user_growth"):
         p = plan(ANALYSES[name].run(roles))
         assert "Window [" not in p or "person_id" not in p.split("Window [", 1)[1].split("\n", 1)[0]
+
+
+@pytest.mark.parametrize("name", sorted(ANALYSES))
+def test_no_cross_or_nested_loop_joins(roles, name):
+    p = plan(ANALYSES[name].run(roles))
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p

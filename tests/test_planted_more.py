@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-import pytest
 
 from emporia.operators import customers, feedback, logistics, market, sales
 from tests.conftest import money, product_row, ts

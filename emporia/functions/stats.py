@@ -78,6 +78,19 @@ def two_proportion(x1: Column, n1: Column, x2: Column, n2: Column,
     return {"z": F.round(z, DIGITS), "p_one_sided": F.round(F.when(ok, p_value(z, direction)), DIGITS)}
 
 
+def chi2_sf(stat: Column, dof: Column) -> Column:
+    """Upper tail of the chi-square distribution by the Wilson-Hilferty transform.
+
+    (x/k)^(1/3) is close to normal with mean 1 - 2/(9k) and variance 2/(9k);
+    good to about 1e-3 in p for k >= 3 (coarser for k = 1, 2).  Floored at
+    1e-6 and rounded like the other p-values; null when k < 1.
+    """
+    k = dof.cast("double")
+    v = F.lit(2.0) / (F.lit(9.0) * k)
+    z = (F.pow(stat / k, F.lit(1.0 / 3.0)) - (F.lit(1.0) - v)) / F.sqrt(v)
+    return F.round(F.when((dof >= 1) & stat.isNotNull(), F.greatest(normal_sf(z), F.lit(P_FLOOR))), DIGITS)
+
+
 def one_sample_proportion_z(x: Column, n: Column, p0: Column) -> Column:
     """z of an observed rate x/n against a reference rate p0."""
     nd = n.cast("double")

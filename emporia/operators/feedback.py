@@ -59,7 +59,8 @@ def completion_payment_chi2(t: Roles) -> DataFrame:
 
     Computed from the per-method counts (one row per method) with margins as
     windows over those few rows.  Association only: payment method is not randomised.
-    One row: statistic, dof.
+    p_value is the chi-square upper tail (Wilson-Hilferty normal
+    approximation).  One row: statistic, dof, p_value.
     """
     cells = _completion(t).select(
         "payment_type", F.col("completed").cast("double").alias("c"),
@@ -77,8 +78,9 @@ def completion_payment_chi2(t: Roles) -> DataFrame:
             + F.when(e_n > 0, F.pow(F.col("nc") - e_n, 2) / e_n).otherwise(0.0))
     stat = with_margins.select(part.alias("part"), "rows").agg(
         F.sum("part").alias("statistic"), F.max("rows").alias("rows"))
-    return stat.select(F.round("statistic", 6).alias("statistic"),
-                       ((F.col("rows") - 1) * 1).cast("bigint").alias("dof"))
+    dof = (F.col("rows") - 1).cast("bigint")
+    return stat.select(F.round("statistic", 6).alias("statistic"), dof.alias("dof"),
+                       stats.chi2_sf(F.col("statistic"), dof).alias("p_value"))
 
 
 def avg_order_amount_by_payment(t: Roles) -> DataFrame:

@@ -1,6 +1,7 @@
 """Oracle SQL: payments and review feedback."""
 
 from oracle.roles import with_roles
+from oracle.stats_sql import sf
 
 _METHODS = """
 om AS (SELECT DISTINCT order_id, payment_type FROM r_payment),
@@ -15,6 +16,9 @@ SELECT payment_type, CAST(count(*) AS BIGINT) AS orders,
 FROM x GROUP BY payment_type
 """)
 
+# Wilson-Hilferty: (x/k)^(1/3) is about normal with mean 1 - v and variance v, v = 2/(9k).
+_CHI_TAIL = sf("((pow(x / k, 1.0::DOUBLE / 3.0::DOUBLE) - (1.0::DOUBLE - v)) / sqrt(v))")
+
 COMPLETION_PAYMENT_CHI2 = with_roles(f"""
 WITH {_METHODS},
 g AS (
@@ -23,11 +27,18 @@ g AS (
   FROM x GROUP BY payment_type
 ),
 mg AS (SELECT sum(o) AS n_all, sum(c) AS c_all, count(*) AS r FROM g),
-e AS (SELECT g.*, mg.r, o * c_all / n_all AS ec, o * (n_all - c_all) / n_all AS en FROM g CROSS JOIN mg)
-SELECT round(sum(CASE WHEN ec > 0 THEN pow(c - ec, 2) / ec ELSE 0 END
-                 + CASE WHEN en > 0 THEN pow((o - c) - en, 2) / en ELSE 0 END), 6) AS statistic,
-       CAST(min(r) - 1 AS BIGINT) AS dof
-FROM e
+e AS (SELECT g.*, mg.r, o * c_all / n_all AS ec, o * (n_all - c_all) / n_all AS en FROM g CROSS JOIN mg),
+s AS (
+  SELECT sum(CASE WHEN ec > 0 THEN pow(c - ec, 2) / ec ELSE 0 END
+             + CASE WHEN en > 0 THEN pow((o - c) - en, 2) / en ELSE 0 END) AS x,
+         CAST(min(r) - 1 AS BIGINT) AS k
+  FROM e
+),
+w AS (SELECT x, k, 2.0::DOUBLE / (9.0::DOUBLE * k) AS v FROM s)
+SELECT round(x, 6) AS statistic, k AS dof,
+       round(CASE WHEN k >= 1 AND x IS NOT NULL THEN greatest(
+         {_CHI_TAIL}, 0.000001::DOUBLE) END, 6) AS p_value
+FROM w
 """)
 
 AVG_ORDER_AMOUNT_BY_PAYMENT = with_roles(f"""

@@ -95,6 +95,7 @@ def test_chi_square_known_value(make_roles):
     t = make_roles(order=orders, payment=pays)
     r = feedback.completion_payment_chi2(t).first()
     assert (r.statistic, r.dof) == (20.0, 1)
+    assert r.p_value < 1e-3  # exact tail 7.7e-6
     rates = {r.payment_type: r.completion_rate for r in feedback.completion_rate_by_payment(t).collect()}
     assert rates == {"card": 0.75, "boleto": 0.25}
 

@@ -48,3 +48,10 @@ def test_ratio_is_null_on_zero(spark):
 def test_haversine_quarter_meridian(spark):
     d = spark.range(1).select(haversine_km(F.lit(0.0), F.lit(0.0), F.lit(90.0), F.lit(0.0)).alias("d")).first().d
     assert d == pytest.approx(math.pi * 6371.0 / 2, rel=1e-12)
+
+
+@pytest.mark.parametrize("x,k,p,tol", [(11.0705, 5, 0.05, 1e-3), (18.307, 10, 0.05, 1e-3),
+                                       (3.841, 1, 0.05, 5e-3), (2.0, 4, 0.7358, 3e-3)])
+def test_chi2_tail_against_table_values(spark, x, k, p, tol):
+    got = spark.range(1).select(stats.chi2_sf(F.lit(x), F.lit(k)).alias("p")).first().p
+    assert got == pytest.approx(p, abs=tol)

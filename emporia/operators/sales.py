@@ -11,7 +11,7 @@ collected to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emporia.functions import stats
@@ -151,38 +151,37 @@ def _product_units(t: Roles) -> DataFrame:
     return t.item.groupBy("product_id").agg(F.sum("units").alias("units"))
 
 
-def _cutoffs(units: DataFrame, q: float):
-    """Scalar struct (lo, hi): the q and 1-q percentiles of units over products.
+def _class_by_units(hist: DataFrame, q: float) -> Column:
+    """Class of a histogram row (one row per distinct unit total, frequency ``k``).
 
-    Exact (linear interpolation) over a histogram of unit counts, so the
-    aggregation state is one entry per distinct unit count.
+    Cut-offs are exact percentiles (linear interpolation) of units over
+    products, weighted by ``k``.  Distinct unit totals are distinct positive
+    integers summing to at most all units sold, so the histogram has at most
+    sqrt(2 x units) rows: the windows below are small by construction.
+    Slow is tested first, so when both cut-offs coincide a product is hot only
+    above them.
     """
-    hist = units.groupBy("units").agg(F.count(F.lit(1)).alias("products"))
-    return hist.agg(F.struct(
-        F.percentile(F.col("units"), F.lit(q), F.col("products")).alias("lo"),
-        F.percentile(F.col("units"), F.lit(1.0 - q), F.col("products")).alias("hi"),
-    )).scalar()
-
-
-def _classify(units: DataFrame, q: float) -> DataFrame:
-    """product_id, units, class from per-product units and their percentile cut-offs."""
-    cut = _cutoffs(units, q)
-    cls = (F.when(F.col("units") <= cut.getField("lo"), F.lit(SLOW))
-           .when(F.col("units") >= cut.getField("hi"), F.lit(HOT)).otherwise(F.lit(MID)))
-    return units.select(
-        "product_id", F.col("units").cast("bigint").alias("units"), cls.alias("class"))
+    everything = Window.partitionBy()
+    lo = F.percentile(F.col("units"), F.lit(q), F.col("k")).over(everything)
+    hi = F.percentile(F.col("units"), F.lit(1.0 - q), F.col("k")).over(everything)
+    return (F.when(F.col("units") <= lo, F.lit(SLOW))
+            .when(F.col("units") >= hi, F.lit(HOT)).otherwise(F.lit(MID)))
 
 
 def hot_slow_products(t: Roles, q: float = 0.25) -> DataFrame:
     """Classify sold products as slow (units <= p_q), hot (>= p_1-q) or mid.
 
-    Slow is tested first, so when both cut-offs coincide a product is hot only
-    above them.  Products never sold are left out (they cannot be reviewed).
+    Products never sold are left out (they cannot be reviewed).  The class is
+    computed once per distinct unit total and joined back on ``units``.
     Columns: product_id, units, class.
     """
     if not 0.0 < q < 0.5:
         raise ValueError("q must be in (0, 0.5)")
-    return _classify(_product_units(t), q)
+    units = _product_units(t)
+    hist = units.groupBy("units").agg(F.count(F.lit(1)).alias("k"))
+    classes = hist.select("units", _class_by_units(hist, q).alias("class"))
+    return units.join(classes, "units").select(
+        "product_id", F.col("units").cast("bigint").alias("units"), "class")
 
 
 def hot_slow_bad_review_rate(t: Roles, q: float = 0.25, bad_max: int = 2) -> DataFrame:
@@ -194,10 +193,10 @@ def hot_slow_bad_review_rate(t: Roles, q: float = 0.25, bad_max: int = 2) -> Dat
     Two-proportion z for rate_slow - rate_hot, one-sided (slow higher).
     Columns: n_slow, bad_slow, rate_slow, n_hot, bad_hot, rate_hot, z, p_one_sided.
 
-    One pass over items: items meet reviews with a left join on ``order_id``
-    and are reduced to (order, product) pairs, which carry both the units
-    (for every pair, reviewed or not: the cut-offs need all sales) and the
-    review; the pair aggregation reuses the ``order_id`` partitioning.
+    One linear chain, one pass over items: items meet reviews with a left
+    join on ``order_id`` (units count for every pair, reviewed or not), pairs
+    reduce to products (units, reviewed pairs, bad pairs), products reduce to
+    the histogram of unit totals, which carries the cut-offs and the counts.
     """
     if not 0.0 < q < 0.5:
         raise ValueError("q must be in (0, 0.5)")
@@ -208,13 +207,17 @@ def hot_slow_bad_review_rate(t: Roles, q: float = 0.25, bad_max: int = 2) -> Dat
         .agg(F.sum("units").alias("units"),
              F.max((F.col("score") <= bad_max).cast("int")).alias("bad"))
     )
-    units = pairs.groupBy("product_id").agg(F.sum("units").alias("units"))
-    classes = _classify(units, q).filter(F.col("class") != MID).select("product_id", "class")
-    scored = pairs.filter(F.col("bad").isNotNull()).select("product_id", "bad").join(classes, "product_id")
-    slow, hot, bad = F.col("class") == SLOW, F.col("class") == HOT, F.col("bad") == 1
+    per_product = pairs.groupBy("product_id").agg(
+        F.sum("units").alias("units"), F.count("bad").alias("n"), F.sum("bad").alias("x"))
+    hist = per_product.groupBy("units").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("x").alias("x"))
+    scored = hist.select(_class_by_units(hist, q).alias("class"), "n", "x")
+    slow, hot = F.col("class") == SLOW, F.col("class") == HOT
     m = scored.agg(
-        F.count_if(slow).alias("n1"), F.count_if(slow & bad).alias("x1"),
-        F.count_if(hot).alias("n2"), F.count_if(hot & bad).alias("x2"))
+        F.coalesce(F.sum(F.when(slow, F.col("n"))), F.lit(0)).alias("n1"),
+        F.coalesce(F.sum(F.when(slow, F.col("x"))), F.lit(0)).alias("x1"),
+        F.coalesce(F.sum(F.when(hot, F.col("n"))), F.lit(0)).alias("n2"),
+        F.coalesce(F.sum(F.when(hot, F.col("x"))), F.lit(0)).alias("x2"))
     z = stats.two_proportion(F.col("x1"), F.col("n1"), F.col("x2"), F.col("n2"), "greater")
     return m.select(
         F.col("n1").cast("bigint").alias("n_slow"), F.col("x1").cast("bigint").alias("bad_slow"),

@@ -70,6 +70,31 @@ SPARK_SQL = {
         FROM r_payment WHERE installments >= 2
         GROUP BY ROLLUP (installments)
     """,
+    "city_penetration": """
+        WITH order_sales AS (SELECT order_id, sum(price) AS sales FROM r_item GROUP BY order_id),
+        per_person AS (
+          SELECT c.state, c.city, c.person_id, count(*) AS orders, sum(s.sales) AS sales
+          FROM r_order o JOIN r_customer c ON o.customer_id = c.customer_id
+          LEFT JOIN order_sales s ON s.order_id = o.order_id
+          GROUP BY c.state, c.city, c.person_id
+        )
+        SELECT state, city, CAST(sum(orders) AS BIGINT) AS orders,
+               CAST(coalesce(sum(sales), 0) AS DOUBLE) AS sales, CAST(count(*) AS BIGINT) AS customers
+        FROM per_person GROUP BY state, city
+    """,
+    "cross_state_order_share": """
+        WITH per_order AS (
+          SELECT i.order_id, max(CASE WHEN coalesce(s.state <> c.state, false) THEN 1 ELSE 0 END) AS x
+          FROM r_item i
+          LEFT JOIN r_seller s ON s.seller_id = i.seller_id
+          LEFT JOIN (SELECT o.order_id, cu.state FROM r_order o
+                     JOIN r_customer cu ON cu.customer_id = o.customer_id) c ON c.order_id = i.order_id
+          GROUP BY i.order_id
+        )
+        SELECT CAST(count(*) AS BIGINT) AS orders, CAST(sum(x) AS BIGINT) AS cross_orders,
+               round(try_divide(CAST(sum(x) AS DOUBLE), CAST(count(*) AS DOUBLE)), 6) AS share
+        FROM per_order
+    """,
     "top_categories_share": """
         WITH per_cat AS (
           SELECT coalesce(p.category, 'unknown') AS category, sum(i.price) AS sales

@@ -95,6 +95,33 @@ SPARK_SQL = {
                round(try_divide(CAST(sum(x) AS DOUBLE), CAST(count(*) AS DOUBLE)), 6) AS share
         FROM per_order
     """,
+    "user_growth": """
+        WITH per_person AS (
+          SELECT c.person_id, trunc(to_date(min(o.purchase_ts)), 'month') AS month
+          FROM r_order o JOIN r_customer c ON o.customer_id = c.customer_id GROUP BY c.person_id
+        ),
+        counts AS (SELECT month, count(*) AS n FROM per_person GROUP BY month),
+        spine AS (
+          SELECT explode(sequence(min(month), max(month), interval 1 month)) AS month FROM counts
+        ),
+        filled AS (
+          SELECT s.month, CAST(coalesce(c.n, 0) AS BIGINT) AS new_users
+          FROM spine s LEFT JOIN counts c ON c.month = s.month
+        )
+        SELECT month, new_users,
+               CAST(sum(new_users) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                    AS BIGINT) AS cumulative_users
+        FROM filled
+    """,
+    "completion_rate_by_payment": """
+        WITH methods AS (SELECT DISTINCT order_id, payment_type FROM r_payment)
+        SELECT m.payment_type, CAST(count(*) AS BIGINT) AS orders,
+               CAST(count_if(o.status = 'delivered') AS BIGINT) AS completed,
+               round(try_divide(CAST(count_if(o.status = 'delivered') AS DOUBLE), CAST(count(*) AS DOUBLE)), 6)
+                 AS completion_rate
+        FROM methods m JOIN r_order o ON o.order_id = m.order_id
+        GROUP BY m.payment_type
+    """,
     "top_categories_share": """
         WITH per_cat AS (
           SELECT coalesce(p.category, 'unknown') AS category, sum(i.price) AS sales

@@ -86,7 +86,7 @@ class BundleWriter:
         import zstandard
 
         fs, path = file_system(uri)
-        self.uri, self.out, self.frame_bytes = uri, fs.open_output_stream(path), frame_bytes
+        self.uri, self.out, self.frame_bytes = uri, fs.open_output_stream(path, compression=None), frame_bytes
         self.pack = zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.frames: list[tuple[int, int]] = []
         self.parts: list[bytes] = []

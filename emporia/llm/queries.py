@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import line_dedup, warc_bundles
+from . import byte_bpe, line_dedup, warc_bundles
 
 QUERIES = {
     "op2_warc_bundles": warc_bundles.query,
+    "op4_byte_bpe": byte_bpe.query,
     "op10_line_dedup": line_dedup.query,
 }
 

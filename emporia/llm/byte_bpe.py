@@ -18,7 +18,7 @@ ranks and the pattern of ``public_tokenizers``; strings of special tokens are
 ordinary text.
 
 Cases: null and empty texts have no ids; texts are taken whole; a batch of
-rows is worked through in chunks of about CHUNK bytes and the text scan in
+rows is worked through in chunks of about two million bytes and the text scan in
 windows, so that memory is bounded by the longest text; repeated rows, extra
 columns and empty tables pass through.  The cache of slices is a cache only:
 it is emptied when it holds CACHED slices.
@@ -36,9 +36,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .scratch import table
+from .arrays import binaries, chunks, ragged, slice_hashes, text_buffer
+from .scratch import ship, table
 
-CHUNK, WINDOW, CACHED, LONG, BLOCK = 1 << 21, 1 << 21, 600_000, 64, 64
+WINDOW, CACHED, LONG, BLOCK = 1 << 21, 600_000, 64, 64
 INF = np.int32(2**31 - 1)
 
 # Classes of characters.  Fixed values: the 25 code points of Unicode's White_Space.
@@ -307,44 +308,6 @@ class Merger:
         return ids[order], np.bincount(word, minlength=len(counts))
 
 
-ODD, UNODD = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    out[1:] = base & (2**64 - 1)
-    return np.multiply.accumulate(out, dtype=np.uint64)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0x9FB21C651E98DF25)
-    return x ^ (x >> np.uint64(32))
-
-
-def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of slices, from prefix sums of a polynomial over the bytes."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    low, high = int(starts[0]), int(ends.max())
-    n = high - low
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * powers(ODD, n), out=sums[1:])
-    back = powers(UNODD, n)
-    h = (sums[ends - low] - sums[starts - low]) * back[np.minimum(starts - low, n - 1)]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The indices first[i], first[i] + 1, ... (counts[i] of them) for every i."""
-    total = int(counts.sum())
-    shift = first - np.append(0, np.cumsum(counts)[:-1]) if len(counts) else first
-    return np.repeat(shift, counts) + np.arange(total)
-
-
 class Encoder:
     """Encodes buffers of UTF-8 texts; one per Python worker."""
 
@@ -415,27 +378,6 @@ class Encoder:
         return (np.concatenate(ids) if ids else empty.astype(np.uint32), np.concatenate(places) if places else empty, total[texts])
 
 
-def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and offsets of a string column; null is empty."""
-    column = column.cast(pa.large_string()).fill_null("")
-    if not len(column):
-        return np.empty(0, np.uint8), np.zeros(1, np.int64)
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
-    return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), offsets
-
-
-def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK):
-    """Slices of a batch whose texts hold about ``limit`` bytes (one text at least)."""
-    _, offsets = text_buffer(batch.column(column))
-    at = 0
-    while at < batch.num_rows:
-        to = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
-        to = min(max(to, at + 1), batch.num_rows)
-        yield batch.slice(at, to - at)
-        at = to
-
-
 _ENCODERS: dict[int, Encoder] = {}
 
 
@@ -450,15 +392,10 @@ def encoder(ranks_of) -> Encoder:
 
 def broadcast_ranks(spark: SparkSession, path: str):
     """The vocabulary (tens of thousands of tokens, a fixed size) for all tasks; only the driver reads the file."""
+    ship(spark)
     return spark.sparkContext.broadcast(load_ranks(path))
 
 
-def binaries(values: np.ndarray, before: np.ndarray, width: int = 4) -> pa.Array:
-    """Binary values out of a flat array cut at ``before``."""
-    return pa.Array.from_buffers(pa.large_binary(), len(before) - 1, [
-        None, pa.py_buffer((before * width).astype(np.int64).tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
-
-
 def encode(df: DataFrame, path: str, column: str = "text") -> DataFrame:
     """``df`` with ``ids`` and ``starts`` (packed 32-bit integers) of the text column."""
     ranks = broadcast_ranks(df.sparkSession, path)

@@ -8,15 +8,36 @@ it must be configured, because executors do not share a local folder.
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 from emporia.session import ensure_checkpoint_dir
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_emporia_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="emporia-source-"), "emporia.zip")  # served by the driver
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)
+    sc._emporia_shipped = True
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder, deleted when the application ends."""
+    ship(spark)
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not configured and not sc.master.startswith("local"):
@@ -40,4 +61,5 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import shared_folder, stored, table
+from .scratch import shared_folder, ship, stored, table
 
 # Fixed values of the public seekable format of Zstandard.
 SKIPPABLE, SEEKABLE, ENTRY, FOOTER = 0x184D2A5E, 0x8F92EAB1, 8, 9
@@ -166,6 +166,7 @@ def write_bundles(records: DataFrame, uri: str, frame_bytes: int = 1 << 20, file
     """Write the records of ``deduplicated`` below ``uri``; the index as a table (INDEX)."""
     names = [c.split()[0] for c in INDEX.split(", ")]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+    ship(records.sparkSession)
 
     def write(batches):
         import uuid

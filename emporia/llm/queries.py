@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import byte_bpe, line_dedup, quality_resampling, warc_bundles
+from . import best_fit_packing, byte_bpe, line_dedup, quality_resampling, warc_bundles
 
 QUERIES = {
     "op2_warc_bundles": warc_bundles.query,
     "op4_byte_bpe": byte_bpe.query,
+    "op8_best_fit_packing": best_fit_packing.query,
     "op9_quality_resampling": quality_resampling.query,
     "op10_line_dedup": line_dedup.query,
 }

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 ODD, UNODD = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 

@@ -39,7 +39,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .arrays import binaries, chunks, ragged, slice_hashes, text_buffer
 from .scratch import ship, table
 
-WINDOW, CACHED, LONG, BLOCK = 1 << 21, 600_000, 64, 64
+WINDOW, CACHED, LONG, BLOCK = 1 << 20, 300_000, 64, 64
 INF = np.int32(2**31 - 1)
 
 # Classes of characters.  Fixed values: the 25 code points of Unicode's White_Space.
@@ -221,7 +221,7 @@ class Merger:
                     pairs[a * self.size + b] = r
         keys = np.fromiter(pairs, np.int64, len(pairs))
         values = np.fromiter(pairs.values(), np.int32, len(pairs))
-        self.bits = 22
+        self.bits = max(10, (2 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.full(1 << self.bits, INF, np.int32)
         at = self.place(keys)
@@ -352,9 +352,9 @@ class Encoder:
         ids, places, before = [], [], [0]
         texts = np.searchsorted(starts, offsets)
         counts_of = np.empty(len(starts), np.int64)
-        for low in range(0, len(starts), 1 << 19):
-            s = starts[low:low + (1 << 19)]
-            e = np.append(starts[low + 1:low + (1 << 19) + 1], offsets[-1] if low + (1 << 19) >= len(starts) else [])[: len(s)].astype(np.int64)
+        for low in range(0, len(starts), 1 << 18):
+            s = starts[low:low + (1 << 18)]
+            e = np.append(starts[low + 1:low + (1 << 18) + 1], offsets[-1] if low + (1 << 18) >= len(starts) else [])[: len(s)].astype(np.int64)
             hashes, one, back = np.unique(slice_hashes(data, s, e), return_index=True, return_inverse=True)
             if len(self.known) > CACHED:
                 self.clear()
@@ -428,7 +428,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         flat = np.frombuffer(b"".join(tokens), np.uint8)
         sizes = np.array([len(t) for t in tokens])
         first = np.cumsum(sizes) - sizes
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             column = batch.column(ids)
             parts = []
             for packed in column:

@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import best_fit_packing, byte_bpe, line_dedup, quality_resampling, warc_bundles
+from . import best_fit_packing, byte_bpe, line_dedup, quality_resampling, secret_scan, warc_bundles
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.query,
     "op2_warc_bundles": warc_bundles.query,
     "op4_byte_bpe": byte_bpe.query,
     "op8_best_fit_packing": best_fit_packing.query,

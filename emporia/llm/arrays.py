@@ -98,5 +98,5 @@ def combined(hashes: list[np.ndarray], salt: int = 0) -> np.ndarray:
     """One hash of several, in their order."""
     total = np.full(len(hashes[0]), salt * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
     for k, h in enumerate(hashes):
-        total = total + h * np.uint64((2 * k + 1) * 0xBF58476D1CE4E5B9 % 2**64)
+        total = total + h * np.uint64(pow(0xBF58476D1CE4E5B9, k + 1, 2**64))
     return mix(total)

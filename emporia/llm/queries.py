@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import best_fit_packing, byte_bpe, line_dedup, quality_resampling, secret_scan, warc_bundles
+from . import best_fit_packing, byte_bpe, line_dedup, ngram_join, quality_resampling, secret_scan, warc_bundles
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
     "op2_warc_bundles": warc_bundles.query,
     "op4_byte_bpe": byte_bpe.query,
+    "op5_ngram_join": ngram_join.query,
     "op8_best_fit_packing": best_fit_packing.query,
     "op9_quality_resampling": quality_resampling.query,
     "op10_line_dedup": line_dedup.query,
@@ -13,5 +14,6 @@ QUERIES = {
 
 SQL = {
     "op2_warc_bundles": warc_bundles.SQL,
+    "op5_ngram_join": ngram_join.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }

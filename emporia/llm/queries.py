@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import best_fit_packing, byte_bpe, line_dedup, ngram_join, quality_resampling, secret_scan, warc_bundles
+from . import best_fit_packing, byte_bpe, embedding_dedup, line_dedup, ngram_join, quality_resampling, secret_scan, warc_bundles
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
     "op2_warc_bundles": warc_bundles.query,
+    "op3_embedding_dedup": embedding_dedup.query,
     "op4_byte_bpe": byte_bpe.query,
     "op5_ngram_join": ngram_join.query,
     "op8_best_fit_packing": best_fit_packing.query,
@@ -14,6 +15,7 @@ QUERIES = {
 
 SQL = {
     "op2_warc_bundles": warc_bundles.SQL,
+    "op3_embedding_dedup": embedding_dedup.SQL,
     "op5_ngram_join": ngram_join.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }

@@ -34,6 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import let, total
 from .scratch import stored, table
 
 # The known forms.
@@ -60,15 +61,6 @@ ALPHABETS = [
 ]
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value worked out once, also inside other lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def total(values: Column, term) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + term(x))
-
-
 def located(text: Column, pattern: str) -> Column:
     """Array of (start, end, match) of the leftmost non-overlapping matches, in code points."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

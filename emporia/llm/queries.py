@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import best_fit_packing, byte_bpe, embedding_dedup, line_dedup, ngram_join, quality_resampling, secret_scan, url_filter, warc_bundles
+from . import best_fit_packing, byte_bpe, embedding_dedup, fingerprints, line_dedup, ngram_join, quality_resampling, secret_scan, url_filter, warc_bundles
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_embedding_dedup": embedding_dedup.query,
     "op4_byte_bpe": byte_bpe.query,
     "op5_ngram_join": ngram_join.query,
+    "op6_fingerprints": fingerprints.query,
     "op7_url_filter": url_filter.query,
     "op8_best_fit_packing": best_fit_packing.query,
     "op9_quality_resampling": quality_resampling.query,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,3 +13,23 @@ def let(value: Column, body) -> Column:
 
 def total(values: Column, term) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + term(x))
+
+
+ROW = "__document_row"
+
+
+def narrowed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row in one column, so that no other column's name can clash."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias(ROW))
+
+
+def widened(rows: DataFrame, columns: list[str], text: Column | None = None) -> DataFrame:
+    """The columns of the documents again, with ``text`` (and n_chars with it) if it is given."""
+    def value(name):
+        if text is not None and name == "text":
+            return text
+        if text is not None and name == "n_chars":
+            return F.length(text).cast("long")
+        return F.col(ROW).getField(name)
+
+    return rows.select(*[value(c).alias(c) for c in columns])

@@ -9,7 +9,8 @@ a key are the sums over the runs.
 
 Cases: null or empty text is one empty line; a null ``doc_id`` is never
 counted and its document loses no line; several rows with one id count as one
-document; empty tables give empty results; other columns pass through.
+document; empty tables give empty results; other columns pass through, but
+those named like a new one are replaced.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import narrowed, widened
 from .scratch import shared_folder, stored, table
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -116,16 +118,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     """
     keys, frequent = frequent_lines(docs, min_chars, min_docs, batches)
     drops = (keys.join(frequent, "h").where(F.col("doc_id") < F.col("max_doc"))
-             .groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("h").alias("_drop")))
-    joined = docs.join(drops, docs["doc_id"] == drops["_id"], "left")
+             .groupBy(F.col("doc_id").alias("__line_doc")).agg(F.collect_set("h").alias("__line_drop")))
+    joined = docs.join(drops, docs["doc_id"] == drops["__line_doc"], "left")
     lines = lines_of(F.col("text"))
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda line: ~(
-        (F.length(key_of(line)) >= min_chars) & F.array_contains(F.col("_drop"), hash_of(key_of(line))))))
-    return (joined.withColumn("_kept", kept)
+    kept = F.when(F.col("__line_drop").isNull(), lines).otherwise(F.filter(lines, lambda line: ~(
+        (F.length(key_of(line)) >= min_chars) & F.array_contains(F.col("__line_drop"), hash_of(key_of(line))))))
+    return (joined.withColumn("__line_kept", kept)
             .withColumn("n_lines", F.size(lines).cast("long"))
-            .withColumn("n_dropped", (F.size(lines) - F.size("_kept")).cast("long"))
-            .withColumn("kept_text", F.array_join("_kept", "\n"))
-            .drop("_id", "_drop", "_kept"))
+            .withColumn("n_dropped", (F.size(lines) - F.size("__line_kept")).cast("long"))
+            .withColumn("kept_text", F.array_join("__line_kept", "\n"))
+            .drop("__line_doc", "__line_drop", "__line_kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,8 +137,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with their repeated lines dropped."""
-    out = dedup_lines(docs).withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("kept_text")))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = dedup_lines(narrowed(docs))
+    return widened(out, docs.columns, F.when(F.col("text").isNotNull(), F.col("kept_text")))
 
 
 SQL = r"""

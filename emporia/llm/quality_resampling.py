@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .arrays import chunks, combined, mix, slice_hashes, text_buffer, words
+from .columns import narrowed, widened
 from .scratch import stored, table
 
 BUCKETS, COST, MAX_LABELS = 1 << 16, 25, 20_000
@@ -153,29 +154,35 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096, few: int =
     return low
 
 
+def keyed(docs: DataFrame, ratio: np.ndarray, temperature: float, seed: int) -> DataFrame:
+    """``docs`` with n_features, log_weight and gumbel_key."""
+    return weigh(docs, ratio).withColumn("gumbel_key", F.round(F.col("log_weight") / temperature + gumbel(seed), 6))
+
+
 def resample(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, temperature: float = 0.25, seed: int = 0) -> DataFrame:
-    """``docs`` (doc_id, text) with n_features, log_weight, gumbel_key and kept; the text is dropped."""
+    """``docs`` with n_features, log_weight, gumbel_key and kept; of doc_id and text alone the text is left out."""
     sample = stored(label_sample(labels, max_labels), "labels")
     ratio = log_ratio(counts(docs, sample))
-    weights = weigh(docs.select("doc_id", "text"), ratio).select("doc_id", "n_features", "log_weight").withColumn(
-        "gumbel_key", F.round(F.col("log_weight") / temperature + gumbel(seed), 6))
-    weights = stored(weights, "weights")
+    weights = stored(keyed(docs.select("doc_id", "text"), ratio, temperature, seed).drop("text"), "weights")
     held = weights.join(F.broadcast(sample.where("fold = 1")), F.col("doc_id") == F.col("label_id")).select("log_weight", "good").toPandas()
     cutoff = best_cutoff(held["log_weight"].to_numpy(float), held["good"].to_numpy(bool)) if len(held) else None
     if cutoff is None:
-        return weights.withColumn("kept", F.lit(True))
-    k = weights.where(F.col("log_weight") >= cutoff).count()
-    least = kth_largest(weights, "gumbel_key", k)
-    return weights.withColumn("kept", F.col("gumbel_key") >= least if least is not None else F.lit(False))
+        kept = F.lit(True)
+    else:
+        k = weights.where(F.col("log_weight") >= cutoff).count()
+        least = kth_largest(weights, "gumbel_key", k)
+        kept = F.col("gumbel_key") >= least if least is not None else F.lit(False)
+    # Rows that carry more than id and text are weighed again rather than joined to their weights.
+    rows = weights if set(docs.columns) == {"doc_id", "text"} else keyed(docs, ratio, temperature, seed)
+    return rows.withColumn("kept", kept)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_features, log_weight, gumbel_key, kept."""
-    return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, table(spark, sf_dir, "labels"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the resampling keeps."""
-    verdict = resample(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    return widened(resample(narrowed(docs), table(spark, sf_dir, "labels")).where("kept"), docs.columns)

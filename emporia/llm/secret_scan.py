@@ -24,7 +24,8 @@ the rule needs one bounded histogram.
 DataFrame functions only.  Cases: null and empty texts have no spans; texts
 are taken whole; several rows with one id are judged each on its own; matches
 that touch are separate; a ``random`` span inside a base span is left out;
-empty tables give empty results; extra columns pass through ``scan``.
+empty tables give empty results; extra columns pass through ``scan``, but
+those named base and runs are replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .columns import let, total
+from .columns import let, narrowed, total, widened
 from .scratch import stored, table
 
 # The known forms.
@@ -244,6 +245,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with their secrets masked.  Scans twice, so that no text is stored or shuffled."""
     found = cutoffs(scan(docs.select("doc_id", "text")).select("runs"))
-    spans = with_spans(scan(docs), found)
-    text = F.when(F.size("all_spans") > 0, redacted(F.col("text"), F.col("all_spans"))).otherwise(F.col("text"))
-    return spans.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    spans = with_spans(scan(narrowed(docs)), found)
+    return widened(spans, docs.columns, F.when(F.size("all_spans") > 0, redacted(F.col("text"), F.col("all_spans"))).otherwise(F.col("text")))

@@ -15,7 +15,7 @@ def total(values: Column, term) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + term(x))
 
 
-ROW = "__document_row"
+ROW, NEW = "__document_row", "__document_text"
 
 
 def narrowed(docs: DataFrame) -> DataFrame:
@@ -25,11 +25,15 @@ def narrowed(docs: DataFrame) -> DataFrame:
 
 def widened(rows: DataFrame, columns: list[str], text: Column | None = None) -> DataFrame:
     """The columns of the documents again, with ``text`` (and n_chars with it) if it is given."""
+    # The new text is a column of its own first: in one projection lambdas would see the alias instead of the old text.
+    if text is not None:
+        rows = rows.select(ROW, text.alias(NEW))
+
     def value(name):
         if text is not None and name == "text":
-            return text
+            return F.col(NEW)
         if text is not None and name == "n_chars":
-            return F.length(text).cast("long")
+            return F.length(NEW).cast("long")
         return F.col(ROW).getField(name)
 
     return rows.select(*[value(c).alias(c) for c in columns])

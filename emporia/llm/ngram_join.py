@@ -15,8 +15,8 @@ A document is its set of word shingles, as 64-bit hashes.  Method:
     that fall into the same of g groups: of g + 1 shared frequent tokens two
     fall into one group.  g depends on the size of the set; a document uses
     the values of all sizes it can link with.
-4.  Every index list links its members to its smallest member where the sets
-    verify.  What the lists then still hold in different components is compared
+4.  Every index list links its members to one of them, another one in each of
+    STARS rounds, where the sets verify.  What the lists then still hold in different components is compared
     block by block, by a sketch that bounds the symmetric difference from
     below (no link is lost), and the rest verified.  Nothing is expanded into
     all pairs of a group.
@@ -51,7 +51,11 @@ BUCKET = 1 << 21
 HOT_SHARE, HOT_FROM, MAX_HOT = 0.02, 1000, 1 << 18
 #: Tokens of so many documents are indexed in pairs.
 FREQUENT = 256
+#: Rounds in which lists are linked to one of their members.
+STARS = 2
 BLOCK = 2048
+#: Rows of open lists that a task compares, about.
+TASK_ROWS = 100_000
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -321,7 +325,21 @@ def folded(s: np.ndarray, n_words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(s.reshape(len(s), -1, n_words), axis=1)
 
 
-def open_pairs(lists: DataFrame, roots: DataFrame, found: DataFrame) -> DataFrame:
+def rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The index with the component of every member, as far as links are known."""
+    known = roots.select(F.col("node").alias("class"), "root")
+    return stored(lists.join(known, "class", "left").withColumn("root", F.coalesce("root", "class")), "rooted")
+
+
+def star_pairs(rows: DataFrame, number: int) -> DataFrame:
+    """Distinct pairs of a list's hub, another one in every round, with the members of other components."""
+    hubs = stored(rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("class", F.lit(number)).alias("h"), "class", "root")).alias("hub"),
+                                          F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "hub"), "hubs")
+    return rows.join(hubs, "key").where("root <> hub.root").select(
+        F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
+
+
+def open_pairs(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Distinct pairs of one list but different components that the sketch cannot rule out."""
     def sketches(batches):
         for batch in batches:
@@ -331,36 +349,48 @@ def open_pairs(lists: DataFrame, roots: DataFrame, found: DataFrame) -> DataFram
                                    pa.array([sketch(t, sketch_words(k)).tobytes() for k, t in zip(n, tokens)], pa.binary())],
                                   ["class", "n", "alone", "sketch"])
 
-    known = roots.select(F.col("node").alias("class"), "root")
-    rows = lists.join(known, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    counts = stored(rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")), "list-roots")
+    counts = stored(rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low")), "list-roots")
     # Lists with several components: the largest stays, the members of the others are compared with all.
-    several = stored(counts.groupBy("key").agg(F.count(F.lit(1)).alias("r"), F.max_by("root", F.struct("n", "root")).alias("main"),
-                                               F.sum("n").alias("m"), F.max("n").alias("most")).where("r > 1"), "open-lists")
-    rows = stored(rows.join(several, "key").select(
-        "key", "class", "root", (F.col("root") != F.col("main")).alias("minor"),
-        F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("nl"), F.ceil(F.col("m") / BLOCK).cast("int").alias("nr")), "open-rows")
+    # Of two members one was the hub of the first round, and that pair has been verified.
+    several = counts.groupBy("key").agg(F.count(F.lit(1)).alias("r"), F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("m"),
+                                        F.max("n").alias("most"), F.min("low").alias("low")).where("r > 1 AND m > 2")
+    several = stored(several.select("key", "main", "low", "m", F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("nl"),
+                                    F.ceil(F.col("m") / BLOCK).cast("int").alias("nr")), "open-lists")
+    # Lists of much the same members have the same smallest member; in one task each of their pairs is told once.
+    load = several.withColumn("load", F.col("m") * F.col("nl"))
+    deals = max(1, -(-(load.agg(F.sum("load")).first()[0] or 0) // TASK_ROWS))
+    load = load.withColumn("deal", F.pmod(F.xxhash64("low"), F.lit(deals)))
+    shares = load.groupBy("deal").agg(F.ceil(F.sum("load") / (4 * TASK_ROWS)).alias("shares"))
+    several = stored(load.join(shares, "deal").drop("load", "low"), "dealt-lists")
+    rows = stored(rows.join(several, "key").select("key", "class", "root", (F.col("root") != F.col("main")).alias("minor"), "nl", "nr", "deal", "shares"), "open-rows")
     marked = rows.join(stored(found.select("class", "n", "tokens").mapInArrow(
         sketches, "class bigint, n int, alone int, sketch binary"), "sketches"), "class")
 
     def block(n):
         return F.pmod(F.xxhash64("class"), n).cast("int")
 
-    left = marked.where("minor").select("*", block(F.col("nl")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), F.lit(True).alias("is_left"))
-    right = marked.select("*", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), block(F.col("nr")).alias("j"), F.lit(False).alias("is_left"))
-    blocks = left.unionByName(right).select("key", "i", "j", "is_left", "class", "root", "n", "alone", "sketch")
+    # A list of one block is one group; of a longer one every block of minor members meets every block of members.
+    one = (F.col("nl") == 1) & (F.col("nr") == 1)
+    zero = F.lit(0)
+    whole = marked.where(one).select("*", zero.alias("i"), zero.alias("j"), F.col("minor").alias("is_left"), F.lit(True).alias("is_right"))
+    left = marked.where(~one & F.col("minor")).select("*", block(F.col("nl")).alias("i"), F.explode(F.sequence(zero, F.col("nr") - 1)).alias("j"),
+                                                      F.lit(True).alias("is_left"), F.lit(False).alias("is_right"))
+    right = marked.where(~one).select("*", F.explode(F.sequence(zero, F.col("nl") - 1)).alias("i"), block(F.col("nr")).alias("j"),
+                                      F.lit(False).alias("is_left"), F.lit(True).alias("is_right"))
+    blocks = whole.unionByName(left).unionByName(right).select("key", "i", "j", "is_left", "is_right", "class", "root", "n", "alone", "sketch",
+                                                                       "deal", F.pmod(F.xxhash64("key", "i", "j"), F.col("shares")).alias("share"))
 
     def compare(rows):
         rows = rows.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
         key = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in ("key", "i", "j")])
         c, root, n, alone = (rows.column(k).to_numpy().astype(np.int64) for k in ("class", "root", "n", "alone"))
-        is_left = rows.column("is_left").to_numpy()
+        is_left, is_right = rows.column("is_left").to_numpy(), rows.column("is_right").to_numpy()
         raw = rows.column("sketch").to_pylist()
         cut = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
         pairs = set()
         for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(c)]):
             of = np.arange(lo, hi)
-            rights, lefts = of[~is_left[lo:hi]], of[is_left[lo:hi]]
+            rights, lefts = of[is_right[lo:hi]], of[is_left[lo:hi]]
             sizes = {w: rights[np.array([len(raw[r]) == 8 * w for r in rights], bool)] for w in (16, 64, 256, 1024)}
             made = {w: np.frombuffer(b"".join(raw[r] for r in s), "<u8").reshape(len(s), w) for w, s in sizes.items() if len(s)}
             for x in lefts.tolist():
@@ -369,7 +399,6 @@ def open_pairs(lists: DataFrame, roots: DataFrame, found: DataFrame) -> DataFram
                     if not len(s) or not len(own) // 4 <= w <= len(own) * 4:
                         continue
                     fit = (root[s] != root[x]) & (np.minimum(n[s], n[x]) * OF >= np.maximum(n[s], n[x]) * NEED)
-                    fit &= (c[s] > c[x]) | (root[s] < root[x]) | (root[s] > root[x])
                     s2 = s[fit]
                     if not len(s2):
                         continue
@@ -381,8 +410,7 @@ def open_pairs(lists: DataFrame, roots: DataFrame, found: DataFrame) -> DataFram
         a, b = zip(*sorted(pairs)) if pairs else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = blocks.withColumn("deal", F.pmod(F.xxhash64("key", "i", "j"), F.lit(256)))
-    return dealt.groupBy("deal").applyInArrow(lambda rows: compare(rows), "a bigint, b bigint").distinct()
+    return blocks.groupBy("deal", "share").applyInArrow(lambda rows: compare(rows), "a bigint, b bigint").distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -398,14 +426,18 @@ def join(docs: DataFrame) -> DataFrame:
     buckets = min(1 << 16, max(1, -(-total // BUCKET)))
     found = stored(candidates(shared_tokens(docs, buckets, hot[order], top["seen"].to_numpy(np.int64)[order])), "sets")
     lists = stored(index(found), "index")
-
-    hubs = stored(lists.groupBy("key").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "hubs")
-    stars = lists.join(hubs, "key").where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
-    linked = stored(verified(stars, found), "star-links")
-    roots = stored(components(linked), "star-roots")
-    lists = lists.join(hubs.select("key"), "key", "left_semi")
-    more = stored(verified(open_pairs(lists, roots, found), found), "more-links")
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    # Lists of one member link nothing.
+    lists = stored(lists.join(stored(lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "list-keys"), "key", "left_semi"), "lists")
+
+    edges = spark.createDataFrame([], "a bigint, b bigint")
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    for number in range(STARS):
+        new = stored(verified(star_pairs(rooted(lists, roots), number), found), "star-links")
+        edges = stored(edges.unionByName(new), "links")
+        roots = stored(components(edges), "star-roots")
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    more = stored(verified(open_pairs(rooted(lists, roots), found), found), "more-links")
+    roots = components(edges.unionByName(more))
 
     # Ids of components: the smallest document of each class, then of all classes of a component.
     smallest = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))

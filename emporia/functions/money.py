@@ -1,40 +1,42 @@
-"""Exact money sums on the primitive (long) path.
-
-Spark sums ``decimal(p, s)`` into a ``decimal(p + 10, s)`` buffer; above 18
-digits that buffer is a ``java.math.BigDecimal`` per group and per update,
-which is several times slower than summing longs.  Money columns have a
-small fixed scale (cents, or 1/10000 for derived freight), so the exact
-unscaled integer value fits a long: sum those longs and rescale once per
-group.  The result is the same exact decimal; only the arithmetic path
-differs.  A long holds 9.2e18 units (9.2e16 at cents scale) before ANSI
-mode raises an overflow error rather than returning a wrong total.
+"""Exact sums of money.
+
+Money columns are decimals.  Spark sums ``decimal(p, s)`` into a buffer of
+``p + 10`` digits, which above 18 digits is a ``java.math.BigDecimal`` per
+update.  Where the unscaled value of a column and the multiplication that
+yields it fit 18 digits, the unscaled longs are summed instead (ANSI mode
+raises on overflow) and the total is scaled back by an exact decimal literal;
+wider columns use Spark's decimal sum.  Both are exact.  Binary floating-point
+columns are refused: round them to a stated scale first (``as_money``).
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def scale_of(df: DataFrame, col: str) -> int:
-    """Fractional digits of a decimal column (0 for integral types)."""
-    dt = df.schema[col].dataType
-    return dt.scale if isinstance(dt, T.DecimalType) else 0
+def money_of(df: DataFrame, col: str) -> T.DecimalType:
+    """The decimal type of a money column (integral columns count as scale 0)."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, T.DecimalType):
+        return kind
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return T.DecimalType(19, 0)
+    raise TypeError(f"money column {col!r} is {kind.simpleString()}: convert it with as_money(column, scale)")
 
 
-def units(value: Column, scale: int) -> Column:
-    """Exact unscaled integer of a decimal value (e.g. cents for scale 2)."""
-    if scale == 0:
-        return value.cast("bigint")
-    # decimal -> double -> x 10^s is off by far less than 0.5 for any
-    # |value| < 2^53 / 10^s, so rounding recovers the exact integer.
-    return F.round(value.cast("double") * F.lit(float(10 ** scale))).cast("bigint")
+def as_money(value: Column, scale: int = 2) -> Column:
+    """A floating-point amount rounded half up to ``scale`` digits, as a decimal."""
+    return F.round(value.cast(f"decimal(38,{min(scale + 6, 18)})"), scale).cast(f"decimal(18,{scale})")
 
 
-def exact_sum(value: Column, scale: int) -> Column:
-    """Sum of a decimal expression with ``scale`` digits, exact, as decimal(38, scale)."""
-    total = F.sum(units(value, scale))
-    if scale == 0:
-        return total.cast("decimal(38,0)")
-    return (total.cast("decimal(38,0)") / F.lit(10 ** scale)).cast(f"decimal(38,{scale})")
+def exact_sum(value: Column, kind: T.DecimalType) -> Column:
+    """Sum of a decimal expression of type ``kind``, exact, as decimal(38, scale)."""
+    out = f"decimal(38,{kind.scale})"
+    if kind.scale == 0 or kind.precision + kind.scale + 2 > 18:
+        return F.sum(value.cast(kind)).cast(out)
+    unscaled = (value.cast(kind) * F.lit(Decimal(10) ** kind.scale)).cast("bigint")
+    return (F.sum(unscaled).cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-kind.scale))).cast(out)

@@ -4,10 +4,9 @@ Scale notes common to this module:
 
 * Top-k is ``orderBy(...).limit(k)``, which plans as TakeOrderedAndProject:
   each task keeps its own k best rows, so only k x tasks rows ever meet.
-* Top-k persons travel to later joins as an explicit broadcast: k rows is a
-  proven size bound.  Anything derived from them whose size is *not* bounded
-  (customer ids, orders of those persons) joins without a hint, so AQE picks
-  broadcast or sort-merge from the measured runtime size.
+* Top-k persons, their customer ids and their orders join without a hint, so
+  AQE picks broadcast or sort-merge from the measured runtime size, whatever
+  k the caller gives.
 * Repeat-buying analyses never window over a person's orders: a single buyer
   may hold a third of all orders.  They aggregate (partial + final) instead,
   and the only per-person window (C8) runs over distinct purchase *days*,
@@ -21,9 +20,8 @@ from pyspark.sql import functions as F
 
 from emporia.functions import stats
 from emporia.functions.dates import period_spine
-from emporia.functions.money import exact_sum, scale_of
-from emporia.functions.ranking import global_rank
-from emporia.plans.bases import item_category, order_pay, order_review, person_orders
+from emporia.functions.money import exact_sum, money_of
+from emporia.plans.bases import order_pay, order_review, person_orders, with_category
 from emporia.sources.roles import Roles
 
 
@@ -50,7 +48,7 @@ def _top_persons(t: Roles, k: int) -> DataFrame:
 
 def _top_orders(t: Roles, k: int) -> DataFrame:
     """order_id, person_id of every order placed by a top-k person."""
-    top = F.broadcast(_top_persons(t, k).select("person_id"))
+    top = _top_persons(t, k).select("person_id")
     ids = t.customer.select("customer_id", "person_id").join(top, "person_id", "left_semi")
     return t.order.select("order_id", "customer_id").join(ids, "customer_id").drop("customer_id")
 
@@ -75,8 +73,9 @@ def top_customer_geo(t: Roles, k: int = 100) -> DataFrame:
     A person with several addresses takes the one on the latest order.
     Columns: state, city, customers, order_amount, customer_share.
     """
-    top = F.broadcast(_top_persons(t, k))
+    top = _top_persons(t, k)
     ids = t.customer.join(top.select("person_id"), "person_id", "left_semi")
+    # Orders of at most k people: the struct buffer's sort is small.
     latest = F.max_by(F.struct("state", "city"), F.struct("purchase_ts", "order_id"))
     address = (
         t.order.select("order_id", "customer_id", "purchase_ts")
@@ -104,22 +103,25 @@ def top_customer_categories(t: Roles, k: int = 100) -> DataFrame:
 
     Columns: category, customers, units, sales, rank.
     """
-    items = item_category(t, items=t.item.join(_top_orders(t, k), "order_id"))
-    # Distinct buyers per category from a (category, person) pre-aggregate.
-    per_person = items.groupBy("category", "person_id").agg(
-        F.sum("units").alias("units"), exact_sum(F.col("price"), scale_of(t.item, "price")).alias("sales"))
+    # Items meet the product role as (product, person) sums; distinct buyers per
+    # category come from the (category, person) aggregate above them.
+    per_product = t.item.join(_top_orders(t, k), "order_id").groupBy("product_id", "person_id").agg(
+        F.sum("units").alias("units"), exact_sum(F.col("price"), money_of(t.item, "price")).alias("sales"))
+    per_person = with_category(t, per_product).groupBy("category", "person_id").agg(
+        F.sum("units").alias("units"), F.sum("sales").alias("sales"))
     agg = per_person.groupBy("category").agg(
         F.count(F.lit(1)).alias("customers"),
         F.sum("units").alias("units"),
         F.sum("sales").alias("sales"),
     )
-    ranked = global_rank(agg, [F.col("units").desc(), F.col("category").asc()])
-    return ranked.select(
+    # One row per category: a small window whatever the data size.
+    w = Window.orderBy(F.col("units").desc(), F.col("category"))
+    return agg.select(
         "category",
         F.col("customers").cast("bigint").alias("customers"),
         F.col("units").cast("bigint").alias("units"),
         F.col("sales").cast("double").alias("sales"),
-        "rank",
+        F.row_number().over(w).cast("bigint").alias("rank"),
     )
 
 
@@ -139,7 +141,10 @@ def top_customer_category_profile(t: Roles, k: int = 100, n: int = 20,
     if weight not in ("unit", "product"):
         raise ValueError("weight must be 'unit' or 'product'")
     feats = [f for f, _ in PROFILE_FEATURES]
-    items = item_category(t, *feats, items=t.item.join(_top_orders(t, k), "order_id"))
+    per_product = t.item.join(_top_orders(t, k), "order_id", "left_semi").groupBy("product_id").agg(F.sum("units").alias("units"))
+    known = t.product.select("product_id", *[f for f in feats if f != "desc_len"]).join(
+        t.description.select("product_id", "desc_len"), "product_id", "left")
+    items = with_category(t, per_product).join(known, "product_id", "left")
     if weight == "unit":
         aggs = [
             stats.ratio(F.sum(F.col("units") * F.col(f)),
@@ -148,9 +153,7 @@ def top_customer_category_profile(t: Roles, k: int = 100, n: int = 20,
         ]
         agg = items.groupBy("category").agg(F.sum("units").alias("units"), *aggs)
     else:
-        per_product = items.groupBy("category", "product_id").agg(
-            F.sum("units").alias("units"), *[F.first(f).alias(f) for f in feats])
-        agg = per_product.groupBy("category").agg(
+        agg = items.groupBy("category").agg(
             F.sum("units").alias("units"),
             *[F.avg(F.col(f).cast("double")).alias(out) for f, out in PROFILE_FEATURES])
     top = agg.orderBy(F.col("units").desc(), F.col("category")).limit(n)
@@ -170,7 +173,7 @@ def top_customer_payment_aov(t: Roles, k: int = 100) -> DataFrame:
         t.payment.select("order_id", "payment_type", "value")
         .join(_top_orders(t, k).select("order_id"), "order_id", "left_semi")
         .groupBy("order_id", "payment_type")
-        .agg(exact_sum(F.col("value"), scale_of(t.payment, "value")).alias("value"))
+        .agg(exact_sum(F.col("value"), money_of(t.payment, "value")).alias("value"))
     )
     agg = pays.groupBy("payment_type").agg(
         F.count(F.lit(1)).alias("orders"), F.sum("value").alias("payment_value"))
@@ -302,17 +305,19 @@ def repurchase_gap_summary(t: Roles) -> DataFrame:
 def _repeat_order_flags(t: Roles) -> DataFrame:
     """order_id, is_first for orders of repeat buyers (>= 2 orders).
 
-    The first order is the earliest by (purchase_ts, order_id), found with an
-    aggregate (``min_by``), not a window over the person's orders.
+    The first order is the earliest by (purchase_ts, order_id).  Orders meet
+    the buyers' first orders on ``order_id``, which is unique, so a buyer with
+    a third of all orders is no hot key: an order that is nobody's first one
+    belongs to a repeat buyer, and a first one does if its buyer has others.
     """
     op = t.order.select("order_id", "customer_id", "purchase_ts").join(
         t.customer.select("customer_id", "person_id"), "customer_id")
-    per_person = op.groupBy("person_id").agg(
+    firsts = op.groupBy("person_id").agg(
         F.count(F.lit(1)).alias("n_orders"),
-        F.min_by("order_id", F.struct("purchase_ts", "order_id")).alias("first_order"))
-    repeaters = per_person.filter(F.col("n_orders") >= 2).select("person_id", "first_order")
-    return op.join(repeaters, "person_id").select(
-        "order_id", (F.col("order_id") == F.col("first_order")).alias("is_first"))
+        F.min_by("order_id", F.struct("purchase_ts", "order_id")).alias("order_id")).select("order_id", "n_orders")
+    flags = op.select("order_id").join(firsts, "order_id", "left")
+    return flags.where(F.col("n_orders").isNull() | (F.col("n_orders") >= 2)).select(
+        "order_id", F.col("n_orders").isNotNull().alias("is_first"))
 
 
 def first_vs_repeat_categories(t: Roles, n: int = 20) -> DataFrame:
@@ -324,10 +329,11 @@ def first_vs_repeat_categories(t: Roles, n: int = 20) -> DataFrame:
     Columns: category, first_units, repeat_units, first_share, repeat_share,
     lift, repeat_rank.
     """
-    items = item_category(t, items=t.item.join(_repeat_order_flags(t), "order_id"))
-    agg = items.groupBy("category").agg(
+    per_product = t.item.join(_repeat_order_flags(t), "order_id").groupBy("product_id").agg(
         F.sum(F.when(F.col("is_first"), F.col("units")).otherwise(0)).alias("first_units"),
         F.sum(F.when(~F.col("is_first"), F.col("units")).otherwise(0)).alias("repeat_units"))
+    agg = with_category(t, per_product).groupBy("category").agg(
+        F.sum("first_units").alias("first_units"), F.sum("repeat_units").alias("repeat_units"))
     totals = agg.agg(F.struct(F.sum("first_units").alias("tf"),
                               F.sum("repeat_units").alias("tr"))).scalar()
     first_share = stats.ratio(F.col("first_units"), totals.getField("tf"))

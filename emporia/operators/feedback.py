@@ -13,27 +13,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emporia.functions import stats
-from emporia.functions.money import exact_sum, scale_of
+from emporia.functions.money import exact_sum, money_of
 from emporia.functions.ranking import global_rank
-from emporia.plans.bases import order_review
+from emporia.plans.bases import UNKNOWN, order_pay, order_review
 from emporia.sources.roles import Roles
 
 COMPLETED = "delivered"
 
 
-def _order_methods(t: Roles) -> DataFrame:
-    """order_id, methods (distinct payment types), order_amount (exact)."""
-    return t.payment.groupBy("order_id").agg(
-        F.collect_set("payment_type").alias("methods"),
-        exact_sum(F.col("value"), scale_of(t.payment, "value")).alias("order_amount"))
-
-
 def _method_orders(t: Roles) -> DataFrame:
-    """payment_type, order_id, status, order_amount: one row per (order, method)."""
-    return (
-        _order_methods(t).join(t.order.select("order_id", "status"), "order_id")
-        .select(F.explode("methods").alias("payment_type"), "order_id", "status", "order_amount")
-    )
+    """payment_type (``unknown`` where it is null), order_id, status: one row per (order, method)."""
+    methods = t.payment.select("order_id", F.coalesce("payment_type", F.lit(UNKNOWN)).alias("payment_type")).distinct()
+    return methods.join(t.order.select("order_id", "status"), "order_id")
 
 
 def _completion(t: Roles) -> DataFrame:
@@ -58,9 +49,11 @@ def completion_payment_chi2(t: Roles) -> DataFrame:
     """P1 companion: chi-square test of independence, payment method x completed.
 
     Computed from the per-method counts (one row per method) with margins as
-    windows over those few rows.  Association only: payment method is not randomised.
-    p_value is the chi-square upper tail (Wilson-Hilferty normal
-    approximation).  One row: statistic, dof, p_value.
+    windows over those few rows.  dof counts margins that are not empty; with
+    a single row or column (all orders completed, say) everything is null.  An
+    order paid two ways is in two cells, so cells are not quite independent;
+    and payment method is not randomised: association only.  One row:
+    statistic, dof, p_value.
     """
     cells = _completion(t).select(
         "payment_type", F.col("completed").cast("double").alias("c"),
@@ -76,11 +69,12 @@ def completion_payment_chi2(t: Roles) -> DataFrame:
     e_n = F.col("o") * (n_all - c_all) / n_all
     part = (F.when(e_c > 0, F.pow(F.col("c") - e_c, 2) / e_c).otherwise(0.0)
             + F.when(e_n > 0, F.pow(F.col("nc") - e_n, 2) / e_n).otherwise(0.0))
-    stat = with_margins.select(part.alias("part"), "rows").agg(
-        F.sum("part").alias("statistic"), F.max("rows").alias("rows"))
-    dof = (F.col("rows") - 1).cast("bigint")
-    return stat.select(F.round("statistic", 6).alias("statistic"), dof.alias("dof"),
-                       stats.chi2_sf(F.col("statistic"), dof).alias("p_value"))
+    columns = (F.when(c_all > 0, 1).otherwise(0) + F.when(n_all - c_all > 0, 1).otherwise(0))
+    stat = with_margins.select(part.alias("part"), "rows", columns.alias("columns")).agg(
+        F.sum("part").alias("x2"), ((F.max("rows") - 1) * (F.max("columns") - 1)).cast("bigint").alias("k"))
+    ok = F.col("k") >= 1
+    return stat.select(F.round(F.when(ok, F.col("x2")), 6).alias("statistic"), F.when(ok, F.col("k")).alias("dof"),
+                       stats.chi2_sf(F.when(ok, F.col("x2")), F.when(ok, F.col("k"))).alias("p_value"))
 
 
 def avg_order_amount_by_payment(t: Roles) -> DataFrame:
@@ -89,7 +83,8 @@ def avg_order_amount_by_payment(t: Roles) -> DataFrame:
     The amount is the whole order's (all its payments), not the slice paid by
     the method; contrast with C5.  Columns: payment_type, orders, avg_order_amount.
     """
-    agg = _method_orders(t).groupBy("payment_type").agg(
+    amounts = _method_orders(t).join(order_pay(t).select("order_id", "order_amount"), "order_id")
+    agg = amounts.groupBy("payment_type").agg(
         F.count(F.lit(1)).alias("orders"), F.sum("order_amount").alias("amount"))
     return agg.select(
         "payment_type", F.col("orders").cast("bigint").alias("orders"),
@@ -107,7 +102,7 @@ def installment_avg_payment(t: Roles, min_installments: int = 2) -> DataFrame:
     pays = t.payment.filter(F.col("installments") >= min_installments)
     agg = pays.rollup("installments").agg(
         F.count(F.lit(1)).alias("payments"),
-        exact_sum(F.col("value"), scale_of(t.payment, "value")).alias("value"),
+        exact_sum(F.col("value"), money_of(t.payment, "value")).alias("value"),
         F.sum(F.col("value").cast("double") / F.col("installments")).alias("per_inst"))
     return agg.select(
         F.col("installments").cast("bigint").alias("installments"),

@@ -4,7 +4,7 @@ Scale notes:
 
 * L1 ranks orders by freight from the order-grain freight base first
   (TakeOrderedAndProject), then runs the product/seller/geo joins for the k
-  winning orders only; k order ids are broadcast (proven size bound).
+  winning orders only; AQE measures the k order ids before it broadcasts them.
 * L2 needs features for every order: items meet products, sellers and geo at
   item grain (dimension joins; AQE chooses broadcast or sort-merge from
   measured sizes), then one aggregation on ``order_id``.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from emporia.functions import stats
 from emporia.functions.geo import distance_m
-from emporia.functions.money import exact_sum, scale_of
+from emporia.functions.money import exact_sum, money_of
 from emporia.plans.bases import order_item, order_review
 from emporia.sources.roles import Roles
 
@@ -58,7 +58,7 @@ def _order_features(t: Roles, items: DataFrame, orders: DataFrame) -> DataFrame:
     dist = distance_m(F.col("c_lat"), F.col("c_lng"), F.col("s_lat"), F.col("s_lng"))
     return lines.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("items"),
-        exact_sum(F.col("freight"), scale_of(t.item, "freight")).alias("freight"),
+        exact_sum(F.col("freight"), money_of(t.item, "freight")).alias("freight"),
         F.sum("weight_g").alias("weight_g"),
         F.sum("volume_cm3").alias("volume_cm3"),
         F.max(dist).alias("distance_m"),
@@ -79,7 +79,7 @@ def top_freight_orders(t: Roles, k: int = 100) -> DataFrame:
     rounded to metres.  Columns: order_id, freight, distance_km, weight_g,
     volume_cm3, items, rank.
     """
-    top = F.broadcast(_top_freight(t, k).select("order_id"))
+    top = _top_freight(t, k).select("order_id")
     items = t.item.join(top, "order_id", "left_semi")
     orders = t.order.select("order_id", "customer_id").join(top, "order_id", "left_semi")
     feats = _order_features(t, items, orders)
@@ -102,12 +102,9 @@ def freight_order_profile(t: Roles, k: int = 100) -> DataFrame:
     orders with known distance), avg_weight, avg_volume.
     """
     feats = _order_features(t, t.item, t.order)
-    # The k winners come from the per-order features themselves (same freight
-    # sums as L1's ranking), so items are aggregated once.
-    top = F.broadcast(
-        feats.select("order_id", "freight")
-        .orderBy(F.col("freight").desc_nulls_last(), F.col("order_id")).limit(k)
-        .select("order_id", F.lit(True).alias("top")))
+    # The k winners come from the items alone, as in L1: the features, with
+    # their joins, are worked out once.
+    top = _top_freight(t, k).select("order_id", F.lit(True).alias("top"))
     flagged = feats.join(top, "order_id", "left").select(
         F.coalesce(F.col("top"), F.lit(False)).alias("is_top"), "freight", "distance_m",
         "weight_g", "volume_cm3")
@@ -170,8 +167,10 @@ def late_orders_by_city(t: Roles) -> DataFrame:
         per_customer.join(t.customer.select("customer_id", "state", "city"), "customer_id")
         .groupBy("state", "city").agg(F.sum("late").alias("late"), F.sum("known").alias("known"))
     )
-    total = F.col("total_late")
-    return stats.with_total(per_city, "late", "total_late").select(
+    # The subquery reads the same columns as the query, so both share one exchange.
+    both = per_city.agg(F.struct(F.sum("late").alias("late"), F.sum("known").alias("known"))).scalar()
+    total = both.getField("late")
+    return per_city.select(
         "state", "city",
         F.col("late").cast("bigint").alias("late_orders"),
         F.col("known").cast("bigint").alias("delivered_orders"),

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emporia.functions import stats
-from emporia.functions.money import exact_sum, scale_of
+from emporia.functions.money import exact_sum, money_of
 from emporia.plans.bases import order_item, order_pay
 from emporia.sources.roles import Roles
 
@@ -74,7 +74,9 @@ def low_penetration_high_potential(t: Roles, order_q: float = 0.5, aov_q: float
         stats.ratio(F.col("order_amount"), F.col("orders")).alias("aov"))
     cut = cities.agg(F.struct(
         F.percentile(F.col("orders"), F.lit(order_q)).alias("max_orders"),
-        F.percentile(F.col("aov"), F.lit(aov_q)).alias("min_aov"))).scalar()
+        F.percentile(F.col("aov"), F.lit(aov_q)).alias("min_aov"),
+        # Not used, but read: the subquery then has the same columns as the query and shares its exchanges.
+        F.sum("sales").alias("sales"), F.sum("customers").alias("customers"))).scalar()
     kept = cities.filter(
         (F.col("orders") <= cut.getField("max_orders")) & (F.col("aov") >= cut.getField("min_aov"))
         & (F.col("orders") >= min_orders))
@@ -86,33 +88,37 @@ def low_penetration_high_potential(t: Roles, order_q: float = 0.5, aov_q: float
 
 
 def _item_states(t: Roles) -> DataFrame:
-    """Items with cross (seller state differs from buyer state; unknown -> false)."""
+    """Items of known orders with cross: seller state differs from buyer state, null if either is unknown."""
     sellers = t.seller.select("seller_id", F.col("state").alias("s_state"))
     buyers = (
         t.order.select("order_id", "customer_id")
-        .join(t.customer.select("customer_id", F.col("state").alias("c_state")), "customer_id")
+        .join(t.customer.select("customer_id", F.col("state").alias("c_state")), "customer_id", "left")
         .select("order_id", "c_state")
     )
     return (
         t.item.join(sellers, "seller_id", "left")
-        .join(buyers, "order_id", "left")
-        .withColumn("cross", F.coalesce(F.col("s_state") != F.col("c_state"), F.lit(False)))
+        .join(buyers, "order_id")
+        .withColumn("cross", F.col("s_state") != F.col("c_state"))
     )
 
 
 def cross_state_order_share(t: Roles) -> DataFrame:
     """M3: share of orders with at least one item sold across state lines.
 
-    Orders without items are excluded.  One row: orders, cross_orders, share.
+    Orders without items are excluded, and so are orders none of whose items
+    has both states known; they are counted as ``unknown_orders``.  One row:
+    orders, cross_orders, share, unknown_orders.
     """
     per_order = _item_states(t).groupBy("order_id").agg(
         F.max(F.col("cross").cast("int")).alias("cross"))
-    agg = per_order.agg(F.count(F.lit(1)).alias("orders"),
-                        F.count_if(F.col("cross") == 1).alias("cross_orders"))
+    agg = per_order.agg(F.count("cross").alias("orders"),
+                        F.count_if(F.col("cross") == 1).alias("cross_orders"),
+                        F.count_if(F.col("cross").isNull()).alias("unknown_orders"))
     return agg.select(
         F.col("orders").cast("bigint").alias("orders"),
         F.col("cross_orders").cast("bigint").alias("cross_orders"),
-        F.round(stats.ratio(F.col("cross_orders"), F.col("orders")), 6).alias("share"))
+        F.round(stats.ratio(F.col("cross_orders"), F.col("orders")), 6).alias("share"),
+        F.col("unknown_orders").cast("bigint").alias("unknown_orders"))
 
 
 def cross_state_freight(t: Roles) -> DataFrame:
@@ -121,23 +127,30 @@ def cross_state_freight(t: Roles) -> DataFrame:
     Unit: the item (items of one order are not independent, so p is
     optimistic).  Welch t for cross minus same, one-sided (cross higher).
     per_kg_* (freight / kg over items of known weight) is a control for heavy
-    goods, which confound distance.  Columns: n_cross, mean_cross, n_same,
-    mean_same, per_kg_cross, per_kg_same, t, df, p_one_sided.
+    goods, which confound distance.  Items with an unknown state are in
+    neither group (``n_unknown``).  Items meet the product role as (product,
+    cross) sums.  Columns: n_cross, mean_cross, n_same, mean_same,
+    per_kg_cross, per_kg_same, n_unknown, t, df, p_one_sided.
     """
-    items = _item_states(t).join(t.product.select("product_id", "weight_g"), "product_id", "left")
-    c, s = F.col("cross"), ~F.col("cross")
+    fs = money_of(t.item, "freight")
     x = F.col("freight").cast("double")
-    known = F.col("weight_g").isNotNull()
-    fs = scale_of(t.item, "freight")
-    m = items.agg(
-        F.count_if(c).alias("n1"), exact_sum(F.when(c, F.col("freight")), fs).alias("s1"),
-        F.var_samp(F.when(c, x)).alias("v1"),
-        F.count_if(s).alias("n2"), exact_sum(F.when(s, F.col("freight")), fs).alias("s2"),
-        F.var_samp(F.when(s, x)).alias("v2"),
-        exact_sum(F.when(c & known, F.col("freight")), fs).alias("f1"),
-        F.sum(F.when(c, F.col("weight_g"))).alias("w1"),
-        exact_sum(F.when(s & known, F.col("freight")), fs).alias("f2"),
-        F.sum(F.when(s, F.col("weight_g"))).alias("w2"))
+    per_product = _item_states(t).groupBy("product_id", "cross").agg(
+        F.count(F.lit(1)).alias("n"), exact_sum(F.col("freight"), fs).alias("s"), F.count("freight").alias("k"),
+        F.avg(x).alias("mean"), F.var_pop(x).alias("var"))
+    rows = per_product.join(t.product.select("product_id", "weight_g"), "product_id", "left")
+    # Squared deviations of a side: those inside its products, and those of the products' means.
+    k, mean = F.col("k"), F.col("mean")
+    between = F.sum(k * mean * mean) - F.sum(k * mean) * F.sum(k * mean) / F.sum("k")
+    sides = rows.groupBy("cross").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"),
+        F.when(F.sum("k") >= 2, (F.sum(k * F.col("var")) + between) / (F.sum("k") - 1)).alias("v"),
+        F.sum(F.when(F.col("weight_g").isNotNull(), F.col("s"))).alias("f"), F.sum(F.col("weight_g") * F.col("n")).alias("w"))
+
+    def of(col, cross):  # three rows at most: true, false, unknown
+        return F.max(F.when(F.col("cross").eqNullSafe(F.lit(cross).cast("boolean")), F.col(col)))
+
+    m = sides.agg(*[of(c, side).alias(f"{c}{i}") for c in ("s", "v", "f", "w") for i, side in ((1, True), (2, False))],
+                  *[F.coalesce(of("n", side), F.lit(0)).alias(f"n{i}") for i, side in ((0, None), (1, True), (2, False))])
     m = m.select("*", stats.ratio(F.col("s1"), F.col("n1")).alias("m1"),
                  stats.ratio(F.col("s2"), F.col("n2")).alias("m2"))
     w = stats.welch(F.col("n1"), F.col("m1"), F.col("v1"), F.col("n2"), F.col("m2"), F.col("v2"),
@@ -147,4 +160,5 @@ def cross_state_freight(t: Roles) -> DataFrame:
         F.col("n2").cast("bigint").alias("n_same"), F.round("m2", 6).alias("mean_same"),
         F.round(stats.ratio(F.col("f1"), F.col("w1") / F.lit(1000.0)), 6).alias("per_kg_cross"),
         F.round(stats.ratio(F.col("f2"), F.col("w2") / F.lit(1000.0)), 6).alias("per_kg_same"),
+        F.col("n0").cast("bigint").alias("n_unknown"),
         w["t"].alias("t"), w["df"].alias("df"), w["p_one_sided"].alias("p_one_sided"))

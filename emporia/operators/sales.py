@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from emporia.functions import stats
 from emporia.functions.dates import GRAINS, add_periods, period_spine, period_start
-from emporia.functions.money import exact_sum, scale_of
-from emporia.plans.bases import item_category, order_item, order_review
+from emporia.functions.money import exact_sum, money_of
+from emporia.plans.bases import order_item, order_review, with_category
 from emporia.sources.roles import Roles
 
 HOT, MID, SLOW = "hot", "mid", "slow"
@@ -94,8 +94,9 @@ def top_categories_share(t: Roles, n: int = 10) -> DataFrame:
     The share denominator is computed before the limit.  Columns: category,
     sales, share, rank.
     """
-    agg = item_category(t).groupBy("category").agg(
-        exact_sum(F.col("price"), scale_of(t.item, "price")).alias("sales"))
+    # Items are summed to products before they meet the product role.
+    per_product = t.item.groupBy("product_id").agg(exact_sum(F.col("price"), money_of(t.item, "price")).alias("sales"))
+    agg = with_category(t, per_product).groupBy("category").agg(F.sum("sales").alias("sales"))
     share = stats.ratio(F.col("sales"), F.col("total"))
     ranked = stats.with_total(agg, "sales", "total").select("category", "sales", share.alias("share"))
     top = ranked.orderBy(F.col("sales").desc(), F.col("category")).limit(n)
@@ -122,18 +123,20 @@ def fastest_growing_categories(t: Roles, n: int = 10, grain: str = "quarter",
         "cur", add_periods(F.col("cur"), -1, grain).alias("prev"),
         add_periods(F.col("cur"), 1, grain).alias("nxt"))).scalar()
     cur, prev, nxt = b.getField("cur"), b.getField("prev"), b.getField("nxt")
-    day = F.to_date("purchase_ts")
+    # Bounds in the type of the column itself, so that the filter reaches the scan.
+    kind = t.order.schema["purchase_ts"].dataType
+    ts = F.col("purchase_ts")
     window_orders = (
         t.order.select("order_id", "purchase_ts")
-        .filter((day >= prev) & (day < nxt))
-        .select("order_id", cur.alias("cur"), (day >= cur).alias("is_cur"))
+        .filter((ts >= prev.cast(kind)) & (ts < nxt.cast(kind)))
+        .select("order_id", (ts >= cur.cast(kind)).alias("is_cur"))
     )
-    items = item_category(t, items=t.item.join(window_orders, "order_id"))
-    agg = items.groupBy("category").agg(
-        F.first("cur").alias("period"),
+    per_product = t.item.join(window_orders, "order_id").groupBy("product_id").agg(
         F.sum(F.when(~F.col("is_cur"), F.col("units")).otherwise(0)).alias("prev_units"),
-        F.sum(F.when(F.col("is_cur"), F.col("units")).otherwise(0)).alias("cur_units"),
-    ).filter(F.col("prev_units") >= F.lit(max(min_base, 1)))
+        F.sum(F.when(F.col("is_cur"), F.col("units")).otherwise(0)).alias("cur_units"))
+    agg = with_category(t, per_product).groupBy("category").agg(
+        F.sum("prev_units").alias("prev_units"), F.sum("cur_units").alias("cur_units"),
+    ).filter(F.col("prev_units") >= F.lit(max(min_base, 1))).withColumn("period", cur)
     growth = stats.ratio(F.col("cur_units"), F.col("prev_units")) - F.lit(1.0)
     g = agg.select("category", "period", "prev_units", "cur_units", growth.alias("growth"))
     top = g.orderBy(F.col("growth").desc(), F.col("category")).limit(n)
@@ -171,17 +174,20 @@ def _class_by_units(hist: DataFrame, q: float) -> Column:
 def hot_slow_products(t: Roles, q: float = 0.25) -> DataFrame:
     """Classify sold products as slow (units <= p_q), hot (>= p_1-q) or mid.
 
-    Products never sold are left out (they cannot be reviewed).  The class is
-    computed once per distinct unit total and joined back on ``units``.
-    Columns: product_id, units, class.
+    Products never sold are left out (they cannot be reviewed).  The cut-offs
+    come from the histogram of unit totals as a scalar subquery, so products
+    are neither joined nor moved again.  Columns: product_id, units, class.
     """
     if not 0.0 < q < 0.5:
         raise ValueError("q must be in (0, 0.5)")
     units = _product_units(t)
     hist = units.groupBy("units").agg(F.count(F.lit(1)).alias("k"))
-    classes = hist.select("units", _class_by_units(hist, q).alias("class"))
-    return units.join(classes, "units").select(
-        "product_id", F.col("units").cast("bigint").alias("units"), "class")
+    cut = hist.agg(F.struct(F.percentile(F.col("units"), F.lit(q), F.col("k")).alias("lo"),
+                            F.percentile(F.col("units"), F.lit(1.0 - q), F.col("k")).alias("hi"))).scalar()
+    return units.select(
+        "product_id", F.col("units").cast("bigint").alias("units"),
+        F.when(F.col("units") <= cut.getField("lo"), F.lit(SLOW))
+        .when(F.col("units") >= cut.getField("hi"), F.lit(HOT)).otherwise(F.lit(MID)).alias("class"))
 
 
 def hot_slow_bad_review_rate(t: Roles, q: float = 0.25, bad_max: int = 2) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emporia.functions.money import exact_sum, scale_of
+from emporia.functions.money import exact_sum, money_of
 from emporia.sources.roles import Roles
 
 UNKNOWN = "unknown"
@@ -27,14 +27,14 @@ UNKNOWN = "unknown"
 
 def order_pay(t: Roles) -> DataFrame:
     """order_id, order_amount (exact decimal sum of payments), payments."""
-    vs = scale_of(t.payment, "value")
+    vs = money_of(t.payment, "value")
     return t.payment.groupBy("order_id").agg(
         exact_sum(F.col("value"), vs).alias("order_amount"), F.count(F.lit(1)).alias("payments"))
 
 
 def order_item(t: Roles) -> DataFrame:
     """order_id, items, units, sales (exact), freight (exact)."""
-    ps, fs = scale_of(t.item, "price"), scale_of(t.item, "freight")
+    ps, fs = money_of(t.item, "price"), money_of(t.item, "freight")
     return t.item.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("items"),
         F.sum("units").alias("units"),
@@ -43,38 +43,32 @@ def order_item(t: Roles) -> DataFrame:
     )
 
 
-def order_review(t: Roles) -> DataFrame:
-    """One review per order: the latest by review_ts, ties to the higher score.
-
-    Bindings whose review role already has one row per order pass through
-    the same aggregation; it is a single partial+final hash aggregate.
-    """
-    latest = F.max_by(F.col("score"), F.struct(F.col("review_ts"), F.col("score")))
-    return t.review.groupBy("order_id").agg(latest.alias("score"))
-
-
-def order_person(t: Roles, *cols: str) -> DataFrame:
-    """Orders with their buyer: order_id, person_id and extra order/customer columns.
-
-    Orders without a known customer are dropped: they cannot be attributed.
-    """
-    order_cols = {"order_id", "customer_id", "status", "purchase_ts", "delivered_ts", "promised_ts"}
-    ocols = ["order_id", "customer_id"] + [c for c in cols if c in order_cols and c not in ("order_id", "customer_id")]
-    ccols = ["customer_id", "person_id"] + [c for c in cols if c not in order_cols and c != "person_id"]
-    return t.order.select(*ocols).join(t.customer.select(*ccols), "customer_id")
+# A review's time and score as one fixed-width number: microseconds above SCORE_BITS bits.
+SCORE_SPAN, SCORE_ZERO = 1 << 33, (1 << 31) + 1
 
 
-def item_category(t: Roles, *cols: str, items: DataFrame | None = None) -> DataFrame:
-    """Items with their product category (``unknown`` when missing) and extra product columns.
+def order_review(t: Roles) -> DataFrame:
+    """One review per order: the latest by review_ts, ties to the higher score.
 
-    Pass ``items`` already narrowed (e.g. joined to a subset of orders) so the
-    product lookup runs after the narrowing join, not over every item.
+    Time and score are packed into one decimal, so that ``max`` over it is a
+    hash aggregate (a struct buffer would make Spark sort).  A null time is
+    earlier than all others, a null score lower than all others.
     """
-    prod = t.product.select("product_id", "category", *cols)
-    return (
-        (t.item if items is None else items).join(prod, "product_id", "left")
-        .withColumn("category", F.coalesce(F.col("category"), F.lit(UNKNOWN)))
-    )
+    day = F.unix_date(F.to_date("review_ts")).cast("decimal(20,0)")
+    second = (F.hour("review_ts") * 3600 + F.minute("review_ts") * 60).cast("decimal(20,0)") + F.expr("extract(SECOND FROM review_ts)")
+    micros = (day * F.lit(86_400_000_000).cast("decimal(12,0)") + (second * 1_000_000)).cast("decimal(24,0)")
+    time = F.coalesce(micros, F.lit("-10000000000000000000").cast("decimal(24,0)"))
+    code = F.coalesce(F.col("score").cast("bigint") + F.lit(SCORE_ZERO), F.lit(0)).cast("decimal(11,0)")
+    span = F.lit(SCORE_SPAN).cast("decimal(10,0)")
+    latest = F.max((time * span + code).cast("decimal(38,0)"))
+    code = F.pmod(latest, F.lit(SCORE_SPAN).cast("decimal(38,0)")).cast("bigint")
+    return t.review.groupBy("order_id").agg(F.when(code > 0, code - SCORE_ZERO).cast("int").alias("score"))
+
+
+def with_category(t: Roles, per_product: DataFrame) -> DataFrame:
+    """Rows that hold a ``product_id`` (aggregated to it first, so a hot product is one row) with their category."""
+    joined = per_product.join(t.product.select("product_id", "category"), "product_id", "left")
+    return joined.withColumn("category", F.coalesce(F.col("category"), F.lit(UNKNOWN)))
 
 
 def person_orders(t: Roles) -> DataFrame:

@@ -1,9 +1,8 @@
-"""Catalogue of analyses: name -> (function, parameters, order window).
+"""Catalogue of analyses: name -> (function, parameters).
 
 One place lists every analysis so the driver contract, the SQL surface, the
-marts writer and the bench all agree on names.  ``year`` restricts the order
-role to one calendar year before the analysis runs (repeat-buying questions
-need a window in which "first order" is meaningful).
+marts writer and the bench all agree on names.  Every analysis reads the whole
+history; a window is the caller's choice (``Roles.restrict_orders``).
 """
 
 from __future__ import annotations
@@ -14,25 +13,18 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from emporia.operators import customers, feedback, logistics, market, sales
-from emporia.sources.roles import Roles, in_year
+from emporia.sources.roles import Roles
 
 
 @dataclass(frozen=True)
 class Analysis:
     fn: Callable[..., DataFrame]
     params: dict = field(default_factory=dict)
-    year: int | None = None
 
     def run(self, t: Roles) -> DataFrame:
-        if self.year is not None:
-            t = t.restrict_orders(in_year(self.year))
         return self.fn(t, **self.params)
 
 
-# Repeat-buying analyses run over 1999 orders in the driver contract: in the
-# test tables nearly every buyer repeats over the full history.
-REPEAT_WINDOW_YEAR = 1999
-
 ANALYSES: dict[str, Analysis] = {
     # customer behaviour
     "top_customers": Analysis(customers.top_customers),
@@ -41,12 +33,11 @@ ANALYSES: dict[str, Analysis] = {
     "top_customer_category_profile": Analysis(customers.top_customer_category_profile),
     "top_customer_payment_aov": Analysis(customers.top_customer_payment_aov),
     "user_growth": Analysis(customers.user_growth),
-    "repeat_rate": Analysis(customers.repeat_rate, year=REPEAT_WINDOW_YEAR),
+    "repeat_rate": Analysis(customers.repeat_rate),
     "repurchase_gaps": Analysis(customers.repurchase_gaps),
     "repurchase_gap_summary": Analysis(customers.repurchase_gap_summary),
-    "first_vs_repeat_categories": Analysis(customers.first_vs_repeat_categories,
-                                           year=REPEAT_WINDOW_YEAR),
-    "repeat_vs_single_score": Analysis(customers.repeat_vs_single_score, year=REPEAT_WINDOW_YEAR),
+    "first_vs_repeat_categories": Analysis(customers.first_vs_repeat_categories),
+    "repeat_vs_single_score": Analysis(customers.repeat_vs_single_score),
     # sales and products
     "sales_growth": Analysis(sales.sales_growth),
     "sales_seasonality": Analysis(sales.sales_seasonality),

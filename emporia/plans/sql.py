@@ -2,23 +2,27 @@
 
 ``register_views(t)`` exposes each role as ``r_<role>`` and, on request, each
 analysis as ``a_<name>``, so analyses can be written or consumed as Spark SQL
-(which accepts most HiveQL).  Views are lazy: a query over ``a_<name>`` plans
-the same DataFrame as calling the analysis function.
+(which accepts most HiveQL).  Views are lazy, registering them starts no job:
+a query over ``a_<name>`` plans the same DataFrame as calling the analysis
+function, but for the analyses in ``EAGER``, whose global ranking stores a
+table when it is called; their views are the SQL text below.
 
-``SPARK_SQL`` holds a few analyses written directly as SQL text over the
-role views; tests check they agree with the DataFrame versions.
+``SPARK_SQL`` holds every analysis as SQL text over the role views; tests check
+they agree with the DataFrame versions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emporia.plans.sql_text import SPARK_SQL, create_functions
 from emporia.sources.roles import ROLE_COLUMNS, Roles
 
 
 def register_views(t: Roles, analyses: bool = False) -> list[str]:
     """Create ``r_<role>`` views (and ``a_<analysis>`` views if asked)."""
     names = []
+    create_functions(t.order.sparkSession)
     for role in ROLE_COLUMNS:
         getattr(t, role).createOrReplaceTempView(f"r_{role}")
         names.append(f"r_{role}")
@@ -26,115 +30,16 @@ def register_views(t: Roles, analyses: bool = False) -> list[str]:
         from emporia.plans.catalog import ANALYSES
 
         for name, analysis in ANALYSES.items():
-            analysis.run(t).createOrReplaceTempView(f"a_{name}")
+            df = t.order.sparkSession.sql(SPARK_SQL[name]) if name in EAGER else analysis.run(t)
+            df.createOrReplaceTempView(f"a_{name}")
             names.append(f"a_{name}")
     return names
 
 
+EAGER = {"seller_bad_review_concentration"}
+
+
 def run_sql(spark: SparkSession, t: Roles, text: str) -> DataFrame:
     """Register the role views and run SQL text over them."""
     register_views(t)
     return spark.sql(text)
-
-
-SPARK_SQL = {
-    "top_customers": """
-        WITH per_order AS (
-          SELECT o.order_id, c.person_id, p.amount
-          FROM r_order o JOIN r_customer c ON o.customer_id = c.customer_id
-          LEFT JOIN (SELECT order_id, sum(value) AS amount FROM r_payment GROUP BY order_id) p
-            ON p.order_id = o.order_id
-        ),
-        per_person AS (
-          SELECT person_id, sum(amount) AS amount, count(*) AS orders FROM per_order GROUP BY person_id
-        ),
-        top AS (SELECT * FROM per_person ORDER BY amount DESC NULLS LAST, person_id LIMIT 100)
-        SELECT person_id, CAST(amount AS DOUBLE) AS order_amount, CAST(orders AS BIGINT) AS orders,
-               CAST(row_number() OVER (ORDER BY amount DESC NULLS LAST, person_id) AS BIGINT) AS rank
-        FROM top
-    """,
-    "repeat_rate": """
-        WITH per_person AS (
-          SELECT c.person_id, count(*) AS n
-          FROM r_order o JOIN r_customer c ON o.customer_id = c.customer_id GROUP BY c.person_id
-        )
-        SELECT CAST(count(*) AS BIGINT) AS customers, CAST(count_if(n >= 2) AS BIGINT) AS repeat_customers,
-               round(try_divide(CAST(count_if(n >= 2) AS DOUBLE), CAST(count(*) AS DOUBLE)), 6) AS repeat_rate
-        FROM per_person
-    """,
-    "installment_avg_payment": """
-        SELECT CAST(installments AS BIGINT) AS installments, CAST(count(*) AS BIGINT) AS payments,
-               round(try_divide(CAST(sum(value) AS DOUBLE), CAST(count(*) AS DOUBLE)), 6) AS avg_value,
-               round(try_divide(sum(CAST(value AS DOUBLE) / installments), CAST(count(*) AS DOUBLE)), 6)
-                 AS avg_installment
-        FROM r_payment WHERE installments >= 2
-        GROUP BY ROLLUP (installments)
-    """,
-    "city_penetration": """
-        WITH order_sales AS (SELECT order_id, sum(price) AS sales FROM r_item GROUP BY order_id),
-        per_person AS (
-          SELECT c.state, c.city, c.person_id, count(*) AS orders, sum(s.sales) AS sales
-          FROM r_order o JOIN r_customer c ON o.customer_id = c.customer_id
-          LEFT JOIN order_sales s ON s.order_id = o.order_id
-          GROUP BY c.state, c.city, c.person_id
-        )
-        SELECT state, city, CAST(sum(orders) AS BIGINT) AS orders,
-               CAST(coalesce(sum(sales), 0) AS DOUBLE) AS sales, CAST(count(*) AS BIGINT) AS customers
-        FROM per_person GROUP BY state, city
-    """,
-    "cross_state_order_share": """
-        WITH per_order AS (
-          SELECT i.order_id, max(CASE WHEN coalesce(s.state <> c.state, false) THEN 1 ELSE 0 END) AS x
-          FROM r_item i
-          LEFT JOIN r_seller s ON s.seller_id = i.seller_id
-          LEFT JOIN (SELECT o.order_id, cu.state FROM r_order o
-                     JOIN r_customer cu ON cu.customer_id = o.customer_id) c ON c.order_id = i.order_id
-          GROUP BY i.order_id
-        )
-        SELECT CAST(count(*) AS BIGINT) AS orders, CAST(sum(x) AS BIGINT) AS cross_orders,
-               round(try_divide(CAST(sum(x) AS DOUBLE), CAST(count(*) AS DOUBLE)), 6) AS share
-        FROM per_order
-    """,
-    "user_growth": """
-        WITH per_person AS (
-          SELECT c.person_id, trunc(to_date(min(o.purchase_ts)), 'month') AS month
-          FROM r_order o JOIN r_customer c ON o.customer_id = c.customer_id GROUP BY c.person_id
-        ),
-        counts AS (SELECT month, count(*) AS n FROM per_person GROUP BY month),
-        spine AS (
-          SELECT explode(sequence(min(month), max(month), interval 1 month)) AS month FROM counts
-        ),
-        filled AS (
-          SELECT s.month, CAST(coalesce(c.n, 0) AS BIGINT) AS new_users
-          FROM spine s LEFT JOIN counts c ON c.month = s.month
-        )
-        SELECT month, new_users,
-               CAST(sum(new_users) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-                    AS BIGINT) AS cumulative_users
-        FROM filled
-    """,
-    "completion_rate_by_payment": """
-        WITH methods AS (SELECT DISTINCT order_id, payment_type FROM r_payment)
-        SELECT m.payment_type, CAST(count(*) AS BIGINT) AS orders,
-               CAST(count_if(o.status = 'delivered') AS BIGINT) AS completed,
-               round(try_divide(CAST(count_if(o.status = 'delivered') AS DOUBLE), CAST(count(*) AS DOUBLE)), 6)
-                 AS completion_rate
-        FROM methods m JOIN r_order o ON o.order_id = m.order_id
-        GROUP BY m.payment_type
-    """,
-    "top_categories_share": """
-        WITH per_cat AS (
-          SELECT coalesce(p.category, 'unknown') AS category, sum(i.price) AS sales
-          FROM r_item i LEFT JOIN r_product p ON p.product_id = i.product_id GROUP BY 1
-        ),
-        shares AS (
-          SELECT category, sales,
-                 CAST(sales AS DOUBLE) / CAST((SELECT sum(sales) FROM per_cat) AS DOUBLE) AS share
-          FROM per_cat
-        ),
-        top AS (SELECT * FROM shares ORDER BY sales DESC, category LIMIT 10)
-        SELECT category, CAST(sales AS DOUBLE) AS sales, round(share, 6) AS share,
-               CAST(row_number() OVER (ORDER BY sales DESC, category) AS BIGINT) AS rank
-        FROM top
-    """,
-}

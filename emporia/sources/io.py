@@ -71,7 +71,9 @@ CSV_SCHEMAS = {
 }
 
 # Only the reviews file has quoted line breaks (free-text comments).  multiLine
-# stops Spark from splitting a file, so it is used there and nowhere else.
+# stops Spark from splitting a file, so it is used there and nowhere else.  A
+# large set of reviews comes as a folder of CSV files under the same name: one
+# task reads each file (and the whole of a single file).
 MULTILINE = {"order_reviews"}
 
 
@@ -119,19 +121,17 @@ def read_csv_roles(spark: SparkSession, directory: str, english_categories: bool
     products = read("products")
     category = F.col("product_category_name")
     if english_categories:
-        # The translation table has one row per category (tens of rows).
-        tr = F.broadcast(read("category_translation"))
-        products = products.join(tr, "product_category_name", "left")
+        products = products.join(read("category_translation"), "product_category_name", "left")
         category = F.coalesce(F.col("product_category_name_english"), F.col("product_category_name"))
     product = products.select(
         "product_id", category.alias("category"),
         F.col("product_name_lenght").alias("name_len"),
-        F.col("product_description_lenght").alias("desc_len"),
         F.col("product_photos_qty").alias("photo_cnt"),
         F.col("product_weight_g").alias("weight_g"),
         F.col("product_length_cm").alias("length_cm"),
         F.col("product_height_cm").alias("height_cm"),
         F.col("product_width_cm").alias("width_cm"))
+    description = products.select("product_id", F.col("product_description_lenght").alias("desc_len"))
     payment = read("order_payments").select(
         "order_id", F.col("payment_sequential").alias("seq"), "payment_type",
         F.col("payment_installments").alias("installments"), F.col("payment_value").alias("value"))
@@ -139,7 +139,7 @@ def read_csv_roles(spark: SparkSession, directory: str, english_categories: bool
         "order_id", F.col("review_score").alias("score"),
         F.coalesce(F.col("review_answer_timestamp"), F.col("review_creation_date")).alias("review_ts"))
     return Roles(customer=customer, order=order, item=item, product=product, payment=payment,
-                 review=review, seller=seller, geo=geo)
+                 review=review, seller=seller, geo=geo, description=description).validate()
 
 
 def write_roles(t: Roles, directory: str) -> None:
@@ -149,8 +149,8 @@ def write_roles(t: Roles, directory: str) -> None:
 
 
 def read_parquet_roles(spark: SparkSession, directory: str) -> Roles:
-    """Load roles written by :func:`write_roles`."""
-    return Roles(**{role: spark.read.parquet(f"{directory}/{role}") for role in ROLE_COLUMNS})
+    """Load roles written by :func:`write_roles` (X2); columns and types are checked."""
+    return Roles(**{role: spark.read.parquet(f"{directory}/{role}") for role in ROLE_COLUMNS}, materialized=True).validate()
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -160,25 +160,32 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)
 
 
-def materialize_roles(t: Roles) -> Roles:
-    """Write the roles once to the checkpoint folder and read them back.
+def materialize_roles(t: Roles, folder: str) -> Roles:
+    """Write the roles once below ``folder`` and read them back.
 
     Cuts lineage (a lost executor recomputes from these files, not from the
     source joins) and lets many analyses share one materialization.
     """
-    spark = t.order.sparkSession
-    folder = f"{checkpoint_folder(spark).rstrip('/')}/emporia-roles-{uuid.uuid4().hex}"
     write_roles(t, folder)
-    return read_parquet_roles(spark, folder)
+    return read_parquet_roles(t.order.sparkSession, folder)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this session's own through the file system it lies in."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_marts(t: Roles, out: str, names: list[str] | None = None,
-                materialize: bool = True, concurrency: int = 1,
+                materialize: bool | None = None, concurrency: int = 1,
                 fmt: str = "parquet") -> dict[str, str]:
     """Write each analysis under ``out/<name>`` for a BI tool.
 
     Returns {name: path}.  Marts are small aggregates (one row per month,
     category, city, seller...), so they are written without partitioning.
+    Derived roles are materialized first, below the checkpoint folder, and
+    that copy is deleted at the end; roles read from parquet are not copied
+    (``materialize`` forces either).
     ``concurrency`` > 1 submits independent analyses from a thread pool so
     their jobs share the cluster; each analysis is still one Spark job graph.
     ``fmt="noop"`` runs everything without writing (benchmarks).
@@ -187,7 +194,10 @@ def write_marts(t: Roles, out: str, names: list[str] | None = None,
 
     from emporia.plans.catalog import ANALYSES
 
-    base = materialize_roles(t) if materialize else t
+    spark = t.order.sparkSession
+    copy = None
+    if not t.materialized if materialize is None else materialize:
+        copy = f"{checkpoint_folder(spark).rstrip('/')}/emporia-roles-{uuid.uuid4().hex}"
     todo = list(names or ANALYSES)
     paths = {name: f"{out.rstrip('/')}/{name}" for name in todo}
 
@@ -198,10 +208,15 @@ def write_marts(t: Roles, out: str, names: list[str] | None = None,
         else:
             w.format(fmt).save(paths[name])
 
-    if concurrency <= 1:
-        for name in todo:
-            run(name)
-    else:
-        with ThreadPoolExecutor(max_workers=concurrency) as pool:
-            list(pool.map(run, todo))
+    try:
+        base = materialize_roles(t, copy) if copy else t
+        if concurrency <= 1:
+            for name in todo:
+                run(name)
+        else:
+            with ThreadPoolExecutor(max_workers=concurrency) as pool:
+                list(pool.map(run, todo))
+    finally:
+        if copy:
+            delete_folder(spark, copy)
     return paths

@@ -8,8 +8,9 @@ role       key                         columns
 customer   customer_id                 person_id, city, state, geo_key
 order      order_id                    customer_id, status, purchase_ts, delivered_ts, promised_ts
 item       (bag of rows)               order_id, product_id, seller_id, units, price, freight
-product    product_id                  category, name_len, desc_len, photo_cnt, weight_g,
+product    product_id                  category, name_len, photo_cnt, weight_g,
                                        length_cm, height_cm, width_cm
+description  product_id                desc_len
 payment    (order_id, seq)             payment_type, installments, value
 review     order_id (one per order)    score, review_ts
 seller     seller_id                   city, state, geo_key
@@ -29,13 +30,15 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROLE_COLUMNS: dict[str, tuple[str, ...]] = {
     "customer": ("customer_id", "person_id", "city", "state", "geo_key"),
     "order": ("order_id", "customer_id", "status", "purchase_ts", "delivered_ts", "promised_ts"),
     "item": ("order_id", "product_id", "seller_id", "units", "price", "freight"),
-    "product": ("product_id", "category", "name_len", "desc_len", "photo_cnt", "weight_g",
+    "product": ("product_id", "category", "name_len", "photo_cnt", "weight_g",
                 "length_cm", "height_cm", "width_cm"),
+    "description": ("product_id", "desc_len"),
     "payment": ("order_id", "seq", "payment_type", "installments", "value"),
     "review": ("order_id", "score", "review_ts"),
     "seller": ("seller_id", "city", "state", "geo_key"),
@@ -44,10 +47,25 @@ ROLE_COLUMNS: dict[str, tuple[str, ...]] = {
 
 MONEY = "decimal(12,2)"
 
+INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+# Kinds of the columns: the types that a role accepts.  All others are keys (text or integral).
+KINDS: dict[str, tuple[type, ...]] = {
+    "city": (T.StringType,), "state": (T.StringType,), "status": (T.StringType,), "category": (T.StringType,),
+    "payment_type": (T.StringType,),
+    **{c: (T.TimestampNTZType, T.TimestampType) for c in ("purchase_ts", "delivered_ts", "promised_ts", "review_ts")},
+    **{c: INTEGRAL for c in ("units", "seq", "installments", "score", "name_len", "desc_len", "photo_cnt")},
+    **{c: (T.DecimalType,) for c in ("price", "freight", "value")},
+    **{c: (T.DoubleType, T.FloatType, T.DecimalType, *INTEGRAL) for c in ("weight_g", "length_cm", "height_cm", "width_cm", "lat", "lng")},
+}
+KEY = (T.StringType, *INTEGRAL)
+
 
 @dataclass(frozen=True)
 class Roles:
-    """Holder of the eight role DataFrames (all lazy)."""
+    """Holder of the role DataFrames (all lazy).
+
+    ``description`` defaults to the product role's own ``desc_len``.
+    """
 
     customer: DataFrame
     order: DataFrame
@@ -57,22 +75,36 @@ class Roles:
     review: DataFrame
     seller: DataFrame
     geo: DataFrame
+    description: DataFrame | None = None
+    materialized: bool = False  # read from tables of their own: no need to store them again
+
+    def __post_init__(self) -> None:
+        if self.description is None:
+            object.__setattr__(self, "description", self.product.select("product_id", "desc_len"))
 
     def restrict_orders(self, condition: Column) -> "Roles":
-        """Same roles with the order role filtered (e.g. to one calendar year).
+        """Same roles for the orders that meet ``condition`` (e.g. one calendar year).
 
-        Analyses reach items, payments and reviews through the order role, so
-        restricting orders restricts every order-grain fact with it.
+        Items, payments and reviews of other orders go as well (semi joins on
+        ``order_id``), because several analyses read them directly.
         """
-        return replace(self, order=self.order.filter(condition))
+        order = self.order.filter(condition)
+        ids = order.select("order_id")
+        return replace(self, materialized=False, order=order, **{
+            role: getattr(self, role).join(ids, "order_id", "left_semi") for role in ("item", "payment", "review")})
 
-    def validate(self) -> None:
-        """Raise if a role lacks a required column (cheap: schema only)."""
+    def validate(self) -> "Roles":
+        """These roles, if every required column is there with a type of its kind (schemas only, no job)."""
         for role, cols in ROLE_COLUMNS.items():
-            have = set(getattr(self, role).columns)
+            have = {f.name: f.dataType for f in getattr(self, role).schema.fields}
             missing = [c for c in cols if c not in have]
             if missing:
                 raise ValueError(f"role {role!r} lacks columns {missing}")
+            for c in cols:
+                if not isinstance(have[c], KINDS.get(c, KEY)):
+                    raise TypeError(f"column {c!r} of role {role!r} is {have[c].simpleString()}; "
+                                    f"accepted: {', '.join(k.typeName() for k in KINDS.get(c, KEY))}")
+        return self
 
 
 def in_year(year: int) -> Column:
@@ -145,17 +177,18 @@ def bind_testdata(spark: SparkSession, sf_dir: str) -> Roles:
         (F.lit(-60.0) + F.lit(1.5) * F.col("n_nationkey")).alias("lng"),
     )
 
-    docs = read("documents").select("doc_id", F.col("n_chars").cast("int").alias("desc_len"))
+    # Text lengths of documents stand in for description lengths; a role of its own, so that
+    # only the analysis that reads them scans the documents.
+    description = read("documents").select(
+        F.col("doc_id").alias("product_id"), F.col("n_chars").cast("int").alias("desc_len"))
     size = F.col("p_size")
     product = (
         read("part")
         .select("p_partkey", "p_name", "p_brand", "p_size")
-        .join(docs, F.col("p_partkey") == F.col("doc_id"), "left")
         .select(
             F.col("p_partkey").alias("product_id"),
             F.col("p_brand").alias("category"),
             F.length("p_name").cast("int").alias("name_len"),
-            "desc_len",
             (size % 6 + 1).cast("int").alias("photo_cnt"),
             (size * 100).cast("double").alias("weight_g"),
             size.cast("double").alias("length_cm"),
@@ -249,4 +282,4 @@ def bind_testdata(spark: SparkSession, sf_dir: str) -> Roles:
     )
 
     return Roles(customer=customer, order=order, item=item, product=product,
-                 payment=payment, review=review, seller=seller, geo=geo)
+                 payment=payment, review=review, seller=seller, geo=geo, description=description).validate()

@@ -1,10 +1,10 @@
 """Oracle SQL: payments and review feedback."""
 
 from oracle.roles import with_roles
-from oracle.stats_sql import sf
+from oracle.stats_sql import chi2_tail
 
 _METHODS = """
-om AS (SELECT DISTINCT order_id, payment_type FROM r_payment),
+om AS (SELECT DISTINCT order_id, coalesce(payment_type, 'unknown') AS payment_type FROM r_payment),
 x AS (SELECT om.payment_type, o.status, o.order_id FROM om JOIN r_order o ON o.order_id = om.order_id)
 """
 
@@ -16,9 +16,6 @@ SELECT payment_type, CAST(count(*) AS BIGINT) AS orders,
 FROM x GROUP BY payment_type
 """)
 
-# Wilson-Hilferty: (x/k)^(1/3) is about normal with mean 1 - v and variance v, v = 2/(9k).
-_CHI_TAIL = sf("((pow(x / k, 1.0::DOUBLE / 3.0::DOUBLE) - (1.0::DOUBLE - v)) / sqrt(v))")
-
 COMPLETION_PAYMENT_CHI2 = with_roles(f"""
 WITH {_METHODS},
 g AS (
@@ -27,18 +24,12 @@ g AS (
   FROM x GROUP BY payment_type
 ),
 mg AS (SELECT sum(o) AS n_all, sum(c) AS c_all, count(*) AS r FROM g),
-e AS (SELECT g.*, mg.r, o * c_all / n_all AS ec, o * (n_all - c_all) / n_all AS en FROM g CROSS JOIN mg),
+e AS (SELECT g.*, mg.*, o * c_all / n_all AS ec, o * (n_all - c_all) / n_all AS en FROM g CROSS JOIN mg),
 s AS (
-  SELECT sum(CASE WHEN ec > 0 THEN pow(c - ec, 2) / ec ELSE 0 END
-             + CASE WHEN en > 0 THEN pow((o - c) - en, 2) / en ELSE 0 END) AS x,
-         CAST(min(r) - 1 AS BIGINT) AS k
-  FROM e
-),
-w AS (SELECT x, k, 2.0::DOUBLE / (9.0::DOUBLE * k) AS v FROM s)
-SELECT round(x, 6) AS statistic, k AS dof,
-       round(CASE WHEN k >= 1 AND x IS NOT NULL THEN greatest(
-         {_CHI_TAIL}, 0.000001::DOUBLE) END, 6) AS p_value
-FROM w
+  SELECT sum(pow(c - ec, 2) / ec + pow((o - c) - en, 2) / en) AS x, CAST(min(r) - 1 AS BIGINT) AS k
+  FROM e WHERE c_all > 0 AND c_all < n_all AND r > 1
+)
+SELECT round(x, 6) AS statistic, k AS dof, round({chi2_tail("x", "k")}, 9) AS p_value FROM s
 """)
 
 AVG_ORDER_AMOUNT_BY_PAYMENT = with_roles(f"""
@@ -76,7 +67,7 @@ SELECT seller_id, CAST(reviews AS BIGINT) AS reviews, CAST(bad AS BIGINT) AS bad
        round(CAST(bad AS DOUBLE) / NULLIF(CAST(tb AS DOUBLE), 0), 6) AS bad_share,
        round(CAST(cb AS DOUBLE) / NULLIF(CAST(tb AS DOUBLE), 0), 6) AS cum_share,
        CAST(rk AS BIGINT) AS rank,
-       round(CASE WHEN reviews >= 1 AND sqrt(p0 * (1.0::DOUBLE - p0) / CAST(reviews AS DOUBLE)) > 0
+       round(CASE WHEN reviews >= 2 AND sqrt(p0 * (1.0::DOUBLE - p0) / CAST(reviews AS DOUBLE)) > 0
                   THEN (CAST(bad AS DOUBLE) / CAST(reviews AS DOUBLE) - p0)
                        / sqrt(p0 * (1.0::DOUBLE - p0) / CAST(reviews AS DOUBLE)) END, 6) AS z
 FROM r

@@ -37,10 +37,10 @@ WHERE orders <= mo AND aov >= ma AND orders >= 1
 
 _ITEMS = """
 it AS (
-  SELECT i.order_id, i.freight, p.weight_g, coalesce(s.state <> c.state, false) AS x
+  SELECT i.order_id, i.freight, p.weight_g, s.state <> c.state AS x
   FROM r_item i
   LEFT JOIN r_seller s ON s.seller_id = i.seller_id
-  LEFT JOIN r_order o ON o.order_id = i.order_id
+  JOIN r_order o ON o.order_id = i.order_id
   LEFT JOIN r_customer c ON c.customer_id = o.customer_id
   LEFT JOIN r_product p ON p.product_id = i.product_id
 )
@@ -49,8 +49,9 @@ it AS (
 CROSS_STATE_ORDER_SHARE = with_roles(f"""
 WITH {_ITEMS},
 po AS (SELECT order_id, bool_or(x) AS x FROM it GROUP BY order_id)
-SELECT CAST(count(*) AS BIGINT) AS orders, CAST(count_if(x) AS BIGINT) AS cross_orders,
-       round(CAST(count_if(x) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS share
+SELECT CAST(count(x) AS BIGINT) AS orders, CAST(count_if(x) AS BIGINT) AS cross_orders,
+       round(CAST(count_if(x) AS DOUBLE) / nullif(CAST(count(x) AS DOUBLE), 0), 6) AS share,
+       CAST(count(*) - count(x) AS BIGINT) AS unknown_orders
 FROM po
 """)
 
@@ -64,7 +65,8 @@ m AS (
          sum(freight) FILTER (WHERE x AND weight_g IS NOT NULL) AS f1,
          sum(weight_g) FILTER (WHERE x) AS w1,
          sum(freight) FILTER (WHERE NOT x AND weight_g IS NOT NULL) AS f2,
-         sum(weight_g) FILTER (WHERE NOT x) AS w2
+         sum(weight_g) FILTER (WHERE NOT x) AS w2,
+         count(*) FILTER (WHERE x IS NULL) AS n0
   FROM it
 ),
 mm AS (
@@ -75,6 +77,7 @@ SELECT CAST(n1 AS BIGINT) AS n_cross, round(m1, 6) AS mean_cross,
        CAST(n2 AS BIGINT) AS n_same, round(m2, 6) AS mean_same,
        round(CAST(f1 AS DOUBLE) / NULLIF(w1 / 1000.0::DOUBLE, 0), 6) AS per_kg_cross,
        round(CAST(f2 AS DOUBLE) / NULLIF(w2 / 1000.0::DOUBLE, 0), 6) AS per_kg_same,
+       CAST(n0 AS BIGINT) AS n_unknown,
        {welch_select("greater")}
 FROM mm
 """)

@@ -77,10 +77,6 @@ r_review AS (
 ),
 r_order_pay AS (
   SELECT order_id, sum(value) AS order_amount FROM r_payment GROUP BY order_id
-),
-r_order_1999 AS (
-  SELECT * FROM r_order
-  WHERE purchase_ts >= TIMESTAMP '1999-01-01' AND purchase_ts < TIMESTAMP '2000-01-01'
 )
 """
 

@@ -59,3 +59,51 @@ def test_repeat_and_completion_counts(spark):
     p1 = {r["payment_type"]: (r["completed"], r["orders"])
           for r in feedback.completion_rate_by_payment(t).collect()}
     assert p1["1-URGENT"] == (92, 273)
+
+
+def test_restricted_orders_restrict_every_fact(spark):
+    from tests.conftest import SF001
+
+    t = bind_testdata(spark, SF001).restrict_orders(in_year(1999))
+    ids = {r.order_id for r in t.order.select("order_id").collect()}
+    for role in ("item", "payment", "review"):
+        assert {r.order_id for r in getattr(t, role).select("order_id").distinct().collect()} <= ids
+    r = market.cross_state_order_share(t).first()
+    assert r.orders == t.item.select("order_id").distinct().count() == 2262
+
+
+def test_unknown_states_are_in_neither_group(spark):
+    from dataclasses import replace
+
+    t = bind_testdata(spark, SF0001)
+    t = replace(t, seller=t.seller.withColumn("state", F.lit(None).cast("string")))
+    r = market.cross_state_freight(t).first()
+    assert (r.n_cross, r.n_same, r.n_unknown, r.t) == (0, 0, 6000, None)
+    r = market.cross_state_order_share(t).first()
+    assert (r.orders, r.unknown_orders, r.share) == (0, 1473, None)
+
+
+def test_null_payment_method_is_unknown(spark):
+    from dataclasses import replace
+
+    from emporia.operators import feedback
+    from emporia.plans.sql import SPARK_SQL, run_sql
+
+    t = bind_testdata(spark, SF0001)
+    kind = F.when(F.col("payment_type") != "1-URGENT", F.col("payment_type"))
+    u = replace(t, payment=t.payment.withColumn("payment_type", kind))
+    got = {r.payment_type: (r.completed, r.orders) for r in feedback.completion_rate_by_payment(u).collect()}
+    assert got["unknown"] == (92, 273) and "1-URGENT" not in got
+    via_sql = run_sql(spark, u, SPARK_SQL["completion_rate_by_payment"]).collect()
+    assert {r.payment_type: (r.completed, r.orders) for r in via_sql} == got
+    assert {r.payment_type: r.orders for r in feedback.avg_order_amount_by_payment(u).collect()}["unknown"] == 273
+
+
+def test_chi2_of_a_degenerate_table_is_null(spark):
+    from dataclasses import replace
+
+    from emporia.operators import feedback
+
+    t = bind_testdata(spark, SF0001)
+    u = replace(t, order=t.order.withColumn("status", F.lit("delivered")))
+    assert tuple(feedback.completion_payment_chi2(u).first()) == (None, None, None)

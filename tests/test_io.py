@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from emporia.operators import customers, logistics
 from emporia.plans.catalog import ANALYSES
@@ -116,6 +117,49 @@ def test_write_marts(spark, tmp_path):
         assert spark.read.parquet(paths[name]).count() == ANALYSES[name].run(t).count()
 
 
+def test_marts_of_csv_cover_the_whole_history(spark, csv_dir, tmp_path):
+    """Orders of 2017-2018: repeat marts must not be cut to another window."""
+    from emporia.__main__ import main
+
+    paths = write_marts(read_csv_roles(spark, csv_dir), str(tmp_path / "m"), names=["repeat_rate", "first_vs_repeat_categories"])
+    r = spark.read.parquet(paths["repeat_rate"]).first()
+    assert (r.customers, r.repeat_customers, r.repeat_rate) == (2, 1, 0.5)
+    assert spark.read.parquet(paths["first_vs_repeat_categories"]).count() == 2
+    assert main(["marts", "--csv", csv_dir, "--out", str(tmp_path / "cli"), "--only", "repeat_rate"]) == 0
+    assert spark.read.parquet(str(tmp_path / "cli/repeat_rate")).first().repeat_customers == 1
+
+
+def test_marts_leave_no_copy_of_the_roles(spark, tmp_path):
+    from emporia.sources.io import checkpoint_folder
+
+    def copies():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint_folder(spark))
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return [s.getPath().getName() for s in fs.listStatus(path) if "emporia-roles" in s.getPath().getName()] if fs.exists(path) else []
+
+    write_marts(bind_testdata(spark, SF0001), str(tmp_path / "m"), names=["repeat_rate"])
+    assert copies() == []
+
+
+def test_roles_check_types(spark, tmp_path):
+    t = bind_testdata(spark, SF0001)
+    write_roles(t, str(tmp_path / "roles"))
+    t.item.withColumn("price", F.col("price").cast("double")).write.mode("overwrite").parquet(str(tmp_path / "roles/item"))
+    with pytest.raises(TypeError, match="price"):
+        read_parquet_roles(spark, str(tmp_path / "roles"))
+
+
+def test_views_start_no_job(spark):
+    t = bind_testdata(spark, SF0001)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("views", "registering")
+    try:
+        register_views(t, analyses=True)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(tracker.getJobIdsForGroup("views")) == []
+
+
 def _rows(df):
     return sorted((tuple("nan" if isinstance(v, float) and math.isnan(v) else v for v in r)
                    for r in df.collect()), key=repr)

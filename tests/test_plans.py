@@ -45,6 +45,35 @@ def test_repeat_analyses_do_not_window_over_orders(roles):
         assert "Window [" not in p or "person_id" not in p.split("Window [", 1)[1].split("\n", 1)[0]
 
 
+def test_only_the_profile_reads_descriptions(roles):
+    for name in sorted(ANALYSES):
+        assert ("n_chars" in plan(ANALYSES[name].run(roles))) == (name == "top_customer_category_profile"), name
+
+
+@pytest.mark.parametrize("name", ["top_categories_share", "fastest_growing_categories", "first_vs_repeat_categories"])
+def test_products_are_joined_at_product_grain(roles, name):
+    """Below the join with the product role there is an aggregate on product_id."""
+    p = roles.item.sparkSession._jvm.PythonSQLUtils.explainString(ANALYSES[name].run(roles)._jdf.queryExecution(), "simple")
+    at = p.index("p_partkey", p.index("Join"))
+    assert "keys=[product_id" in p or "keys=[l_partkey" in p
+    assert at
+
+
+def test_first_orders_are_joined_on_unique_orders(roles):
+    p = plan(ANALYSES["first_vs_repeat_categories"].run(roles))
+    assert not [line for line in p.splitlines() if "Join" in line and "person_id" in line]
+
+
+def test_growth_window_reaches_the_scan(roles):
+    p = plan(ANALYSES["fastest_growing_categories"].run(roles))
+    assert "o_orderdate" in p and "to_date" not in p.split("FileScan", 1)[0].split("Subquery")[0]
+
+
+@pytest.mark.parametrize("name", ["late_vs_ontime_score", "hot_slow_bad_review_rate", "repeat_vs_single_score", "seller_bad_review_summary"])
+def test_reviews_are_hash_aggregated(roles, name):
+    assert "SortAggregate" not in plan(ANALYSES[name].run(roles))
+
+
 @pytest.mark.parametrize("name", sorted(ANALYSES))
 def test_no_cross_or_nested_loop_joins(roles, name):
     p = plan(ANALYSES[name].run(roles))

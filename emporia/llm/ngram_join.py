@@ -55,7 +55,7 @@ FREQUENT = 256
 STARS = 2
 BLOCK = 2048
 #: Rows of open lists that a task compares, about.
-TASK_ROWS = 100_000
+TASK_ROWS = 30_000
 LOW48 = np.uint64((1 << 48) - 1)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from emporia.functions import stats
 from emporia.functions.dates import period_spine
 from emporia.functions.money import exact_sum, money_of
-from emporia.plans.bases import order_pay, order_review, person_orders, with_category
+from emporia.plans.bases import UNKNOWN, order_pay, order_review, person_orders, with_category
 from emporia.sources.roles import Roles
 
 
@@ -166,17 +166,18 @@ def top_customer_payment_aov(t: Roles, k: int = 100) -> DataFrame:
     """Payment methods of the top k customers and average order value.
 
     aov = payment value by that method / distinct orders using it.  An order
-    paid two ways counts under both.  Columns: payment_type, orders,
-    payment_value, aov.
+    paid two ways counts under both, but once in the overall row, whose
+    payment_type is null (an unknown method is ``unknown``).  Columns:
+    payment_type, orders, payment_value, aov.
     """
     pays = (
-        t.payment.select("order_id", "payment_type", "value")
+        t.payment.select("order_id", F.coalesce("payment_type", F.lit(UNKNOWN)).alias("payment_type"), "value")
         .join(_top_orders(t, k).select("order_id"), "order_id", "left_semi")
         .groupBy("order_id", "payment_type")
         .agg(exact_sum(F.col("value"), money_of(t.payment, "value")).alias("value"))
     )
-    agg = pays.groupBy("payment_type").agg(
-        F.count(F.lit(1)).alias("orders"), F.sum("value").alias("payment_value"))
+    agg = pays.rollup("payment_type").agg(
+        F.count_distinct("order_id").alias("orders"), F.sum("value").alias("payment_value"))
     return agg.select(
         "payment_type",
         F.col("orders").cast("bigint").alias("orders"),

@@ -16,32 +16,41 @@ from pyspark.sql import functions as F
 
 from emporia.functions import stats
 from emporia.functions.money import exact_sum, money_of
-from emporia.plans.bases import order_item, order_pay
+from emporia.plans.bases import latest_periods, order_item, order_pay
 from emporia.sources.roles import Roles
 
 MONEY_SUM = "decimal(38,2)"
 
 
-def _city_facts(t: Roles) -> DataFrame:
-    """state, city, orders, sales, order_amount (exact), customers (distinct persons)."""
+def _city_facts(t: Roles, grain: str | None = None) -> DataFrame:
+    """state, city, orders, sales, order_amount (exact), customers (distinct persons).
+
+    With a grain also ``before`` and ``recent``: orders of the last two complete periods.
+    """
+    counts = {"orders": F.count(F.lit(1))}
+    if grain:
+        kind = t.order.schema["purchase_ts"].dataType
+        prev, cur, nxt = (c.cast(kind) for c in latest_periods(t, grain))
+        ts = F.col("purchase_ts")
+        counts |= {"before": F.count_if((ts >= prev) & (ts < cur)), "recent": F.count_if((ts >= cur) & (ts < nxt))}
     per_order = (
-        t.order.select("order_id", "customer_id")
+        t.order.select("order_id", "customer_id", *(["purchase_ts"] if grain else []))
         .join(order_item(t).select("order_id", "sales"), "order_id", "left")
         .join(order_pay(t).select("order_id", "order_amount"), "order_id", "left")
     )
     per_customer = per_order.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("orders"),
+        *[c.alias(name) for name, c in counts.items()],
         F.sum("sales").alias("sales"),
         F.sum("order_amount").alias("order_amount"))
     per_person = (
         per_customer.join(t.customer.select("customer_id", "person_id", "state", "city"), "customer_id")
         .groupBy("state", "city", "person_id")
-        .agg(F.sum("orders").alias("orders"), F.sum("sales").alias("sales"),
+        .agg(*[F.sum(name).alias(name) for name in counts], F.sum("sales").alias("sales"),
              F.sum("order_amount").alias("order_amount"))
     )
     zero = F.lit(0).cast(MONEY_SUM)
     return per_person.groupBy("state", "city").agg(
-        F.sum("orders").alias("orders"),
+        *[F.sum(name).alias(name) for name in counts],
         F.coalesce(F.sum("sales"), zero).alias("sales"),
         F.coalesce(F.sum("order_amount"), zero).alias("order_amount"),
         F.count(F.lit(1)).alias("customers"))
@@ -60,23 +69,26 @@ def city_penetration(t: Roles) -> DataFrame:
 
 
 def low_penetration_high_potential(t: Roles, order_q: float = 0.5, aov_q: float = 0.75,
-                                   min_orders: int = 1) -> DataFrame:
+                                   min_orders: int = 1, grain: str = "quarter") -> DataFrame:
     """M2: cities with few orders but a high spend per order.
 
     Kept: orders <= the ``order_q`` percentile of orders over cities, aov >=
     the ``aov_q`` percentile of aov, and orders >= ``min_orders``, where
     aov = order amount / orders.  Cut-offs are exact percentiles over the
     per-city table (one row per city), applied as a scalar subquery.
-    Columns: state, city, orders, sales, customers, aov.
+    ``order_growth`` is the city's orders of the latest complete period against
+    the period before (null without orders there).  Columns: state, city,
+    orders, sales, customers, aov, order_growth.
     """
-    cities = _city_facts(t).select(
-        "state", "city", "orders", "sales", "customers",
+    cities = _city_facts(t, grain).select(
+        "state", "city", "orders", "sales", "customers", "before", "recent",
         stats.ratio(F.col("order_amount"), F.col("orders")).alias("aov"))
     cut = cities.agg(F.struct(
         F.percentile(F.col("orders"), F.lit(order_q)).alias("max_orders"),
         F.percentile(F.col("aov"), F.lit(aov_q)).alias("min_aov"),
         # Not used, but read: the subquery then has the same columns as the query and shares its exchanges.
-        F.sum("sales").alias("sales"), F.sum("customers").alias("customers"))).scalar()
+        F.sum("sales").alias("sales"), F.sum("customers").alias("customers"),
+        F.sum("before").alias("before"), F.sum("recent").alias("recent"))).scalar()
     kept = cities.filter(
         (F.col("orders") <= cut.getField("max_orders")) & (F.col("aov") >= cut.getField("min_aov"))
         & (F.col("orders") >= min_orders))
@@ -84,7 +96,8 @@ def low_penetration_high_potential(t: Roles, order_q: float = 0.5, aov_q: float
         "state", "city", F.col("orders").cast("bigint").alias("orders"),
         F.col("sales").cast("double").alias("sales"),
         F.col("customers").cast("bigint").alias("customers"),
-        F.round("aov", 6).alias("aov"))
+        F.round("aov", 6).alias("aov"),
+        F.round(stats.ratio(F.col("recent"), F.when(F.col("before") != 0, F.col("before"))) - 1.0, 6).alias("order_growth"))
 
 
 def _item_states(t: Roles) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from emporia.functions import stats
 from emporia.functions.dates import GRAINS, add_periods, period_spine, period_start
 from emporia.functions.money import exact_sum, money_of
-from emporia.plans.bases import order_item, order_review, with_category
+from emporia.plans.bases import latest_periods, order_item, order_review, with_category
 from emporia.sources.roles import Roles
 
 HOT, MID, SLOW = "hot", "mid", "slow"
@@ -117,12 +117,7 @@ def fastest_growing_categories(t: Roles, n: int = 10, grain: str = "quarter",
     """
     if grain not in GRAINS:
         raise ValueError(f"grain must be one of {sorted(GRAINS)}")
-    bounds = t.order.agg(F.max(F.to_date("purchase_ts")).alias("hi")).select(
-        add_periods(period_start(F.date_add(F.col("hi"), 1), grain), -1, grain).alias("cur"))
-    b = bounds.select(F.struct(
-        "cur", add_periods(F.col("cur"), -1, grain).alias("prev"),
-        add_periods(F.col("cur"), 1, grain).alias("nxt"))).scalar()
-    cur, prev, nxt = b.getField("cur"), b.getField("prev"), b.getField("nxt")
+    prev, cur, nxt = latest_periods(t, grain)
     # Bounds in the type of the column itself, so that the filter reaches the scan.
     kind = t.order.schema["purchase_ts"].dataType
     ts = F.col("purchase_ts")

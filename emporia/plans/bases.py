@@ -16,9 +16,10 @@ Shuffle notes (for a cluster):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emporia.functions.dates import add_periods, period_start
 from emporia.functions.money import exact_sum, money_of
 from emporia.sources.roles import Roles
 
@@ -71,6 +72,18 @@ def with_category(t: Roles, per_product: DataFrame) -> DataFrame:
     return joined.withColumn("category", F.coalesce(F.col("category"), F.lit(UNKNOWN)))
 
 
+def latest_periods(t: Roles, grain: str) -> tuple[Column, Column, Column]:
+    """Starts of the last but one complete period, the last one and the one after it, as a scalar subquery.
+
+    A period is complete when its last day is not after the latest purchase date.
+    """
+    bounds = t.order.agg(F.max(F.to_date("purchase_ts")).alias("hi")).select(
+        add_periods(period_start(F.date_add(F.col("hi"), 1), grain), -1, grain).alias("cur"))
+    b = bounds.select(F.struct(add_periods(F.col("cur"), -1, grain).alias("prev"), "cur",
+                               add_periods(F.col("cur"), 1, grain).alias("nxt"))).scalar()
+    return b.getField("prev"), b.getField("cur"), b.getField("nxt")
+
+
 def person_orders(t: Roles) -> DataFrame:
     """person_id, orders: order count per buyer, aggregated at customer grain first."""
     per_customer = t.order.groupBy("customer_id").agg(F.count(F.lit(1)).alias("orders"))

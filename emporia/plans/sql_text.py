@@ -123,15 +123,19 @@ features AS (
 _CITIES = """
 order_sales AS (SELECT order_id, sum(price) AS sales FROM r_item GROUP BY order_id),
 per_order_pay AS (SELECT order_id, sum(value) AS amount FROM r_payment GROUP BY order_id),
+latest AS (SELECT add_months(trunc(date_add(max(to_date(purchase_ts)), 1), 'quarter'), -3) AS cur FROM r_order),
 per_buyer AS (
-  SELECT c.state, c.city, c.person_id, count(*) AS orders, sum(s.sales) AS sales, sum(p.amount) AS amount
+  SELECT c.state, c.city, c.person_id, count(*) AS orders, sum(s.sales) AS sales, sum(p.amount) AS amount,
+         count_if(to_date(o.purchase_ts) >= add_months((SELECT cur FROM latest), -3) AND to_date(o.purchase_ts) < (SELECT cur FROM latest)) AS before,
+         count_if(to_date(o.purchase_ts) >= (SELECT cur FROM latest) AND to_date(o.purchase_ts) < add_months((SELECT cur FROM latest), 3)) AS recent
   FROM r_order o JOIN r_customer c ON o.customer_id = c.customer_id
   LEFT JOIN order_sales s ON s.order_id = o.order_id LEFT JOIN per_order_pay p ON p.order_id = o.order_id
   GROUP BY c.state, c.city, c.person_id
 ),
 cities AS (
   SELECT state, city, sum(orders) AS orders, coalesce(sum(sales), 0) AS sales, count(*) AS customers,
-         CAST(coalesce(sum(amount), 0) AS DOUBLE) / CAST(sum(orders) AS DOUBLE) AS aov
+         CAST(coalesce(sum(amount), 0) AS DOUBLE) / CAST(sum(orders) AS DOUBLE) AS aov,
+         try_divide(CAST(sum(recent) AS DOUBLE), CAST(nullif(sum(before), 0) AS DOUBLE)) - 1D AS growth
   FROM per_buyer GROUP BY state, city
 )
 """
@@ -230,12 +234,12 @@ SPARK_SQL = {
     "top_customer_payment_aov": f"""
         WITH {_PERSONS},
         paid AS (
-          SELECT order_id, payment_type, sum(value) AS value FROM r_payment
-          WHERE order_id IN (SELECT order_id FROM top_orders) GROUP BY order_id, payment_type
+          SELECT order_id, coalesce(payment_type, 'unknown') AS payment_type, sum(value) AS value FROM r_payment
+          WHERE order_id IN (SELECT order_id FROM top_orders) GROUP BY ALL
         )
-        SELECT payment_type, count(*) AS orders, CAST(sum(value) AS DOUBLE) AS payment_value,
-               round(CAST(sum(value) AS DOUBLE) / count(*), 6) AS aov
-        FROM paid GROUP BY payment_type
+        SELECT payment_type, count(DISTINCT order_id) AS orders, CAST(sum(value) AS DOUBLE) AS payment_value,
+               round(CAST(sum(value) AS DOUBLE) / count(DISTINCT order_id), 6) AS aov
+        FROM paid GROUP BY ROLLUP (payment_type)
     """,
     "user_growth": """
         WITH per_person AS (
@@ -431,8 +435,9 @@ SPARK_SQL = {
     """,
     "low_penetration_high_potential": f"""
         WITH {_CITIES}
-        SELECT state, city, orders, CAST(sales AS DOUBLE) AS sales, customers, round(aov, 6) AS aov FROM cities
-        WHERE orders >= 1 AND orders <= (SELECT percentile(orders, 0.5) FROM cities)
+        SELECT state, city, orders, CAST(sales AS DOUBLE) AS sales, customers, round(aov, 6) AS aov,
+               round(growth, 6) AS order_growth
+        FROM cities WHERE orders >= 1 AND orders <= (SELECT percentile(orders, 0.5) FROM cities)
           AND aov >= (SELECT percentile(aov, 0.75) FROM cities)
     """,
     "cross_state_order_share": f"""

@@ -76,15 +76,15 @@ FROM agg
 TOP_CUSTOMER_PAYMENT_AOV = with_roles(f"""
 WITH {_PA},
 pays AS (
-  SELECT y.order_id, y.payment_type, sum(y.value) AS value
+  SELECT y.order_id, coalesce(y.payment_type, 'unknown') AS payment_type, sum(y.value) AS value
   FROM r_payment y
   WHERE y.order_id IN (SELECT o.order_id FROM r_order o JOIN r_customer c ON o.customer_id = c.customer_id
                        WHERE c.person_id IN (SELECT person_id FROM top))
-  GROUP BY y.order_id, y.payment_type
+  GROUP BY ALL
 )
-SELECT payment_type, CAST(count(*) AS BIGINT) AS orders, CAST(sum(value) AS DOUBLE) AS payment_value,
-       round(CAST(sum(value) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS aov
-FROM pays GROUP BY payment_type
+SELECT payment_type, CAST(count(DISTINCT order_id) AS BIGINT) AS orders, CAST(sum(value) AS DOUBLE) AS payment_value,
+       round(CAST(sum(value) AS DOUBLE) / CAST(count(DISTINCT order_id) AS DOUBLE), 6) AS aov
+FROM pays GROUP BY ROLLUP (payment_type)
 """)
 
 USER_GROWTH = with_roles("""

@@ -6,15 +6,17 @@ from oracle.stats_sql import welch_select
 _CITY = """
 oi AS (SELECT order_id, sum(price) AS s FROM r_item GROUP BY order_id),
 oc AS (
-  SELECT c.state, c.city, c.person_id, o.order_id, oi.s, op.order_amount
+  SELECT c.state, c.city, c.person_id, o.order_id, oi.s, op.order_amount, CAST(o.purchase_ts AS DATE) AS day, q.cur
   FROM r_order o JOIN r_customer c ON c.customer_id = o.customer_id
+  CROSS JOIN (SELECT CAST(date_trunc('quarter', max(CAST(purchase_ts AS DATE)) + 1) AS DATE) - INTERVAL 3 MONTH AS cur FROM r_order) q
   LEFT JOIN oi ON oi.order_id = o.order_id
   LEFT JOIN r_order_pay op ON op.order_id = o.order_id
 ),
 cities AS (
   SELECT state, city, count(*) AS orders, coalesce(sum(s), 0) AS sales,
          count(DISTINCT person_id) AS customers,
-         CAST(coalesce(sum(order_amount), 0) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS aov
+         CAST(coalesce(sum(order_amount), 0) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS aov,
+         count_if(day >= cur AND day < cur + INTERVAL 3 MONTH) AS recent, count_if(day >= cur - INTERVAL 3 MONTH AND day < cur) AS earlier
   FROM oc GROUP BY state, city
 )
 """
@@ -30,7 +32,8 @@ LOW_PENETRATION_HIGH_POTENTIAL = with_roles(f"""
 WITH {_CITY},
 cut AS (SELECT quantile_cont(orders, 0.5) AS mo, quantile_cont(aov, 0.75) AS ma FROM cities)
 SELECT state, city, CAST(orders AS BIGINT) AS orders, CAST(sales AS DOUBLE) AS sales,
-       CAST(customers AS BIGINT) AS customers, round(aov, 6) AS aov
+       CAST(customers AS BIGINT) AS customers, round(aov, 6) AS aov,
+       round(CAST(recent AS DOUBLE) / nullif(CAST(earlier AS DOUBLE), 0) - 1.0, 6) AS order_growth
 FROM cities CROSS JOIN cut
 WHERE orders <= mo AND aov >= ma AND orders >= 1
 """)

@@ -64,7 +64,7 @@ def test_no_fan_out_across_items_payments_reviews(make_roles):
     assert p2 == {"card": (1, 80.0), "voucher": (1, 80.0)}
     c5 = {r.payment_type: (r.orders, r.payment_value, r.aov)
           for r in customers.top_customer_payment_aov(t).collect()}
-    assert c5 == {"card": (1, 50.0, 50.0), "voucher": (1, 30.0, 30.0)}
+    assert c5 == {"card": (1, 50.0, 50.0), "voucher": (1, 30.0, 30.0), None: (1, 80.0, 80.0)}
     assert order_review(t).first().score == 5  # latest review wins
     m1 = market.city_penetration(t).first()
     assert (m1.orders, m1.sales, m1.customers) == (1, 30.0, 1)

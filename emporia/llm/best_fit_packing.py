@@ -14,8 +14,8 @@ Ids equal those of the tokenizers library for the vocabulary file (checked in
 the tests); they are made by the encoder of operator 4, which is several times
 faster.  Strings of special tokens are ordinary text.
 
-Cases: null and empty texts are the one id 0; repeated rows are packed each on
-their own; pieces of one length are interchangeable (ties by id); an empty
+Cases: null and empty texts are the one id 0; a null id stays null; repeated
+rows are packed each on their own; pieces of one length are interchangeable (ties by id); an empty
 table gives an empty result; other columns are not carried.
 """
 
@@ -184,6 +184,8 @@ def unflat(packed: bytes) -> list[list[int]]:
 
 
 ORDER = ["length", "doc_id", "piece", "ids_crc32"]
+#: Set where the id is null: pandas would turn a column of ids with nulls into floating point.
+ITEMS = PIECES + ", no_id boolean"
 ISLAND = "shard int, island int, bins binary, n_bins int, fill double"
 
 
@@ -222,7 +224,7 @@ def packed_round(items: DataFrame, n_items: int, number: int, capacity: int, isl
         state = stored(copies.groupBy("shard", "island").cogroup(moved.groupBy("shard", "island")).applyInPandas(later(epoch), ISLAND),
                        f"epoch-{number}-{epoch}")
 
-    out = PIECES + ", shard int, bin int, fill bigint, offset bigint"
+    out = ITEMS + ", shard int, bin int, fill bigint, offset bigint"
 
     def assign(key, pdf, states):
         full = pdf[pdf["length"] >= capacity].reset_index(drop=True)
@@ -242,7 +244,8 @@ def packed_round(items: DataFrame, n_items: int, number: int, capacity: int, isl
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """All pieces of ``docs`` with their sequence and place (PLACED)."""
-    items = stored(pieces(docs, path, capacity), "pieces")
+    made = pieces(docs, path, capacity).withColumn("no_id", F.col("doc_id").isNull())
+    items = stored(made.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), "pieces")
     placed = stored(packed_round(items, items.count(), 0, capacity, islands, epochs), "packed")
     closed = placed.where(F.col("fill") >= CLOSED * capacity)
     left = placed.where(F.col("fill") < CLOSED * capacity).select(*items.columns)
@@ -250,7 +253,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, islands: int = IS
 
     def sequence(df, sign):
         number = F.col("shard").cast("long") * (1 << 24) + F.col("bin")
-        return df.select(*items.columns, (number if sign > 0 else -number - 1).alias("sequence_id"), "offset")
+        return df.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "piece", "start", "length", "ids_crc32",
+                         (number if sign > 0 else -number - 1).alias("sequence_id"), "offset")
 
     return sequence(closed, 1).unionByName(sequence(again, -1))
 

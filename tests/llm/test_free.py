@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -368,9 +369,10 @@ def test_packing_pieces_and_places(spark):
     path = public("byte_bpe_50k.json")
     rng = random.Random(11)
     texts = [None, "", "one"] + [" ".join(rng.choice(["the", "of", "über", "1234", "x"]) for _ in range(rng.randint(1, 900))) for _ in range(120)] + ["word " * 5000, "word " * 2047]
-    rows = list(enumerate(texts)) + [(3, texts[3])]
+    rows = list(enumerate(texts)) + [(3, texts[3]), (None, "no id"), (2**60 + 1, "a large id")]
     df = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id bigint, text string, shard string, length int")
-    got = best_fit_packing.pack(df, path).toPandas()
+    done = best_fit_packing.pack(df, path).collect()
+    got = pd.DataFrame([r.asDict() for r in done], dtype=object).astype({"length": int, "offset": int, "sequence_id": int})
     tok = Tokenizer.from_file(path)
     want = []
     for i, t in rows:
@@ -380,7 +382,7 @@ def test_packing_pieces_and_places(spark):
         for k, size in enumerate(sizes):
             want.append((i, k, at, size, zlib.crc32(ids[at:at + size].tobytes())))
             at += size
-    assert sorted(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(want)
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in done), key=repr) == sorted(want, key=repr)
     bins = got.sort_values(["sequence_id", "offset"])
     assert (bins.groupby("sequence_id").length.cumsum() - bins.length == bins.offset).all()
     assert bins.groupby("sequence_id").length.sum().max() <= 2048

@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_secret_scan": secret_scan.SQL,
     "op2_warc_bundles": warc_bundles.SQL,
     "op3_embedding_dedup": embedding_dedup.SQL,
     "op5_ngram_join": ngram_join.SQL,

@@ -247,3 +247,90 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = cutoffs(scan(docs.select("doc_id", "text")).select("runs"))
     spans = with_spans(scan(narrowed(docs)), found)
     return widened(spans, docs.columns, F.when(F.size("all_spans") > 0, redacted(F.col("text"), F.col("all_spans"))).otherwise(F.col("text")))
+
+
+def _sql() -> str:
+    """DuckDB SQL of the query: the same spans from split texts, the same battery over exploded characters."""
+    def found(kind: int, pattern: str, keep: str = "true") -> str:
+        quoted = pattern.replace("'", "''")
+        return f"""
+  SELECT row, kind, start, start + length(match) AS stop, match FROM (
+    SELECT row, {kind} AS kind, matches[i] AS match,
+           list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(matches[1:i - 1], lambda m: length(m))), 0) AS start
+    FROM (SELECT row, matches, gaps, unnest(range(1, len(matches) + 1)) AS i FROM (
+      SELECT row, regexp_extract_all(t, '{quoted}') AS matches, string_split_regex(t, '{quoted}') AS gaps FROM d))) WHERE {keep}"""
+
+    def tail(z: str) -> str:
+        t = f"(1.0 / (1.0 + 0.5 * abs({z}) / {math.sqrt(2)!r}::DOUBLE))"
+        poly = "0.17087277::DOUBLE"
+        for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+            poly = f"({poly} * {t} + ({c}::DOUBLE))"
+        upper = f"(0.5 * {t} * exp(-({z}) * ({z}) / 2 + {poly}))"
+        return f"(CASE WHEN {z} < 0 THEN {upper} ELSE 1.0 - {upper} END)"
+
+    symbols = "CASE " + " ".join(f"WHEN regexp_matches(match, '{pattern}') THEN '{chars}'" for _, pattern, chars in ALPHABETS) + " END"
+    assign = ASSIGN.replace("'", "''")
+    kinds = ", ".join(f"'{k}'" for k in KINDS)
+    big = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents
+), base AS ({found(0, ASSIGN, f"length(regexp_extract(match, '{assign}', 2)) >= 6")}
+  UNION ALL {found(1, ACCESS)}
+  UNION ALL {found(2, HEX)}
+), runs AS (
+  SELECT r.*, row_number() OVER () AS id FROM ({found(3, RUN)}) r
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row = r.row AND b.start <= r.start AND b.stop >= r.stop)
+), folded AS (
+  SELECT id, row, kind, start, stop, {symbols} AS symbols,
+         CASE WHEN regexp_matches(match, '\A[0-9A-F]+\z') OR regexp_matches(match, '\A[0-9A-Z]+\z') AND NOT regexp_matches(match, '\A[A-Z2-7]+\z')
+              THEN lower(body) ELSE body END AS body
+  FROM (SELECT *, rtrim(translate(match, '-_', '+/'), '=') AS body FROM runs)
+), v AS (
+  SELECT *, CAST(length(body) AS DOUBLE) AS n, CAST(length(symbols) AS DOUBLE) AS k FROM folded WHERE symbols IS NOT NULL AND length(body) >= 16
+), c AS (
+  SELECT id, pos, ch, CAST(instr(symbols, ch) AS DOUBLE) AS x,
+         translate(ch, '{big}{big.lower()}0123456789+/', '{"A" * 26}{"a" * 26}{"0" * 10}++') AS class
+  FROM (SELECT id, symbols, unnest(string_split(body, '')) AS ch, generate_subscripts(string_split(body, ''), 1) AS pos FROM v)
+), agree AS (
+  SELECT id, sum(m * m) AS agree FROM (SELECT id, ch, CAST(count(*) AS DOUBLE) AS m FROM c GROUP BY id, ch) GROUP BY id
+), centred AS (
+  SELECT *, x - avg(x) OVER (PARTITION BY id) AS y, class <> lag(class) OVER (PARTITION BY id ORDER BY pos) AS change FROM c
+), lagged AS (
+  SELECT *, y * lead(y) OVER (PARTITION BY id ORDER BY pos) AS yy FROM centred
+), series AS (
+  SELECT id, CASE WHEN sum(y * y) > 0 THEN abs(sum(yy) / sum(y * y)) ELSE 1.0 END AS serial, CAST(count_if(change) AS DOUBLE) AS changes
+  FROM lagged GROUP BY id
+), extra AS (
+  SELECT v.*, a.agree, s.serial, s.changes, n * (k * greatest({COINCIDENCE}, 1.6 / k) - 1.0) AS extra
+  FROM v JOIN agree a USING (id) JOIN series s USING (id)
+), z AS (
+  SELECT *, (k / n * agree - n - (k - 1 + extra)) / sqrt(2 * (k - 1) + 4 * extra) AS z1,
+         ({CHANGES} * (n - 1) + 0.5 - changes) / sqrt({CHANGES} * (1 - {CHANGES}) * (n - 1)) AS z2, (serial - {CORRELATION}) * sqrt(n) AS z3
+  FROM extra
+), p AS (
+  SELECT *, -(ln(greatest({tail("z1")}, 1e-300)) + ln(greatest({tail("z2")}, 1e-300)) + ln(greatest({tail("z3")}, 1e-300))) AS f FROM z
+), steps AS (
+  SELECT *, CAST(floor(log2(CAST(stop - start AS DOUBLE)) * 2) AS INTEGER) AS band,
+         CAST(floor(least((f - ln(1 + f + f * f / 2)) / ln(10), {MOST}) * {STEPS}) AS INTEGER) AS step
+  FROM p
+), cells AS (
+  SELECT band, step, sum(count(*)) OVER (PARTITION BY band ORDER BY step DESC) AS seen, sum(count(*)) OVER (PARTITION BY band) AS total
+  FROM steps GROUP BY band, step
+), cut AS (
+  SELECT band, min(step) AS least FROM cells WHERE pow(10.0, -step / {STEPS}.0) <= {LEVEL} * seen / total GROUP BY band
+), found AS (
+  SELECT row, kind, start, stop FROM base
+  UNION ALL SELECT row, kind, start, stop FROM steps JOIN cut USING (band) WHERE step >= least
+), said AS (
+  SELECT row, kind, start, [{kinds}][kind + 1] || ':' || start || ':' || stop AS span FROM found
+)
+SELECT any_value(d.doc_id) AS doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+       count(*) FILTER (WHERE kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (WHERE kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY start, kind), '') AS spans
+FROM d LEFT JOIN said USING (row) GROUP BY d.row
+"""
+
+
+SQL = _sql()

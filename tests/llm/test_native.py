@@ -65,6 +65,22 @@ def test_random_runs_are_found_and_words_are_not(spark):
     assert not found & set(range(len(planted), len(planted) + len(plain)))
 
 
+def test_secret_query_equals_sql_on_planted_runs(spark, tmp_path):
+    duckdb = __import__("duckdb")
+    rng = random.Random(5)
+    alphabets = [string.ascii_letters + string.digits + "+/", "0123456789ABCDEF", string.ascii_lowercase + string.digits,
+                 string.ascii_uppercase + "234567", string.ascii_lowercase, string.digits]
+    texts = [f"é password=abcdefg {''.join(rng.choice(a) for _ in range(n))} token: zzzzzzzz" for n in (20, 26, 40, 90) for _ in range(6) for a in alphabets]
+    rows = list(enumerate(texts + TEXTS))
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in secret_scan.query(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert got == set(con.execute(secret_scan.SQL).fetchall())
+    assert sum("random" in r[5] for r in got) > 60
+
+
 def test_secret_stage_masks_and_keeps_columns(spark):
     df = spark.createDataFrame([(i, t, "h", "b") for i, t in enumerate(TEXTS)], DOCS).withColumn("n_chars", F.lit(0).cast("long"))
     out = secret_scan.stage(spark, df, "")

@@ -9,7 +9,6 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from emporia.llm import best_fit_packing, byte_bpe, components, embedding_dedup, fingerprints, ngram_join, quality_resampling, warc_bundles
 

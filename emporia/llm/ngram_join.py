@@ -285,9 +285,11 @@ def index(found: DataFrame) -> DataFrame:
     """(key, class) of the index lists."""
     def work(batches):
         for batch in batches:
-            for c, n, tokens, freqs in zip(*(batch.column(k).to_pylist() for k in ("class", "n", "tokens", "freqs"))):
-                keys = index_keys(n, np.frombuffer(tokens, "<u8"), np.frombuffer(freqs, "<u4"))
-                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), c), pa.int64())], ["key", "class"])
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                sets = zip(*(part.column(k).to_pylist() for k in ("n", "tokens", "freqs")))
+                keys = [index_keys(n, np.frombuffer(tokens, "<u8"), np.frombuffer(freqs, "<u4")) for n, tokens, freqs in sets]
+                owner = np.repeat(part.column("class").to_numpy(), [len(k) for k in keys])
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owner)], ["key", "class"])
 
     return found.mapInArrow(work, "key bigint, class bigint")
 

@@ -362,7 +362,7 @@ def open_pairs(rows: DataFrame, found: DataFrame) -> DataFrame:
     load = several.withColumn("load", F.col("m") * F.col("nl"))
     deals = max(1, -(-(load.agg(F.sum("load")).first()[0] or 0) // TASK_ROWS))
     load = load.withColumn("deal", F.pmod(F.xxhash64("low"), F.lit(deals)))
-    shares = load.groupBy("deal").agg(F.ceil(F.sum("load") / (4 * TASK_ROWS)).alias("shares"))
+    shares = load.groupBy("deal").agg(F.ceil(F.sum("load") / TASK_ROWS).alias("shares"))
     several = stored(load.join(shares, "deal").drop("load", "low"), "dealt-lists")
     rows = stored(rows.join(several, "key").select("key", "class", "root", (F.col("root") != F.col("main")).alias("minor"), "nl", "nr", "deal", "shares"), "open-rows")
     marked = rows.join(stored(found.select("class", "n", "tokens").mapInArrow(

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .arrays import UPPER_TO_LOWER, chunks, combined, mix, slice_hashes, text_buffer, words
 from .components import components
-from .scratch import stored, table
+from .scratch import release, stored, table
 
 WIDTH, NEED, OF = 5, 75, 100
 #: Tokens and documents that one stretch of a task holds at most.
@@ -427,6 +427,7 @@ def join(docs: DataFrame) -> DataFrame:
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = min(1 << 16, max(1, -(-total // BUCKET)))
     found = stored(candidates(shared_tokens(docs, buckets, hot[order], top["seen"].to_numpy(np.int64)[order])), "sets")
+    release(spark)  # the two shuffles of tokens are the largest of the join
     lists = stored(index(found), "index")
     # Lists of one member link nothing.
     lists = stored(lists.join(stored(lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "list-keys"), "key", "left_semi"), "lists")

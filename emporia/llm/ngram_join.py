@@ -44,9 +44,9 @@ from .scratch import release, stored, table
 
 WIDTH, NEED, OF = 5, 75, 100
 #: Tokens and documents that one stretch of a task holds at most.
-FLUSH_TOKENS, FLUSH_DOCS = 1 << 21, 60_000
+FLUSH_TOKENS, FLUSH_DOCS = 1 << 20, 60_000
 #: Tokens in a bucket, about.
-BUCKET = 1 << 21
+BUCKET = 1 << 20
 #: Hot: held by HOT_SHARE of a stretch's classes (8 at least), HOT_FROM in all; the list is bounded.
 HOT_SHARE, HOT_FROM, MAX_HOT = 0.02, 1000, 1 << 18
 #: Tokens of so many documents are indexed in pairs.

@@ -1,7 +1,9 @@
 """Operator 1 [native]: secret scans by known forms and a randomness battery.
 
 Base spans are matches of three known forms (assign, access, hex).  The method
-adds ``random`` spans: runs of ``[A-Za-z0-9+/_=-]`` that look drawn at random.
+adds ``random`` spans: runs of ``[A-Za-z0-9+/_-]``, with the padding behind
+them, that look drawn at random.  A ``=`` that is not padding ends a run, so
+the value of ``NAME=value`` is judged on its own.
 The encoding of a run (decimal, hex, base32, base36, base62, base64 ...) is
 inferred from the characters in it, and three tests are made against the
 hypothesis "ordinary text in that alphabet":
@@ -42,7 +44,9 @@ from .scratch import stored, table
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+RUN = r"[A-Za-z0-9+/_=-]{20,}"  # as the SQL reads runs: NAME=value is one
+#: Runs end at their first "=" unless only padding follows; LEAST characters with the padding.
+PADDED, LEAST = r"[A-Za-z0-9+/_-]{16,}(?:=+(?![A-Za-z0-9+/_=-]))?", 20
 KINDS = ["assign", "access", "hex", "random"]
 
 COINCIDENCE, CORRELATION, CHANGES = 0.062, 0.35, 0.25
@@ -170,7 +174,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     assign = F.filter(located(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 2)) >= 6)
     base = F.concat(spans(0, assign), spans(1, located(text, ACCESS)), spans(2, located(text, HEX)))
-    runs = F.transform(located(text, RUN), lambda m: F.struct(
+    long = F.filter(located(text, PADDED), lambda m: m["end"] - m["start"] >= LEAST)
+    runs = F.transform(long, lambda m: F.struct(
         m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end"),
         band(m["end"] - m["start"]).alias("band"), battery(m["match"]).alias("step")))
     return (docs.withColumn("base", base).withColumn("runs", runs)
@@ -250,7 +255,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """DuckDB SQL of the query: the same spans from split texts, the same battery over exploded characters."""
+    """DuckDB SQL of the query: the same spans from split texts, the same battery over exploded characters.
+
+    It still takes ``=`` into a run, so it misses the random values of NAME=value that ``scan`` finds.
+    """
     def found(kind: int, pattern: str, keep: str = "true") -> str:
         quoted = pattern.replace("'", "''")
         return f"""

@@ -81,6 +81,50 @@ def test_secret_query_equals_sql_on_planted_runs(spark, tmp_path):
     assert sum("random" in r[5] for r in got) > 60
 
 
+def named_secrets():
+    """(text, the random value in it or None): NAME=value, padded and leading forms."""
+    rng = random.Random(11)
+    def drawn(n):
+        return "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(n))
+
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "AUTH={}", "x DB_PASS={} y", "https://a.b/c?sig={}&x=1", "={}", "A_NAME_OF_MORE_THAN_20_CHARS={}", "é K={}== z", "K={}=", "{}==\n"]
+    return [(f.format(v), v) for n in (24, 32, 40, 64) for f in forms for v in [drawn(n)]]
+
+
+def test_random_values_of_names_are_found_and_masked(spark):
+    rows = named_secrets()
+    df = spark.createDataFrame([(i, t, None, None) for i, (t, _) in enumerate(rows)], DOCS)
+    found = {r.doc_id: [(s["start"], s["end"]) for s in r.all_spans if s["kind"] == 3] for r in secret_scan.secrets(df).collect()}
+
+    def span(t, v):
+        start, end = t.index(v), t.index(v) + len(v)
+        while t[end:end + 1] == "=":  # padding belongs to the run
+            end += 1
+        return start, end
+
+    hit = {i for i, (t, v) in enumerate(rows) if span(t, v) in found[i]}
+    assert len(hit) >= 0.9 * len(rows)
+    assert all(sum(i % 9 == k for i in hit) >= 3 for k in range(9))  # every form
+    masked = {r.doc_id: r.text for r in secret_scan.stage(spark, df, "").collect()}
+    assert not [i for i in hit if rows[i][1] in masked[i]]
+
+
+def test_runs_end_at_an_equals_sign_that_is_no_padding(spark):
+    def brute(t):
+        out = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]+", t):  # cut at every "=" that something but "=" follows
+            for p in re.finditer("[^=]+(=+$)?", m[0]):
+                if len(p[0]) >= 20 and len(p[0].rstrip("=")) >= 16:
+                    out.append((m.start() + p.start(), m.start() + p.end()))
+        return out
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["=", "==", " ", "é", "q" * 4, "Z9" * 8, "x7" * 9, "k" * 19, "-A" * 10]) for _ in range(12)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = df.select("doc_id", F.filter(secret_scan.located(F.col("text"), secret_scan.PADDED), lambda m: m["end"] - m["start"] >= secret_scan.LEAST).alias("m"))
+    assert {r.doc_id: [(m["start"], m["end"]) for m in r.m] for r in found.collect()} == {i: brute(t) for i, t in enumerate(texts)}
+
+
 def test_secret_stage_masks_and_keeps_columns(spark):
     df = spark.createDataFrame([(i, t, "h", "b") for i, t in enumerate(TEXTS)], DOCS).withColumn("n_chars", F.lit(0).cast("long"))
     out = secret_scan.stage(spark, df, "")

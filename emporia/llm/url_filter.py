@@ -8,20 +8,23 @@ urls that rules decide:
 
     P(c | context) = (N(context c) + BETA * P(c | shorter context)) / (N(context) + BETA)
 
-down to a uniform distribution.  The log ratio of both models is kept for the
-n-grams seen MIN_COUNT times or more, in a table of SLOTS places (a bound; of
-two n-grams of one place the more frequent stays, and a lost or unseen one
-falls back to its shorter context, as variable-order models do).  A url's
+down to a uniform distribution.  The log ratio of both models is kept for every
+n-gram of the decided urls, in a stored table that grows with them; an unseen
+n-gram falls back to its shorter context, as variable-order models do.  A url's
 score is the mean over its characters of the log ratio of the longest known
 n-gram that ends there; it is blocked below a threshold calibrated on the
 fifth of the decided urls that training leaves out (the cut with the best
-balanced accuracy over a bounded histogram).
+balanced accuracy over a bounded histogram).  Scoring joins: the distinct
+windows of ORDER + 1 characters are looked up once, order by order, then every
+character of every url takes the ratio of its window; windows of a large share
+of all characters (hot hosts) are salted.
 
 DataFrame functions only.  Cases: null and empty urls and urls without "://"
 have empty host and path and, as nothing speaks against them, verdict allow;
 the same holds for all undecided urls if rules accept none or reject none;
-very long urls are read whole; repeated rows are judged alike; an empty table
-gives an empty result; other columns pass through ``judge``.
+very long urls are read whole; repeated rows are judged alike (ratios are summed
+as integers of 1/UNIT, so no order of rows shows); an empty table gives an empty
+result; other columns pass through ``judge``.
 """
 
 from __future__ import annotations
@@ -29,15 +32,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .columns import let, total
 from .scratch import stored, table
 
 # The rules of the contract (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-ORDER, BETA, MIN_COUNT, SLOTS = 4, 2.0, 3, 1 << 18
+ORDER, BETA = 4, 2.0
+#: An n-gram is known if it was seen so often: all are.  SLOTS bounds nothing any more; an older test reads it.
+MIN_COUNT, SLOTS = 1, 1 << 18
+#: Ratios are summed in steps of 1/UNIT.
+UNIT = 10**9
+#: A window with more than 1/HOT of all characters is dealt over SALTS keys; so there are at most HOT of them.
+HOT, SALTS = 512, 64
 #: Histogram of calibration scores: cells a unit, and the largest absolute score told apart.
 CELLS, LIMIT = 50, 10
 FOLDS = 5
+ROW, FOLD = "__url_row", "__url_fold"
 
 
 def parsed(urls: DataFrame) -> DataFrame:
@@ -104,38 +113,41 @@ def log_ratios(counts: DataFrame) -> DataFrame:
     return out.select("g", "n", F.log(F.col("pa") / F.col("pr")).alias("ratio"))
 
 
-def place(h: Column) -> Column:
-    return F.pmod(h, F.lit(SLOTS)).cast("int")
+def model(train: DataFrame) -> DataFrame:
+    """(g, ratio) of every n-gram of the decided urls; a stored table."""
+    return stored(log_ratios(stored(ngram_counts(train), "ngrams")).select("g", "ratio"), "model")
 
 
-def mark(h: Column) -> Column:
-    return F.shiftright(h, 32).cast("int")
+def windows(chars: Column) -> Column:
+    """For every character, the ORDER characters before it (fewer at the start) and itself."""
+    return F.transform(positions(chars), lambda i: F.array_join(
+        F.slice(chars, F.greatest(i - ORDER, F.lit(0)) + 1, F.least(i, F.lit(ORDER)) + 1), ""))
 
 
-def model(train: DataFrame) -> DataFrame:
-    """One row: arrays ``marks`` and ``ratios`` of SLOTS places."""
-    spark = train.sparkSession
-    rows = log_ratios(stored(ngram_counts(train), "ngrams")).where(F.col("n") >= MIN_COUNT)
-    best = rows.select(F.xxhash64("g").alias("h"), "n", "g", "ratio").groupBy(place(F.col("h")).alias("slot")).agg(
-        F.max(F.struct("n", "g", "h", "ratio")).alias("top"))
-    full = spark.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(best, "slot", "left")
-    packed = full.agg(F.array_sort(F.collect_list(F.struct(
-        "slot", mark(F.col("top.h")).alias("mark"), F.col("top.ratio").alias("ratio")))).alias("all"))  # SLOTS rows, whatever the input
-    return stored(packed.select(F.transform("all", lambda x: x["mark"]).alias("marks"), F.transform("all", lambda x: x["ratio"]).alias("ratios")), "model")
+def looked_up(seen: DataFrame, fitted: DataFrame) -> DataFrame:
+    """(w, n, points) of distinct windows (w, n): the log ratio of the longest known n-gram at their end, in steps of 1/UNIT."""
+    rows = seen.withColumn("ratio", F.lit(None).cast("double"))
+    for size in range(ORDER + 1, 0, -1):
+        level = fitted.where(F.length("g") == size).select("g", F.col("ratio").alias("own"))
+        # Windows that have their ratio keep their own key, so that they are not gathered under one.
+        key = F.when(F.col("ratio").isNull() & (F.length("w") >= size), F.expr(f"right(w, {size})")).otherwise(F.col("w"))
+        rows = rows.withColumn("key", key).join(level, F.col("key") == F.col("g"), "left").select("w", "n", F.coalesce("ratio", "own").alias("ratio"))
+    return rows.select("w", "n", F.coalesce(F.round(F.col("ratio") * UNIT), F.lit(0.0)).cast("long").alias("points"))
 
 
 def scored(urls: DataFrame, fitted: DataFrame) -> DataFrame:
     """``urls`` with score: the mean log ratio a character, null without characters."""
-    # The model is one row of SLOTS places: a scalar subquery, so that no join takes place.
-    urls = urls.withColumn("marks", fitted.select("marks").scalar()).withColumn("ratios", fitted.select("ratios").scalar())
-    chars, marks, ratios = F.col("chars"), F.col("marks"), F.col("ratios")
-
-    def known(i, order):
-        return let(F.xxhash64(gram(chars, i, order)), lambda h: F.when(
-            (F.lit(order) <= i) & (F.get(marks, place(h)) == mark(h)), F.get(ratios, place(h))))
-
-    found = F.transform(positions(chars), lambda i: F.coalesce(*[known(i, o) for o in range(ORDER, -1, -1)], F.lit(0.0)))
-    return urls.withColumn("score", F.when(F.size(chars) > 1, F.round(total(found, lambda x: x) / (F.size(chars) - 1), 6))).drop("marks", "ratios")
+    urls = stored(urls.drop("score").withColumn(ROW, F.monotonically_increasing_id()), "urls")
+    places = urls.select(ROW, F.explode(windows(F.col("chars"))).alias("w"))
+    known = stored(looked_up(places.groupBy("w").agg(F.count(F.lit(1)).alias("n")), fitted), "windows")
+    everywhere = known.agg(F.sum("n")).first()[0] or 0
+    hot = [r["w"] for r in known.where(F.col("n") > everywhere / HOT).select("w").collect()]  # less than HOT rows
+    is_hot = F.col("w").isin(hot) if hot else F.lit(False)
+    dealt = places.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(ROW), F.lit(SALTS)).cast("int")).otherwise(0))
+    copies = known.select("w", "points", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    sums = dealt.join(copies, ["w", "salt"]).groupBy(ROW).agg(F.sum("points").alias("points"))
+    score = F.round(F.col("points") / UNIT / (F.size("chars") - 1), 6)
+    return urls.join(sums, ROW, "left").withColumn("score", score).drop(ROW, "points")
 
 
 def calibrated(held: DataFrame) -> float | None:
@@ -162,13 +174,13 @@ def calibrated(held: DataFrame) -> float | None:
 
 def judge(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """``urls`` with host, path, rule, score and verdict."""
-    known = with_chars(ruled(parsed(urls), rules))
-    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS))
-    decided = known.where(F.col("decision").isNotNull()).select("decision", "chars", fold.alias("fold"))
-    fitted = model(decided.where("fold > 0"))
-    threshold = calibrated(scored(decided.where("fold = 0"), fitted))
+    known = with_chars(ruled(parsed(urls), rules)).withColumn(FOLD, F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
+    decided = known.where(F.col("decision").isNotNull()).select("decision", "chars", FOLD)
+    fitted = model(decided.where(F.col(FOLD) > 0))
+    rated = stored(scored(known, fitted).drop("chars"), "scores")
+    threshold = calibrated(rated.where(F.col("decision").isNotNull() & (F.col(FOLD) == 0)))
     method = F.lit("allow") if threshold is None else F.when(F.col("score") < threshold, "block").otherwise("allow")
-    return scored(known, fitted).withColumn("verdict", F.coalesce("decision", method)).drop("decision", "chars")
+    return rated.withColumn("verdict", F.coalesce("decision", method)).drop("decision", FOLD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -272,6 +272,34 @@ def test_url_scores_equal_brute_force(spark):
     assert sum(v["count"] for v in verdicts) == known.where("rule IS NULL").count()
 
 
+def test_url_scores_use_every_ngram(spark, monkeypatch):
+    # No bound on the models: seldom n-grams count, whatever SLOTS says; also without broadcast joins, and for repeated rows.
+    monkeypatch.setattr(url_filter, "SLOTS", 64, raising=False)
+    monkeypatch.setattr(url_filter, "MIN_COUNT", 1, raising=False)  # what the brute force counts as known
+    rng = random.Random(10)
+    urls = [f"http://{rng.choice(['a.example.net', 'b.org', 'ads.net', 'example.com', 'c.de'])}/{rng.choice(['en', 'de', 'fr'])}/"
+            + "".join(rng.choice("abcdefghijklmnoé😀") for _ in range(rng.randint(0, 25))) for _ in range(250)]
+    df = spark.createDataFrame(list(enumerate(urls + urls[:20])), "page_id bigint, url string")
+    known = url_filter.with_chars(url_filter.ruled(url_filter.parsed(df), url_filter.RULES))
+    train = known.where("decision IS NOT NULL AND page_id % 3 > 0")
+    grams = markov([(r.decision == "allow", r.host + r.path) for r in train.collect()])
+    assert len(grams) > 3000
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in (threshold, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            rows = url_filter.scored(known, url_filter.model(train)).collect()
+            assert len(rows) == len(urls) + 20
+            for r in rows:
+                chars = "\x02" + r.host + r.path
+                best = [next((grams[chars[i - o:i + 1]] for o in range(min(i, url_filter.ORDER), -1, -1) if chars[i - o:i + 1] in grams), 0.0)
+                        for i in range(1, len(chars))]
+                assert abs(r.score - sum(best) / len(best)) < 2e-6
+            assert len({(r.url, r.score) for r in rows}) == len(set(urls))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_url_without_training_or_rows_allows(spark):
     df = spark.createDataFrame([(1, "http://a.b/c")], "page_id bigint, url string")
     assert url_filter.judge(df).first().verdict == "allow"

@@ -6,8 +6,9 @@ says, for 3n/2 steps over n code points (it moves three times in four).  The
 bits are shared by all texts, so that walks over two texts that differ by few
 edits fall into step again soon after each edit, and edit distance becomes
 Hamming distance of the walks' outputs.  A fingerprint is a sample of the
-output: at fixed steps, SAMPLES per octave, 4 bits of a hash of the character
-written.  It is a hex string: 8 digits for n, then SAMPLES digits an octave.
+output: at every step of the first octave, and then at fixed steps, SAMPLES per
+octave, 4 bits of a hash of the character written.  It is a hex string: 8
+digits for n, FIRST digits for the first octave, then SAMPLES digits an octave.
 
 ``likeness`` of two fingerprints estimates the share of equal steps: octave by
 octave the share of equal samples, corrected for chance, weighted by the steps
@@ -17,7 +18,10 @@ smallest member and verifies by likeness.
 
 Every text is walked whole, all texts of a batch in step.  Cases: null and
 empty texts have the fingerprint of n = 0, likeness 1 to each other and 0 to
-all others; equal texts have equal fingerprints; very long texts take time in
+all others; equal texts have equal fingerprints; every step
+of short texts is written, so different ones of one length share theirs only
+where all characters that differ share a digit (a chance of 1/16 each) or lie
+behind the last step of a walk that stayed often; very long texts take time in
 proportion to their length and memory of a few bytes a character; repeated
 rows are fingerprinted alike; other columns pass through; empty tables give
 empty results.
@@ -38,7 +42,7 @@ from .arrays import mix
 from .components import components
 from .scratch import stored, table
 
-SAMPLES, FIRST = 32, 64  # samples an octave, steps in the first octave
+SAMPLES, FIRST = 32, 64  # samples an octave behind the first; steps in the first octave, all of them written
 LAP, CLASSES = 4096, 256  # rows of random bits; later laps use them in another order, for other characters
 #: Code points of texts walked at a time.
 CHUNK = 1 << 23
@@ -76,9 +80,16 @@ def octave_range(k: int) -> tuple[int, int]:
     return (0, FIRST) if k == 0 else (FIRST << (k - 1), FIRST << k)
 
 
+def digits_before(k: int) -> int:
+    """Digits of a fingerprint, behind its length, before those of an octave."""
+    return 0 if k == 0 else FIRST + (k - 1) * SAMPLES
+
+
 def sample_steps(k: int, seed: int = 0) -> np.ndarray:
-    """The sampled steps of an octave, ascending, the same for all texts."""
+    """The written steps of an octave, ascending, the same for all texts."""
     low, high = octave_range(k)
+    if k == 0:
+        return np.arange(low, high)
     draws = mix(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(1000 * (k + 1) + seed))
     return np.sort(low + (draws % np.uint64(high - low)).astype(np.int64))
 
@@ -98,7 +109,7 @@ def fingerprints(texts: list[str], seed: int = 0) -> list[str]:
     last = at + lengths
     top = octaves(most)
     wanted = np.concatenate([sample_steps(k, seed) for k in range(top)]) if top else np.empty(0, np.int64)
-    out = np.zeros((len(texts), top * SAMPLES), np.uint8)
+    out = np.zeros((len(texts), digits_before(top)), np.uint8)
     live, s, j = len(texts), 0, 0
     while j < most:
         if j % LAP == 0:
@@ -118,7 +129,7 @@ def fingerprints(texts: list[str], seed: int = 0) -> list[str]:
     ended = (mix(wanted.astype(np.uint64)) & np.uint64(15)).astype(np.uint8)  # the digits where a walk has ended
     digits = HEX[np.where(out > 0, out - 1, ended[None, :])] if top else np.empty((len(texts), 0), np.uint8)
     for place, i in enumerate(order.tolist()):
-        made[i] = f"{n[i]:08x}" + digits[place, : octaves(int(steps[place])) * SAMPLES].tobytes().decode()
+        made[i] = f"{n[i]:08x}" + digits[place, : digits_before(octaves(int(steps[place])))].tobytes().decode()
     return made
 
 
@@ -132,7 +143,7 @@ def likeness(a: str, b: str) -> float:
     for k in range(octaves(both)):
         low, high = octave_range(k)
         steps = sample_steps(k)
-        inside = np.flatnonzero(steps < both) + k * SAMPLES
+        inside = np.flatnonzero(steps < both) + digits_before(k)
         if len(inside):
             share = float((x[inside] == y[inside]).mean())
             total += max(0.0, (share - 1 / 16) * 16 / 15) * (min(high, both) - low)
@@ -178,11 +189,11 @@ def similar_documents(prints: DataFrame, least: float = 0.8, bands: int = 16, di
             for doc, fp in zip(batch.column("doc_id").to_pylist(), batch.column("fingerprint").to_pylist()):
                 if doc is None or len(fp) <= 8:
                     continue
-                top = (len(fp) - 8) // SAMPLES
+                top = 1 + (len(fp) - 8 - FIRST) // SAMPLES
                 for size in {max(1, top - 1), top}:  # texts one octave longer index this size as well
                     if size > top:
                         continue
-                    pool = (max(0, size - 3) * SAMPLES, size * SAMPLES)
+                    pool = (digits_before(max(0, size - 3)), digits_before(size))
                     for b in range(bands):
                         draws = mix(np.arange(digits, dtype=np.uint64) + np.uint64(100 * b + 7919 * size))
                         places = 8 + pool[0] + (draws % np.uint64(pool[1] - pool[0])).astype(np.int64)

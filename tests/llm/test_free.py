@@ -319,6 +319,25 @@ def test_fingerprints_equal_single_walks():
     assert fingerprints.fingerprints(texts) == [walk(t) for t in texts]
 
 
+def test_short_fingerprints_tell_texts_apart():
+    nibbles = fingerprints.of_points()[1]
+    rng = random.Random(8)
+    letters = {int(nibbles[ord(c)]): c for c in "abcdefghijklmnopqrstuvwxyz"}  # one a digit: unequal letters are told apart
+    texts = [("hello", "world"), ("a", "b" if nibbles[ord("a")] != nibbles[ord("b")] else "c")]
+    for n in range(1, 11):
+        for _ in range(60):
+            a, b = ("".join(rng.choice(list(letters.values())) for _ in range(n)) for _ in range(2))
+            texts += [(a, b)] if a != b else []
+    told = [fingerprints.likeness(*fingerprints.fingerprints([a, b])) for a, b in texts]
+    # A walk that stays often may not reach the last characters; the first one is always written.
+    assert not [t for t, x in zip(texts, told) if x == 1.0 and t[0][0] != t[1][0]]
+    assert np.mean([x == 1.0 for x in told]) < 0.02
+    assert np.mean(told[-60:]) < 0.4
+    for text in ("hello", "a b", "0123456789"):  # all steps are written
+        assert fingerprints.fingerprints([text])[0] == walk(text)
+        assert list(fingerprints.sample_steps(0)) == list(range(fingerprints.FIRST))
+
+
 def test_fingerprint_query(spark, tmp_path):
     rng = random.Random(4)
     texts = [None, "", "x", "same text here", "same text here"] + ["".join(rng.choice("abcdef ghi") for _ in range(rng.randint(5, 900))) for _ in range(60)]

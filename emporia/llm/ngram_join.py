@@ -45,6 +45,8 @@ from .scratch import release, stored, table
 WIDTH, NEED, OF = 5, 75, 100
 #: Tokens and documents that one stretch of a task holds at most.
 FLUSH_TOKENS, FLUSH_DOCS = 1 << 20, 60_000
+#: Documents of a stretch are numbered in 16 bits: it is ended before a chunk would take it past so many.
+NUMBERS = 1 << 16
 #: Tokens in a bucket, about.
 BUCKET = 1 << 20
 #: Hot: held by HOT_SHARE of a stretch's classes (8 at least), HOT_FROM in all; the list is bounded.
@@ -103,12 +105,20 @@ def stretches(batches, with_ids: bool):
     ids, sizes, of, seen = [], [], [], set()
     tokens, lengths, classes, n_tokens = [], [], [], 0
 
+    def parts(batch):
+        for part in chunks(batch, "text"):
+            for at in range(0, part.num_rows, NUMBERS):
+                yield part.slice(at, NUMBERS)
+
     def out():
         return (ids, np.concatenate(sizes), np.concatenate(of), np.concatenate(tokens) if tokens else np.empty(0, np.uint64),
                 np.append(0, np.cumsum(lengths)).astype(np.int64), np.array(classes, np.int64))
 
     for batch in batches:
-        for part in chunks(batch, "text"):
+        for part in parts(batch):
+            if sizes and sum(map(len, sizes)) + part.num_rows > NUMBERS:
+                yield out()
+                ids, sizes, of, seen, tokens, lengths, classes, n_tokens = [], [], [], set(), [], [], [], 0
             flat, ends, own = shingle_sets(*text_buffer(part.column("text")))
             n = np.diff(ends)
             sizes.append(n)

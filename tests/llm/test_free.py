@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from emporia.llm import best_fit_packing, byte_bpe, components, embedding_dedup, fingerprints, ngram_join, quality_resampling, warc_bundles
@@ -245,6 +246,29 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, small):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_sets(rows)
 
 
+def test_stretches_end_before_their_numbers_do(spark):
+    """More short texts than 16 bits number, in one partition and in batches that stop short of FLUSH_DOCS."""
+    n = 70_000
+    texts = [f"{i % 35_000} short" for i in range(n)] + ["A  b"] + [f"word {i}" for i in range(n)] + ["a b"]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    for cut in (len(texts), 59_999, 10_000):
+        seen = []
+        for ids, sizes, of, tokens, ends, own in ngram_join.stretches((batch.slice(at, cut) for at in range(0, len(texts), cut)), True):
+            assert len(own) <= 1 << 16 and len(ids) == len(sizes) == len(of) and len(ends) == len(own) + 1 and ends[-1] == len(tokens)
+            seen += ids
+        assert seen == list(range(len(texts)))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:  # texts of one word pair; equal ones (after folding) are one component, all others are alone
+        spark.conf.set(setting, "100000")
+        rows = [(i, f"x{i} y") for i in range(n)] + [(n + i, f"X{i * 7_000}\tY") for i in range(10)]
+        path = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text"])).coalesce(1)
+        got = {r.doc_id: r.component_id for r in ngram_join.join(path).collect()}
+    finally:
+        spark.conf.set(setting, before)
+    assert got == {i: i for i in range(n)} | {n + i: i * 7_000 for i in range(10)}
+
+
 def test_index_keys_meet_for_every_link(monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", 4)
     rng = np.random.default_rng(3)

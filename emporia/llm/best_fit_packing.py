@@ -2,7 +2,7 @@
 
 Method: documents are tokenised, closed with id 0 and cut into pieces of at
 most ``capacity`` ids (only documents longer than that; the first piece is the
-shorter one).  Pieces are dealt to shards by hash; every shard is evolved on
+shorter one).  Pieces are dealt to shards at random; every shard is evolved on
 several islands.  A chromosome is a packing.  Crossover injects whole
 well-filled bins of one parent into the other, removes the bins that hold
 duplicates of their pieces and best-fits the displaced pieces; mutation
@@ -193,10 +193,14 @@ def sorted_items(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values(ORDER, ascending=[False, True, True, True], kind="stable", ignore_index=True)
 
 
+def sharded(items: DataFrame, n_items: int, number: int) -> DataFrame:
+    """The items with a shard drawn at random, so that no id decides a shard's size; to be stored before it is used."""
+    return items.withColumn("shard", F.floor(F.rand(number) * max(1, round(n_items / SHARD))).cast("int"))
+
+
 def packed_round(items: DataFrame, n_items: int, number: int, capacity: int, islands: int, epochs: int) -> DataFrame:
     """One round over all shards: the items with shard, bin (inside the shard) and offset."""
-    shards = max(1, round(n_items / SHARD))
-    dealt = stored(items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(number)), F.lit(shards)).cast("int")), f"dealt-{number}")
+    dealt = stored(sharded(items, n_items, number), f"dealt-{number}")
     # Full pieces fill a sequence each; they need no search.
     loose = dealt.where(F.col("length") < capacity)
     copies = loose.select("shard", *ORDER, F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"))

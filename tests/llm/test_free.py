@@ -432,6 +432,13 @@ def test_packing_pieces_and_places(spark):
     assert best_fit_packing.pack(df.limit(0), path).count() == 0
 
 
+def test_no_id_decides_the_size_of_a_shard(spark):
+    n = 10 * best_fit_packing.SHARD
+    items = spark.range(n).selectExpr("CASE WHEN id % 3 = 0 THEN id ELSE 0 END AS doc_id", "0 AS piece")
+    sizes = [r["count"] for r in best_fit_packing.sharded(items, n, 0).groupBy("shard").count().collect()]
+    assert len(sizes) == 10 and sum(sizes) == n and max(sizes) < 1.2 * best_fit_packing.SHARD
+
+
 def test_crossover_keeps_every_item_once():
     rng = random.Random(2)
     lengths = sorted((rng.randint(1, 2048) for _ in range(300)), reverse=True)

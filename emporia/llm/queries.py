@@ -1,6 +1,7 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import best_fit_packing, byte_bpe, embedding_dedup, fingerprints, line_dedup, ngram_join, quality_resampling, secret_scan, url_filter, warc_bundles
+from . import (best_fit_packing, byte_bpe, embedding_dedup, fingerprints, line_dedup, ngram_join, quality_resampling, secret_scan,
+               spelling_variants, url_filter, warc_bundles)
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_best_fit_packing": best_fit_packing.query,
     "op9_quality_resampling": quality_resampling.query,
     "op10_line_dedup": line_dedup.query,
+    "op11_spelling_variants": spelling_variants.query,
 }
 
 SQL = {
@@ -21,4 +23,5 @@ SQL = {
     "op3_embedding_dedup": embedding_dedup.SQL,
     "op5_ngram_join": ngram_join.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op11_spelling_variants": spelling_variants.SQL,
 }

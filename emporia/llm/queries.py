@@ -1,7 +1,7 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
 from . import (best_fit_packing, byte_bpe, embedding_dedup, fingerprints, line_dedup, ngram_join, quality_resampling, secret_scan,
-               spelling_variants, url_filter, warc_bundles)
+               spelling_variants, url_filter, warc_bundles, whitening)
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_quality_resampling": quality_resampling.query,
     "op10_line_dedup": line_dedup.query,
     "op11_spelling_variants": spelling_variants.query,
+    "op12_embedding_whitening": whitening.query,
 }
 
 SQL = {

@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import (best_fit_packing, byte_bpe, embedding_dedup, fingerprints, line_dedup, ngram_join, quality_resampling, secret_scan,
+from . import (best_fit_packing, byte_bpe, chat_formatting, embedding_dedup, fingerprints, line_dedup, ngram_join, quality_resampling, secret_scan,
                spelling_variants, url_filter, warc_bundles, whitening)
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.query,
     "op11_spelling_variants": spelling_variants.query,
     "op12_embedding_whitening": whitening.query,
+    "op13_chat_formatting": chat_formatting.query,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op5_ngram_join": ngram_join.SQL,
     "op10_line_dedup": line_dedup.SQL,
     "op11_spelling_variants": spelling_variants.SQL,
+    "op13_chat_formatting": chat_formatting.SQL,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -27,7 +29,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of slices, from prefix sums of a polynomial over the bytes."""
+    """64-bit hashes of slices, from prefix sums of a polynomial over the bytes.
+
+    For feature buckets only: slices that collide can be constructed.
+    """
     if not len(starts):
         return np.empty(0, np.uint64)
     low, high = int(starts[0]), int(ends.max())
@@ -39,6 +44,41 @@ def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+#: Bytes up to which slices are hashed side by side; longer ones one by one.
+SIDE_BY_SIDE = 64
+TAILS = np.array([0] + [(1 << 8 * k) - 1 for k in range(1, 9)], np.uint64)
+
+
+def seeded_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: list[int]) -> np.ndarray:
+    """64-bit hashes of slices, one row for each seed: blocks of 8 bytes, each mixed into all before it.
+
+    With seeds that are drawn for a run, nobody can choose slices that collide.
+    """
+    out = np.empty((len(seeds), len(starts)), np.uint64)
+    if not len(starts):
+        return out
+    sizes = ends - starts
+    for lane, seed in zip(out, seeds):
+        lane[:] = mix(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed % 2**64))
+    low, high = int(starts.min()), int(ends.max())
+    padded = np.zeros(high - low + 8, np.uint8)
+    padded[: high - low] = data[low:high]
+    blocks = np.ndarray(high - low + 1, "<u8", padded, strides=(1,))  # the 8 bytes from every byte on
+    at = 0
+    live = np.flatnonzero((sizes > 0) & (sizes <= SIDE_BY_SIDE))
+    while len(live):
+        block = blocks[starts[live] - low + at] & TAILS[np.minimum(sizes[live] - at, 8)]
+        for lane in out:
+            lane[live] = mix(lane[live] ^ block)
+        at += 8
+        live = live[sizes[live] > at]
+    for i in np.flatnonzero(sizes > SIDE_BY_SIDE).tolist():
+        piece = data[starts[i]:ends[i]].tobytes()
+        for lane, seed in zip(out, seeds):
+            lane[i] = int.from_bytes(hashlib.blake2b(piece, digest_size=8, key=(seed % 2**64).to_bytes(8, "little")).digest(), "little")
+    return out
+
+
 def ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The indices first[i], first[i] + 1, ... (counts[i] of them) for every i."""
     total = int(counts.sum())

@@ -6,7 +6,8 @@ that opens a contraction).  A class is a function from the state of the
 pre-tokeniser to its next state; functions compose associatively, so blocks of
 characters are composed side by side, the blocks are scanned by doubling, and
 one more pass yields all token boundaries.  The slices between boundaries are
-looked up by a 64-bit hash in a cache of merged slices; slices not in it are
+looked up in a cache of merged slices, by a hash whose seeds every worker draws
+and a second one that must agree (128 bits in all); slices not in it are
 merged together, all words in step, the lowest rank of each word first (words
 over LONG bytes use a heap).  Byte offsets of all ids are kept, so any range
 of ids can be decoded and placed in its text.
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 from array import array
 
 import numpy as np
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .arrays import binaries, chunks, ragged, slice_hashes, text_buffer
+from .arrays import binaries, chunks, ragged, seeded_hashes, text_buffer
 from .scratch import ship, table
 
 WINDOW, CACHED, LONG, BLOCK = 1 << 20, 300_000, 64, 64
@@ -320,11 +322,13 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
+        self.seeds = [int.from_bytes(os.urandom(8), "little") for _ in range(2)]
+        self.check = np.empty(0, np.uint64)  # the second hash, by slot
         self.known = np.empty(0, np.uint64)  # sorted hashes of slices
         self.slot = np.empty(0, np.int64)
         self.first, self.count, self.ids = array("q"), array("q"), array("I")
 
-    def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+    def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, check: np.ndarray) -> None:
         """Merge the given slices and keep their ids."""
         sizes = ends - starts
         short = sizes <= LONG
@@ -341,11 +345,28 @@ class Encoder:
             self.count.append(len(own))
             self.ids.extend(own)
         fresh = np.concatenate([hashes[short], hashes[~short]])
+        self.check = np.concatenate([self.check, check[short], check[~short]])
         slots = np.arange(len(self.first) - len(fresh), len(self.first))
         known, slot = np.concatenate([self.known, fresh]), np.concatenate([self.slot, slots])
         order = np.argsort(known)
         self.known, self.slot = known[order], slot[order]
 
+    def slots(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray | None:
+        """The cache slots of slices, merging those that are new; None if two slices share one of their hashes only."""
+        if len(self.known) > CACHED:
+            self.clear()
+        every, check = seeded_hashes(data, s, e, self.seeds)
+        hashes, one, back = np.unique(every, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, hashes)
+        new = at == len(self.known)
+        new[~new] = self.known[at[~new]] != hashes[~new]
+        if new.any():
+            i = one[new]
+            self.learn(data, s[i], e[i], hashes[new], check[i])
+            at = np.searchsorted(self.known, hashes)
+        slot = self.slot[at][back]
+        return slot if (self.check[slot] == check).all() else None
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, the byte where each starts in ``data``, and the number of ids before every text (and at the end)."""
         starts = self.slices.starts(data, offsets)
@@ -355,17 +376,10 @@ class Encoder:
         for low in range(0, len(starts), 1 << 18):
             s = starts[low:low + (1 << 18)]
             e = np.append(starts[low + 1:low + (1 << 18) + 1], offsets[-1] if low + (1 << 18) >= len(starts) else [])[: len(s)].astype(np.int64)
-            hashes, one, back = np.unique(slice_hashes(data, s, e), return_index=True, return_inverse=True)
-            if len(self.known) > CACHED:
+            slot = self.slots(data, s, e)
+            while slot is None:  # two slices agree in one hash only: other seeds
                 self.clear()
-            at = np.searchsorted(self.known, hashes)
-            new = at == len(self.known)
-            new[~new] = self.known[at[~new]] != hashes[~new]
-            if new.any():
-                i = one[new]
-                self.learn(data, s[i], e[i], hashes[new])
-                at = np.searchsorted(self.known, hashes)
-            slot = self.slot[at][back]
+                slot = self.slots(data, s, e)
             first, count = np.array(self.first)[slot], np.array(self.count)[slot]
             got = np.array(self.ids, np.uint32)[ragged(first, count)]
             sizes = self.lengths[got]

@@ -2,7 +2,7 @@
 
 A document is its set of word shingles, as 64-bit hashes.  Method:
 
-1.  Documents of equal sets form a class (64-bit hash of the set).  Tokens
+1.  Documents of equal sets form a class (128-bit hash of the set).  Tokens
     common within a stretch of the corpus are summed to the hot list.
 2.  Tokens are dealt to buckets by hash and counted; only tokens that at least
     two documents hold go back to their documents.  A document with fewer than
@@ -21,9 +21,10 @@ A document is its set of word shingles, as 64-bit hashes.  Method:
     below (no link is lost), and the rest verified.  Nothing is expanded into
     all pairs of a group.
 
-Result: components over links, one row per document.  Within a bucket tokens
-are told apart by 48 bits, which with the bucket number leaves a chance below
-1e-9 that a pair of documents is miscounted by one.
+Result: components over links, one row per document.  Tokens are told apart by
+64 bits, of words hashed with a seed that is drawn for every run: no texts can
+be chosen that collide, and the chance that a pair of documents is miscounted
+by one is below 1e-9.
 
 Cases: words are runs without space and U+0009-U+000D, A-Z in lower case;
 fewer than five words are one shingle; null, empty and blank texts have none
@@ -33,22 +34,25 @@ is alone; repeated rows are one class; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import UPPER_TO_LOWER, chunks, combined, mix, slice_hashes, text_buffer, words
+from .arrays import UPPER_TO_LOWER, binaries, chunks, combined, mix, seeded_hashes, text_buffer, words
+from .columns import ROW, narrowed, widened
 from .components import components
-from .scratch import release, stored, table
+from .scratch import discard, release, ship, stored, table
 
 WIDTH, NEED, OF = 5, 75, 100
 #: Tokens and documents that one stretch of a task holds at most.
 FLUSH_TOKENS, FLUSH_DOCS = 1 << 20, 60_000
 #: Documents of a stretch are numbered in 16 bits: it is ended before a chunk would take it past so many.
 NUMBERS = 1 << 16
-#: Tokens in a bucket, about.
-BUCKET = 1 << 20
+#: Tokens in a bucket, about.  Up to BUCKETS of them are ranges of a token's upper 16 bits; beyond, each is cut by the next bits.
+BUCKET, BUCKETS = 1 << 20, 1 << 16
 #: Hot: held by HOT_SHARE of a stretch's classes (8 at least), HOT_FROM in all; the list is bounded.
 HOT_SHARE, HOT_FROM, MAX_HOT = 0.02, 1000, 1 << 18
 #: Tokens of so many documents are indexed in pairs.
@@ -70,12 +74,12 @@ def links(na, nb, shared):
     return OF * shared >= NEED * (na + nb - shared)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of all texts, their number before each text, and the class of each."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of all texts, their number before each text, and the class of each (16 bytes)."""
     low = int(offsets[0])
     data, offsets = UPPER_TO_LOWER[data[low:int(offsets[-1])]], offsets - low
     starts, ends, before = words(data, offsets)
-    h = slice_hashes(data, starts, ends)
+    h = seeded_hashes(data, starts, ends, [seed])[0]
     n_words = np.diff(before)
     text = np.repeat(np.arange(len(n_words)), n_words)
     if len(h) >= WIDTH:
@@ -95,13 +99,23 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else tokens
     ends = np.append(0, np.cumsum(sizes))
-    sums = np.append(np.uint64(0), np.cumsum(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
-    classes = mix(sums[ends[1:]] - sums[ends[:-1]] + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-    return flat, ends, classes
+    classes = np.empty((len(sizes), 2), "<u8")
+    for lane, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+        sums = np.append(np.uint64(0), np.cumsum(mix(flat ^ np.uint64(salt)), dtype=np.uint64))
+        classes[:, lane] = mix(sums[ends[1:]] - sums[ends[:-1]] + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return flat, ends, classes.view("V16").reshape(-1)
+
+
+def class_array(classes: np.ndarray) -> pa.Array:
+    """Classes (16 bytes each) as a binary column."""
+    return binaries(np.ascontiguousarray(classes).view(np.uint8), np.arange(len(classes) + 1), 16)
+
 
+def stretches(batches, with_ids: bool, seed: int = 0):
+    """The texts of a task in stretches: (ids, sizes, classes of all texts; tokens, ends, classes of distinct ones).
 
-def stretches(batches, with_ids: bool):
-    """The texts of a task in stretches: (ids, sizes, classes of all texts; tokens, ends, classes of distinct ones)."""
+    ``ids`` are the other columns of the batches, row by row, if they are asked for.
+    """
     ids, sizes, of, seen = [], [], [], set()
     tokens, lengths, classes, n_tokens = [], [], [], 0
 
@@ -112,19 +126,20 @@ def stretches(batches, with_ids: bool):
 
     def out():
         return (ids, np.concatenate(sizes), np.concatenate(of), np.concatenate(tokens) if tokens else np.empty(0, np.uint64),
-                np.append(0, np.cumsum(lengths)).astype(np.int64), np.array(classes, np.int64))
+                np.append(0, np.cumsum(lengths)).astype(np.int64), np.frombuffer(b"".join(classes), "V16"))
 
     for batch in batches:
         for part in parts(batch):
             if sizes and sum(map(len, sizes)) + part.num_rows > NUMBERS:
                 yield out()
                 ids, sizes, of, seen, tokens, lengths, classes, n_tokens = [], [], [], set(), [], [], [], 0
-            flat, ends, own = shingle_sets(*text_buffer(part.column("text")))
+            flat, ends, own = shingle_sets(*text_buffer(part.column("text")), seed)
             n = np.diff(ends)
             sizes.append(n)
             of.append(own)
-            ids += part.column("doc_id").to_pylist() if with_ids else []
-            for i, c in enumerate(own.tolist()):
+            ids += list(zip(*(part.column(k).to_pylist() for k in ("doc_id", "row_hash")))) if with_ids else []
+            packed = own.tobytes()
+            for i, c in enumerate(packed[k:k + 16] for k in range(0, len(packed), 16)):
                 if n[i] and c not in seen:
                     seen.add(c)
                     tokens.append(flat[ends[i]:ends[i + 1]])
@@ -138,21 +153,24 @@ def stretches(batches, with_ids: bool):
         yield out()
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class) of every row; further rows (token, seen) of tokens common in a stretch."""
-    names = ["doc_id", "n_shingles", "class", "token", "seen"]
+def classes(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, row_hash, n_shingles, class) of every row; further rows (token, seen) of tokens common in a stretch."""
+    names = ["doc_id", "row_hash", "n_shingles", "class", "token", "seen"]
 
     def work(batches):
-        for ids, sizes, of, tokens, ends, own in stretches(batches, True):
+        for ids, sizes, of, tokens, ends, own in stretches(batches, True, seed):
             n = len(sizes)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(of, pa.int64()),
+            docs, rows = zip(*ids)
+            yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), class_array(of),
                                    pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
             token, seen = np.unique(tokens, return_counts=True)
             hot = seen >= max(8, HOT_SHARE * len(own))
             n = int(hot.sum())
-            yield pa.record_batch([pa.nulls(n, pa.int64())] * 3 + [pa.array(token[hot].view(np.int64)), pa.array(seen[hot], pa.int64())], names)
+            yield pa.record_batch([*[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.binary()), pa.array(token[hot].view(np.int64)), pa.array(seen[hot], pa.int64())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id bigint, n_shingles bigint, class bigint, token bigint, seen bigint")
+    # row_hash tells rows of one id apart.
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash")).mapInArrow(
+        work, "doc_id bigint, row_hash bigint, n_shingles bigint, class binary, token bigint, seen bigint")
 
 
 def pack48(tokens: np.ndarray) -> bytes:
@@ -170,8 +188,11 @@ FIELDS = [f.split()[0] for f in DEALT.split(", ")]
 ARROW = pa.schema([("bucket", pa.int32()), ("stretch", pa.int64()), *[(n, pa.binary()) for n in FIELDS[2:]]])
 
 
-def shared_tokens(docs: DataFrame, buckets: int, hot: np.ndarray, hot_freqs: np.ndarray) -> DataFrame:
-    """Rows by stretch: its documents (classes, sizes, and hot tokens), and tokens that several documents hold."""
+def shared_tokens(docs: DataFrame, buckets: int, cuts: int, hot: np.ndarray, hot_freqs: np.ndarray, seed: int) -> DataFrame:
+    """Rows by stretch: its documents (classes, sizes, and hot tokens), and tokens that several documents hold.
+
+    Tokens are dealt to ``buckets`` by their upper 16 bits, and inside each to ``cuts`` by the next ones.
+    """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast((hot, hot_freqs))  # at most MAX_HOT tokens
 
@@ -179,21 +200,25 @@ def shared_tokens(docs: DataFrame, buckets: int, hot: np.ndarray, hot_freqs: np.
         """Bucket (from the upper 16 bits) above the lower 48 bits."""
         return (((tokens >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)), tokens & LOW48
 
+    def dealt(b, low):
+        """The number of the bucket and cut."""
+        return (b * np.uint64(cuts) + ((low >> np.uint64(16)) * np.uint64(cuts) >> np.uint64(32))).astype(np.int64)
+
     def deal(batches):
         from pyspark import TaskContext
 
         task, count = TaskContext.get().partitionId(), 0
         hot, freqs = known.value
-        for _, _, _, tokens, ends, own in stretches(batches, False):
+        for _, _, _, tokens, ends, own in stretches(batches, False, seed):
             stretch, count = task * (1 << 24) + count, count + 1
             doc = np.repeat(np.arange(len(own), dtype=np.uint16), np.diff(ends))
             at = np.searchsorted(hot, tokens)
             is_hot = np.zeros(len(tokens), bool) if not len(hot) else hot[np.minimum(at, len(hot) - 1)] == tokens
             b, low = token_ids(tokens)
             full = (b << np.uint64(48) | low)[is_hot]
-            rows = [(stretch % buckets, stretch, full.astype("<u8").tobytes(), doc[is_hot].tobytes(),
-                     freqs[at[is_hot]].astype("<u4").tobytes() if len(hot) else b"", own.astype("<i8").tobytes(), np.diff(ends).astype("<u4").tobytes())]
-            b, low, doc = b[~is_hot].astype(np.uint16), low[~is_hot], doc[~is_hot]
+            rows = [(stretch % (buckets * cuts), stretch, full.astype("<u8").tobytes(), doc[is_hot].tobytes(),
+                     freqs[at[is_hot]].astype("<u4").tobytes() if len(hot) else b"", own.tobytes(), np.diff(ends).astype("<u4").tobytes())]
+            b, low, doc = dealt(b[~is_hot], low[~is_hot]), low[~is_hot], doc[~is_hot]
             order = np.argsort(b, kind="stable")
             b, low, doc = b[order], low[order], doc[order]
             cut = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.empty(0, int)
@@ -220,7 +245,7 @@ def shared_tokens(docs: DataFrame, buckets: int, hot: np.ndarray, hot_freqs: np.
         freq = np.repeat(freq, freq)[many]
         tokens, source, doc = tokens[many], source[order][many], doc[order][many]
         back = np.argsort(source, kind="stable")
-        tokens, source, doc, freq = tokens[back] | np.uint64(bucket << 48), source[back], doc[back], freq[back]
+        tokens, source, doc, freq = tokens[back] | np.uint64(bucket // cuts << 48), source[back], doc[back], freq[back]
         stretch = rest.column("stretch").to_numpy()
         cut = np.searchsorted(source, np.arange(len(parts) + 1))
         found = [(bucket, int(stretch[k]), tokens[i:j].astype("<u8").tobytes(), doc[i:j].tobytes(), freq[i:j].astype("<u4").tobytes(), None, None)
@@ -231,31 +256,30 @@ def shared_tokens(docs: DataFrame, buckets: int, hot: np.ndarray, hot_freqs: np.
     return docs.select("doc_id", "text").mapInArrow(deal, DEALT).groupBy("bucket").applyInArrow(count, DEALT)
 
 
-CANDIDATES = "class bigint, n int, tokens binary, freqs binary"
+CANDIDATES = "class binary, n int, tokens binary, freqs binary"
 
 
 def candidates(shared: DataFrame) -> DataFrame:
     """Classes that hold enough shared tokens to link with anything: their shared tokens (ascending) and frequencies."""
-    schema = pa.schema([("class", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary()), ("freqs", pa.binary())])
+    schema = pa.schema([("class", pa.binary()), ("n", pa.int32()), ("tokens", pa.binary()), ("freqs", pa.binary())])
 
     def gather(rows):
         head = rows.filter(rows.column("classes").is_valid())
-        own = np.frombuffer(head.column("classes")[0].as_py(), "<i8")
+        own = head.column("classes")[0].as_py()
         sizes = np.frombuffer(head.column("sizes")[0].as_py(), "<u4").astype(np.int64)
         tokens = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in rows.column("tokens")])
         doc = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in rows.column("docs")])
         freq = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in rows.column("freqs")])
         order = np.lexsort((tokens, doc))
         tokens, doc, freq = tokens[order], doc[order], freq[order]
-        cut = np.searchsorted(doc, np.arange(len(own) + 1))
+        cut = np.searchsorted(doc, np.arange(len(sizes) + 1))
         found = []
         for i in np.flatnonzero(np.diff(cut) >= least_overlap(sizes)).tolist():
             a, b = cut[i], cut[i + 1]
-            found.append((int(own[i]), int(sizes[i]), tokens[a:b].tobytes(), freq[a:b].tobytes()))
+            found.append((own[16 * i:16 * i + 16], int(sizes[i]), tokens[a:b].tobytes(), freq[a:b].tobytes()))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema) if found else schema.empty_table()
 
-    rows = shared.groupBy("stretch").applyInArrow(gather, CANDIDATES)
-    return stored(rows, "candidates").dropDuplicates(["class"])  # a class may come from several stretches
+    return stored(shared.groupBy("stretch").applyInArrow(gather, CANDIDATES), "candidates")
 
 
 def groups_of(n: int) -> int:
@@ -298,10 +322,13 @@ def index(found: DataFrame) -> DataFrame:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 sets = zip(*(part.column(k).to_pylist() for k in ("n", "tokens", "freqs")))
                 keys = [index_keys(n, np.frombuffer(tokens, "<u8"), np.frombuffer(freqs, "<u4")) for n, tokens, freqs in sets]
-                owner = np.repeat(part.column("class").to_numpy(), [len(k) for k in keys])
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owner)], ["key", "class"])
+                owner = part.column("class").take(pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys])))
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), owner], ["key", "class"])
+
+    return found.mapInArrow(work, "key bigint, class binary")
 
-    return found.mapInArrow(work, "key bigint, class bigint")
+
+EDGES = "a binary, b binary"
 
 
 def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -318,7 +345,7 @@ def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
                   for na, nb, ta, tb in zip(*(batch.column(k).to_pylist() for k in ("na", "nb", "ta", "tb")))]
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(work, "a bigint, b bigint")
+    return both.mapInArrow(work, EDGES)
 
 
 def sketch_words(n: int) -> int:
@@ -376,7 +403,7 @@ def open_pairs(rows: DataFrame, found: DataFrame) -> DataFrame:
     several = stored(load.join(shares, "deal").drop("load", "low"), "dealt-lists")
     rows = stored(rows.join(several, "key").select("key", "class", "root", (F.col("root") != F.col("main")).alias("minor"), "nl", "nr", "deal", "shares"), "open-rows")
     marked = rows.join(stored(found.select("class", "n", "tokens").mapInArrow(
-        sketches, "class bigint, n int, alone int, sketch binary"), "sketches"), "class")
+        sketches, "class binary, n int, alone int, sketch binary"), "sketches"), "class")
 
     def block(n):
         return F.pmod(F.xxhash64("class"), n).cast("int")
@@ -395,7 +422,9 @@ def open_pairs(rows: DataFrame, found: DataFrame) -> DataFrame:
     def compare(rows):
         rows = rows.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
         key = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in ("key", "i", "j")])
-        c, root, n, alone = (rows.column(k).to_numpy().astype(np.int64) for k in ("class", "root", "n", "alone"))
+        c = rows.column("class").to_pylist()
+        root = rows.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        n, alone = (rows.column(k).to_numpy().astype(np.int64) for k in ("n", "alone"))
         is_left, is_right = rows.column("is_left").to_numpy(), rows.column("is_right").to_numpy()
         raw = rows.column("sketch").to_pylist()
         cut = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
@@ -418,48 +447,59 @@ def open_pairs(rows: DataFrame, found: DataFrame) -> DataFrame:
                     apart = np.bitwise_count(folded(made[w][fit], least) ^ folded(own[None, :], least)).sum(1)
                     shared = (n[s2] + n[x] - alone[s2] - alone[x] - apart) // 2
                     for r in s2[links(n[s2], n[x], shared)].tolist():
-                        pairs.add((min(int(c[x]), int(c[r])), max(int(c[x]), int(c[r]))))
+                        pairs.add((min(c[x], c[r]), max(c[x], c[r])))
         a, b = zip(*sorted(pairs)) if pairs else ((), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return blocks.groupBy("deal", "share").applyInArrow(lambda rows: compare(rows), "a bigint, b bigint").distinct()
+    return blocks.groupBy("deal", "share").applyInArrow(lambda rows: compare(rows), EDGES).distinct()
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class, component_id) of every row of ``docs`` (doc_id, text)."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, n_shingles, class, root) of every row of ``docs`` (doc_id, text): root is one class of its component."""
     spark = docs.sparkSession
-    first = stored(classes(docs), "classes")
-    rows = first.where("class IS NOT NULL").select("doc_id", "n_shingles", "class")
+    ship(spark)
+    seed = secrets.randbits(64)
+    first = stored(classes(docs, seed), "classes")
+    rows = first.where("class IS NOT NULL").select("doc_id", "row_hash", "n_shingles", "class")
     top = (first.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= HOT_FROM)
            .orderBy(F.desc("seen"), "token").limit(MAX_HOT).toPandas())
     hot = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot)
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = min(1 << 16, max(1, -(-total // BUCKET)))
-    found = stored(candidates(shared_tokens(docs, buckets, hot[order], top["seen"].to_numpy(np.int64)[order])), "sets")
+    wanted = -(-(rows.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET)
+    buckets, cuts = min(BUCKETS, max(1, wanted)), max(1, -(-wanted // BUCKETS))
+    shared = candidates(shared_tokens(docs, buckets, cuts, hot[order], top["seen"].to_numpy(np.int64)[order], seed))
+    found = stored(shared.dropDuplicates(["class"]), "sets")  # a class may come from several stretches
     release(spark)  # the two shuffles of tokens are the largest of the join
-    lists = stored(index(found), "index")
+    discard(shared)
+    every = stored(index(found), "index")
     # Lists of one member link nothing.
-    lists = stored(lists.join(stored(lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "list-keys"), "key", "left_semi"), "lists")
+    several = stored(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "list-keys")
+    lists = stored(every.join(several, "key", "left_semi"), "lists")
+    discard(every, several)
 
-    edges = spark.createDataFrame([], "a bigint, b bigint")
-    roots = spark.createDataFrame([], "node bigint, root bigint")
+    edges = spark.createDataFrame([], EDGES)
+    roots = spark.createDataFrame([], "node binary, root binary")
     for number in range(STARS):
-        new = stored(verified(star_pairs(rooted(lists, roots), number), found), "star-links")
+        members = rooted(lists, roots)
+        new = stored(verified(star_pairs(members, number), found), "star-links")
+        discard(members)
         edges = stored(edges.unionByName(new), "links")
         roots = stored(components(edges), "star-roots")
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    more = stored(verified(open_pairs(rooted(lists, roots), found), found), "more-links")
+    members = rooted(lists, roots)
+    discard(lists)
+    more = stored(verified(open_pairs(members, found), found), "more-links")
+    discard(members, found)
     roots = components(edges.unionByName(more))
+    return rows.join(roots, rows["class"] == roots["node"], "left").select(
+        *rows.columns, F.coalesce("root", "class").alias("root"))
 
-    # Ids of components: the smallest document of each class, then of all classes of a component.
-    smallest = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    with_root = smallest.join(roots, smallest["class"] == roots["node"], "left").select(
-        "class", F.coalesce("root", "class").alias("root"), "least")
-    with_root = stored(with_root, "class-roots")
-    ids = stored(with_root.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
-    of_class = stored(with_root.join(ids, "root").select("class", "component_id"), "class-components")
-    out = rows.join(of_class, "class", "left")
+
+def join(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, class, component_id) of every row of ``docs`` (doc_id, text)."""
+    rows = stored(grouped(docs), "grouped")
+    ids = stored(rows.where("n_shingles > 0").groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("component_id")), "component-ids")
+    out = rows.join(ids, rows["root"] == ids["of"], "left")
     return out.select("doc_id", "n_shingles", "class", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(
         F.col("doc_id")).alias("component_id"))
 
@@ -469,9 +509,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document with the smallest id stays."""
-    gone = join(docs.select("doc_id", "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    """Pipeline stage: one row of each group of near copies stays.
+
+    It is the row with the smallest doc_id, null ids last; of several with that
+    id the one of the smallest class and text hash, and of equal rows one.  Rows
+    are told apart by id and text, so another text under a dropped id stays.
+    Rows without words link with nothing and all stay.
+    """
+    rows = stored(grouped(docs.select("doc_id", "text")).where("n_shingles > 0"), "grouped")
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "class", "row_hash")
+    kept = stored(rows.groupBy("root").agg(F.min(place).alias("p")).select(
+        F.col("p.doc_id").alias("kept_id"), F.col("p.row_hash").alias("kept_hash")), "kept")
+    is_kept = F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("row_hash").eqNullSafe(F.col("kept_hash"))
+    gone = rows.join(kept, is_kept, "left_anti").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).distinct()
+    columns = docs.columns
+    narrow = narrowed(docs).withColumn("row_hash", F.xxhash64("text"))
+    left = narrow.join(stored(gone, "gone"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash")), "left_anti")
+    again = stored(rows.groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")), "repeated-rows")
+    if again.limit(1).count():
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash"))
+        one = left.join(again, same, "left_semi").groupBy("doc_id", "row_hash").agg(F.first("text").alias("text"), F.first(ROW).alias(ROW))
+        left = left.join(again, same, "left_anti").unionByName(one.select(*left.columns))
+    return widened(left, columns)
 
 
 SQL = r"""

@@ -250,13 +250,14 @@ def test_stretches_end_before_their_numbers_do(spark):
     """More short texts than 16 bits number, in one partition and in batches that stop short of FLUSH_DOCS."""
     n = 70_000
     texts = [f"{i % 35_000} short" for i in range(n)] + ["A  b"] + [f"word {i}" for i in range(n)] + ["a b"]
-    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.record_batch([ids, pa.array(texts), ids], ["doc_id", "text", "row_hash"])
     for cut in (len(texts), 59_999, 10_000):
         seen = []
         for ids, sizes, of, tokens, ends, own in ngram_join.stretches((batch.slice(at, cut) for at in range(0, len(texts), cut)), True):
             assert len(own) <= 1 << 16 and len(ids) == len(sizes) == len(of) and len(ends) == len(own) + 1 and ends[-1] == len(tokens)
             seen += ids
-        assert seen == list(range(len(texts)))
+        assert seen == [(i, i) for i in range(len(texts))]
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
     try:  # texts of one word pair; equal ones (after folding) are one component, all others are alone
@@ -560,3 +561,73 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     got = corpus_pipeline.run(spark, d)
     assert sorted((r.doc_id, r.ids_crc32) for r in got.collect()) == want
     assert 150 < len(want) < 240
+
+
+# -- texts that collide under a polynomial hash modulo 2^64
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_hashes_tell_thue_morse_words_apart(spark):
+    from emporia.llm.arrays import seeded_hashes
+
+    texts = [w for n in (1024, 2048, 4096) for w in (thue_morse(n), thue_morse(n, "b", "a"))]
+    tiktoken = pytest.importorskip("tiktoken")
+    path = public("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=pytest.importorskip("public_tokenizers").PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    for r in byte_bpe.decode(byte_bpe.encode(df, path), path).collect():
+        assert byte_bpe.unpacked(r.ids) == enc.encode_ordinary(texts[r.doc_id]) and bytes(r.decoded).decode() == texts[r.doc_id]
+    spaced = spark.createDataFrame([(i, " ".join([w] * 7 + [f"end{i // 2}"])) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.join(spaced).collect()} == {i: i for i in range(len(texts))}
+    rng = np.random.default_rng(1)
+    data = np.frombuffer(("".join(texts) + "x" * 70).encode(), np.uint8)
+    starts = rng.integers(0, len(data) - 100, 5000)
+    ends = starts + rng.integers(0, 90, 5000)
+    h = seeded_hashes(data, starts, ends, [3, 2**64 - 1])
+    words = [data[a:b].tobytes() for a, b in zip(starts, ends)]
+    for lane in h:
+        assert len({(w, x) for w, x in zip(words, lane.tolist())}) == len(set(words)) == len(set(lane.tolist()))
+
+
+def test_cache_starts_again_if_one_hash_agrees():
+    """Slices that share the first hash only: the encoder draws other seeds."""
+    enc = byte_bpe.Encoder(byte_bpe.load_ranks(public("byte_bpe_50k.tiktoken")))
+    real, calls = byte_bpe.seeded_hashes, []
+
+    def weak(data, starts, ends, seeds):
+        h = real(data, starts, ends, seeds)
+        calls.append(seeds)
+        if len(calls) == 1:
+            h[0] = 7
+        return h
+
+    byte_bpe.seeded_hashes = weak
+    try:
+        data = np.frombuffer(b"one two three", np.uint8)
+        ids, _, _ = enc.encode(data, np.array([0, len(data)]))
+    finally:
+        byte_bpe.seeded_hashes = real
+    plain = byte_bpe.Encoder(byte_bpe.load_ranks(public("byte_bpe_50k.tiktoken")))
+    assert len(calls) == 2 and ids.tolist() == plain.encode(data, np.array([0, len(data)]))[0].tolist()
+
+
+def test_ngram_stage_keeps_clean_rows_of_dropped_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, a), (3, c), (3, c), (3, c.upper()), (None, " "), (None, None), (5, ""), (5, ""), (None, "only here"), (None, "only here")]
+    df = spark.createDataFrame([(i, t, k, 1) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, row_hash int, root int")
+    out = ngram_join.stage(spark, df, "")
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert [t.lower() for i, t in got if i == 3] == [c] and (1, a) in got and (2, b) in got and (2, a) not in got and (None, a) not in got
+    assert sorted(map(repr, (g for g in got if g[0] != 3))) == sorted(map(repr, [(1, a), (2, b), (None, " "), (None, None), (5, ""), (5, ""), (None, "only here")]))
+
+
+def test_ngram_join_with_cut_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET", 1 << 9)
+    monkeypatch.setattr(ngram_join, "BUCKETS", 4)  # every bucket is cut
+    rows = near_rows()
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_sets(rows)

@@ -1,11 +1,12 @@
 """Operator 10: line dedup over levelled sorted runs of line hashes.
 
-Method: every batch of documents becomes one run, a table of line hashes
-sorted by hash with the number of documents holding the line and the largest
-of their ids.  A new batch merge-anti-joins the runs (keys that none of them
-holds are fresh) and adds its own run at level 0; when a level holds
-``fanout`` runs they are merged into one run of the next level.  The totals of
-a key are the sums over the runs.
+Method: a run is a table of line hashes sorted by hash, with the number of
+documents holding the line and the largest of their ids.  A new batch is
+merge-anti-joined with the runs: keys that none of them holds become its own
+run at level 0, so every key lies in one run only; keys that are held add
+their counts beside it (folder ``fresh=false``).  When a level holds ``fanout``
+runs they are merged, with the counts that belong to them, into one run of
+the next level.  The totals of a key are the sums over its run and counts.
 
 Cases: null or empty text is one empty line; a null ``doc_id`` is never
 counted and its document loses no line; several rows with one id count as one
@@ -15,11 +16,14 @@ those named like a new one are replaced.
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import narrowed, widened
-from .scratch import shared_folder, stored, table
+from .scratch import shared_folder, ship, stored, table
 
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,7 +51,7 @@ def line_hashes(docs: DataFrame, min_chars: int = 40) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled sorted runs of (h, n_docs, max_doc, fresh) below one shared folder."""
+    """Levelled sorted runs of (h, n_docs, max_doc) below one shared folder, and the counts added to their keys."""
 
     def __init__(self, spark: SparkSession, fanout: int = 2, name: str = "line-runs"):
         self.spark, self.fanout = spark, fanout
@@ -58,45 +62,54 @@ class LineRuns:
     def _write(self, rows: DataFrame, level: int) -> None:
         path = f"{self.root}/level-{level}/run-{self.written:06d}"
         self.written += 1
-        rows.repartitionByRange("h").sortWithinPartitions("h").write.parquet(path)
+        rows.repartitionByRange("h").sortWithinPartitions("fresh", "h").write.partitionBy("fresh").parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
 
     def _all(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h binary, n_docs bigint, max_doc bigint, fresh boolean").parquet(*paths)
-
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self._all(paths).groupBy("h").agg(
-            F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.max("fresh").alias("fresh"))
+        """Runs (fresh) and added counts (not fresh)."""
+        parts = [self.spark.read.schema("h binary, n_docs bigint, max_doc bigint, fresh boolean").parquet(p) for p in paths]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
     def paths(self) -> list[str]:
         return [p for level in self.levels for p in level]
 
+    def keys(self) -> DataFrame:
+        """h of all runs; every key once."""
+        return self._all(self.paths()).where("fresh").select("h")
+
     def fresh(self, keys: DataFrame) -> DataFrame:
         """The rows of ``keys`` whose hash no run holds."""
-        return keys.join(self._all(self.paths()), "h", "left_anti") if self.paths() else keys
+        return keys.join(self.keys(), "h", "left_anti") if self.paths() else keys
 
     def add(self, keys: DataFrame) -> None:
         """Add one batch of distinct (doc_id, h); no document may come in two batches."""
-        run = keys.groupBy("h").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        if self.paths():
-            held = self._all(self.paths()).groupBy("h").agg(F.lit(False).alias("fresh"))
-            run = run.join(held, "h", "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))
+        batch = keys.groupBy("h").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        if self.paths():  # one merge tells the anti-join's rows from those that are held
+            held = self.keys().withColumn("held", F.lit(True))
+            batch = batch.join(held, "h", "left").select("h", "n_docs", "max_doc", F.col("held").isNull().alias("fresh"))
         else:
-            run = run.withColumn("fresh", F.lit(True))
-        self._write(run, 0)
+            batch = batch.withColumn("fresh", F.lit(True))
+        self._write(batch, 0)
         self.compact()
 
     def compact(self) -> None:
         for level, paths in enumerate(self.levels):
             if len(paths) >= self.fanout:
-                self._write(self._merged(paths), level + 1)
+                # A key is in one of the runs, or in none: then its counts belong to a run of another level.
+                merged = self._all(paths).groupBy("h").agg(
+                    F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.max("fresh").alias("fresh"))
+                self._write(merged, level + 1)
                 self.levels[level] = []
 
     def totals(self, min_docs: int) -> DataFrame:
         """(h, n_docs, max_doc) of the keys found in at least ``min_docs`` documents."""
-        return self._merged(self.paths()).where(F.col("n_docs") >= min_docs).select("h", "n_docs", "max_doc")
+        return self._all(self.paths()).groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc")).where(
+            F.col("n_docs") >= min_docs)
 
 
 def frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -110,23 +123,45 @@ def frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batc
     return keys, stored(runs.totals(min_docs), "line-totals")
 
 
+KEPT = "n_kept bigint, kept string"
+
+
+def kept_lines(text: pd.Series, drops: pd.Series) -> pd.DataFrame:
+    """The lines of every text whose key is not dropped; in time linear to lines and drops.  Null without drops."""
+    white = WHITE.encode()
+    counts, texts = [], []
+    for t, d in zip(text, drops):
+        if d is None:
+            counts.append(None)
+            texts.append(None)
+            continue
+        gone = {bytes(h) for h in d}
+        # bytes.lower() changes A-Z only, and no byte of a longer character is white space or a line break.
+        kept = [line for line in (t or "").encode().split(b"\n") if hashlib.md5(line.strip(white).lower()).digest() not in gone]
+        counts.append(len(kept))
+        texts.append(b"\n".join(kept).decode())
+    return pd.DataFrame({"n_kept": pd.Series(counts, dtype="Int64"), "kept": texts})
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4) -> DataFrame:
     """``docs`` with n_lines (before dropping), n_dropped and kept_text.
 
     A key of at least ``min_chars`` code points in at least ``min_docs``
     documents loses all its lines except in the largest id holding it.
     """
+    ship(docs.sparkSession)
     keys, frequent = frequent_lines(docs, min_chars, min_docs, batches)
     drops = (keys.join(frequent, "h").where(F.col("doc_id") < F.col("max_doc"))
              .groupBy(F.col("doc_id").alias("__line_doc")).agg(F.collect_set("h").alias("__line_drop")))
     joined = docs.join(drops, docs["doc_id"] == drops["__line_doc"], "left")
-    lines = lines_of(F.col("text"))
-    kept = F.when(F.col("__line_drop").isNull(), lines).otherwise(F.filter(lines, lambda line: ~(
-        (F.length(key_of(line)) >= min_chars) & F.array_contains(F.col("__line_drop"), hash_of(key_of(line))))))
+    # Only texts that lose lines go through Python.
+    some = F.col("__line_drop").isNotNull()
+    kept = F.pandas_udf(kept_lines, KEPT)(F.when(some, F.coalesce("text", F.lit(""))), F.col("__line_drop"))
+    n_lines = F.size(lines_of(F.col("text"))).cast("long")
     return (joined.withColumn("__line_kept", kept)
-            .withColumn("n_lines", F.size(lines).cast("long"))
-            .withColumn("n_dropped", (F.size(lines) - F.size("__line_kept")).cast("long"))
-            .withColumn("kept_text", F.array_join("__line_kept", "\n"))
+            .withColumn("n_lines", n_lines)
+            .withColumn("n_dropped", F.when(some, F.col("n_lines") - F.col("__line_kept.n_kept")).otherwise(F.lit(0).cast("long")))
+            .withColumn("kept_text", F.when(some, F.col("__line_kept.kept")).otherwise(F.coalesce("text", F.lit(""))))
             .drop("__line_doc", "__line_drop", "__line_kept"))
 
 

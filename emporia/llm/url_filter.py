@@ -37,8 +37,6 @@ from .scratch import stored, table
 # The rules of the contract (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 ORDER, BETA = 4, 2.0
-#: An n-gram is known if it was seen so often: all are.  SLOTS bounds nothing any more; an older test reads it.
-MIN_COUNT, SLOTS = 1, 1 << 18
 #: Ratios are summed in steps of 1/UNIT.
 UNIT = 10**9
 #: A window with more than 1/HOT of all characters is dealt over SALTS keys; so there are at most HOT of them.
@@ -46,7 +44,7 @@ HOT, SALTS = 512, 64
 #: Histogram of calibration scores: cells a unit, and the largest absolute score told apart.
 CELLS, LIMIT = 50, 10
 FOLDS = 5
-ROW, FOLD = "__url_row", "__url_fold"
+ROW, FOLD, GIVEN = "__url_row", "__url_fold", "__url_given"
 
 
 def parsed(urls: DataFrame) -> DataFrame:
@@ -173,14 +171,17 @@ def calibrated(held: DataFrame) -> float | None:
 
 
 def judge(urls: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """``urls`` with host, path, rule, score and verdict."""
-    known = with_chars(ruled(parsed(urls), rules)).withColumn(FOLD, F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
+    """``urls`` with host, path, rule, score and verdict; other columns pass through, but those named like one of these are replaced."""
+    new = ["host", "path", "rule", "score", "verdict"]
+    rows = urls.select("url", F.struct(*urls.columns).alias(GIVEN))  # one column, so that no other one's name can clash
+    known = with_chars(ruled(parsed(rows), rules)).withColumn(FOLD, F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
     decided = known.where(F.col("decision").isNotNull()).select("decision", "chars", FOLD)
     fitted = model(decided.where(F.col(FOLD) > 0))
     rated = stored(scored(known, fitted).drop("chars"), "scores")
     threshold = calibrated(rated.where(F.col("decision").isNotNull() & (F.col(FOLD) == 0)))
     method = F.lit("allow") if threshold is None else F.when(F.col("score") < threshold, "block").otherwise("allow")
-    return rated.withColumn("verdict", F.coalesce("decision", method)).drop("decision", FOLD)
+    kept = [F.col(GIVEN).getField(c).alias(c) for c in urls.columns if c not in new]
+    return rated.withColumn("verdict", F.coalesce("decision", method)).select(*kept, *new)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

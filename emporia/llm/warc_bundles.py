@@ -220,8 +220,10 @@ def read_bundles(index: DataFrame) -> DataFrame:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                 bundle.close()
 
+    ship(index.sparkSession)
     files = index.select("file").distinct()
-    return files.mapInArrow(read, RECORDS)
+    # A task a file: the names are a few bytes, which AQE would otherwise gather into one partition.
+    return files.repartition(max(1, files.count())).mapInArrow(read, RECORDS)
 
 
 def read_records(index: DataFrame) -> DataFrame:

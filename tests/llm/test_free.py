@@ -83,6 +83,15 @@ def test_warc_random_access_and_seek_table(spark):
     assert warc_bundles.read_bundles(warc_bundles.archive(pages(spark).limit(0))).count() == 0
 
 
+def test_warc_reads_a_file_a_task(spark):
+    index = warc_bundles.archive(pages(spark).repartition(4), file_bytes=1, frame_bytes=100)
+    files = index.select("file").distinct().count()
+    got = warc_bundles.read_bundles(index)
+    assert files > 4 and got.rdd.getNumPartitions() == files
+    spread = got.selectExpr("spark_partition_id() AS p", "record_id").distinct().groupBy("p").count().count()
+    assert spread == files and got.count() == 13
+
+
 # -- 3: embeddings
 
 

@@ -2,8 +2,8 @@
 
 Spark has no ``erf``, ``lgamma`` or incomplete beta, and scipy is not assumed:
 the tails are series and continued fractions of a fixed number of terms, as
-``aggregate`` over a literal sequence.  They are accurate to about 1e-13 and
-meant for the one-row results of the tests, not for a column of a large table.
+``aggregate`` over a literal sequence.  They are accurate to about 1e-13 (Student's
+with more than 10,000 degrees of freedom to 1e-11) and meant for the one-row results of the tests, not for a column of a large table.
 
 Conventions shared by all tests:
 
@@ -86,10 +86,18 @@ def normal_sf(z: Column) -> Column:
     return F.when(z >= 0, half).otherwise(1.0 - half)
 
 
+#: Degrees of freedom beyond which Student's tail is the normal one with Fisher's corrections (next term below 1e-11).
+MANY = 10_000.0
+
+
 def student_sf(t: Column, df: Column) -> Column:
     """Upper tail P(T > t) of Student's t with ``df`` (not always whole) degrees of freedom."""
     half = 0.5 * beta_sf(df / 2.0, F.lit(0.5), df / (df + t * t))
-    return F.when(t >= 0, half).otherwise(1.0 - half)
+    exact = F.when(t >= 0, half).otherwise(1.0 - half)
+    t2 = t * t
+    density = F.exp(-t2 / 2.0) / math.sqrt(2 * math.pi)
+    near = normal_sf(t) + density * t * ((t2 + 1.0) / (4.0 * df) + (((3.0 * t2 - 7.0) * t2 - 5.0) * t2 - 3.0) / (96.0 * df * df))
+    return F.when(df > MANY, F.greatest(near, F.lit(0.0))).otherwise(exact)
 
 
 def _towards(stat: Column, direction: str) -> Column:
@@ -128,6 +136,18 @@ def chi2_sf(stat: Column, dof: Column) -> Column:
     return F.round(p, P_DIGITS)
 
 
+#: Degrees of freedom beyond which the chi-square tail is taken from Wilson and Hilferty's cube root.
+MANY_CELLS = 2_000
+
+
+def chi2_tail(stat: Column, dof: Column) -> Column:
+    """Upper tail of the chi-square distribution for any number of degrees of freedom, as many as there are sellers."""
+    k = dof.cast("double")
+    small = gamma_sf(F.least(k, F.lit(float(MANY_CELLS))) / 2.0, stat / 2.0)
+    z = (F.pow(stat / k, F.lit(1.0 / 3.0)) - (1.0 - 2.0 / (9.0 * k))) / F.sqrt(2.0 / (9.0 * k))
+    return F.when(k > MANY_CELLS, normal_sf(z)).otherwise(small)
+
+
 def one_sample_proportion_z(x: Column, n: Column, p0: Column) -> Column:
     """z of an observed rate x/n against a reference rate p0."""
     nd = n.cast("double")

@@ -306,16 +306,20 @@ def repurchase_gap_summary(t: Roles) -> DataFrame:
 def _repeat_order_flags(t: Roles) -> DataFrame:
     """order_id, is_first for orders of repeat buyers (>= 2 orders).
 
-    The first order is the earliest by (purchase_ts, order_id).  Orders meet
-    the buyers' first orders on ``order_id``, which is unique, so a buyer with
-    a third of all orders is no hot key: an order that is nobody's first one
+    The first order is the earliest by (purchase_ts, order_id), orders without
+    a time before all others.  Every step is a hash aggregate or a join that no
+    buyer makes hot: counts and first times per buyer; orders of that time by
+    (buyer, time), of which the smallest id is the first; and all orders with
+    the first ones on ``order_id``.  An order that is nobody's first one
     belongs to a repeat buyer, and a first one does if its buyer has others.
     """
-    op = t.order.select("order_id", "customer_id", "purchase_ts").join(
+    kind = t.order.schema["purchase_ts"].dataType
+    earliest = F.lit("0001-01-01 00:00:00").cast(kind)
+    op = t.order.select("order_id", "customer_id", F.coalesce("purchase_ts", earliest).alias("at")).join(
         t.customer.select("customer_id", "person_id"), "customer_id")
-    firsts = op.groupBy("person_id").agg(
-        F.count(F.lit(1)).alias("n_orders"),
-        F.min_by("order_id", F.struct("purchase_ts", "order_id")).alias("order_id")).select("order_id", "n_orders")
+    per_person = op.groupBy("person_id").agg(F.count(F.lit(1)).alias("n_orders"), F.min("at").alias("at"))
+    firsts = op.join(per_person, ["person_id", "at"]).groupBy("person_id", "n_orders").agg(
+        F.min("order_id").alias("order_id")).select("order_id", "n_orders")
     flags = op.select("order_id").join(firsts, "order_id", "left")
     return flags.where(F.col("n_orders").isNull() | (F.col("n_orders") >= 2)).select(
         "order_id", F.col("n_orders").isNotNull().alias("is_first"))

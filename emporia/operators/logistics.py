@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emporia.functions import stats
+from emporia.functions import regression, stats
 from emporia.functions.geo import distance_m
 from emporia.functions.money import exact_sum, money_of
 from emporia.plans.bases import order_item, order_review
@@ -124,6 +124,55 @@ def freight_order_profile(t: Roles, k: int = 100) -> DataFrame:
     )
 
 
+FREIGHT_TERMS = ("distance_100km", "weight_kg", "volume_dm3", "cross_state")
+
+
+def freight_drivers(t: Roles) -> DataFrame:
+    """L2 as a regression: what drives the freight of an item?
+
+    Ordinary least squares of freight on the distance from seller to buyer (in
+    100 km), the product's weight (kg) and volume (dm3) and whether the states
+    differ (1 or 0), with a constant, over items whose variables are all known:
+    M4's difference between states with distance, weight and volume held
+    constant.  Standard errors take items as independent.  The joins with
+    sellers and orders give distances and flags; items then meet products as
+    sums per product.  A term that the ones before it determine is aliased
+    (coefficient null).  Columns: term, coefficient, std_error, t, items, r2.
+    """
+    geo = t.geo.select("geo_key", "lat", "lng")
+
+    def placed(role, key, p):
+        place = geo.select(F.col("geo_key").alias("geo"), F.col("lat").alias(f"{p}_lat"), F.col("lng").alias(f"{p}_lng"))
+        return role.select(key, F.col("geo_key").alias("geo"), F.col("state").alias(f"{p}_state")).join(place, "geo", "left").drop("geo")
+
+    buyers = t.order.select("order_id", "customer_id").join(placed(t.customer, "customer_id", "c"), "customer_id", "left").drop("customer_id")
+    items = t.item.select("order_id", "product_id", "seller_id", F.col("freight").cast("double").alias("y"))
+    lines = items.join(placed(t.seller, "seller_id", "s"), "seller_id", "left").join(buyers, "order_id")
+    lines = lines.select("product_id", "y", (distance_m(F.col("c_lat"), F.col("c_lng"), F.col("s_lat"), F.col("s_lng")) / 100_000.0).alias("d"),
+                         (F.col("s_state") != F.col("c_state")).cast("double").alias("x"))
+    lines = lines.where(F.col("y").isNotNull() & F.col("d").isNotNull() & F.col("x").isNotNull())
+    y, d, x = F.col("y"), F.col("d"), F.col("x")
+    per_product = lines.groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("k"), F.sum(y).alias("y"), F.sum(d).alias("d"), F.sum(x).alias("x"),
+        F.sum(y * y).alias("yy"), F.sum(d * y).alias("dy"), F.sum(x * y).alias("xy"), F.sum(d * d).alias("dd"), F.sum(d * x).alias("dx"))
+    volume = F.col("length_cm") * F.col("height_cm") * F.col("width_cm") / 1000.0
+    goods = t.product.select("product_id", (F.col("weight_g") / 1000.0).cast("double").alias("w"), volume.cast("double").alias("v"))
+    g = per_product.join(goods, "product_id").where(F.col("w").isNotNull() & F.col("v").isNotNull())
+    # Weight and volume are constants of a product, so its sums give its part of every moment.
+    k, w, v = F.col("k"), F.col("w"), F.col("v")
+    of = {"n": k, "sy": y, "syy": F.col("yy"), "sx_0": d, "sx_1": w * k, "sx_2": v * k, "sx_3": x,
+          "sxy_0": F.col("dy"), "sxy_1": w * y, "sxy_2": v * y, "sxy_3": F.col("xy"),
+          "sxx_0_0": F.col("dd"), "sxx_1_0": w * d, "sxx_1_1": w * w * k, "sxx_2_0": v * d, "sxx_2_1": v * w * k, "sxx_2_2": v * v * k,
+          "sxx_3_0": F.col("dx"), "sxx_3_1": w * x, "sxx_3_2": v * x, "sxx_3_3": x}
+    m = regression.least_squares(g.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in of.items()]), len(FREIGHT_TERMS))
+    terms = [("constant", "c"), *((name, str(i)) for i, name in enumerate(FREIGHT_TERMS))]
+    rows = F.array(*[F.struct(F.lit(name).alias("term"), F.col(f"beta_{i}").alias("b"), F.col(f"se_{i}").alias("se")) for name, i in terms])
+    return m.select(F.explode(rows).alias("r"), "n", "r2").select(
+        "r.term", F.round("r.b", 6).alias("coefficient"), F.round("r.se", 6).alias("std_error"),
+        F.round(F.try_divide(F.col("r.b"), F.when(F.col("r.se") != 0, F.col("r.se"))), 4).alias("t"),
+        F.col("n").cast("bigint").alias("items"), F.round("r2", 6).alias("r2"))
+
+
 def late_flag(delivered: Column, promised: Column) -> Column:
     """True if delivered after the promised day, false if on time, null if unknown."""
     return F.to_date(delivered) > F.to_date(promised)

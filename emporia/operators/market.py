@@ -149,11 +149,11 @@ def cross_state_freight(t: Roles) -> DataFrame:
     x = F.col("freight").cast("double")
     per_product = _item_states(t).groupBy("product_id", "cross").agg(
         F.count(F.lit(1)).alias("n"), exact_sum(F.col("freight"), fs).alias("s"), F.count("freight").alias("k"),
-        F.avg(x).alias("mean"), F.var_pop(x).alias("var"))
+        F.var_pop(x).alias("var")).withColumn("mean", stats.ratio(F.col("s"), F.col("k")))
     rows = per_product.join(t.product.select("product_id", "weight_g"), "product_id", "left")
     # Squared deviations of a side: those inside its products, and those of the products' means.
     k, mean = F.col("k"), F.col("mean")
-    between = F.sum(k * mean * mean) - F.sum(k * mean) * F.sum(k * mean) / F.sum("k")
+    between = F.sum(k * mean * mean) - F.sum(k * mean) * F.sum(k * mean) / F.sum("k")  # products without freight have no mean
     sides = rows.groupBy("cross").agg(
         F.sum("n").alias("n"), F.sum("s").alias("s"),
         F.when(F.sum("k") >= 2, (F.sum(k * F.col("var")) + between) / (F.sum("k") - 1)).alias("v"),

@@ -88,6 +88,48 @@ def sales_seasonality(t: Roles) -> DataFrame:
     )
 
 
+def sales_decomposition(t: Roles, rounds: int = 6) -> DataFrame:
+    """S2 with the trend taken out: monthly sales = trend x season x remainder, over complete months.
+
+    The trend is a centred 2 x 12 moving average (weights 1/24, 1/12 ... 1/12,
+    1/24), null in the first and last six months.  The season of a calendar
+    month is the mean ratio of its sales to the trend, normalised so that the
+    twelve average 1; it is null for all unless each of the twelve has such a
+    ratio.  A plain moving average bends with the season where the trend is
+    steep, so the trend is taken again from the sales divided by the season,
+    ``rounds`` times in all (one round is the classical method); sales that are
+    a straight line times a season come apart exactly.
+    ``adjusted`` = sales / season; ``trend_growth`` is the trend's change to the
+    month before.  Columns: month, sales, trend, season, remainder, adjusted,
+    trend_growth.
+    """
+    if rounds < 1:
+        raise ValueError("rounds must be at least 1")
+    ps = _period_sales(t, "month").where("complete").select("period", F.col("sales").cast("double").alias("sales"))
+    # One row per calendar month: all windows are tiny.
+    near = Window.orderBy("period").rowsBetween(-6, 6)
+    inner = Window.orderBy("period").rowsBetween(-5, 5)
+    everything, same_month = Window.partitionBy(), Window.partitionBy("moy")
+    s = ps.select("period", "sales", F.month("period").alias("moy"), F.lit(1.0).alias("season"))
+    s = s.withColumn("rows", F.count(F.lit(1)).over(same_month))
+    for _ in range(rounds):
+        plain = F.try_divide("sales", F.col("season"))
+        average = (F.sum("plain").over(near) + F.sum("plain").over(inner)) / 24.0
+        s = s.withColumn("plain", plain).withColumn("trend", F.when((F.count("plain").over(near) == 13), average))
+        s = s.withColumn("mean", F.avg(F.try_divide(F.col("sales"), F.when(F.col("trend") != 0, F.col("trend")))).over(same_month))
+        # Each of the twelve means counts once: its rows share a weight of 1.
+        whole = F.sum(F.col("mean") / F.col("rows")).over(everything)
+        months = F.sum(F.when(F.col("mean").isNotNull(), 1.0 / F.col("rows"))).over(everything)
+        s = s.withColumn("next", F.when((F.round(months, 6) == 12.0) & (whole != 0), F.col("mean") * 12.0 / whole))
+        s = s.withColumn("season", F.coalesce(F.when(F.col("next") != 0, F.col("next")), F.lit(1.0)))
+    season = F.col("next")
+    growth = F.try_divide(F.col("trend"), F.lag("trend").over(Window.orderBy("period"))) - 1.0
+    return s.select(
+        F.col("period").alias("month"), "sales", F.round("trend", 2).alias("trend"), F.round(season, 6).alias("season"),
+        F.round(F.try_divide(F.col("sales"), F.col("trend") * season), 6).alias("remainder"),
+        F.round(F.try_divide(F.col("sales"), season), 2).alias("adjusted"), F.round(growth, 6).alias("trend_growth"))
+
+
 def top_categories_share(t: Roles, n: int = 10) -> DataFrame:
     """S3: top n categories by sales with their share of *all* sales.
 

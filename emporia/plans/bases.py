@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from emporia.functions.dates import add_periods, period_start
 from emporia.functions.money import exact_sum, money_of
@@ -44,28 +45,37 @@ def order_item(t: Roles) -> DataFrame:
     )
 
 
-# A review's time and score as one fixed-width number: microseconds above SCORE_BITS bits.
-SCORE_SPAN, SCORE_ZERO = 1 << 33, (1 << 31) + 1
+# A review's time and score as one bigint: microseconds (58 bits reach year 9999) above 5 bits of score.
+SCORE_ZERO, LEAST_SCORE, LARGEST_SCORE = 16, -15, 15
+NO_TIME = -(1 << 58)  # earlier than all times
 
 
 def order_review(t: Roles) -> DataFrame:
     """One review per order: the latest by review_ts, ties to the higher score.
 
-    Time and score are packed into one decimal, so that ``max`` over it is a
-    hash aggregate (a struct buffer would make Spark sort).  A null time is
-    earlier than all others, a null score lower than all others.
+    Time and score are packed into one bigint, so that ``max`` over it is a
+    hash aggregate on a fixed-width buffer (a struct would make Spark sort).  A
+    null time is earlier than all others, a null score lower than all others;
+    a score outside -15..15 is refused.
     """
-    day = F.unix_date(F.to_date("review_ts")).cast("decimal(20,0)")
-    second = (F.hour("review_ts") * 3600 + F.minute("review_ts") * 60).cast("decimal(20,0)") + F.expr("extract(SECOND FROM review_ts)")
-    micros = (day * F.lit(86_400_000_000).cast("decimal(12,0)") + (second * 1_000_000)).cast("decimal(24,0)")
-    time = F.coalesce(micros, F.lit("-10000000000000000000").cast("decimal(24,0)"))
-    code = F.coalesce(F.col("score").cast("bigint") + F.lit(SCORE_ZERO), F.lit(0)).cast("decimal(11,0)")
-    span = F.lit(SCORE_SPAN).cast("decimal(10,0)")
-    latest = F.max((time * span + code).cast("decimal(38,0)"))
-    code = F.pmod(latest, F.lit(SCORE_SPAN).cast("decimal(38,0)")).cast("bigint")
+    score = F.col("score")
+    fine = score.isNull() | score.between(LEAST_SCORE, LARGEST_SCORE)
+    code = F.when(fine, F.coalesce(score.cast("bigint") + SCORE_ZERO, F.lit(0).cast("bigint"))).otherwise(
+        F.raise_error(F.lit(f"a review score lies outside {LEAST_SCORE}..{LARGEST_SCORE}")).cast("bigint"))
+    latest = F.max(F.coalesce(micros(t.review, "review_ts"), F.lit(NO_TIME)) * 32 + code)
+    code = F.pmod(latest, F.lit(32).cast("bigint"))
     return t.review.groupBy("order_id").agg(F.when(code > 0, code - SCORE_ZERO).cast("int").alias("score"))
 
 
+def micros(df: DataFrame, name: str) -> Column:
+    """Microseconds since 1970 of a time column; of one without time zone as it reads, whatever the session's zone."""
+    ts = F.col(name)
+    if isinstance(df.schema[name].dataType, TimestampType):
+        return F.unix_micros(ts)
+    seconds = F.unix_date(F.to_date(ts)).cast("bigint") * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return seconds * 1_000_000 + F.round(F.expr(f"extract(SECOND FROM {name})").cast("double") * 1e6).cast("bigint")
+
+
 def with_category(t: Roles, per_product: DataFrame) -> DataFrame:
     """Rows that hold a ``product_id`` (aggregated to it first, so a hot product is one row) with their category."""
     joined = per_product.join(t.product.select("product_id", "category"), "product_id", "left")

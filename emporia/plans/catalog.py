@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from emporia.operators import customers, feedback, logistics, market, sales
+from emporia.operators import customers, feedback, logistics, market, retention, robust, sales
 from emporia.sources.roles import Roles
 
 
@@ -36,30 +36,42 @@ ANALYSES: dict[str, Analysis] = {
     "repeat_rate": Analysis(customers.repeat_rate),
     "repurchase_gaps": Analysis(customers.repurchase_gaps),
     "repurchase_gap_summary": Analysis(customers.repurchase_gap_summary),
+    "repurchase_survival": Analysis(retention.repurchase_survival),
+    "repurchase_survival_summary": Analysis(retention.repurchase_survival_summary),
+    "cohort_retention": Analysis(retention.cohort_retention),
     "first_vs_repeat_categories": Analysis(customers.first_vs_repeat_categories),
     "repeat_vs_single_score": Analysis(customers.repeat_vs_single_score),
+    "repeat_vs_single_rank": Analysis(robust.repeat_vs_single_rank),
     # sales and products
     "sales_growth": Analysis(sales.sales_growth),
     "sales_seasonality": Analysis(sales.sales_seasonality),
+    "sales_decomposition": Analysis(sales.sales_decomposition),
     "top_categories_share": Analysis(sales.top_categories_share),
     "fastest_growing_categories": Analysis(sales.fastest_growing_categories),
     "hot_slow_products": Analysis(sales.hot_slow_products),
     "hot_slow_bad_review_rate": Analysis(sales.hot_slow_bad_review_rate),
+    "hot_slow_bad_review_clustered": Analysis(robust.hot_slow_bad_review_clustered),
     # logistics
     "top_freight_orders": Analysis(logistics.top_freight_orders),
     "freight_order_profile": Analysis(logistics.freight_order_profile),
+    "freight_drivers": Analysis(logistics.freight_drivers),
     "late_vs_ontime_score": Analysis(logistics.late_vs_ontime_score),
+    "late_vs_ontime_rank": Analysis(robust.late_vs_ontime_rank),
     "late_orders_by_city": Analysis(logistics.late_orders_by_city),
     # market and geography
     "city_penetration": Analysis(market.city_penetration),
     "low_penetration_high_potential": Analysis(market.low_penetration_high_potential),
     "cross_state_order_share": Analysis(market.cross_state_order_share),
     "cross_state_freight": Analysis(market.cross_state_freight),
+    "cross_state_freight_clustered": Analysis(robust.cross_state_freight_clustered),
     # payments and reviews
     "completion_rate_by_payment": Analysis(feedback.completion_rate_by_payment),
     "completion_payment_chi2": Analysis(feedback.completion_payment_chi2),
+    "completion_payment_rao_scott": Analysis(feedback.completion_payment_rao_scott),
     "avg_order_amount_by_payment": Analysis(feedback.avg_order_amount_by_payment),
     "installment_avg_payment": Analysis(feedback.installment_avg_payment),
     "seller_bad_review_concentration": Analysis(feedback.seller_bad_review_concentration),
     "seller_bad_review_summary": Analysis(feedback.seller_bad_review_summary),
+    "seller_bad_review_dispersion": Analysis(feedback.seller_bad_review_dispersion),
+    "seller_bad_review_flags": Analysis(feedback.seller_bad_review_flags),
 }

@@ -35,7 +35,9 @@ FUNCTIONS = {
              ELSE 1D - beta_part(b, a, 1D - x) END"""),
     "normal_sf": ("z DOUBLE", "CASE WHEN z >= 0 THEN 0.5D * gamma_sf(0.5D, z * z / 2D) ELSE 1D - 0.5D * gamma_sf(0.5D, z * z / 2D) END"),
     "student_sf": ("t DOUBLE, df DOUBLE", """
-        CASE WHEN t >= 0 THEN 0.5D * beta_sf(df / 2D, 0.5D, df / (df + t * t)) ELSE 1D - 0.5D * beta_sf(df / 2D, 0.5D, df / (df + t * t)) END"""),
+        CASE WHEN df > 10000 THEN greatest(0D, normal_sf(t) + exp(-t * t / 2D) / 2.5066282746310002D * t * (
+                    (t * t + 1D) / (4D * df) + (((3D * t * t - 7D) * t * t - 5D) * t * t - 3D) / (96D * df * df)))
+             WHEN t >= 0 THEN 0.5D * beta_sf(df / 2D, 0.5D, df / (df + t * t)) ELSE 1D - 0.5D * beta_sf(df / 2D, 0.5D, df / (df + t * t)) END"""),
 }
 
 
@@ -290,10 +292,13 @@ SPARK_SQL = {
     """,
     "first_vs_repeat_categories": """
         WITH attributed AS (
-          SELECT o.order_id, c.person_id, o.purchase_ts FROM r_order o JOIN r_customer c ON o.customer_id = c.customer_id
+          SELECT o.order_id, c.person_id, coalesce(o.purchase_ts, TIMESTAMP_NTZ '0001-01-01 00:00:00') AS at
+          FROM r_order o JOIN r_customer c ON o.customer_id = c.customer_id
         ),
+        per_person AS (SELECT person_id, min(at) AS at, count(*) AS n FROM attributed GROUP BY person_id),
         firsts AS (
-          SELECT min_by(order_id, struct(purchase_ts, order_id)) AS order_id, count(*) AS n FROM attributed GROUP BY person_id
+          SELECT min(a.order_id) AS order_id, p.n FROM attributed a JOIN per_person p ON p.person_id = a.person_id AND p.at = a.at
+          GROUP BY a.person_id, p.n
         ),
         flags AS (
           SELECT a.order_id, f.n IS NOT NULL AS is_first FROM attributed a LEFT JOIN firsts f ON f.order_id = a.order_id

@@ -59,9 +59,11 @@ def test_products_are_joined_at_product_grain(roles, name):
     assert at
 
 
-def test_first_orders_are_joined_on_unique_orders(roles):
+def test_first_orders_make_no_buyer_hot(roles):
+    """Orders meet buyers on (buyer, time) only, and nothing is sorted to be aggregated."""
     p = plan(ANALYSES["first_vs_repeat_categories"].run(roles))
-    assert not [line for line in p.splitlines() if "Join" in line and "person_id" in line]
+    joins = [line for line in p.splitlines() if "Join" in line and "person_id" in line]
+    assert joins and all("at#" in line for line in joins) and "SortAggregate" not in p
 
 
 def test_growth_window_reaches_the_scan(roles):
@@ -69,7 +71,7 @@ def test_growth_window_reaches_the_scan(roles):
     assert "o_orderdate" in p and "to_date" not in p.split("FileScan", 1)[0].split("Subquery")[0]
 
 
-@pytest.mark.parametrize("name", ["late_vs_ontime_score", "hot_slow_bad_review_rate", "repeat_vs_single_score", "seller_bad_review_summary"])
+@pytest.mark.parametrize("name", ["late_vs_ontime_score", "hot_slow_bad_review_rate", "repeat_vs_single_score", "seller_bad_review_summary", "first_vs_repeat_categories"])
 def test_reviews_are_hash_aggregated(roles, name):
     assert "SortAggregate" not in plan(ANALYSES[name].run(roles))
 

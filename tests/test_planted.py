@@ -66,6 +66,12 @@ def test_no_fan_out_across_items_payments_reviews(make_roles):
           for r in customers.top_customer_payment_aov(t).collect()}
     assert c5 == {"card": (1, 50.0, 50.0), "voucher": (1, 30.0, 30.0), None: (1, 80.0, 80.0)}
     assert order_review(t).first().score == 5  # latest review wins
+    rows = [("a", 5, None), ("a", 1, ts("0001-01-01")), ("b", 2, ts("9999-12-31T23:59:59.999999")), ("b", 5, ts("9999-12-31T23:59:59.999998")),
+            ("c", None, ts("2020-01-01")), ("c", 3, ts("2020-01-01")), ("d", None, None), ("e", -15, None), ("f", 15, ts("1950-03-04T05:06:07.000008")),
+            ("f", 1, ts("1950-03-04T05:06:07.000007"))]
+    assert {r.order_id: r.score for r in order_review(make_roles(review=rows)).collect()} == {"a": 1, "b": 2, "c": 3, "d": None, "e": -15, "f": 15}
+    with pytest.raises(Exception, match="outside"):
+        order_review(make_roles(review=[("a", 16, None)])).collect()
     m1 = market.city_penetration(t).first()
     assert (m1.orders, m1.sales, m1.customers) == (1, 30.0, 1)
 

@@ -28,6 +28,21 @@ def test_student_tail_against_table_values(spark, t, df, p):
     assert got == pytest.approx(p, abs=3e-6)
 
 
+@pytest.mark.parametrize("df", [1e6, 1e8, 1e9, 1e10, 1e12])
+def test_student_tail_with_many_degrees_is_the_normal_one(spark, df):
+    for t in (-2.0, 0.3, 1.0, 2.0, 4.0, 6.0):
+        got = spark.range(1).select(stats.student_sf(F.lit(t), F.lit(df)).alias("p")).first().p
+        normal = 0.5 * math.erfc(t / math.sqrt(2))
+        first = math.exp(-t * t / 2) / math.sqrt(2 * math.pi) * t * (t * t + 1) / (4 * df)
+        assert got == pytest.approx(normal + first, rel=1e-11 + 1e5 / df**2, abs=1e-15)
+
+
+def test_student_tails_meet_where_they_change(spark):
+    for t in (0.5, 2.0, 3.5, 5.0):
+        a, b = (spark.range(1).select(stats.student_sf(F.lit(t), F.lit(df)).alias("p")).first().p for df in (stats.MANY, stats.MANY * (1 + 1e-12)))
+        assert a == pytest.approx(b, abs=1e-11)
+
+
 def test_welch_small_df(spark):
     cols = [F.lit(v) for v in (5.0, 2.0, 1.0, 5.0, 1.0, 1.0)]
     row = spark.range(1).select(*[c.alias(n) for c, n in zip(stats.welch(*cols, "greater").values(),

@@ -15,7 +15,7 @@ from emporia.functions import stats
 from emporia.sources.roles import Roles
 
 
-def _days(t: Roles) -> DataFrame:
+def buyer_days(t: Roles) -> DataFrame:
     """person_id, day, n: orders of a buyer on a day."""
     per_customer = t.order.where(F.col("purchase_ts").isNotNull()).groupBy("customer_id", F.to_date("purchase_ts").alias("day")).agg(
         F.count(F.lit(1)).alias("n"))
@@ -53,7 +53,7 @@ def cohort_retention(t: Roles) -> DataFrame:
 
 def _spells(t: Roles) -> DataFrame:
     """days, events, censored: a histogram of the time from every order to the buyer's next one, or to the last purchase day of all."""
-    days = _days(t).withColumn("hi", _days_end(t))
+    days = buyer_days(t).withColumn("hi", _days_end(t))
     w = Window.partitionBy("person_id").orderBy("day")
     following = F.lead("day").over(w)
     spells = days.select(

@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from emporia.operators import customers, feedback, logistics, market, retention, robust, sales
+from emporia.operators import customers, feedback, logistics, market, retention, robust, sales, sketches
+from emporia.sources.order_mart import order_mart_months
 from emporia.sources.roles import Roles
 
 
@@ -39,6 +40,7 @@ ANALYSES: dict[str, Analysis] = {
     "repurchase_survival": Analysis(retention.repurchase_survival),
     "repurchase_survival_summary": Analysis(retention.repurchase_survival_summary),
     "cohort_retention": Analysis(retention.cohort_retention),
+    "repurchase_gaps_sketched": Analysis(sketches.repurchase_gaps_sketched),
     "first_vs_repeat_categories": Analysis(customers.first_vs_repeat_categories),
     "repeat_vs_single_score": Analysis(customers.repeat_vs_single_score),
     "repeat_vs_single_rank": Analysis(robust.repeat_vs_single_rank),
@@ -64,6 +66,7 @@ ANALYSES: dict[str, Analysis] = {
     "cross_state_order_share": Analysis(market.cross_state_order_share),
     "cross_state_freight": Analysis(market.cross_state_freight),
     "cross_state_freight_clustered": Analysis(robust.cross_state_freight_clustered),
+    "city_buyers_sketched": Analysis(sketches.city_buyers_sketched),
     # payments and reviews
     "completion_rate_by_payment": Analysis(feedback.completion_rate_by_payment),
     "completion_payment_chi2": Analysis(feedback.completion_payment_chi2),
@@ -74,4 +77,6 @@ ANALYSES: dict[str, Analysis] = {
     "seller_bad_review_summary": Analysis(feedback.seller_bad_review_summary),
     "seller_bad_review_dispersion": Analysis(feedback.seller_bad_review_dispersion),
     "seller_bad_review_flags": Analysis(feedback.seller_bad_review_flags),
+    # the order-grain mart
+    "order_mart_months": Analysis(order_mart_months),
 }

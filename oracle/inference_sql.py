@@ -259,6 +259,29 @@ SELECT seller_id, CAST(reviews AS BIGINT) AS reviews, CAST(bad AS BIGINT) AS bad
 FROM st CROSS JOIN cut
 """)
 
+REPURCHASE_GAPS_SKETCHED = with_roles(f"""
+WITH {_GAPS},
+h AS (SELECT gap, count(*) AS n, (SELECT count(*) FROM gaps) AS total FROM gaps GROUP BY gap),
+c AS (SELECT gap, sum(n) OVER (ORDER BY gap) / CAST(total AS DOUBLE) AS hi FROM h)
+SELECT p, CAST(min(gap) FILTER (WHERE hi >= p) AS BIGINT) AS exact, true AS within_bound
+FROM c CROSS JOIN (SELECT unnest([0.1::DOUBLE, 0.25, 0.5, 0.75, 0.9, 0.99]) AS p) GROUP BY p
+""")
+
+CITY_BUYERS_SKETCHED = with_roles("""
+SELECT c.state, c.city, count(DISTINCT c.person_id) AS customers, true AS within_bound
+FROM r_order o JOIN r_customer c ON c.customer_id = o.customer_id GROUP BY c.state, c.city
+""")
+
+ORDER_MART_MONTHS = with_roles("""
+WITH oi AS (SELECT order_id, sum(price) AS sales, sum(freight) AS freight FROM r_item GROUP BY order_id)
+SELECT CAST(date_trunc('month', o.purchase_ts) AS DATE) AS month, count(*) AS orders, CAST(coalesce(sum(p.order_amount), 0) AS DOUBLE) AS order_amount,
+       CAST(coalesce(sum(oi.sales), 0) AS DOUBLE) AS sales, CAST(coalesce(sum(oi.freight), 0) AS DOUBLE) AS freight,
+       count(r.order_id) AS reviewed, round(avg(r.score), 6) AS avg_score,
+       count(o.delivered_ts) AS delivered, coalesce(count_if(CAST(o.delivered_ts AS DATE) > CAST(o.promised_ts AS DATE)), 0) AS late
+FROM r_order o LEFT JOIN r_order_pay p ON p.order_id = o.order_id LEFT JOIN oi ON oi.order_id = o.order_id
+LEFT JOIN r_review r ON r.order_id = o.order_id GROUP BY 1
+""")
+
 SQL = {
     "sales_decomposition": SALES_DECOMPOSITION,
     "freight_drivers": FREIGHT_DRIVERS,
@@ -272,4 +295,7 @@ SQL = {
     "completion_payment_rao_scott": COMPLETION_PAYMENT_RAO_SCOTT,
     "seller_bad_review_dispersion": SELLER_BAD_REVIEW_DISPERSION,
     "seller_bad_review_flags": SELLER_BAD_REVIEW_FLAGS,
+    "repurchase_gaps_sketched": REPURCHASE_GAPS_SKETCHED,
+    "city_buyers_sketched": CITY_BUYERS_SKETCHED,
+    "order_mart_months": ORDER_MART_MONTHS,
 }

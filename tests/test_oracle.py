@@ -35,7 +35,7 @@ def _rows(cols, rows):
 
 def test_every_analysis_has_oracle():
     assert set(ANALYSES) <= set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(ANALYSES) == 43
+    assert len(ANALYSES) == 46
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))

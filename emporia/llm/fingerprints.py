@@ -14,7 +14,8 @@ digits for n, FIRST digits for the first octave, then SAMPLES digits an octave.
 octave the share of equal samples, corrected for chance, weighted by the steps
 in it up to the end of the longer walk.  ``similar_documents`` samples the
 digits into bands, buckets documents by band, links every bucket to its
-smallest member and verifies by likeness.
+smallest member and compares what it then holds in different components block
+by block; every link is verified by likeness.
 
 Every text is walked whole, all texts of a batch in step.  Cases: null and
 empty texts have the fingerprint of n = 0, likeness 1 to each other and 0 to
@@ -40,7 +41,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .arrays import mix
 from .components import components
-from .scratch import stored, table
+from .scratch import discard, release, ship, stored, table
 
 SAMPLES, FIRST = 32, 64  # samples an octave behind the first; steps in the first octave, all of them written
 LAP, CLASSES = 4096, 256  # rows of random bits; later laps use them in another order, for other characters
@@ -164,6 +165,7 @@ def batches_of(texts: list[str], limit: int = CHUNK):
 
 def with_fingerprint(df: DataFrame, column: str = "text", out: str = "fingerprint") -> DataFrame:
     """``df`` with the fingerprint of a text column."""
+    ship(df.sparkSession)
     keep = df.drop(out)
 
     def work(batches):
@@ -176,44 +178,164 @@ def with_fingerprint(df: DataFrame, column: str = "text", out: str = "fingerprin
     return keep.mapInArrow(work, StructType([*keep.schema.fields, StructField(out, StringType())]))
 
 
-def similar_documents(prints: DataFrame, least: float = 0.8, bands: int = 16, digits: int = 12) -> DataFrame:
-    """(doc_id, component_id) of documents whose fingerprints are alike, from ``prints`` (doc_id, fingerprint).
+#: Bands of so many digits each; members of a bucket that meet in one block; rows that a task compares, about.
+BANDS, DIGITS, BLOCK, TASK_ROWS = 20, 10, 512, 20_000
 
-    A band is ``digits`` digits at sampled places of the octaves that hold most
-    steps of texts up to twice as short or long; equal bands of one such size
-    meet in a bucket, whose members are verified against its smallest.
+
+def band_keys(fingerprint: str) -> list[int]:
+    """The bucket of every band of a fingerprint: size, band and digits in one number.
+
+    A band is ``DIGITS`` digits at sampled places of the octaves that hold most
+    steps of texts of one size; a text indexes its own size and the next smaller
+    one, so that it meets texts up to twice as short or long.
     """
-    def band_rows(rows):
-        for batch in rows:
-            ids, keys = [], []
-            for doc, fp in zip(batch.column("doc_id").to_pylist(), batch.column("fingerprint").to_pylist()):
-                if doc is None or len(fp) <= 8:
-                    continue
-                top = 1 + (len(fp) - 8 - FIRST) // SAMPLES
-                for size in {max(1, top - 1), top}:  # texts one octave longer index this size as well
-                    if size > top:
-                        continue
-                    pool = (digits_before(max(0, size - 3)), digits_before(size))
-                    for b in range(bands):
-                        draws = mix(np.arange(digits, dtype=np.uint64) + np.uint64(100 * b + 7919 * size))
-                        places = 8 + pool[0] + (draws % np.uint64(pool[1] - pool[0])).astype(np.int64)
-                        ids.append(doc)
-                        keys.append(f"{size}:{b}:" + "".join(fp[p] for p in places))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], ["doc_id", "band"])
+    if len(fingerprint) <= 8:  # empty texts have one fingerprint
+        return []
+    keys = []
+    top = 1 + (len(fingerprint) - 8 - FIRST) // SAMPLES
+    for size in sorted({max(1, top - 1), top}):
+        low, high = digits_before(max(0, size - 3)), digits_before(size)
+        for b in range(BANDS):
+            draws = mix(np.arange(DIGITS, dtype=np.uint64) + np.uint64(100 * b + 7919 * size))
+            places = 8 + low + (draws % np.uint64(high - low)).astype(np.int64)
+            keys.append((size * BANDS + b) << 4 * DIGITS | int("".join(fingerprint[p] for p in places), 16))
+    return keys
+
+
+def parsed(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and digits (rows, padded) of fingerprints."""
+    n = np.array([int(f[:8], 16) for f in prints], np.int64)
+    digits = np.full((len(prints), max((len(f) - 8 for f in prints), default=0)), 255, np.uint8)
+    for i, f in enumerate(prints):
+        digits[i, : len(f) - 8] = np.frombuffer(f[8:].encode(), np.uint8)
+    return n, digits
+
+
+def likeness_to(i: int, js: np.ndarray, n: np.ndarray, digits: np.ndarray) -> np.ndarray:
+    """``likeness`` of row i to rows js, side by side."""
+    longer, both = walk_steps(np.maximum(n[js], n[i])), walk_steps(np.minimum(n[js], n[i]))
+    most = octaves(int(both.max(initial=0)))
+    equal = np.zeros((len(js), digits_before(most) + 1), np.int16)
+    np.cumsum(digits[js, : digits_before(most)] == digits[i, : digits_before(most)], axis=1, out=equal[:, 1:])
+    total, row = np.zeros(len(js)), np.arange(len(js))
+    for k in range(most):
+        low, high = octave_range(k)
+        inside = np.searchsorted(sample_steps(k), both)  # the samples before the end of the shorter walk come first
+        some = inside > 0
+        share = np.where(some, (equal[row, digits_before(k) + inside] - equal[row, digits_before(k)]) / np.maximum(inside, 1), 0.0)
+        total += np.where(some, np.maximum(0.0, (share - 1 / 16) * 16 / 15) * (np.minimum(high, both) - low), 0.0)
+    out = np.round(total / np.maximum(longer, 1), 6)
+    return np.where((n[js] == n[i]) & (digits[js] == digits[i]).all(1), 1.0, out)
+
+
+def star_links(lists: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of a bucket's smallest node and its other members that are alike."""
+    hubs = stored(lists.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub"), "band-hubs")
+    pairs = lists.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    both = (pairs.join(classes.select(F.col("node").alias("a"), F.col("fingerprint").alias("fa")), "a")
+            .join(classes.select(F.col("node").alias("b"), F.col("fingerprint").alias("fb")), "b").select("a", "b", "fa", "fb"))
 
     def alike(rows):
         for batch in rows:
             ok = [likeness(a, b) >= least for a, b in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist())]
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    lists = stored(prints.select("doc_id", "fingerprint").mapInArrow(band_rows, "doc_id bigint, band string"), "bands")
-    hubs = stored(lists.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "band-hubs")
-    pairs = lists.join(hubs, "band").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    one = prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("fingerprint").alias("fingerprint"))
-    both = (pairs.join(one.select(F.col("doc_id").alias("a"), F.col("fingerprint").alias("fa")), "a")
-            .join(one.select(F.col("doc_id").alias("b"), F.col("fingerprint").alias("fb")), "b").select("a", "b", "fa", "fb"))
-    roots = components(both.mapInArrow(alike, "a bigint, b bigint"))
-    return one.join(roots, one["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+    return both.mapInArrow(alike, "a bigint, b bigint")
+
+
+def open_links(lists: DataFrame, classes: DataFrame, roots: DataFrame, least: float, block: int) -> DataFrame:
+    """Links (a, b) between what buckets still hold in different components: block by block, a spanning forest of each."""
+    members = stored(lists.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "band-members")
+    counts = stored(members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")), "band-roots")
+    # The largest component of a bucket stays; members of the others are compared with all.
+    several = counts.groupBy("band").agg(F.count(F.lit(1)).alias("r"), F.max_by("root", F.struct("n", "root")).alias("main"),
+                                         F.sum("n").alias("m"), F.max("n").alias("most")).where("r > 1")
+    several = stored(several.select("band", "main", F.ceil((F.col("m") - F.col("most")) / block).cast("int").alias("nl"),
+                                    F.ceil(F.col("m") / block).cast("int").alias("nr")), "open-bands")
+    rows = members.join(several, "band")
+    zero = F.lit(0)
+
+    def own_block(n):
+        return F.pmod(F.xxhash64("node"), n).cast("int")
+
+    left = rows.where("root <> main").select("band", "node", "root", own_block(F.col("nl")).alias("i"),
+                                             F.explode(F.sequence(zero, F.col("nr") - 1)).alias("j"), F.lit(True).alias("is_left"))
+    right = rows.select("band", "node", "root", F.explode(F.sequence(zero, F.col("nl") - 1)).alias("i"), own_block(F.col("nr")).alias("j"), F.lit(False).alias("is_left"))
+    met = stored(left.unionByName(right), "band-blocks")
+    deals = max(1, -(-met.count() // TASK_ROWS))
+    # A block is dealt whole: at most 2 * block rows of one key.
+    dealt = met.join(classes.select("node", "fingerprint"), "node").withColumn("deal", F.pmod(F.xxhash64("band", "i", "j"), F.lit(deals)).cast("int"))
+
+    def compare(rows):
+        rows = rows.sort_by([(k, "ascending") for k in ("band", "i", "j")])
+        key = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in ("band", "i", "j")])
+        node, root = (rows.column(k).to_numpy() for k in ("node", "root"))
+        is_left = rows.column("is_left").to_numpy()
+        n, digits = parsed(rows.column("fingerprint").to_pylist())
+        cut = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        edges = []
+        for low, high in zip(cut.tolist(), [*cut[1:].tolist(), len(node)]):
+            of = np.arange(low, high)
+            rights = of[~is_left[low:high]]
+            for x in of[is_left[low:high]].tolist():
+                js = rights[root[rights] != root[x]]
+                if not len(js):
+                    continue
+                for r in js[likeness_to(x, js, n, digits) >= least].tolist():
+                    a, b = find(int(root[x])), find(int(root[r]))
+                    if a != b:  # the forest joins components of the first round, whose members are linked already
+                        parent[a] = b
+                        edges.append((int(node[x]), int(node[r])))
+        a, b = zip(*edges) if edges else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.groupBy("deal").applyInArrow(lambda rows: compare(rows), "a bigint, b bigint")
+
+
+def components_by_fingerprint(prints: DataFrame, least: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """(fingerprint, component_id): components of documents that are alike, from ``prints`` (doc_id, fingerprint).
+
+    Equal fingerprints are one class.  Bands put classes into buckets; every
+    bucket is linked to its smallest member, and what it then still holds in
+    different components is compared block by block.  component_id is the smallest
+    doc_id of a component (null ids do not count; null if there is no other).
+    """
+    ship(prints.sparkSession)
+    classes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "print-classes")
+
+    def band_rows(rows):
+        for batch in rows:
+            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                keys = [band_keys(f) for f in part.column("fingerprint").to_pylist()]
+                node = np.repeat(part.column("node").to_numpy(), [len(k) for k in keys])
+                yield pa.record_batch([pa.array([k for own in keys for k in own], pa.int64()), pa.array(node, pa.int64())], ["band", "node"])
+
+    every = stored(classes.select("fingerprint", "node").mapInArrow(band_rows, "band bigint, node bigint"), "bands")
+    shared = stored(every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "shared-bands")
+    lists = stored(every.join(shared, "band", "left_semi"), "band-lists")
+    discard(every, shared)
+    edges = stored(star_links(lists, classes, least), "star-links")
+    roots = stored(components(edges), "star-roots")
+    more = stored(open_links(lists, classes, roots, least, block), "more-links")
+    discard(lists)
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    ends = stored(components(known.unionByName(more)), "roots")
+    named = stored(classes.join(ends, "node", "left").select("fingerprint", "least", F.coalesce("root", "node").alias("root")), "class-roots")
+    ids = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    return stored(named.join(ids, "root").select("fingerprint", "component_id"), "print-components")
+
+
+def similar_documents(prints: DataFrame, least: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id) of every row of ``prints`` (doc_id, fingerprint); documents that are alike share a component."""
+    found = components_by_fingerprint(prints, least, block)
+    return prints.join(found, "fingerprint").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def id_bounds(docs: DataFrame, parts: int) -> np.ndarray:
@@ -266,6 +388,8 @@ def edited(text: str, following: str) -> str:
 
 def compared_with_next(docs: DataFrame) -> DataFrame:
     """Every document's fingerprint against its edited text's and its next document's (COMPARED)."""
+    ship(docs.sparkSession)
+
     def work(batches):
         def done(rows, following):
             """Rows with the row behind each of them."""
@@ -301,4 +425,7 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compared_with_next(table(spark, sf_dir, "documents"))
+    compared = stored(compared_with_next(table(spark, sf_dir, "documents")), "compared")
+    release(spark)  # the shuffle of the texts
+    found = components_by_fingerprint(compared.select("doc_id", "fingerprint"))
+    return compared.join(found, "fingerprint").select(*compared.columns, F.coalesce("component_id", "doc_id").alias("component_id"))

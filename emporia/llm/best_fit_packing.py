@@ -5,9 +5,11 @@ most ``capacity`` ids (only documents longer than that; the first piece is the
 shorter one).  Pieces are dealt to shards at random; every shard is evolved on
 several islands.  A chromosome is a packing.  Crossover injects whole
 well-filled bins of one parent into the other, removes the bins that hold
-duplicates of their pieces and best-fits the displaced pieces; mutation
-dissolves badly filled bins.  After an epoch the elite of each island migrates
-to the next one.  The best packing of each shard closes its well-filled bins;
+duplicates of their pieces and best-fits the displaced pieces, after one or two
+of them were exchanged for smaller ones of a bin wherever that fills it better;
+mutation dissolves badly filled bins.  After an epoch the elite of each island
+migrates to the next one.  A shard whose plain best fit needs no more sequences
+than its ids fill is optimal and is not searched.  The best packing of each shard closes its well-filled bins;
 the pieces of the others are pooled, dealt again and packed the same way.
 
 Ids equal those of the tokenizers library for the vocabulary file (checked in
@@ -89,6 +91,15 @@ class Packing:
         self.free.append(self.capacity - sum(self.lengths[i] for i in items))
         self.offer(len(self.bins) - 1)
 
+    def refill(self, b: int, items: list[int]) -> None:
+        """Give bin ``b`` other pieces."""
+        held = self.by_free[self.free[b]]
+        held.remove(b)
+        if not held:
+            self.mask ^= 1 << self.free[b]
+        self.bins[b], self.free[b] = items, self.capacity - sum(self.lengths[i] for i in items)
+        self.offer(b)
+
     def best_fit(self, items: Sequence[int]) -> None:
         lengths = self.lengths
         for i in items:
@@ -117,8 +128,47 @@ def rebuilt(bins: list[list[int]], lengths: Sequence[int], capacity: int) -> Pac
     return p
 
 
+def exchanged(p: Packing, loose: list[int]) -> list[int]:
+    """One or two pieces of a bin exchanged for one or two loose ones that fill it better, as far as that goes; the loose pieces left."""
+    lengths = p.lengths
+    loose = sorted(loose, key=lambda i: lengths[i])
+    for b in sorted(range(len(p.bins)), key=lambda b: -p.free[b]):
+        while p.free[b] and loose:
+            own, room, best = sorted(p.bins[b], key=lambda i: lengths[i])[:8], p.free[b], (0, (), ())
+            for out in [(i,) for i in own] + [(i, j) for k, i in enumerate(own) for j in own[k + 1:]]:
+                size = sum(lengths[i] for i in out)
+                low, high = 0, len(loose) - 1
+                while high >= 0 and lengths[loose[high]] > size + room:
+                    high -= 1
+                if high >= 0 and lengths[loose[high]] - size > best[0]:
+                    best = (lengths[loose[high]] - size, out, (loose[high],))
+                while low < high:  # the pair with the largest sum that fits
+                    total = lengths[loose[low]] + lengths[loose[high]]
+                    if total > size + room:
+                        high -= 1
+                        continue
+                    if total - size > best[0]:
+                        best = (total - size, out, (loose[low], loose[high]))
+                    low += 1
+                if best[0] == room:
+                    break
+            gain, out, into = best
+            if not gain:
+                break
+            p.refill(b, [i for i in p.bins[b] if i not in out] + list(into))
+            loose = sorted([i for i in loose if i not in into] + list(out), key=lambda i: lengths[i])
+    return loose
+
+
+def finished(bins: list[list[int]], loose: list[int], like: Packing, rng: random.Random | None = None) -> Packing:
+    """A packing of some bins and loose pieces: exchanges first, then best fit, the largest (about, with ``rng``) first."""
+    p = rebuilt(bins, like.lengths, like.capacity)
+    p.best_fit(sorted(exchanged(p, loose), key=lambda i: -like.lengths[i] * (rng.uniform(0.7, 1.3) if rng else 1.0)))
+    return p
+
+
 def crossover(a: Packing, b: Packing, rng: random.Random) -> Packing:
-    """Well-filled bins of ``a`` injected into ``b``; displaced pieces by best fit, the largest first."""
+    """Well-filled bins of ``a`` injected into ``b``; displaced pieces are exchanged and best-fitted."""
     good = [x for x, free in zip(a.bins, a.free) if free <= a.capacity // 100]
     injected = rng.sample(good, (len(good) + 1) // 2) if good else []
     held = {i for x in injected for i in x}
@@ -128,19 +178,14 @@ def crossover(a: Packing, b: Packing, rng: random.Random) -> Packing:
             kept.append(x)
         else:
             displaced += [i for i in x if i not in held]
-    child = rebuilt(injected + kept, b.lengths, b.capacity)
-    child.best_fit(sorted(displaced, key=lambda i: -b.lengths[i]))
-    return child
+    return finished(injected + kept, displaced, b)
 
 
 def mutated(p: Packing, rng: random.Random) -> Packing:
-    """The emptiest bins and a few others dissolved and packed again in another order."""
+    """The emptiest bins and a few others dissolved, their pieces exchanged and packed again."""
     order = sorted(range(len(p.bins)), key=lambda b: -p.free[b])
-    gone = set(order[: 1 + len(order) // 50]) | set(rng.sample(order, min(len(order), 2)))
-    out = rebuilt([x for b, x in enumerate(p.bins) if b not in gone], p.lengths, p.capacity)
-    loose = [i for b in gone for i in p.bins[b]]
-    out.best_fit(sorted(loose, key=lambda i: -p.lengths[i] * rng.uniform(0.8, 1.2)))
-    return out
+    gone = set(order[: 1 + len(order) // 50]) | set(rng.sample(order, min(len(order), 3)))
+    return finished([x for b, x in enumerate(p.bins) if b not in gone], [i for b in gone for i in p.bins[b]], p, rng)
 
 
 def evolve(lengths: list[int], capacity: int, seed: int, elite: list[list[int]] | None = None,
@@ -186,7 +231,7 @@ def unflat(packed: bytes) -> list[list[int]]:
 ORDER = ["length", "doc_id", "piece", "ids_crc32"]
 #: Set where the id is null: pandas would turn a column of ids with nulls into floating point.
 ITEMS = PIECES + ", no_id boolean"
-ISLAND = "shard int, island int, bins binary, n_bins int, fill double"
+ISLAND = "shard int, island int, bins binary, n_bins int, fill double, bound bigint"
 
 
 def sorted_items(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -198,20 +243,10 @@ def sharded(items: DataFrame, n_items: int, number: int) -> DataFrame:
     return items.withColumn("shard", F.floor(F.rand(number) * max(1, round(n_items / SHARD))).cast("int"))
 
 
-def packed_round(items: DataFrame, n_items: int, number: int, capacity: int, islands: int, epochs: int) -> DataFrame:
-    """One round over all shards: the items with shard, bin (inside the shard) and offset."""
-    dealt = stored(sharded(items, n_items, number), f"dealt-{number}")
-    # Full pieces fill a sequence each; they need no search.
-    loose = dealt.where(F.col("length") < capacity)
+def searched(loose: DataFrame, started: DataFrame, number: int, capacity: int, islands: int, epochs: int, result) -> DataFrame:
+    """The best packings of all islands and shards of ``loose``; every island starts from the plain best fit."""
     copies = loose.select("shard", *ORDER, F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"))
-
-    def result(shard, island, best):
-        n, fill = best.fitness()
-        return pd.DataFrame({"shard": [shard], "island": [island], "bins": [flat(best)], "n_bins": [-n], "fill": [fill]})
-
-    def first(key, pdf):
-        lengths = sorted_items(pdf)["length"].tolist()
-        return result(*key, evolve(lengths, capacity, seed=int(key[0]) * 1009 + int(key[1])))
+    state = started.drop("island").withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)]))).select(*started.columns)
 
     def later(epoch):
         def run(key, pdf, guests):
@@ -220,13 +255,35 @@ def packed_round(items: DataFrame, n_items: int, number: int, capacity: int, isl
             return result(*key, evolve(lengths, capacity, seed=(int(key[0]) * 1009 + int(key[1])) * 31 + epoch, elite=unflat(elite.bins)))
         return run
 
-    state = stored(copies.groupBy("shard", "island").applyInPandas(first, ISLAND), f"epoch-{number}-0")
-    for epoch in range(1, epochs):
+    for epoch in range(epochs):
         # The elite of an island goes to the next; an island keeps what it has as a guest of its own.
         moved = state.withColumn("from_island", F.col("island")).withColumn("island", F.explode(
             F.array(F.col("island"), ((F.col("island") + 1) % islands).cast("int"))))
         state = stored(copies.groupBy("shard", "island").cogroup(moved.groupBy("shard", "island")).applyInPandas(later(epoch), ISLAND),
                        f"epoch-{number}-{epoch}")
+    return state
+
+
+def packed_round(items: DataFrame, n_items: int, number: int, capacity: int, islands: int, epochs: int) -> DataFrame:
+    """One round over all shards: the items with shard, bin (inside the shard) and offset."""
+    dealt = stored(sharded(items, n_items, number), f"dealt-{number}")
+    # Full pieces fill a sequence each; they need no search.
+    loose = dealt.where(F.col("length") < capacity)
+    def result(shard, island, best, bound=0):
+        n, fill = best.fitness()
+        return pd.DataFrame({"shard": [shard], "island": [island], "bins": [flat(best)], "n_bins": [-n], "fill": [fill], "bound": [bound]})
+
+    def plain(key, pdf):
+        lengths = sorted_items(pdf)["length"].tolist()
+        best = Packing(lengths, capacity)
+        best.best_fit(range(len(lengths)))
+        return result(key[0], 0, best, -(-sum(lengths) // capacity))
+
+    started = stored(loose.select("shard", *ORDER).groupBy("shard").applyInPandas(plain, ISLAND), f"best-fit-{number}")
+    done, state = started.where("n_bins <= bound"), started.where("n_bins > bound")
+    if state.limit(1).count():
+        state = searched(loose.select("shard", *ORDER).join(state.select("shard"), "shard"), state, number, capacity, islands, epochs, result)
+    state = done.unionByName(state)
 
     out = ITEMS + ", shard int, bin int, fill bigint, offset bigint"
 

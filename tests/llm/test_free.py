@@ -512,6 +512,70 @@ def test_crossover_keeps_every_item_once():
     assert len(best.bins) <= min(len(a.bins), len(b.bins))
 
 
+def hard_lengths(seed, bins, capacity=200):
+    """Lengths that fill ``bins`` bins exactly, three to a bin: best fit needs more."""
+    rng, lengths = random.Random(seed), []
+    for _ in range(bins):
+        x = rng.randint(40, 90)
+        y = rng.randint(40, min(90, capacity - x - 30))
+        lengths += [x, y, capacity - x - y]
+    return sorted(lengths, reverse=True)
+
+
+def fewest_bins(lengths, capacity):
+    """Brute force: branch over the bins of every piece."""
+    best = [len(lengths)]
+
+    def place(k, free):
+        if len(free) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(free)
+            return
+        for r in {r for r in free if r >= lengths[k]}:
+            i = free.index(r)
+            place(k + 1, free[:i] + [r - lengths[k]] + free[i + 1:])
+        place(k + 1, free + [capacity - lengths[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_the_search_beats_its_start_and_reaches_the_optimum():
+    started = evolved = 0
+    for seed in range(20):
+        lengths = hard_lengths(seed, 8 + seed)
+        start = best_fit_packing.Packing(lengths, 200)
+        start.best_fit(range(len(lengths)))
+        best = best_fit_packing.evolve(lengths, 200, seed, children=200)
+        assert sorted(i for x in best.bins for i in x) == list(range(len(lengths))) and all(f >= 0 for f in best.free)
+        assert all(sum(lengths[i] for i in x) + f == 200 for x, f in zip(best.bins, best.free))
+        started, evolved = started + len(start.bins), evolved + len(best.bins)
+    optimum = sum(8 + seed for seed in range(20))
+    assert started > optimum + 20 and evolved <= started - 8
+    for seed in range(12):
+        rng = random.Random(seed)
+        lengths = sorted(([rng.randint(20, 120) for _ in range(9)] if seed % 2 else hard_lengths(seed, 3)), reverse=True)
+        assert len(best_fit_packing.evolve(lengths, 200, seed, children=40).bins) == fewest_bins(lengths, 200)
+
+
+def test_shards_are_searched_only_where_best_fit_is_not_optimal(spark, monkeypatch):
+    monkeypatch.setattr(best_fit_packing, "SHARD", 10_000)
+    hard, easy = hard_lengths(3, 20), [100] * 40
+    for lengths in (hard, easy):
+        rows = [(i, 0, 0, n, i, False) for i, n in enumerate(lengths)]
+        items = spark.createDataFrame(rows, best_fit_packing.ITEMS)
+        calls = []
+        real = best_fit_packing.searched
+        monkeypatch.setattr(best_fit_packing, "searched", lambda *a: calls.append(1) or real(*a))
+        out = best_fit_packing.packed_round(items, len(rows), 0, 200, 2, 2).collect()
+        monkeypatch.setattr(best_fit_packing, "searched", real)
+        assert sorted(r.doc_id for r in out) == list(range(len(rows))) and bool(calls) == (lengths is hard)
+        start = best_fit_packing.Packing(sorted(lengths, reverse=True), 200)
+        start.best_fit(range(len(lengths)))
+        assert len({r.bin for r in out}) <= len(start.bins) if lengths is hard else len({r.bin for r in out}) == 20
+
+
 # -- 9: quality
 
 

@@ -44,7 +44,6 @@ from .scratch import stored, table
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"  # as the SQL reads runs: NAME=value is one
 #: Runs end at their first "=" unless only padding follows; LEAST characters with the padding.
 PADDED, LEAST = r"[A-Za-z0-9+/_-]{16,}(?:=+(?![A-Za-z0-9+/_=-]))?", 20
 KINDS = ["assign", "access", "hex", "random"]
@@ -255,15 +254,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """DuckDB SQL of the query: the same spans from split texts, the same battery over exploded characters.
-
-    It still takes ``=`` into a run, so it misses the random values of NAME=value that ``scan`` finds.
-    """
-    def found(kind: int, pattern: str, keep: str = "true") -> str:
+    """DuckDB SQL of the query: the same spans from split texts, the same battery over exploded characters."""
+    def found(kind: int, pattern: str, keep: str = "true", match: str = "matches[i]") -> str:
         quoted = pattern.replace("'", "''")
         return f"""
   SELECT row, kind, start, start + length(match) AS stop, match FROM (
-    SELECT row, {kind} AS kind, matches[i] AS match,
+    SELECT row, {kind} AS kind, {match} AS match,
            list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(matches[1:i - 1], lambda m: length(m))), 0) AS start
     FROM (SELECT row, matches, gaps, unnest(range(1, len(matches) + 1)) AS i FROM (
       SELECT row, regexp_extract_all(t, '{quoted}') AS matches, string_split_regex(t, '{quoted}') AS gaps FROM d))) WHERE {keep}"""
@@ -276,6 +272,10 @@ def _sql() -> str:
         upper = f"(0.5 * {t} * exp(-({z}) * ({z}) / 2 + {poly}))"
         return f"(CASE WHEN {z} < 0 THEN {upper} ELSE 1.0 - {upper} END)"
 
+    # There is no look-ahead: signs of equality are taken along and cut off again where the run goes on behind them.
+    run = "[A-Za-z0-9+/_-]{16,}=*"
+    goes_on = "(gaps[i + 1] = '' AND i < len(matches) OR regexp_matches(gaps[i + 1], '^[A-Za-z0-9+/_-]'))"
+    unpadded = f"CASE WHEN {goes_on} THEN rtrim(matches[i], '=') ELSE matches[i] END"
     symbols = "CASE " + " ".join(f"WHEN regexp_matches(match, '{pattern}') THEN '{chars}'" for _, pattern, chars in ALPHABETS) + " END"
     assign = ASSIGN.replace("'", "''")
     kinds = ", ".join(f"'{k}'" for k in KINDS)
@@ -287,7 +287,7 @@ WITH d AS (
   UNION ALL {found(1, ACCESS)}
   UNION ALL {found(2, HEX)}
 ), runs AS (
-  SELECT r.*, row_number() OVER () AS id FROM ({found(3, RUN)}) r
+  SELECT r.*, row_number() OVER () AS id FROM ({found(3, run, f"length(match) >= {LEAST}", unpadded)}) r
   WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row = r.row AND b.start <= r.start AND b.stop >= r.stop)
 ), folded AS (
   SELECT id, row, kind, start, stop, {symbols} AS symbols,

@@ -72,6 +72,8 @@ def test_secret_query_equals_sql_on_planted_runs(spark, tmp_path):
     alphabets = [string.ascii_letters + string.digits + "+/", "0123456789ABCDEF", string.ascii_lowercase + string.digits,
                  string.ascii_uppercase + "234567", string.ascii_lowercase, string.digits]
     texts = [f"é password=abcdefg {''.join(rng.choice(a) for _ in range(n))} token: zzzzzzzz" for n in (20, 26, 40, 90) for _ in range(6) for a in alphabets]
+    texts += [t for t, _ in named_secrets()]  # NAME=value
+    texts += ["".join(rng.choice(["=", "==", " ", "é", "q" * 4, "Z9" * 8, "x7" * 9, "k" * 19, "-A" * 10, "aB3" * 7]) for _ in range(12)) for _ in range(200)]
     rows = list(enumerate(texts + TEXTS))
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {tuple(r) for r in secret_scan.query(spark, str(tmp_path)).collect()}

@@ -182,24 +182,31 @@ def with_fingerprint(df: DataFrame, column: str = "text", out: str = "fingerprin
 BANDS, DIGITS, BLOCK, TASK_ROWS = 20, 10, 512, 20_000
 
 
-def band_keys(fingerprint: str) -> list[int]:
-    """The bucket of every band of a fingerprint: size, band and digits in one number.
+def band_places(size: int, band: int) -> np.ndarray:
+    """The digits of a band: sampled places of the octaves that hold most steps of texts of one size."""
+    low, high = digits_before(max(0, size - 3)), digits_before(size)
+    draws = mix(np.arange(DIGITS, dtype=np.uint64) + np.uint64(100 * band + 7919 * size))
+    return low + (draws % np.uint64(high - low)).astype(np.int64)
 
-    A band is ``DIGITS`` digits at sampled places of the octaves that hold most
-    steps of texts of one size; a text indexes its own size and the next smaller
-    one, so that it meets texts up to twice as short or long.
+
+def band_keys(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows and the buckets of all bands of some fingerprints: size, band and digits in one number.
+
+    A text indexes its own size and the next smaller one, so that it meets texts
+    up to twice as short or long; an empty one has no bands.
     """
-    if len(fingerprint) <= 8:  # empty texts have one fingerprint
-        return []
-    keys = []
-    top = 1 + (len(fingerprint) - 8 - FIRST) // SAMPLES
-    for size in sorted({max(1, top - 1), top}):
-        low, high = digits_before(max(0, size - 3)), digits_before(size)
-        for b in range(BANDS):
-            draws = mix(np.arange(DIGITS, dtype=np.uint64) + np.uint64(100 * b + 7919 * size))
-            places = 8 + low + (draws % np.uint64(high - low)).astype(np.int64)
-            keys.append((size * BANDS + b) << 4 * DIGITS | int("".join(fingerprint[p] for p in places), 16))
-    return keys
+    _, digits = parsed(prints)
+    values = np.where(digits >= 97, digits - 87, digits - 48).astype(np.int64)  # of hexadecimal digits
+    tops = np.array([1 + (len(f) - 8 - FIRST) // SAMPLES if len(f) > 8 else 0 for f in prints], np.int64)
+    places = 1 << 4 * np.arange(DIGITS - 1, -1, -1, dtype=np.int64)
+    rows, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for top in np.unique(tops[tops > 0]).tolist():
+        own = np.flatnonzero(tops == top)
+        for size in sorted({max(1, top - 1), top}):
+            for b in range(BANDS):
+                rows.append(own)
+                keys.append(((size * BANDS + b) << 4 * DIGITS) | values[own[:, None], band_places(size, b)] @ places)
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def parsed(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -313,9 +320,8 @@ def components_by_fingerprint(prints: DataFrame, least: float = 0.8, block: int
     def band_rows(rows):
         for batch in rows:
             for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                keys = [band_keys(f) for f in part.column("fingerprint").to_pylist()]
-                node = np.repeat(part.column("node").to_numpy(), [len(k) for k in keys])
-                yield pa.record_batch([pa.array([k for own in keys for k in own], pa.int64()), pa.array(node, pa.int64())], ["band", "node"])
+                rows, keys = band_keys(part.column("fingerprint").to_pylist())
+                yield pa.record_batch([pa.array(keys), part.column("node").take(pa.array(rows))], ["band", "node"])
 
     every = stored(classes.select("fingerprint", "node").mapInArrow(band_rows, "band bigint, node bigint"), "bands")
     shared = stored(every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "shared-bands")

@@ -427,6 +427,16 @@ def test_likeness_side_by_side():
         assert fingerprints.likeness_to(i, js, n, digits).tolist() == [fingerprints.likeness(prints[i], prints[j]) for j in js]
 
 
+def test_band_keys_hold_their_digits():
+    prints = fingerprints.fingerprints(["", "a", "short one", "x" * 500, "ab " * 4000])
+    rows, keys = fingerprints.band_keys(prints)
+    assert np.bincount(rows, minlength=5).tolist() == [0] + [fingerprints.BANDS] * 2 + [2 * fingerprints.BANDS] * 2
+    for row, key in zip(rows.tolist(), keys.tolist()):
+        size, band = divmod(key >> 4 * fingerprints.DIGITS, fingerprints.BANDS)
+        want = "".join(prints[row][8 + p] for p in fingerprints.band_places(size, band))
+        assert f"{key & (1 << 4 * fingerprints.DIGITS) - 1:0{fingerprints.DIGITS}x}" == want
+
+
 def test_template_family_has_recall(spark):
     """Texts about three quarters alike, with near copies among them: links that the hub of a bucket does not see."""
     rng = random.Random(5)

@@ -5,16 +5,20 @@ dimensions carry most of a product.  Tiles of vectors are compared pair by
 pair: products over the leading dimensions are accumulated first, what the
 remaining ones can add is bounded by the norms of the suffixes, and a pair of
 vectors is dropped as soon as its cosine cannot reach the threshold; a pair of
-tiles stops when no pair is left.  Survivors are verified by the cosine of the
-given vectors in double precision.
+tiles stops when no pair is left.  The leading products are made in single
+precision, with the suffix norm as one more dimension, so that one product
+gives the bound itself; a margin covers the rounding.  Survivors are verified
+by the cosine of the given vectors in double precision, each scaled by a power
+of two, which changes no quotient and keeps squares in range.
 
-Equal vectors are one class with a count.  Tiles come from a tree of splits on
+Equal vectors are one class (128-bit hash) with a count.  Tiles come from a tree of splits on
 the leading axes, fitted on a bounded sample (SAMPLE vectors, the smallest by
 hash); every vector goes to its own tile and, as a probe, to those other tiles
 whose box it can reach (the squared distance to the box, over the split axes,
 is at most 2 - 2 * threshold), so no link is lost and none is met twice.  A
-tile with more than TILE vectors is compared in blocks.  A task returns link
-counts and a spanning forest of its links, never its pairs.
+tile with more than TILE vectors is compared in blocks, and blocks in squares
+of SQUARE vectors a side.  The pairs of a square are folded into link counts and
+a spanning forest before the next one; a task returns these, never its pairs.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite numbers
 link with nothing, and so do vectors of different lengths; a null id is kept
@@ -33,17 +37,20 @@ from .components import components
 from .scratch import stored, table
 
 THRESHOLD = 0.95
-SAMPLE, TILE, AXES, STEPS = 8192, 2048, 8, (16, 16, 32)
+SAMPLE, TILE, SQUARE, AXES, STEPS = 8192, 8192, 1024, 16, (16, 16, 32)
 #: Added to bounds, against the rounding of rotated products.
 MARGIN = 1e-9
+#: A square with a larger share of surviving pairs goes on with whole products, as gathers would cost more.
+DENSE = 0.02
 
 
 def with_class(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v, class): class is a hash of the vector's bytes, null where it can link with nothing."""
+    """(vec_id, v, class): class is a 128-bit hash of the vector's entries, null where it can link with nothing."""
     v = F.transform(F.col("embedding"), lambda x: x.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
     ok = (F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.exists("v", lambda x: x != 0)
           & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    return vectors.select("vec_id", v.alias("v")).withColumn("class", F.when(F.coalesce(ok, F.lit(False)), F.xxhash64("v")))
+    name = F.unhex(F.format_string("%016x%016x", F.xxhash64("v"), F.xxhash64(F.lit("second half"), "v")))
+    return vectors.select("vec_id", v.alias("v")).withColumn("class", F.when(F.coalesce(ok, F.lit(False)), name))
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -52,6 +59,11 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows by the power of two that brings their largest entry to [0.5, 1): cosines stay the same to the last bit."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(1, keepdims=True))[1])
+
+
 def axes_of(sample: np.ndarray) -> np.ndarray:
     """Principal axes (columns), the strongest first.  Any rotation is right; this one stops early."""
     _, vectors = np.linalg.eigh(sample.T @ sample)
@@ -91,37 +103,56 @@ class Tree:
         return own, [np.flatnonzero(r) for r in near]
 
 
+def leading(rows: np.ndarray, to: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``to`` dimensions with the norm of the others as one more, and that norm, in single precision."""
+    rest = np.linalg.norm(rows[:, to:], axis=1).astype(np.float32)[:, None]
+    return np.hstack([rows[:, :to].astype(np.float32), rest]), rest
+
+
 def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that may reach the threshold: leading dimensions first, suffix norms as the bound of the rest."""
-    dims, at = a.shape[1], 0
-    i = j = None
-    dot = np.zeros((len(a), len(b)))
-    for step in STEPS + (dims,):
-        to = min(dims, at + step)
-        if i is None:
-            dot += a[:, at:to] @ b[:, at:to].T
-            rest = np.linalg.norm(a[:, to:], axis=1)[:, None] * np.linalg.norm(b[:, to:], axis=1)
-            alive = dot + rest >= threshold - MARGIN
-            if same:
-                alive = np.triu(alive, 1)
-            if to < dims and alive.mean() > 0.02:  # many survivors: dense products are cheaper than gathers
-                at = to
-                continue
-            i, j = np.nonzero(alive)
-            dot = dot[i, j]
+    dims = a.shape[1]
+    least = np.float32(threshold - (dims + 16) * 2.0 ** -23)  # below what rounding can take from a product
+    ends = [e for e in np.cumsum(STEPS).tolist() if e < dims] + [dims]
+    dot = None
+    for k, to in enumerate(ends):
+        (left, rest_a), (right, rest_b) = leading(a, to), leading(b, to)
+        if dot is None:
+            bound = left @ right.T
         else:
-            dot = dot + np.einsum("nd,nd->n", a[i, at:to], b[j, at:to])
-            rest = np.linalg.norm(a[i, to:], axis=1) * np.linalg.norm(b[j, to:], axis=1)
-            ok = dot + rest >= threshold - MARGIN
-            i, j, dot = i[ok], j[ok], dot[ok]
-        at = to
+            at = ends[k - 1]
+            dot += left[:, at:to] @ right[:, at:to].T
+            bound = dot + rest_a * rest_b.T
+        alive = bound >= least
+        if same:
+            alive = np.triu(alive, 1)
+        if to == dims or np.count_nonzero(alive) <= DENSE * alive.size:
+            break
+        dot = bound - rest_a * rest_b.T if dot is None else dot
+    i, j = np.nonzero(alive)
+    at = 0 if to < dims else dims
+    for to in ends[k:]:
         if at == dims or not len(i):
             break
+        more = np.einsum("nd,nd->n", a[i, at:to], b[j, at:to])
+        sums = more if at == 0 else sums + more
+        ok = sums + np.linalg.norm(a[i, to:], axis=1) * np.linalg.norm(b[j, to:], axis=1) >= threshold - MARGIN
+        i, j, sums, at = i[ok], j[ok], sums[ok], to
     return i, j
 
 
-def forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of a graph given by index pairs: (node, smallest node of its tree)."""
+def verified(raw: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The index pairs whose cosine of the given vectors reaches the threshold."""
+    keep = np.zeros(len(a), bool)
+    for z in range(0, len(a), 1 << 14):
+        p, q = raw[a[z:z + (1 << 14)]], raw[b[z:z + (1 << 14)]]
+        norms = np.sqrt(np.einsum("nd,nd->n", p, p)) * np.sqrt(np.einsum("nd,nd->n", q, q))
+        keep[z:z + (1 << 14)] = np.einsum("nd,nd->n", p, q) / norms >= threshold
+    return a[keep], b[keep]
+
+
+def forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a graph given by index pairs: nodes, and the smallest node of the tree of each."""
     nodes, flat = np.unique(np.concatenate([i, j]), return_inverse=True)
     a, b = flat[: len(i)], flat[len(i):]
     root = np.arange(len(nodes))
@@ -133,7 +164,8 @@ def forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
         root = root[root]
         if (root == before).all() and (root[a] == root[b]).all():
             break
-    return [(int(nodes[k]), int(nodes[r])) for k, r in enumerate(root.tolist()) if k != r]
+    k = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[k], nodes[root[k]]
 
 
 def links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -142,7 +174,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     reps = stored(vectors.groupBy("class").agg(F.first("v").alias("v"), F.countDistinct("vec_id").alias("n")), "vector-classes")
     sizes = [r[0] for r in reps.select(F.size("v")).distinct().orderBy(F.size("v")).collect()]  # lengths of vectors in use
     parts = [_links_of_size(spark, reps.where(F.size("v") == d), threshold) for d in sizes]
-    out = parts[0] if parts else spark.createDataFrame([], "class bigint, other bigint, n bigint")
+    out = parts[0] if parts else spark.createDataFrame([], "class binary, other binary, n bigint")
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
@@ -170,7 +202,7 @@ def _links_of_size(spark: SparkSession, reps: DataFrame, threshold: float) -> Da
                 yield pa.record_batch([pa.array(tiles, pa.int32()), pa.array(first), part.column("class").take(take),
                                        part.column("v").take(take), part.column("n").take(take)], ["tile", "own", "class", "v", "n"])
 
-    dealt = stored(reps.select("class", "v", "n").mapInArrow(deal, "tile int, own boolean, class bigint, v array<double>, n bigint"), "tiles")
+    dealt = stored(reps.select("class", "v", "n").mapInArrow(deal, "tile int, own boolean, class binary, v array<double>, n bigint"), "tiles")
     # Blocks of a tile: its own vectors are blocks 0..k-1, its probes go on from there; every pair of blocks is one group.
     counts = stored(dealt.groupBy("tile").agg(F.ceil(F.sum(F.col("own").cast("int")) / TILE).cast("int").alias("k"),
                                               F.ceil(F.sum((~F.col("own")).cast("int")) / TILE).cast("int").alias("m")), "tile-blocks")
@@ -181,34 +213,33 @@ def _links_of_size(spark: SparkSession, reps: DataFrame, threshold: float) -> Da
     partner = F.when(F.col("own"), F.sequence(F.lit(0), F.col("k") + F.col("m") - 1)).otherwise(F.sequence(F.lit(0), F.col("k") - 1))
     met = rows.withColumn("with", F.explode(partner)).withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
 
+    square = SQUARE
+
     def compare(key, rows):
         rotation, _ = shared.value
         block, j = rows.column("block").to_numpy(), key[2].as_py()
-        raw = np.asarray(rows.column("v").combine_chunks().flatten()).reshape(rows.num_rows, -1)
-        cls, n = rows.column("class").to_numpy(), rows.column("n").to_numpy()
-        own = unit(raw)
-        turned = own @ rotation
+        raw = scaled(np.asarray(rows.column("v").combine_chunks().flatten()).reshape(rows.num_rows, -1))
+        cls, n = rows.column("class").combine_chunks(), rows.column("n").to_numpy()
+        turned = unit(raw) @ rotation
         left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == j)
         same = key[1].as_py() == j
-        found = [(np.empty(0, int), np.empty(0, int))]
-        for x in range(0, len(left), TILE):
-            for y in range(x if same else 0, len(right), TILE):
-                l, r = left[x:x + TILE], right[y:y + TILE]
+        linked, trees = np.zeros(len(raw), np.int64), [(np.empty(0, np.int64),) * 2]
+        for x in range(0, len(left), square):
+            for y in range(x if same else 0, len(right), square):
+                l, r = left[x:x + square], right[y:y + square]
                 a, b = tile_links(turned[l], turned[r], threshold, same and x == y)
-                a, b = l[a], r[b]
-                for z in range(0, len(a), 1 << 16):  # verified on the given vectors
-                    p, q = a[z:z + (1 << 16)], b[z:z + (1 << 16)]
-                    cosine = np.einsum("nd,nd->n", raw[p], raw[q]) / (np.sqrt(np.einsum("nd,nd->n", raw[p], raw[p])) * np.sqrt(np.einsum("nd,nd->n", raw[q], raw[q])))
-                    found.append((p[cosine >= threshold], q[cosine >= threshold]))
-        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        linked = np.bincount(a, n[b], minlength=len(cls)) + np.bincount(b, n[a], minlength=len(cls))
+                a, b = verified(raw, l[a], r[b], threshold)
+                if len(a):
+                    np.add.at(linked, a, n[b])
+                    np.add.at(linked, b, n[a])
+                    trees.append(forest(a, b))
+        nodes, roots = forest(*(np.concatenate(side) for side in zip(*trees)))
         k = np.flatnonzero(linked)
-        edges = forest(a, b) if len(a) else []
-        return pa.table([pa.array(np.append(cls[k], cls[[e[0] for e in edges]].astype(np.int64) if edges else []).astype(np.int64)),
-                         pa.array([None] * len(k) + [int(cls[e[1]]) for e in edges], pa.int64()),
-                         pa.array(np.append(linked[k], np.zeros(len(edges))).astype(np.int64))], names=["class", "other", "n"])
+        return pa.table([pa.chunked_array([cls.take(pa.array(k)), cls.take(pa.array(nodes))]),
+                         pa.chunked_array([pa.nulls(len(k), pa.binary()), cls.take(pa.array(roots))]),
+                         pa.array(np.append(linked[k], np.zeros(len(nodes), np.int64)))], names=["class", "other", "n"])
 
-    return met.select("tile", "i", "j", "block", "class", "v", "n").groupBy("tile", "i", "j").applyInArrow(compare, "class bigint, other bigint, n bigint")
+    return met.select("tile", "i", "j", "block", "class", "v", "n").groupBy("tile", "i", "j").applyInArrow(compare, "class binary, other binary, n bigint")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

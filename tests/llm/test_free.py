@@ -140,6 +140,7 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     monkeypatch.setattr(embedding_dedup, "TILE", 16)  # many tiles and blocks
+    monkeypatch.setattr(embedding_dedup, "SQUARE", 5)
     assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()} == want
 
 
@@ -149,6 +150,37 @@ def test_embedding_empty_and_float(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_scales_do_not_matter(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(6, 20))
+    rows = [(10 * k + e, (base[k] + rng.normal(scale=0.02, size=20)) * scale) for k in range(6) for e, scale in enumerate((1.0, 1e200, 1e-200, 1e307))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {i: (3, i - i % 10) for i, _ in rows}
+    exact = rng.normal(size=(50, 20))
+    assert (embedding_dedup.scaled(exact * 2.0 ** 900) == embedding_dedup.scaled(exact)).all()
+
+
+def test_embedding_classes_are_128_bits(spark):
+    df = spark.createDataFrame([(k, [float(k % 5), 1.0]) for k in range(10)], "vec_id bigint, embedding array<double>")
+    names = [bytes(r["class"]) for r in embedding_dedup.with_class(df).collect()]
+    assert {len(x) for x in names} == {16} and len({x[:8] for x in names}) == len({x[8:] for x in names}) == 5
+    assert all(x[:8] != x[8:] for x in names)
+
+
+@pytest.mark.parametrize("spread", [0.01, 0.3, 3.0])
+def test_squares_with_many_survivors(spread):
+    rng = np.random.default_rng(2)
+    a = embedding_dedup.unit(rng.normal(size=64) + rng.normal(scale=spread, size=(150, 64)))
+    want = set(zip(*(x.tolist() for x in np.nonzero(np.triu(a @ a.T >= 0.95, 1)))))
+    i, j = embedding_dedup.tile_links(a, a, 0.95, True)
+    assert want <= set(zip(i.tolist(), j.tolist()))
+    i, j = embedding_dedup.verified(a, i, j, 0.95)
+    assert want == set(zip(i.tolist(), j.tolist()))
+    nodes, roots = embedding_dedup.forest(i, j)
+    assert (roots < nodes).all() and set(nodes.tolist()) | set(roots.tolist()) == {x for p in want for x in p}
+
+
 def test_tiles_stop_early_but_lose_nothing():
     rng = np.random.default_rng(1)
     a = embedding_dedup.unit(rng.normal(size=(200, 64)) * np.linspace(3, 0.1, 64))

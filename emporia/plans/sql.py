@@ -5,7 +5,8 @@ analysis as ``a_<name>``, so analyses can be written or consumed as Spark SQL
 (which accepts most HiveQL).  Views are lazy, registering them starts no job:
 a query over ``a_<name>`` plans the same DataFrame as calling the analysis
 function, but for the analyses in ``EAGER``, whose global ranking stores a
-table when it is called; their views are the SQL text below.
+table when it is called; their views are the SQL text below, which ranks by
+a histogram of values and by ranges inside one value, so no task gets all rows.
 
 ``SPARK_SQL`` holds every analysis as SQL text over the role views; tests check
 they agree with the DataFrame versions.

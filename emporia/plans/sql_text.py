@@ -162,6 +162,20 @@ sellers AS (SELECT seller_id, count(*) AS reviews, count_if(score <= 2) AS bad F
 """
 
 
+# Sellers by number of bad reviews: at most about sqrt(2 * all bad reviews) rows, so one task may order them.
+_ABOVE = """
+above AS (
+  SELECT bad AS value, count(*) AS n,
+         coalesce(sum(count(*)) OVER (ORDER BY bad DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         coalesce(sum(count(*) * bad) OVER (ORDER BY bad DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_bad
+  FROM sellers GROUP BY bad
+)
+"""
+
+#: Expected number of cut points (seller ids picked by hash) that split the sellers of one value into ranges.
+_SLICES = 256
+
+
 def _welch(direction: str) -> str:
     """CTE ``test`` over ``m`` (n1, m1, v1, n2, m2, v2), and the select list of t, df, p."""
     sign = "" if direction == "greater" else "-"
@@ -504,12 +518,23 @@ SPARK_SQL = {
         GROUP BY ROLLUP (installments)
     """,
     "seller_bad_review_concentration": f"""
-        WITH {_SELLERS},
+        WITH {_SELLERS}, {_ABOVE},
         totals AS (SELECT CAST(sum(bad) AS DOUBLE) AS tb, CAST(sum(reviews) AS DOUBLE) AS tr FROM sellers),
+        cuts AS (
+          SELECT collect_list(seller_id) AS ids FROM sellers
+          WHERE pmod(xxhash64(seller_id), (SELECT greatest(count(*), 1) FROM sellers)) < {_SLICES}
+        ),
+        cut AS (SELECT *, (SELECT ids FROM cuts) AS ids FROM sellers),
+        sliced AS (SELECT seller_id, reviews, bad, size(filter(ids, c -> c <= seller_id)) AS slice FROM cut),
+        earlier AS (
+          SELECT bad AS b, slice AS s, coalesce(sum(count(*)) OVER (PARTITION BY bad ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS skip
+          FROM sliced GROUP BY bad, slice
+        ),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY bad, slice ORDER BY seller_id) AS place FROM sliced),
         ranked AS (
-          SELECT *, row_number() OVER (ORDER BY bad DESC, seller_id) AS rk, (SELECT tb FROM totals) AS tb, (SELECT tb / tr FROM totals) AS p0,
-                 sum(bad) OVER (ORDER BY bad DESC, seller_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
-          FROM sellers
+          SELECT p.*, a.before + e.skip + p.place AS rk, a.before_bad + p.bad * (e.skip + p.place) AS running,
+                 (SELECT tb FROM totals) AS tb, (SELECT tb / tr FROM totals) AS p0
+          FROM placed p JOIN earlier e ON e.b = p.bad AND e.s = p.slice JOIN above a ON a.value = p.bad
         )
         SELECT seller_id, reviews, bad, round(CAST(bad AS DOUBLE) / reviews, 6) AS bad_rate, round(try_divide(CAST(bad AS DOUBLE), tb), 6) AS bad_share,
                round(try_divide(CAST(running AS DOUBLE), tb), 6) AS cum_share, CAST(rk AS BIGINT) AS rank,
@@ -518,15 +543,12 @@ SPARK_SQL = {
         FROM ranked
     """,
     "seller_bad_review_summary": f"""
-        WITH {_SELLERS},
-        ranked AS (
-          SELECT *, row_number() OVER (ORDER BY bad DESC, seller_id) AS rk,
-                 CAST(ceil(CAST(count(*) OVER () AS DECIMAL(20, 0)) * 0.100000) AS BIGINT) AS top_n
-          FROM sellers
-        )
-        SELECT count(*) AS sellers, sum(bad) AS bad, max(top_n) AS top_sellers,
-               round(try_divide(CAST(sum(bad) FILTER (WHERE rk <= top_n) AS DOUBLE), CAST(sum(bad) AS DOUBLE)), 6) AS top_share,
-               round(try_divide(CAST(sum(bad * bad) AS DOUBLE), pow(CAST(sum(bad) AS DOUBLE), 2)), 6) AS hhi
-        FROM ranked
+        WITH {_SELLERS}, {_ABOVE},
+        top AS (SELECT CAST(ceil(CAST(sum(n) AS DECIMAL(20, 0)) * 0.100000) AS BIGINT) AS top_n FROM above),
+        parts AS (SELECT *, (SELECT top_n FROM top) AS top_n FROM above)
+        SELECT coalesce(sum(n), 0) AS sellers, sum(n * value) AS bad, max(top_n) AS top_sellers,
+               round(try_divide(CAST(sum(value * greatest(least(n, top_n - before), 0)) AS DOUBLE), CAST(sum(n * value) AS DOUBLE)), 6) AS top_share,
+               round(try_divide(CAST(sum(n * value * value) AS DOUBLE), pow(CAST(sum(n * value) AS DOUBLE), 2)), 6) AS hhi
+        FROM parts
     """,
 }

@@ -80,3 +80,36 @@ def test_reviews_are_hash_aggregated(roles, name):
 def test_no_cross_or_nested_loop_joins(roles, name):
     p = plan(ANALYSES[name].run(roles))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_seller_view_ranks_no_sellers_in_one_task(spark, roles):
+    """Windows without a partition see the histogram of bad reviews only."""
+    import re
+
+    from emporia.plans.sql import SPARK_SQL, run_sql
+    for name in ("seller_bad_review_concentration", "seller_bad_review_summary"):
+        text = run_sql(spark, roles, SPARK_SQL[name])._jdf.queryExecution().executedPlan().toString()
+        windows = re.findall(r"(\w+)\([^()]*(?:\([^()]*\)[^()]*)*\) windowspecdefinition\(([^,]*),", text)
+        assert windows
+        for function, first in windows:
+            if " DESC" in first or " ASC" in first:  # no partition column: a single task
+                assert function == "sum" and first.startswith("bad#")
+        assert not re.search(r"windowspecdefinition\(seller_id", text)
+
+
+def test_seller_ranks_agree_for_strings_nulls_and_wide_ranges(spark, monkeypatch):
+    """The ranges of one value are cut at any ids, and null ids come first."""
+    from emporia.plans import sql_text
+
+    rows = [(None if k == 7 else f"s{k * 37 % 500:03d}", 10, k % 3) for k in range(500)]
+    df = spark.createDataFrame(rows, "seller_id string, reviews bigint, bad bigint")
+    df.createOrReplaceTempView("planted_sellers")
+    for slices in (3, sql_text._SLICES):
+        text = sql_text.SPARK_SQL["seller_bad_review_concentration"]
+        text = text.replace(sql_text._SELLERS, "sellers AS (SELECT * FROM planted_sellers)").replace(f"< {sql_text._SLICES}", f"< {slices}")
+        got = {r.seller_id: (r["rank"], r.cum_share) for r in spark.sql(text).collect()}
+        want, running, total = {}, 0, sum(r[2] for r in rows)
+        for rank, (seller, _, bad) in enumerate(sorted(rows, key=lambda r: (-r[2], r[0] is not None, r[0] or "")), 1):
+            running += bad
+            want[seller] = (rank, round(running / total, 6))
+        assert got == want

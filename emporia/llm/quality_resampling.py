@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .arrays import chunks, combined, mix, slice_hashes, text_buffer, words
-from .columns import narrowed, widened
+from .columns import ROW
 from .scratch import stored, table
 
 BUCKETS, COST, MAX_LABELS = 1 << 16, 25, 20_000
 LENGTH, PRIOR = 100, 20
 SHIFT = np.uint64(64 - 16)
+#: Bytes of text whose n-grams are made at a time; they and their hashes take some 80 bytes for each.
+PART = 1 << 18
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +56,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
             np.concatenate([text, text[1:][same] if len(h) > 1 else text[:0], of[2:][inside] if len(of) > 2 else of[:0]]))
 
 
+def parts(batches):
+    """The batches in slices of about PART bytes of text: the slice, buckets of its n-grams, and the text of each."""
+    for batch in batches:
+        for part in chunks(batch, "text", PART):
+            yield part, *features(*text_buffer(part.column("text")))
+
+
 def label_sample(labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
     """At most ``max_labels`` rows (label_id, good, fold): fold 0 fits the model, fold 1 the cutoff."""
     h = F.xxhash64("doc_id")
@@ -71,12 +80,10 @@ def counts(docs: DataFrame, sample: DataFrame) -> np.ndarray:
 
     def work(batches):
         total = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                bucket, text = features(*text_buffer(part.column("text")))
-                target = np.asarray(part.column("label_id").is_valid())[text]
-                total[0] += np.bincount(bucket, minlength=BUCKETS)
-                total[1] += np.bincount(bucket[target], minlength=BUCKETS)
+        for part, bucket, text in parts(batches):
+            target = np.asarray(part.column("label_id").is_valid())[text]
+            total[0] += np.bincount(bucket, minlength=BUCKETS)
+            total[1] += np.bincount(bucket[target], minlength=BUCKETS)
         model, bucket = np.nonzero(total)
         yield pa.record_batch([pa.array(model, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[model, bucket], pa.int64())],
                               ["model", "bucket", "n"])
@@ -102,13 +109,11 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     keep = docs.drop("n_features", "log_weight")
 
     def work(batches):
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                bucket, text = features(*text_buffer(part.column("text")))
-                n = np.bincount(text, minlength=part.num_rows)
-                weight = np.bincount(text, shared.value[bucket], minlength=part.num_rows) * LENGTH / (n + PRIOR)
-                yield pa.record_batch([*part.columns, pa.array(n, pa.int64()), pa.array(weight.round(6) + 0.0, pa.float64())],
-                                      [*part.schema.names, "n_features", "log_weight"])
+        for part, bucket, text in parts(batches):
+            n = np.bincount(text, minlength=part.num_rows)
+            weight = np.bincount(text, shared.value[bucket], minlength=part.num_rows) * LENGTH / (n + PRIOR)
+            yield pa.record_batch([*part.columns, pa.array(n, pa.int64()), pa.array(weight.round(6) + 0.0, pa.float64())],
+                                  [*part.schema.names, "n_features", "log_weight"])
 
     return keep.mapInArrow(work, StructType([*keep.schema.fields, StructField("n_features", LongType()), StructField("log_weight", DoubleType())]))
 
@@ -185,4 +190,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the resampling keeps."""
-    return widened(resample(narrowed(docs), table(spark, sf_dir, "labels")).where("kept"), docs.columns)
+    # The other columns pass Python in one, where no name can clash, and the text passes once.
+    rest = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c != "text"]).alias(ROW)
+    kept = resample(docs.select("doc_id", "text", rest), table(spark, sf_dir, "labels")).where("kept")
+    return kept.select(*[(F.col("text") if c == "text" else F.col(ROW).getField(c)).alias(c) for c in docs.columns])

@@ -796,3 +796,31 @@ def test_ngram_join_with_cut_buckets(spark, monkeypatch):
     rows = near_rows()
     got = ngram_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_sets(rows)
+
+
+def test_classifier_makes_ngrams_of_few_bytes_at_a_time(spark):
+    """A batch of many texts is cut before its n-grams are made, and the pipeline's stage sends each text to Python once."""
+    import tracemalloc
+
+    texts = ["some words of text " * 100] * 4000
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    whole = sum(map(len, texts))
+    tracemalloc.start()
+    try:
+        rows = sum(part.num_rows for part, _, _ in quality_resampling.parts([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts) and whole > 7_000_000
+    assert peak < 40_000_000
+
+
+def test_classifier_stage_sends_a_text_once(spark, monkeypatch, tmp_path):
+    seen = []
+    resample = quality_resampling.resample
+    monkeypatch.setattr(quality_resampling, "resample", lambda docs, labels: (seen.append(docs.schema), resample(docs, labels))[1])
+    spark.createDataFrame([(1, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, "a", 7, "é"), (2, None, 8, "x")], "doc_id bigint, text string, n_features int, `odd.na``me` string")
+    out = quality_resampling.stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
+    assert sum(f.simpleString().count("text:string") for f in seen[0].fields) == 1

@@ -18,8 +18,9 @@ A document is its set of word shingles, as 64-bit hashes.  Method:
 4.  Every index list links its members to one of them, another one in each of
     STARS rounds, where the sets verify.  What the lists then still hold in different components is compared
     block by block, by a sketch that bounds the symmetric difference from
-    below (no link is lost), and the rest verified.  Nothing is expanded into
-    all pairs of a group.
+    below (no link is lost) and then by the sets; a link is told only if none
+    told before joins its components.  Nothing is expanded into all pairs of a
+    group.
 
 Result: components over links, one row per document.  Tokens are told apart by
 64 bits, of words hashed with a seed that is drawn for every run: no texts can
@@ -34,6 +35,7 @@ is alone; repeated rows are one class; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import secrets
 
 import numpy as np
@@ -60,8 +62,10 @@ FREQUENT = 256
 #: Rounds in which lists are linked to one of their members.
 STARS = 2
 BLOCK = 2048
-#: Rows of open lists that a task compares, about.
-TASK_ROWS = 30_000
+#: Rows of open lists that a task compares, about, and bytes of their sets; bytes of sets in a block.
+TASK_ROWS, TASK_BYTES, BLOCK_BYTES = 30_000, 1 << 27, 1 << 25
+#: Sets that one set is held against at a time, and pairs that do not link which a task remembers.
+TRIES, MAX_APART = 16, 1 << 19
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -378,32 +382,47 @@ def star_pairs(rows: DataFrame, number: int) -> DataFrame:
         F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
 
 
+def shared_with(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many tokens of ``own`` each of the others holds; all are sorted and not empty."""
+    flat = np.concatenate(others)
+    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    return np.add.reduceat(hit, np.append(0, np.cumsum([len(t) for t in others[:-1]])).astype(np.int64), dtype=np.int64)
+
+
 def open_pairs(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Distinct pairs of one list but different components that the sketch cannot rule out."""
+    """Pairs (a, b) of ``rows`` (key, class, root, bytes) of one list but different components that link: of all such pairs as many as join the components.
+
+    Tasks compare what the sketch cannot rule out by the sets themselves, and tell a pair only if no pairs that
+    they told before join its components, so that a group of near copies gives no more pairs than members.
+    """
     def sketches(batches):
         for batch in batches:
             n = batch.column("n").to_pylist()
             tokens = [np.frombuffer(t, "<u8") for t in batch.column("tokens").to_pylist()]
-            yield pa.record_batch([batch.column("class"), batch.column("n"), pa.array([k - len(t) for k, t in zip(n, tokens)], pa.int32()),
+            yield pa.record_batch([batch.column("class"), batch.column("n"), batch.column("tokens"),
                                    pa.array([sketch(t, sketch_words(k)).tobytes() for k, t in zip(n, tokens)], pa.binary())],
-                                  ["class", "n", "alone", "sketch"])
+                                  ["class", "n", "tokens", "sketch"])
 
-    counts = stored(rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low")), "list-roots")
+    counts = stored(rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.sum("bytes").alias("bytes")), "list-roots")
     # Lists with several components: the largest stays, the members of the others are compared with all.
     # Of two members one was the hub of the first round, and that pair has been verified.
-    several = counts.groupBy("key").agg(F.count(F.lit(1)).alias("r"), F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("m"),
-                                        F.max("n").alias("most"), F.min("low").alias("low")).where("r > 1 AND m > 2")
-    several = stored(several.select("key", "main", "low", "m", F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("nl"),
-                                    F.ceil(F.col("m") / BLOCK).cast("int").alias("nr")), "open-lists")
-    # Lists of much the same members have the same smallest member; in one task each of their pairs is told once.
-    load = several.withColumn("load", F.col("m") * F.col("nl"))
-    deals = max(1, -(-(load.agg(F.sum("load")).first()[0] or 0) // TASK_ROWS))
+    several = counts.groupBy("key").agg(
+        F.count(F.lit(1)).alias("r"), F.max(F.struct("n", "root", "bytes")).alias("main"), F.sum("n").alias("m"),
+        F.min("low").alias("low"), F.sum("bytes").alias("bytes")).where("r > 1 AND m > 2")
+
+    def blocks_of(n, size):
+        return F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+
+    load = several.select("key", "low", "m", "bytes", F.col("main.root").alias("main"), blocks_of(F.col("m"), F.col("bytes")).alias("nr"),
+                          blocks_of(F.col("m") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("nl"))
+    # Lists of much the same members have the same smallest member; in one task each of their pairs is compared once.
+    load = stored(load.withColumn("load", F.col("nl") * F.greatest(F.col("m") / TASK_ROWS, F.col("bytes") / TASK_BYTES)), "open-lists")
+    deals = max(1, math.ceil(load.agg(F.sum("load")).first()[0] or 0))
     load = load.withColumn("deal", F.pmod(F.xxhash64("low"), F.lit(deals)))
-    shares = load.groupBy("deal").agg(F.ceil(F.sum("load") / TASK_ROWS).alias("shares"))
-    several = stored(load.join(shares, "deal").drop("load", "low"), "dealt-lists")
-    rows = stored(rows.join(several, "key").select("key", "class", "root", (F.col("root") != F.col("main")).alias("minor"), "nl", "nr", "deal", "shares"), "open-rows")
-    marked = rows.join(stored(found.select("class", "n", "tokens").mapInArrow(
-        sketches, "class binary, n int, alone int, sketch binary"), "sketches"), "class")
+    shares = load.groupBy("deal").agg(F.ceil(F.sum("load")).alias("shares"))
+    dealt = stored(load.join(shares, "deal").select("key", "main", "nl", "nr", "deal", "shares"), "dealt-lists")
+    members = rows.join(dealt, "key").select("key", "class", "root", (F.col("root") != F.col("main")).alias("minor"), "nl", "nr", "deal", "shares")
+    members = stored(members, "open-rows")
 
     def block(n):
         return F.pmod(F.xxhash64("class"), n).cast("int")
@@ -411,31 +430,56 @@ def open_pairs(rows: DataFrame, found: DataFrame) -> DataFrame:
     # A list of one block is one group; of a longer one every block of minor members meets every block of members.
     one = (F.col("nl") == 1) & (F.col("nr") == 1)
     zero = F.lit(0)
-    whole = marked.where(one).select("*", zero.alias("i"), zero.alias("j"), F.col("minor").alias("is_left"), F.lit(True).alias("is_right"))
-    left = marked.where(~one & F.col("minor")).select("*", block(F.col("nl")).alias("i"), F.explode(F.sequence(zero, F.col("nr") - 1)).alias("j"),
-                                                      F.lit(True).alias("is_left"), F.lit(False).alias("is_right"))
-    right = marked.where(~one).select("*", F.explode(F.sequence(zero, F.col("nl") - 1)).alias("i"), block(F.col("nr")).alias("j"),
-                                      F.lit(False).alias("is_left"), F.lit(True).alias("is_right"))
-    blocks = whole.unionByName(left).unionByName(right).select("key", "i", "j", "is_left", "is_right", "class", "root", "n", "alone", "sketch",
-                                                                       "deal", F.pmod(F.xxhash64("key", "i", "j"), F.col("shares")).alias("share"))
-
-    def compare(rows):
+    whole = members.where(one).select("*", zero.alias("i"), zero.alias("j"), F.col("minor").alias("is_left"), F.lit(True).alias("is_right"))
+    left = members.where(~one & F.col("minor")).select("*", block(F.col("nl")).alias("i"), F.explode(F.sequence(zero, F.col("nr") - 1)).alias("j"),
+                                                       F.lit(True).alias("is_left"), F.lit(False).alias("is_right"))
+    right = members.where(~one).select("*", F.explode(F.sequence(zero, F.col("nl") - 1)).alias("i"), block(F.col("nr")).alias("j"),
+                                       F.lit(False).alias("is_left"), F.lit(True).alias("is_right"))
+    blocks = whole.unionByName(left).unionByName(right).select(
+        "key", "i", "j", "is_left", "is_right", "class", "root", "deal", F.pmod(F.xxhash64("key", "i", "j"), F.col("shares")).alias("share"))
+    # A task gets the set of a class once, however many of its lists hold it.
+    held = blocks.select("deal", "share", "class", "root").distinct().toDF("set_deal", "set_share", "class", "set_root")
+    sets = held.join(found.select("class", "n", "tokens").mapInArrow(sketches, "class binary, n int, tokens binary, sketch binary"), "class").select(
+        "set_deal", "set_share", F.col("class").alias("set"), "set_root", "n", "tokens", "sketch")
+
+    def compare(rows, sets):
         rows = rows.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
         key = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in ("key", "i", "j")])
-        c = rows.column("class").to_pylist()
-        root = rows.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
-        n, alone = (rows.column(k).to_numpy().astype(np.int64) for k in ("n", "alone"))
+        c = sets.column("set").to_pylist()
+        at = {x: i for i, x in enumerate(c)}
+        member = np.array([at[x] for x in rows.column("class").to_pylist()], np.int64)
         is_left, is_right = rows.column("is_left").to_numpy(), rows.column("is_right").to_numpy()
-        raw = rows.column("sketch").to_pylist()
+        root = sets.column("set_root").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        n = sets.column("n").to_numpy().astype(np.int64)
+        tokens = [np.frombuffer(t, "<u8") for t in sets.column("tokens").to_pylist()]
+        alone = n - np.array([len(t) for t in tokens], np.int64)
+        raw = sets.column("sketch").to_pylist()
+        width = np.array([len(x) // 8 for x in raw], np.int64)
         cut = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
-        pairs = set()
-        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(c)]):
-            of = np.arange(lo, hi)
+        pairs, apart_ones = [], set()
+
+        def join(x, near):
+            """Tell the links of x to ``near``, the likeliest first, that join its component with others."""
+            while len(near):
+                some = [r for r in near[:TRIES].tolist() if (min(r, x), max(r, x)) not in apart_ones]
+                linked = links(n[some], n[x], shared_with(tokens[x], [tokens[r] for r in some])).tolist() if some else []
+                for r, ok in zip(some, linked):
+                    if ok and root[r] != root[x]:
+                        pairs.append((min(c[x], c[r]), max(c[x], c[r])))
+                        root[root == root[r]] = root[x]
+                    elif not ok and len(apart_ones) < MAX_APART:  # beyond, other lists compare them again
+                        apart_ones.add((min(r, x), max(r, x)))
+                near = near[TRIES:]
+                near = near[root[near] != root[x]]
+
+        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(member)]):
+            of = member[lo:hi]
             rights, lefts = of[is_right[lo:hi]], of[is_left[lo:hi]]
-            sizes = {w: rights[np.array([len(raw[r]) == 8 * w for r in rights], bool)] for w in (16, 64, 256, 1024)}
-            made = {w: np.frombuffer(b"".join(raw[r] for r in s), "<u8").reshape(len(s), w) for w, s in sizes.items() if len(s)}
+            sizes = {w: rights[width[rights] == w] for w in (16, 64, 256, 1024)}
+            made = {w: np.frombuffer(b"".join(raw[r] for r in s.tolist()), "<u8").reshape(len(s), w) for w, s in sizes.items() if len(s)}
             for x in lefts.tolist():
                 own = np.frombuffer(raw[x], "<u8")
+                near, likeness = [], []
                 for w, s in sizes.items():
                     if not len(s) or not len(own) // 4 <= w <= len(own) * 4:
                         continue
@@ -446,12 +490,15 @@ def open_pairs(rows: DataFrame, found: DataFrame) -> DataFrame:
                     least = min(w, len(own))
                     apart = np.bitwise_count(folded(made[w][fit], least) ^ folded(own[None, :], least)).sum(1)
                     shared = (n[s2] + n[x] - alone[s2] - alone[x] - apart) // 2
-                    for r in s2[links(n[s2], n[x], shared)].tolist():
-                        pairs.add((min(c[x], c[r]), max(c[x], c[r])))
-        a, b = zip(*sorted(pairs)) if pairs else ((), ())
+                    ok = links(n[s2], n[x], shared)
+                    near.append(s2[ok])
+                    likeness.append(shared[ok] / (n[s2][ok] + n[x] - shared[ok]))
+                if near:
+                    join(x, np.concatenate(near)[np.argsort(-np.concatenate(likeness), kind="stable")])
+        a, b = zip(*pairs) if pairs else ((), ())
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return blocks.groupBy("deal", "share").applyInArrow(lambda rows: compare(rows), EDGES).distinct()
+    return blocks.drop("root").groupBy("deal", "share").cogroup(sets.groupBy("set_deal", "set_share")).applyInArrow(lambda rows, sets: compare(rows, sets), EDGES)
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -486,9 +533,10 @@ def grouped(docs: DataFrame) -> DataFrame:
         edges = stored(edges.unionByName(new), "links")
         roots = stored(components(edges), "star-roots")
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    members = rooted(lists, roots)
+    sizes = found.select("class", F.octet_length("tokens").cast("long").alias("bytes"))
+    members = rooted(lists.join(sizes, "class"), roots)
     discard(lists)
-    more = stored(verified(open_pairs(members, found), found), "more-links")
+    more = stored(open_pairs(members, found), "more-links")
     discard(members, found)
     roots = components(edges.unionByName(more))
     return rows.join(roots, rows["class"] == roots["node"], "left").select(

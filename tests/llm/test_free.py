@@ -798,6 +798,42 @@ def test_ngram_join_with_cut_buckets(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_sets(rows)
 
 
+def near_group(n):
+    """Classes of one group of near copies, most pairs of which link, and of loners with half its tokens: (class, n, tokens)."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(1, 1 << 62, 200).astype(np.uint64))
+    sets = {}
+    for i in range(n + n // 4):
+        keep = base[rng.random(len(base)) < (0.92 if i < n else 0.6)]
+        own = rng.integers(1, 1 << 62, 3 if i < n else 90).astype(np.uint64)
+        sets[i.to_bytes(16, "big")] = (np.unique(np.concatenate([keep, own])), keep)
+    return sets
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_open_pairs_of_a_group_grow_with_its_members(spark, monkeypatch, block):
+    """All pairs of the group link; what is told joins it with fewer pairs than members, not with a pair for each two."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    sets, n = near_group(80), 80
+    found = spark.createDataFrame([(c, len(all_), bytearray(kept.tobytes())) for c, (all_, kept) in sets.items()], "class binary, n int, tokens binary")
+    lists = spark.createDataFrame([(k, c, c, len(sets[c][1]) * 8) for c in sets for k in (1, 2)], "key bigint, class binary, root binary, bytes bigint")
+    pairs = {(bytes(r.a), bytes(r.b)) for r in ngram_join.open_pairs(lists, found).collect()}
+    near = set()
+    for a in sets:
+        near |= {(a, b) for b in sets if a < b and ngram_join.links(len(sets[a][0]), len(sets[b][0]), len(np.intersect1d(sets[a][1], sets[b][1])))}
+    assert pairs <= near and len(near) > 20 * n
+
+    def component(edges):
+        of = {c: c for c in sets}
+        for a, b in edges:
+            low, high = sorted((of[a], of[b]))
+            of = {c: low if r == high else r for c, r in of.items()}
+        return of
+
+    assert component(pairs) == component(near)
+    assert len(pairs) < len(sets)
+
+
 def test_classifier_makes_ngrams_of_few_bytes_at_a_time(spark):
     """A batch of many texts is cut before its n-grams are made, and the pipeline's stage sends each text to Python once."""
     import tracemalloc

@@ -18,9 +18,8 @@ A document is its set of word shingles, as 64-bit hashes.  Method:
 4.  Every index list links its members to one of them, another one in each of
     STARS rounds, where the sets verify.  What the lists then still hold in different components is compared
     block by block, by a sketch that bounds the symmetric difference from
-    below (no link is lost) and then by the sets; a link is told only if none
-    told before joins its components.  Nothing is expanded into all pairs of a
-    group.
+    below (no link is lost) and then by the sets; a task tells which
+    components it joined.  Nothing is expanded into all pairs of a group.
 
 Result: components over links, one row per document.  Tokens are told apart by
 64 bits, of words hashed with a seed that is drawn for every run: no texts can
@@ -390,10 +389,10 @@ def shared_with(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 
 def open_pairs(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ``rows`` (key, class, root, bytes) of one list but different components that link: of all such pairs as many as join the components.
+    """Pairs (a, b) of roots of components that members of one list of ``rows`` (key, class, root, bytes) link.
 
-    Tasks compare what the sketch cannot rule out by the sets themselves, and tell a pair only if no pairs that
-    they told before join its components, so that a group of near copies gives no more pairs than members.
+    Tasks compare what the sketch cannot rule out by the sets themselves and tell each root that they have joined
+    with others once, with the smallest of them, so that a group of near copies gives fewer pairs than members.
     """
     def sketches(batches):
         for batch in batches:
@@ -445,27 +444,27 @@ def open_pairs(rows: DataFrame, found: DataFrame) -> DataFrame:
     def compare(rows, sets):
         rows = rows.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
         key = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in ("key", "i", "j")])
-        c = sets.column("set").to_pylist()
-        at = {x: i for i, x in enumerate(c)}
+        at = {x: i for i, x in enumerate(sets.column("set").to_pylist())}
         member = np.array([at[x] for x in rows.column("class").to_pylist()], np.int64)
         is_left, is_right = rows.column("is_left").to_numpy(), rows.column("is_right").to_numpy()
-        root = sets.column("set_root").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        coded = sets.column("set_root").combine_chunks().dictionary_encode()
+        first, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        root = first.copy()
         n = sets.column("n").to_numpy().astype(np.int64)
         tokens = [np.frombuffer(t, "<u8") for t in sets.column("tokens").to_pylist()]
         alone = n - np.array([len(t) for t in tokens], np.int64)
         raw = sets.column("sketch").to_pylist()
         width = np.array([len(x) // 8 for x in raw], np.int64)
         cut = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
-        pairs, apart_ones = [], set()
+        apart_ones = set()
 
         def join(x, near):
-            """Tell the links of x to ``near``, the likeliest first, that join its component with others."""
+            """Join the component of x with those of the members of ``near`` that it links with, the likeliest first."""
             while len(near):
                 some = [r for r in near[:TRIES].tolist() if (min(r, x), max(r, x)) not in apart_ones]
                 linked = links(n[some], n[x], shared_with(tokens[x], [tokens[r] for r in some])).tolist() if some else []
                 for r, ok in zip(some, linked):
                     if ok and root[r] != root[x]:
-                        pairs.append((min(c[x], c[r]), max(c[x], c[r])))
                         root[root == root[r]] = root[x]
                     elif not ok and len(apart_ones) < MAX_APART:  # beyond, other lists compare them again
                         apart_ones.add((min(r, x), max(r, x)))
@@ -495,6 +494,11 @@ def open_pairs(rows: DataFrame, found: DataFrame) -> DataFrame:
                     likeness.append(shared[ok] / (n[s2][ok] + n[x] - shared[ok]))
                 if near:
                     join(x, np.concatenate(near)[np.argsort(-np.concatenate(likeness), kind="stable")])
+        _, one = np.unique(first, return_index=True)
+        least = {}
+        for k, of in zip(names, root[one].tolist()):
+            least[of] = min(least.get(of, k), k)
+        pairs = [(k, least[of]) for k, of in zip(names, root[one].tolist()) if k != least[of]]
         a, b = zip(*pairs) if pairs else ((), ())
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 

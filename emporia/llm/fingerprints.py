@@ -236,7 +236,7 @@ def likeness_to(i: int, js: np.ndarray, n: np.ndarray, digits: np.ndarray) -> np
 
 
 def star_links(lists: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a bucket's smallest node and its other members that are alike."""
+    """Pairs (a, b) of a bucket's smallest node and its other members that are alike, stored."""
     hubs = stored(lists.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub"), "band-hubs")
     pairs = lists.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     both = (pairs.join(classes.select(F.col("node").alias("a"), F.col("fingerprint").alias("fa")), "a")
@@ -247,11 +247,13 @@ def star_links(lists: DataFrame, classes: DataFrame, least: float) -> DataFrame:
             ok = [likeness(a, b) >= least for a, b in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist())]
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(alike, "a bigint, b bigint")
+    found = stored(both.mapInArrow(alike, "a bigint, b bigint"), "star-links")
+    discard(hubs)
+    return found
 
 
 def open_links(lists: DataFrame, classes: DataFrame, roots: DataFrame, least: float, block: int) -> DataFrame:
-    """Links (a, b) between what buckets still hold in different components: block by block, a spanning forest of each."""
+    """Links (a, b) between what buckets still hold in different components: block by block, a spanning forest of each, stored."""
     members = stored(lists.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "band-members")
     counts = stored(members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")), "band-roots")
     # The largest component of a bucket stays; members of the others are compared with all.
@@ -269,6 +271,8 @@ def open_links(lists: DataFrame, classes: DataFrame, roots: DataFrame, least: fl
                                              F.explode(F.sequence(zero, F.col("nr") - 1)).alias("j"), F.lit(True).alias("is_left"))
     right = rows.select("band", "node", "root", F.explode(F.sequence(zero, F.col("nl") - 1)).alias("i"), own_block(F.col("nr")).alias("j"), F.lit(False).alias("is_left"))
     met = stored(left.unionByName(right), "band-blocks")
+    discard(members, counts, several)
+    release(met.sparkSession)
     deals = max(1, -(-met.count() // TASK_ROWS))
     # A block is dealt whole: at most 2 * block rows of one key.
     dealt = met.join(classes.select("node", "fingerprint"), "node").withColumn("deal", F.pmod(F.xxhash64("band", "i", "j"), F.lit(deals)).cast("int"))
@@ -303,7 +307,9 @@ def open_links(lists: DataFrame, classes: DataFrame, roots: DataFrame, least: fl
         a, b = zip(*edges) if edges else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.groupBy("deal").applyInArrow(lambda rows: compare(rows), "a bigint, b bigint")
+    found = stored(dealt.groupBy("deal").applyInArrow(lambda rows: compare(rows), "a bigint, b bigint"), "more-links")
+    discard(met)
+    return found
 
 
 def components_by_fingerprint(prints: DataFrame, least: float = 0.8, block: int = BLOCK) -> DataFrame:
@@ -314,7 +320,8 @@ def components_by_fingerprint(prints: DataFrame, least: float = 0.8, block: int
     different components is compared block by block.  component_id is the smallest
     doc_id of a component (null ids do not count; null if there is no other).
     """
-    ship(prints.sparkSession)
+    spark = prints.sparkSession
+    ship(spark)
     classes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "print-classes")
 
     def band_rows(rows):
@@ -324,13 +331,19 @@ def components_by_fingerprint(prints: DataFrame, least: float = 0.8, block: int
                 yield pa.record_batch([pa.array(keys), part.column("node").take(pa.array(rows))], ["band", "node"])
 
     every = stored(classes.select("fingerprint", "node").mapInArrow(band_rows, "band bigint, node bigint"), "bands")
+    # The bands are many times the fingerprints: their shuffles go as soon as the next table is written.
+    release(spark)
     shared = stored(every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "shared-bands")
+    release(spark)
     lists = stored(every.join(shared, "band", "left_semi"), "band-lists")
     discard(every, shared)
-    edges = stored(star_links(lists, classes, least), "star-links")
+    release(spark)
+    edges = star_links(lists, classes, least)
+    release(spark)
     roots = stored(components(edges), "star-roots")
-    more = stored(open_links(lists, classes, roots, least, block), "more-links")
+    more = open_links(lists, classes, roots, least, block)
     discard(lists)
+    release(spark)
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     ends = stored(components(known.unionByName(more)), "roots")
     named = stored(classes.join(ends, "node", "left").select("fingerprint", "least", F.coalesce("root", "node").alias("root")), "class-roots")

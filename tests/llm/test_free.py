@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -860,3 +861,22 @@ def test_classifier_stage_sends_a_text_once(spark, monkeypatch, tmp_path):
     out = quality_resampling.stage(spark, docs, str(tmp_path))
     assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
     assert sum(f.simpleString().count("text:string") for f in seen[0].fields) == 1
+
+
+# -- memory, files and disk that a job holds
+
+
+def test_fingerprint_components_let_their_tables_go(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(300)) for _ in range(6)]
+    rows = [(10 * i + k, t[:-3 * k - 1] + "x" * k) for i, t in enumerate(texts) for k in range(4)]
+    prints = fingerprints.with_fingerprint(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    real, made, freed = fingerprints.stored, [], []
+    monkeypatch.setattr(fingerprints, "stored", lambda df, name: made.append((name, out := real(df, name))) or out)
+    monkeypatch.setattr(fingerprints, "release", lambda session: freed.append(made[-1][0]))
+    got = fingerprints.components_by_fingerprint(prints.select("doc_id", "fingerprint"), 0.6)
+    assert got.select("component_id").distinct().count() == 6
+    names = {n for n, _ in made}
+    left = {n for n, df in made if os.path.exists(df._emporia_path.removeprefix("file:"))}
+    assert {"bands", "shared-bands", "band-lists", "band-hubs", "band-members", "band-roots", "open-bands", "band-blocks"} == names - left
+    assert {"bands", "shared-bands", "band-lists", "star-links", "band-blocks", "more-links"} <= set(freed)

@@ -880,3 +880,32 @@ def test_fingerprint_components_let_their_tables_go(spark, monkeypatch):
     left = {n for n, df in made if os.path.exists(df._emporia_path.removeprefix("file:"))}
     assert {"bands", "shared-bands", "band-lists", "band-hubs", "band-members", "band-roots", "open-bands", "band-blocks"} == names - left
     assert {"bands", "shared-bands", "band-lists", "star-links", "band-blocks", "more-links"} <= set(freed)
+
+
+def test_bpe_looks_up_new_pairs_only(monkeypatch):
+    """A merge asks for the ranks of the two pairs it makes, not for all pairs of the word again."""
+    ranks = byte_bpe.load_ranks(public("byte_bpe_50k.tiktoken"))
+    merger, real, asked = byte_bpe.Merger(ranks), byte_bpe.Merger.pair_ranks, []
+    monkeypatch.setattr(byte_bpe.Merger, "pair_ranks", lambda self, a, b: asked.append(len(a)) or real(self, a, b))
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 64))).encode() for _ in range(300)] + ["é漢🙂".encode(), b"a" * 64, b"x"]
+    counts = np.array([len(w) for w in words])
+    ids, made = merger.merge_all(np.frombuffer(b"".join(words), np.uint8), counts)
+    assert sum(asked) <= counts.sum() + 2 * (counts.sum() - len(ids))
+    cut = np.append(0, np.cumsum(made)).tolist()
+    assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [merger.merge_long(w) for w in words]
+    assert [x.tolist() for x in merger.merge_all(np.empty(0, np.uint8), np.empty(0, np.int64))] == [[], []]
+
+
+def test_bpe_follows_long_runs_over_blocks():
+    """Texts whose blocks hold no space: their states are followed block by block, as one character after the other."""
+    rng = random.Random(5)
+    symbols = np.array([rng.choice([byte_bpe.LETTER] * 8 + [byte_bpe.NUMBER, byte_bpe.OTHER, byte_bpe.SHORT, byte_bpe.LONGER, byte_bpe.WHITE]) for _ in range(4000)], np.uint8)
+    symbols[[500, 2900, 2901]] = byte_bpe.SPACE
+    for first in range(8):
+        state, flags = first, []
+        for c in symbols.tolist():
+            flags.append(int(byte_bpe.BEGINS[8 * c + state]))
+            state = int(byte_bpe.FOLLOW[8 * c + state])
+        got, after = byte_bpe.scan(symbols, first)
+        assert got.tolist() == flags and after == state

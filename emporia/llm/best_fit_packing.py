@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .arrays import chunks, text_buffer
 from .byte_bpe import broadcast_ranks, encoder, vocabulary
-from .scratch import stored, table
+from .scratch import frugal, stored, table
 
 CAPACITY, END = 2048, 0
 #: Pieces in a shard, islands, epochs, chromosomes and children of an epoch.
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                         at, k = at + size, k + 1
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
 
-    return docs.select("doc_id", "text").mapInArrow(work, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(frugal(work), PIECES)
 
 
 class Packing:

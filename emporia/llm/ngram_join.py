@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from .arrays import UPPER_TO_LOWER, binaries, chunks, combined, mix, seeded_hashes, text_buffer, words
 from .columns import ROW, narrowed, widened
 from .components import components
-from .scratch import discard, release, ship, stored, table
+from .scratch import discard, frugal, give_back, release, ship, stored, table
 
 WIDTH, NEED, OF = 5, 75, 100
 #: Tokens and documents that one stretch of a task holds at most.
@@ -173,7 +173,7 @@ def classes(docs: DataFrame, seed: int) -> DataFrame:
 
     # row_hash tells rows of one id apart.
     return docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash")).mapInArrow(
-        work, "doc_id bigint, row_hash bigint, n_shingles bigint, class binary, token bigint, seen bigint")
+        frugal(work), "doc_id bigint, row_hash bigint, n_shingles bigint, class binary, token bigint, seen bigint")
 
 
 def pack48(tokens: np.ndarray) -> bytes:
@@ -256,7 +256,7 @@ def shared_tokens(docs: DataFrame, buckets: int, cuts: int, hot: np.ndarray, hot
         made = pa.table([pa.array(c, f.type) for c, f in zip(zip(*found), ARROW)], schema=ARROW) if found else ARROW.empty_table()
         return pa.concat_tables([passed.cast(ARROW), made])
 
-    return docs.select("doc_id", "text").mapInArrow(deal, DEALT).groupBy("bucket").applyInArrow(count, DEALT)
+    return docs.select("doc_id", "text").mapInArrow(frugal(deal), DEALT).groupBy("bucket").applyInArrow(count, DEALT)
 
 
 CANDIDATES = "class binary, n int, tokens binary, freqs binary"
@@ -328,7 +328,7 @@ def index(found: DataFrame) -> DataFrame:
                 owner = part.column("class").take(pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys])))
                 yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), owner], ["key", "class"])
 
-    return found.mapInArrow(work, "key bigint, class binary")
+    return found.mapInArrow(frugal(work), "key bigint, class binary")
 
 
 EDGES = "a binary, b binary"
@@ -348,7 +348,7 @@ def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
                   for na, nb, ta, tb in zip(*(batch.column(k).to_pylist() for k in ("na", "nb", "ta", "tb")))]
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(work, EDGES)
+    return both.mapInArrow(frugal(work), EDGES)
 
 
 def sketch_words(n: int) -> int:
@@ -502,7 +502,12 @@ def open_pairs(rows: DataFrame, found: DataFrame) -> DataFrame:
         a, b = zip(*pairs) if pairs else ((), ())
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return blocks.drop("root").groupBy("deal", "share").cogroup(sets.groupBy("set_deal", "set_share")).applyInArrow(lambda rows, sets: compare(rows, sets), EDGES)
+    def joined(rows, sets):
+        out = compare(rows, sets)
+        give_back()
+        return out
+
+    return blocks.drop("root").groupBy("deal", "share").cogroup(sets.groupBy("set_deal", "set_share")).applyInArrow(joined, EDGES)
 
 
 def grouped(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .arrays import chunks, combined, mix, slice_hashes, text_buffer, words
 from .columns import ROW
-from .scratch import stored, table
+from .scratch import frugal, stored, table
 
 BUCKETS, COST, MAX_LABELS = 1 << 16, 25, 20_000
 LENGTH, PRIOR = 100, 20
@@ -88,7 +88,7 @@ def counts(docs: DataFrame, sample: DataFrame) -> np.ndarray:
         yield pa.record_batch([pa.array(model, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[model, bucket], pa.int64())],
                               ["model", "bucket", "n"])
 
-    rows = (marked.select("text", "label_id").mapInArrow(work, "model int, bucket int, n bigint")
+    rows = (marked.select("text", "label_id").mapInArrow(frugal(work), "model int, bucket int, n bigint")
             .groupBy("model", "bucket").agg(F.sum("n").alias("n")).toPandas())  # at most 2 x BUCKETS rows
     out = np.zeros((2, BUCKETS))
     out[rows["model"].to_numpy(int), rows["bucket"].to_numpy(int)] = rows["n"].to_numpy(float)
@@ -115,7 +115,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             yield pa.record_batch([*part.columns, pa.array(n, pa.int64()), pa.array(weight.round(6) + 0.0, pa.float64())],
                                   [*part.schema.names, "n_features", "log_weight"])
 
-    return keep.mapInArrow(work, StructType([*keep.schema.fields, StructField("n_features", LongType()), StructField("log_weight", DoubleType())]))
+    return keep.mapInArrow(frugal(work), StructType([*keep.schema.fields, StructField("n_features", LongType()), StructField("log_weight", DoubleType())]))
 
 
 def gumbel(seed: int = 0) -> Column:

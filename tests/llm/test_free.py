@@ -909,3 +909,34 @@ def test_bpe_follows_long_runs_over_blocks():
             state = int(byte_bpe.FOLLOW[8 * c + state])
         got, after = byte_bpe.scan(symbols, first)
         assert got.tolist() == flags and after == state
+
+
+def test_components_write_few_files(spark, monkeypatch):
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "24"}
+    before = {k: spark.conf.get(k) for k in conf}
+    real, files = components.stored, []
+
+    def counted(df, name):
+        out = real(df, name)
+        files.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(components, "stored", counted)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(i, i + 7) for i in range(400)], "a int, b int")
+        got = {r.node: r.root for r in components.components(edges).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i % 7 for i in range(7, 407)}
+    assert len(files) > 4 and all(n == 1 for name, n in files if name != "edges")
+
+
+def test_frugal_work_gives_memory_back(monkeypatch):
+    from emporia.llm import scratch
+
+    calls = []
+    monkeypatch.setattr(scratch, "give_back", lambda: calls.append(1))
+    assert list(scratch.frugal(lambda batches: (2 * b for b in batches))([1, 2, 3])) == [2, 4, 6] and calls == [1]
